@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from veilgraph.llm.op4_wavelet import op4_wavelet
+from veilgraph.llm.op5_substring import op5_substring
 from veilgraph.llm.op10_simhash import op10_simhash
 
 QUERIES = {
     "op4_wavelet": op4_wavelet,
+    "op5_substring": op5_substring,
     "op10_simhash": op10_simhash,
 }
 
