@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from veilgraph.llm.op2_html import op2_html
 from veilgraph.llm.op4_wavelet import op4_wavelet
 from veilgraph.llm.op5_substring import op5_substring
+from veilgraph.llm.op6_decontaminate import op6_decontaminate
+from veilgraph.llm.op8_quality_rules import op8_quality_rules
 from veilgraph.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op2_html": op2_html,
     "op4_wavelet": op4_wavelet,
     "op5_substring": op5_substring,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
