@@ -8,28 +8,54 @@ unit not in the bounded cache, and ids are gathered with numpy.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from veilgraph.llm.textbatch import SPACE_WORDS, byte_class, words_of
+from veilgraph.llm.textbatch import LOWER, SPACE_WORDS, byte_class, words_of
 
-CACHE_UNITS = 250_000
+CACHE_UNITS = 400_000
 CACHE_UNIT_BYTES = 64
 
 #: piece models: a unit ends before each single blank between two characters that are not blanks
 _BLANK = byte_class((0x20, 0x20))
 
 
+#: ASCII letters, and the bytes of ASCII digits and punctuation except the apostrophe (it joins contractions)
+_LETTER = ~byte_class((0x41, 0x5A), (0x61, 0x7A))
+_MARK = ~byte_class((0x21, 0x26), (0x28, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: lower-case letters that the file's normaliser leaves alone and its splitter keeps together
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
 def units_by_space(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Units between ASCII white space, and each text's first unit."""
+    """Units of lower-cased texts, and each text's first unit.
+
+    Units end at ASCII white space, and between a letter (ASCII, or one of Latin-1) and an ASCII
+    digit or mark: the file's splitter always cuts there.  Where "<|" occurs, the slice is cut at
+    white space only and not lower-cased, so that strings of special tokens stay as the library sees them.
+    """
+    special = b"<|" in data.tobytes()
+    data = data if special else LOWER[data]
     words = words_of(data, offsets, SPACE_WORDS, hashed=False)
-    lengths = words.end - words.start
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    kept = data[SPACE_WORDS[data]]
-    return _strings(kept, bounds), words.first
+    letter, mark = _LETTER[data], _MARK[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    inner = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[inner[: 0 if special else None]] = True
+    edge[offsets] = False  # a text's first unit starts at its first word
+    edge[words.start] = True
+    starts = np.flatnonzero(edge)
+    inside = SPACE_WORDS[data]
+    before = np.cumsum(inside) - inside  # word bytes before each byte
+    kept = data[inside]
+    bounds = np.concatenate((before[starts], [len(kept)]))
+    return _strings(kept, bounds), np.searchsorted(starts, offsets)
 
 
 def units_by_blank(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -58,10 +84,10 @@ def _strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 class UnitEncoder:
-    """Encodes slices of texts through `encode_many(list of units) -> list of id lists`."""
+    """Encodes slices of texts through `encode_many(list of units) -> list of id lists`; ids are below 65536."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], split: Callable, kind: type = np.uint16) -> None:
-        self.encode_many, self.split, self.kind, self.cache = encode_many, split, kind, {}
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], split: Callable) -> None:
+        self.encode_many, self.split, self.cache = encode_many, split, {}
 
     def distinct(self, units: pa.Array) -> tuple[np.ndarray, list[str]]:
         coded = units.dictionary_encode()
@@ -75,18 +101,18 @@ class UnitEncoder:
         missing = [i for i, x in enumerate(have) if x is None]
         if missing:
             for i, ids in zip(missing, self.encode_many([names[i] for i in missing]), strict=True):
-                have[i] = ids
+                have[i] = array("H", ids).tobytes()
             if len(self.cache) + len(missing) > CACHE_UNITS:
                 self.cache.clear()
             self.cache.update((names[i], have[i]) for i in missing if len(names[i]) <= CACHE_UNIT_BYTES)
-        sizes = np.fromiter(map(len, have), np.int64, len(have))
-        flat = np.fromiter(chain.from_iterable(have), self.kind, int(sizes.sum()))
-        begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        sizes = np.fromiter(map(len, have), np.int32, len(have)) // 2
+        flat = np.frombuffer(b"".join(have), dtype=np.uint16)
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32)
         each = sizes[index]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        gather = np.arange(total) + np.repeat(begins[index] - (ends - each), each)
-        return flat[gather], np.concatenate(([0], ends))[first]
+        gather = np.arange(total, dtype=np.int32) + np.repeat(begins[index] - (ends - each), each)
+        return flat[gather], np.concatenate(([0], ends))[first].astype(np.int64)
 
 
 def word_bpe(path: str) -> UnitEncoder:
@@ -95,7 +121,26 @@ def word_bpe(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    return UnitEncoder(lambda units: [x.ids for x in model.encode_batch_fast(units, add_special_tokens=False)], units_by_space)
+    byte_mark = {chr(b): pre for b, pre in zip(range(256), _byte_marks(), strict=True)}
+    latin = str.maketrans({c: "".join(byte_mark[chr(b)] for b in c.encode()) for c in map(chr, range(0xDF, 0x100))})
+    merge = model.model.tokenize
+
+    def many(units: list[str]) -> list[list[int]]:
+        # plain lower-case words skip the library's normaliser and splitter, which leave them as they are
+        out: list = [[x.id for x in merge(u.translate(latin))] if _PLAIN.fullmatch(u) else None for u in units]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(rest, model.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
+
+    return UnitEncoder(many, units_by_space)
+
+
+def _byte_marks() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 def piece_bpe(path: str) -> UnitEncoder:

@@ -24,6 +24,7 @@ from veilgraph.llm.wavelet import WaveletMatrix, pack, unpack
 END_ID = 1
 PLANES = 16
 SHARD_TOKENS = 1 << 20
+SLICE = 2 << 20
 
 _ROW = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -46,7 +47,7 @@ def _shards(path: str):
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, limit=SLICE):
                 found, at = encode(data, offsets)
                 ids.append(np.insert(found, at[1:], END_ID))
                 key = rows.column(0)
