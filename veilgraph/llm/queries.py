@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from veilgraph.llm.op1_line_dedup import op1_line_dedup
 from veilgraph.llm.op2_html import op2_html
 from veilgraph.llm.op4_wavelet import op4_wavelet
 from veilgraph.llm.op5_substring import op5_substring
 from veilgraph.llm.op6_decontaminate import op6_decontaminate
+from veilgraph.llm.op7_kneser_ney import op7_kneser_ney
 from veilgraph.llm.op8_quality_rules import op8_quality_rules
+from veilgraph.llm.op9_separators import op9_separators
 from veilgraph.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_html": op2_html,
     "op4_wavelet": op4_wavelet,
     "op5_substring": op5_substring,
     "op6_decontaminate": op6_decontaminate,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_rules": op8_quality_rules,
+    "op9_separators": op9_separators,
     "op10_simhash": op10_simhash,
 }
 
