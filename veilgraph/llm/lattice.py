@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from veilgraph.llm.textbatch import mix
 
 BLANK = "▁"
-_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_ALL = (1 << 64) - 1
 
 
-def uniform(seed: np.ndarray, stream: int, at: np.ndarray, step: int | np.ndarray = 0) -> np.ndarray:
+def uniform(seed: np.ndarray, stream: int, at: np.ndarray, step: int = 0) -> np.ndarray:
     """Numbers in (0, 1) that depend on the arguments only."""
-    key = seed + np.uint64(stream) * _C1 + at.astype(np.uint64) * _C2 + np.asarray(step, dtype=np.uint64) * _C3
-    return ((mix(mix(key)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    key = at.astype(np.uint64) * np.uint64(_C2)
+    key += seed
+    key += np.uint64((stream * _C1 + step * _C3) & _ALL)
+    return ((mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def uniform_one(seed: int, stream: int, at: int, step: int = 0) -> float:
+    """uniform() of one place."""
+    x = (seed + stream * _C1 + at * _C2 + step * _C3) & _ALL
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _ALL
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) * 2.0**-53
+
+
+@lru_cache(maxsize=4)
+def pieces_of(path: str, alpha: float) -> Pieces:
+    """One vocabulary for all tasks of a worker process."""
+    return Pieces(path, alpha)
 
 
 class Pieces:
@@ -72,7 +94,7 @@ class Pieces:
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * _C1) >> np.uint64(45)).astype(np.int64)
+        return ((key.view(np.uint64) * np.uint64(_C1)) >> np.uint64(45)).view(np.int64)
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Trie node after one more character; -1 where there is none."""
@@ -140,6 +162,8 @@ class Lattice:
         order = np.argsort(src, kind="stable")
         src, num, self.piece, cost = src[order], num[order], ids[order], cost[order]
         self.source, self.target = src + unit[src], src + num + unit[src]
+        #: token of each edge; characters of several bytes without a piece keep -1 - code
+        self.token = np.where((self.piece < 0) & (self.piece >= -0x80), pieces.byte_id[np.clip(-1 - self.piece, 0, 0x7F)], self.piece)
         total = len(code) + len(units)
         degree = np.bincount(self.source, minlength=total)
         self.first = np.cumsum(degree) - degree
@@ -147,7 +171,7 @@ class Lattice:
         # log sums towards each unit's end, all units at once by distance from it
         beta = np.zeros(total)
         away = stop[src] - src
-        turn = np.argsort(away, kind="stable")
+        turn = np.argsort(away.astype(np.uint16) if len(away) and away.max() < 1 << 16 else away, kind="stable")
         cuts = np.concatenate(([0], np.cumsum(np.bincount(away)))) if len(away) else np.zeros(1, np.int64)
         for d in range(1, len(cuts) - 1):
             use = turn[cuts[d] : cuts[d + 1]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veilgraph.llm.op1_line_dedup import op1_line_dedup
 from veilgraph.llm.op2_html import op2_html
+from veilgraph.llm.op3_sentencepiece import op3_sentencepiece
 from veilgraph.llm.op4_wavelet import op4_wavelet
 from veilgraph.llm.op5_substring import op5_substring
 from veilgraph.llm.op6_decontaminate import op6_decontaminate
@@ -15,6 +16,7 @@ from veilgraph.llm.op10_simhash import op10_simhash
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html": op2_html,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_wavelet": op4_wavelet,
     "op5_substring": op5_substring,
     "op6_decontaminate": op6_decontaminate,
