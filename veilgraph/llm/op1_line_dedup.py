@@ -10,7 +10,8 @@ Everything is judged on the input texts.
 
 Rules for odd input: a null text stays null and has no lines; a null doc_id is kept whole; rows of
 one doc_id with different texts are kept apart and ordered by a hash of the text, equal rows are
-treated alike; a document whose lines all go keeps an empty text; other columns ride along.
+treated alike; a document whose lines all go keeps an empty text; other columns ride along (one named
+n_lines or n_removed is replaced).
 """
 
 from __future__ import annotations
@@ -104,15 +105,15 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tk", F.hash(text)).withColumn("_text", text)
+    return documents.withColumn("__vg_id", F.col("doc_id").cast("long")).withColumn("__vg_tk", F.hash(text)).withColumn("__vg_text", text)
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, gone): line numbers (from 0, over all lines) to delete from each later document."""
-    lines = F.transform(F.split("_text", "\n"), lambda x: F.regexp_replace(x, _TRIM, ""))
+    lines = F.transform(F.split("__vg_text", "\n"), lambda x: F.regexp_replace(x, _TRIM, ""))
     full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.char_length(x).alias("size"))), lambda s: s["size"] > 0)
-    rows = _keyed(documents).where("_id is not null and _text is not null").select("_id", "_tk", lines.alias("lines")).select("_id", "_tk", full.alias("full"))
-    plain = written(rows.where(F.size("full") > 0).select(F.struct(F.col("_id").alias("id"), F.col("_tk").alias("tk")).alias("key"), F.col("full.at").alias("at"), F.col("full.h").alias("h"), F.col("full.size").alias("size"), F.xxhash64("full.h", "full.size").alias("whole")), "lines")
+    rows = _keyed(documents).where("__vg_id is not null and __vg_text is not null").select("__vg_id", "__vg_tk", lines.alias("lines")).select("__vg_id", "__vg_tk", full.alias("full"))
+    plain = written(rows.where(F.size("full") > 0).select(F.struct(F.col("__vg_id").alias("id"), F.col("__vg_tk").alias("tk")).alias("key"), F.col("full.at").alias("at"), F.col("full.h").alias("h"), F.col("full.size").alias("size"), F.xxhash64("full.h", "full.size").alias("whole")), "lines")
     classes = plain.groupBy("whole", F.size("h").alias("n")).agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     marked = plain.withColumn("n", F.size("h")).join(classes, ["whole", "n"])
     later = marked.where("key <> first and aggregate(size, 0, (a, x) -> a + x) >= " + str(MIN_CHARS)).select("key", F.col("at").alias("gone"))
@@ -136,12 +137,12 @@ def removed_lines(documents: DataFrame) -> DataFrame:
 
 def drop_lines(documents: DataFrame) -> DataFrame:
     """The documents with text less the deleted lines; adds n_lines and n_removed."""
-    gone = removed_lines(documents).select(F.col("doc_id").alias("_of"), F.col("tk").alias("_oftk"), F.col("gone").alias("_gone")).dropDuplicates(["_of", "_oftk"])
-    joined = _keyed(documents).join(gone, (F.col("_id") == F.col("_of")) & (F.col("_tk") == F.col("_oftk")), "left").withColumn("_lines", F.split("_text", "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    counted = joined.withColumn("n_lines", F.coalesce(F.when(F.col("_text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", kept).drop("_id", "_tk", "_text", "_of", "_oftk", "_gone", "_lines")
+    gone = removed_lines(documents).select(F.col("doc_id").alias("__vg_of"), F.col("tk").alias("__vg_oftk"), F.col("gone").alias("__vg_gone")).dropDuplicates(["__vg_of", "__vg_oftk"])
+    joined = _keyed(documents).join(gone, (F.col("__vg_id") == F.col("__vg_of")) & (F.col("__vg_tk") == F.col("__vg_oftk")), "left").withColumn("__vg_lines", F.split("__vg_text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__vg_lines") - 1), F.col("__vg_gone"))
+    kept = F.when(F.col("__vg_gone").isNull(), F.col("__vg_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__vg_lines", i)), "\n"))
+    counted = joined.withColumn("n_lines", F.coalesce(F.when(F.col("__vg_text").isNotNull(), F.size("__vg_lines")), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__vg_gone"), F.lit(0)).cast("long"))
+    return counted.withColumn("text", kept).drop("__vg_id", "__vg_tk", "__vg_text", "__vg_of", "__vg_oftk", "__vg_gone", "__vg_lines")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ BLOCK_CHARS = 4_000_000
 
 _COUNTS = "term long, n long"
 _POSTING = "term long, doc_id long, tk int, positions array<int>"
-_VERDICT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<int>"
+_VERDICT = "doc_id long, tk int, n_words long, n_hit long, items array<string>, spans array<int>"
 
 
 def _members(sorted_terms: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -165,11 +165,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hits.append(int(hit.sum()))
                 items.append(sorted(mine))
                 spans.append(np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "tk", "n_words", "n_hit", "items", "spans"])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans): hit words, item ids with an occurring window, and start and end words of hit runs."""
+    """(doc_id, tk, n_words, n_hit, items, spans): hit words, item ids with an occurring window, and start and end words of hit runs."""
     texts = _texts(documents)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.char_length("text") + 32)).first()[0] or 0
@@ -190,7 +190,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = every.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item", "words", "diag")).alias("found"))
     keyed = found.withColumnRenamed("doc_id", "of_doc").withColumnRenamed("tk", "of_tk")
     joined = texts.join(keyed, texts["doc_id"].eqNullSafe(keyed["of_doc"]) & (texts["tk"] == keyed["of_tk"]), "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(_verify, _VERDICT)
+    return joined.select("doc_id", "tk", "text", "found").mapInArrow(_verify, _VERDICT)
 
 
 def proximity_matches(documents: DataFrame, query: str, slop: int) -> DataFrame:

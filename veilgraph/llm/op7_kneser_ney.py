@@ -11,7 +11,7 @@ documents of that language, widened by MARGIN.
 Rules for odd input: a null or empty text has entropy zero and is rejected; a null language is a
 language of its own; languages with fewer than MIN_TRUSTED trusted documents use the bounds of all;
 without any trusted text everything with text is kept; rows that repeat each get a row; a null
-doc_id is never trusted; other columns ride along.
+doc_id is never trusted; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _score(keys: np.ndarray, values: np.ndarray):
                 part = np.where(keys[at] == grams, values[at], 0) if len(keys) else np.zeros(len(grams), np.int64)
                 total = np.concatenate(([0], np.cumsum(part)))
                 sums = total[offsets[1:]] - total[offsets[:-1]]
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns) if k != text), pa.array(np.diff(offsets)), pa.array(sums)], names=[*(rows.schema.field(k).name for k in range(rows.num_columns) if k != text), "_bytes", "_sum"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns) if k != text), pa.array(np.diff(offsets)), pa.array(sums)], names=[*(rows.schema.field(k).name for k in range(rows.num_columns) if k != text), "n_bytes", "part"])
 
     return run
 
@@ -122,30 +122,31 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents without text, with n_bytes, entropy (micro-nats a byte) and trusted."""
+    """(doc_id, tk, lang, trusted, n_bytes, entropy): micro-nats a byte; tk, a hash of the text, tells rows of one doc_id apart."""
     ids = trusted_ids(labels)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rest = [c for c in documents.columns if c != "text"]
-    flagged = documents.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).join(ids, F.col("doc_id").cast("long") == F.col("trusted_id"), "left").withColumn("_good", F.col("trusted_id").isNotNull()).drop("trusted_id")
-    grams = written(flagged.select("text", "_good").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = ["doc_id", "tk", "lang", "trusted"]
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("tk"), F.col("lang").cast("string").alias("lang"), text.alias("text")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "tk", "lang", F.col("trusted_id").isNotNull().alias("trusted"), "text")
+    grams = written(source.select("text", "trusted").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")
     model = written(_log_probabilities(grams), "model")
-    shards = -(-model.count() // SHARD_GRAMS)
-    source = flagged.select(*rest, "_good", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", _bytes long, _sum long"
+    shards = max(-(-model.count() // SHARD_GRAMS), 1)
     parts = []
-    for k in range(max(shards, 1)):
-        rows = model.where(F.pmod(F.xxhash64("g"), F.lit(max(shards, 1))) == k).toArrow().combine_chunks()  # about SHARD_GRAMS rows
+    for k in range(shards):
+        rows = model.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == k).toArrow().combine_chunks()  # about SHARD_GRAMS rows
         keys, values = rows["g"].to_numpy(), rows["v"].to_numpy()
         order = np.argsort(keys)
-        parts.append(source.mapInArrow(_score(keys[order], values[order]), schema))
+        parts.append(source.mapInArrow(_score(keys[order], values[order]), "doc_id long, tk int, lang string, trusted boolean, n_bytes long, part long"))
     found = parts[0]
-    if len(parts) > 1:
+    if shards > 1:
         every = parts[0]
         for part in parts[1:]:
             every = every.unionAll(part)
-        found = every.groupBy(*rest, "_good", "_bytes").agg((F.sum("_sum") * shards / F.count("*")).cast("long").alias("_sum"), (F.count("*") / shards).cast("int").alias("_n")).withColumn("_each", F.explode(F.sequence(F.lit(1), "_n"))).drop("_each", "_n")
-    entropy = F.when(F.col("_bytes") > 0, F.floor(-F.col("_sum") / F.col("_bytes"))).otherwise(0).cast("long")
-    return found.select(*rest, F.col("_good").alias("trusted"), F.col("_bytes").alias("n_bytes"), entropy.alias("entropy"))
+        # equal rows appear once for each shard; equal documents keep one row each
+        summed = every.groupBy(*rest, "n_bytes").agg((F.sum("part") / (F.count("*") / shards)).cast("long").alias("part"), (F.count("*") / shards).cast("int").alias("copies"))
+        found = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*rest, "n_bytes", "part")
+    entropy = F.when(F.col("n_bytes") > 0, F.floor(-F.col("part") / F.col("n_bytes"))).otherwise(0).cast("long")
+    return found.select(*rest, "n_bytes", entropy.alias("entropy"))
 
 
 def bounds(scored: DataFrame) -> DataFrame:
