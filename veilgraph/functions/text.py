@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the namespace of RFC 4122 URL names.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -24,12 +25,12 @@ def collapse_py(value: str) -> str:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def collapse(values: pd.Series) -> pd.Series:
     return values.map(collapse_py, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(values: pd.Series) -> pd.Series:
     """NFC, white space collapsed, case folded: for comparing."""
     return values.map(lambda x: " ".join(unicodedata.normalize("NFC", x).casefold().split()), na_action="ignore")
