@@ -86,7 +86,7 @@ def recall(labels: DataFrame, levels: DataFrame) -> DataFrame:
 
 def confusion(pairs: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """(gold, one column a role and extra): counts of predicted against gold roles."""
-    return pairs.groupBy(F.coalesce("gold", F.lit("missing")).alias("gold")).pivot("pred", [*roles, "extra"]).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy(F.coalesce("gold", F.lit("missing")).alias("gold")).pivot("pred", [*roles, "extra"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def prf(counts: DataFrame) -> DataFrame:
