@@ -122,7 +122,8 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     shared = holds.groupBy("line").agg(F.count("*").alias("holders"), F.min("key").alias("first")).where("holders > 1")
     held = holds.join(shared, "line")
     common = held.where(f"holders > {RARE} and key > first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    few = held.where(f"holders <= {RARE}").groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most RARE keys
+    # dealt anew after the filter, so that the join before it may split a very common line
+    few = held.where(f"holders <= {RARE}").repartition("line").groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most RARE keys
     rare = few.select("keys", F.posexplode("keys").alias("k", "b")).select(F.explode(F.slice("keys", F.lit(1), F.col("k"))).alias("a"), "b")
     pairs = common.union(rare).distinct()
     firsts = heads.select(F.col("key").alias("a"), F.col("h").alias("ha"))
