@@ -135,7 +135,9 @@ def _alignments(texts: DataFrame, ids: list[str], words: Words) -> DataFrame | N
         hit = index.join(picked(which), "term").select("doc_id", "tk", "item_no", "offset", F.explode("positions").alias("pos"))
         return hit.select("doc_id", "tk", "item_no", (F.col("pos") - F.col("offset")).alias("diag")).distinct()
 
-    both = shifted(firsts).join(shifted(seconds), ["doc_id", "tk", "item_no", "diag"])
+    two = shifted(seconds).toDF("d", "k", "i", "g")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("k")) & (F.col("item_no") == F.col("i")) & (F.col("diag") == F.col("g"))
+    both = shifted(firsts).join(two, same).select("doc_id", "tk", "item_no", "diag")
     names = spark.createDataFrame([(i, ids[i], [int(h) for h in words.hash[words.first[i] : words.first[i + 1]].view(np.int64)]) for i in range(words.rows)], "item_no int, item string, words array<long>")
     return both.join(F.broadcast(names), "item_no").select("doc_id", "tk", "item", "words", "diag")
 
@@ -203,7 +205,7 @@ def proximity_matches(documents: DataFrame, query: str, slop: int) -> DataFrame:
     out = flat.where(F.col("term") == counted[0][1]).select("doc_id", "tk", "position")
     for _, term in counted[1:]:
         other = flat.where(F.col("term") == term).select(F.col("doc_id").alias("d"), F.col("tk").alias("k"), F.col("position").alias("p"))
-        out = out.join(other, (F.col("doc_id") == F.col("d")) & (F.col("tk") == F.col("k")) & (F.abs(F.col("position") - F.col("p")) <= slop), "left_semi")
+        out = out.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("k")) & (F.abs(F.col("position") - F.col("p")) <= slop), "left_semi")
     return out.select("doc_id", "position")
 
 
