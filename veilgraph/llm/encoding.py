@@ -11,22 +11,22 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from veilgraph.llm.textbatch import LOWER, SPACE_WORDS, byte_class, words_of
+from veilgraph.llm.textbatch import LOWER, SPACE_WORDS, byte_class
 
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000  # in each of two generations
 CACHE_UNIT_BYTES = 64
 
 #: piece models: a unit ends before each single blank between two characters that are not blanks
 _BLANK = byte_class((0x20, 0x20))
 
 
-#: ASCII letters, and the bytes of ASCII digits and punctuation except the apostrophe (it joins contractions)
-_LETTER = ~byte_class((0x41, 0x5A), (0x61, 0x7A))
-_MARK = ~byte_class((0x21, 0x26), (0x28, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: 1 for ASCII letters, 2 for ASCII digits and punctuation except the apostrophe (it joins contractions)
+_KIND = (~byte_class((0x41, 0x5A), (0x61, 0x7A))).astype(np.uint8) + 2 * (~byte_class((0x21, 0x26), (0x28, 0x40), (0x5B, 0x60), (0x7B, 0x7E))).astype(np.uint8)
 #: lower-case letters that the file's normaliser leaves alone and its splitter keeps together
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -40,19 +40,21 @@ def units_by_space(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.
     """
     special = b"<|" in data.tobytes()
     data = data if special else LOWER[data]
-    words = words_of(data, offsets, SPACE_WORDS, hashed=False)
-    letter, mark = _LETTER[data], _MARK[data]
-    lead = np.flatnonzero(data[:-1] == 0xC3)
-    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
-    letter[lead] = letter[lead + 1] = True
-    inner = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[inner[: 0 if special else None]] = True
-    edge[offsets] = False  # a text's first unit starts at its first word
-    edge[words.start] = True
-    starts = np.flatnonzero(edge)
     inside = SPACE_WORDS[data]
-    before = np.cumsum(inside) - inside  # word bytes before each byte
+    edge = np.zeros(len(data), dtype=bool)
+    if len(data):
+        texts = offsets[:-1][offsets[:-1] < len(data)]
+        if not special:
+            kind = _KIND[data]
+            lead = np.flatnonzero(data[:-1] == 0xC3)
+            lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+            kind[lead] = kind[lead + 1] = 1
+            edge[1:] = kind[1:] ^ kind[:-1] == 3
+            edge[texts] = False  # a text's first unit starts at its first word
+        edge[1:] |= inside[1:] & ~inside[:-1]
+        edge[texts] |= inside[texts]
+    starts = np.flatnonzero(edge)
+    before = np.cumsum(inside, dtype=np.int32) - inside  # word bytes before each byte
     kept = data[inside]
     bounds = np.concatenate((before[starts], [len(kept)]))
     return _strings(kept, bounds), np.searchsorted(starts, offsets)
@@ -87,7 +89,9 @@ class UnitEncoder:
     """Encodes slices of texts through `encode_many(list of units) -> list of id lists`; ids are below 65536."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], split: Callable) -> None:
-        self.encode_many, self.split, self.cache = encode_many, split, {}
+        self.encode_many, self.split = encode_many, split
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def distinct(self, units: pa.Array) -> tuple[np.ndarray, list[str]]:
         coded = units.dictionary_encode()
@@ -98,13 +102,18 @@ class UnitEncoder:
         units, first = self.split(data, offsets)
         index, names = self.distinct(units)
         have = list(map(self.cache.get, names))
-        missing = [i for i, x in enumerate(have) if x is None]
-        if missing:
+        absent = [i for i, x in enumerate(have) if x is None]
+        if absent:
+            missing = []
+            for i in absent:
+                have[i] = self.older.get(names[i])
+                if have[i] is None:
+                    missing.append(i)
             for i, ids in zip(missing, self.encode_many([names[i] for i in missing]), strict=True):
                 have[i] = array("H", ids).tobytes()
-            if len(self.cache) + len(missing) > CACHE_UNITS:
-                self.cache.clear()
-            self.cache.update((names[i], have[i]) for i in missing if len(names[i]) <= CACHE_UNIT_BYTES)
+            if len(self.cache) + len(absent) > CACHE_UNITS:
+                self.older, self.cache = self.cache, {}
+            self.cache.update((names[i], have[i]) for i in absent if len(names[i]) <= CACHE_UNIT_BYTES)
         sizes = np.fromiter(map(len, have), np.int32, len(have)) // 2
         flat = np.frombuffer(b"".join(have), dtype=np.uint16)
         begins = (np.cumsum(sizes) - sizes).astype(np.int32)
@@ -115,8 +124,9 @@ class UnitEncoder:
         return flat[gather], np.concatenate(([0], ends))[first].astype(np.int64)
 
 
+@lru_cache(maxsize=2)
 def word_bpe(path: str) -> UnitEncoder:
-    """The tokenizers library with a word-end BPE file."""
+    """One for all tasks of a worker process: the tokenizers library with a word-end BPE file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -127,7 +137,7 @@ def word_bpe(path: str) -> UnitEncoder:
 
     def many(units: list[str]) -> list[list[int]]:
         # plain lower-case words skip the library's normaliser and splitter, which leave them as they are
-        out: list = [[x.id for x in merge(u.translate(latin))] if _PLAIN.fullmatch(u) else None for u in units]
+        out: list = [[x.id for x in merge(u if u.isascii() else u.translate(latin))] if _PLAIN.fullmatch(u) else None for u in units]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, found in zip(rest, model.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = found.ids
@@ -143,8 +153,9 @@ def _byte_marks() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
 def piece_bpe(path: str) -> UnitEncoder:
-    """The sentencepiece library with a BPE model whose pieces hold the blank mark only at their start."""
+    """One for all tasks of a worker process: the sentencepiece library with a BPE model whose pieces hold the blank mark only at their start."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

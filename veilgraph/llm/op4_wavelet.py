@@ -24,7 +24,7 @@ from veilgraph.llm.wavelet import WaveletMatrix, pack, unpack
 END_ID = 1
 PLANES = 16
 SHARD_TOKENS = 1 << 20
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 _ROW = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 

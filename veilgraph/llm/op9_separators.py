@@ -7,7 +7,7 @@ then gives each block its first document number and the tokens carried in from b
 document that spans blocks or whole files gets its full length.
 
 Rules for odd input: a null text is an empty document with no tokens of its own; rows of one
-doc_id each count, in order of doc_id (null first); an empty table gives no rows.
+doc_id, or of none, each count, in the order of documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,9 +44,8 @@ def _encode(path: str):
 
 
 def write_flat(documents: DataFrame, tokenizer: str, path: str) -> None:
-    """Flat token files in ascending doc_id order, by Spark's own writer: each row's bytes, then END."""
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ids = ordered.select("text").mapInArrow(_encode(tokenizer), "ids binary")
+    """Flat token files in the order of documents, by Spark's own writer: each row's bytes, then END.  A narrow map: no text moves between tasks."""
+    ids = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_encode(tokenizer), "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
@@ -66,7 +65,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan_flat(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_no, start, n_tokens) of every document in the files; n_tokens counts the END."""
+    """(doc_no, start, n_tokens, part) of every document in the files; n_tokens counts the END, part is the writing partition of the END's file."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 0).alias("file"), "content")
     blocks = cut(files.mapInArrow(_scan, _BLOCK)).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).withColumn("seq", F.regexp_extract("file", r"-c(\d+)", 1).cast("int"))
     # within files, then over files: two rounds of a prefix scan with one small row a block or file
@@ -75,9 +74,9 @@ def scan_flat(spark: SparkSession, path: str) -> DataFrame:
     totals = blocks.groupBy("part", "seq").agg(F.sum("size").alias("size"), F.sum("ends").alias("ends"), F.max(F.col("block").cast("long") * BLOCK_TOKENS + F.col("last_end")).alias("last_end"))
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     based = totals.withColumn("tb", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("db", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("eb", F.max(F.col("tb") + F.col("last_end")).over(before)).select("part", "seq", "tb", "db", "eb")
-    placed = within.join(based, ["part", "seq"]).where("ends > 0").select((F.col("tb") + F.col("t0")).alias("base"), (F.col("db") + F.col("d0")).alias("doc0"), F.coalesce(F.col("tb") + F.col("e0"), "eb", F.lit(-1)).alias("prior_end"), "first_end", "inner")
+    placed = within.join(based, ["part", "seq"]).where("ends > 0").select((F.col("tb") + F.col("t0")).alias("base"), (F.col("db") + F.col("d0")).alias("doc0"), F.coalesce(F.col("tb") + F.col("e0"), "eb", F.lit(-1)).alias("prior_end"), "first_end", "inner", F.col("part").cast("long").alias("part"))
     # the first document of a block starts after the last END anywhere before it
-    return placed.mapInArrow(_spread, "doc_no long, start long, n_tokens long")
+    return placed.mapInArrow(_spread, "doc_no long, start long, n_tokens long, part long")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,21 +85,34 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, doc0, prior, first = (batch.column(c)[k].as_py() for c in range(4))
             sizes = np.concatenate(([base + first - prior], np.asarray(batch.column(4)[k].values))).astype(np.int64)
             starts = prior + 1 + np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays([pa.array(doc0 + np.arange(len(sizes))), pa.array(starts), pa.array(sizes)], names=["doc_no", "start", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc0 + np.arange(len(sizes))), pa.array(starts), pa.array(sizes), pa.array(np.full(len(sizes), batch.column(5)[k].as_py()))], names=["doc_no", "start", "n_tokens", "part"])
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """(doc_id, doc_no): each row's place in ascending doc_id order, by counts of range partitions."""
-    placed = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("at", F.monotonically_increasing_id()))
+    """(doc_id, doc_no): each row's place in the order of documents, by counts of its partitions."""
+    placed = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("at", F.monotonically_increasing_id()))
     part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    bases = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return placed.withColumn("part", part).join(bases, "part").select("doc_id", (F.col("base") + inside).alias("doc_no"))
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one small row a partition
+    return placed.withColumn("part", part).join(bases, "part").select("doc_id", (F.col("base") + inside).alias("doc_no"), "part")
+
+
+def token_counts(documents: DataFrame, tokenizer: str, path: str) -> DataFrame:
+    """(doc_id, doc_no, start, n_tokens): writes the files, scans them, and names what was found.
+
+    The files hold no ids.  Each partition of documents writes its own files, so the rows of a
+    partition must be as many as the ENDs in its files; anything else is an error, never a wrong name.
+    """
+    write_flat(documents, tokenizer, path)
+    found, names = cut(scan_flat(documents.sparkSession, path)), numbered(documents)
+    ends, rows = found.groupBy("part").agg(F.count("*").alias("n")), names.groupBy("part").agg(F.count("*").alias("m"))
+    if ends.join(rows, "part", "full").where("not n <=> m").limit(1).count():
+        raise RuntimeError("the documents were not read in the order they were written")
+    return found.drop("part").join(names.drop("part"), "doc_no").select("doc_id", "doc_no", "start", "n_tokens")
 
 
 def op9_separators(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
     documents, path = table(spark, sf_dir, "documents"), work_path(spark, "flat-tokens")
-    write_flat(documents, tokenizer or public_tokenizers.path("piece_bpe_32k.model"), path)
-    return scan_flat(spark, path).join(numbered(documents), "doc_no").select("doc_id", "doc_no", "start", "n_tokens")
+    return token_counts(documents, tokenizer or public_tokenizers.path("piece_bpe_32k.model"), path)
