@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from veilgraph import model as m
 from veilgraph.functions import facts as ff
 from veilgraph.functions import keys, text
-from veilgraph.metrics import cost, matching, ratios
-from veilgraph.operators import audit, graph, masking, vector
+from veilgraph.metrics import checks, cost, matching, ratios
+from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import Context, dropped_level, readable, secure, user_context
-from veilgraph.sources import ingest, scan
+from veilgraph.sources import ingest, scan, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -580,3 +580,132 @@ def hybrid_context(spark: SparkSession, d: str) -> DataFrame:
     n = F.char_length("entity_id")
     entity_hits = secure(_ent(spark, d), _ctx(), "hyperedges").where(n % 3 == 0).select("entity_id", ((n % 10).cast("double") / 10).alias("score"))
     return vector.hybrid_context(entity_hits, _roots(spark, d).withColumn("score", F.lit(0.5)), edges, 40)
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS pos, i * 3 AS id, length(d.text) AS n_chars FROM range(0, 200) t(i) LEFT JOIN (SELECT * FROM docs WHERE filter_key IN (SELECT filter_key FROM policy WHERE role = '{ROLE}' AND level = 'L2')) d ON d.doc_id = i * 3")
+def read_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.range(200).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("id"))
+    rows = m.documents(spark, d).select(F.col("doc_id").alias("id"), "filter_key", F.char_length("text").cast("long").alias("n_chars"))
+    return lookup.get_by_ids(ids, rows, _ctx(), "chunks", "n_chars")
+
+
+@query("SELECT p.p_name AS id, e.filter_key, CASE WHEN e.entity_id IS NULL THEN 'ABSENT' WHEN e.filter_key IS NULL THEN 'NONE' ELSE 'KEY' END AS key_state FROM (SELECT DISTINCT p_name FROM part UNION SELECT 'order-' || o_orderkey FROM orders) p LEFT JOIN ent e ON e.entity_id = p.p_name")
+def keys_by_id(spark: SparkSession, d: str) -> DataFrame:
+    ids = m.table(spark, d, "part").select(F.col("p_name").alias("id")).union(m.table(spark, d, "orders").select(F.concat(F.lit("order-"), "o_orderkey")))
+    return lookup.keys_by_id(ids, _ent(spark, d).withColumnRenamed("entity_id", "id"))
+
+
+_STORED = "(SELECT he_id AS id, CASE WHEN min(split_part(filter_key, ':', 1)) = max(split_part(filter_key, ':', 1)) THEN arg_max(filter_key, rank) END AS filter_key FROM keyedc WHERE doc_no < 120 GROUP BY he_id)"
+
+
+@query(f", st AS {_STORED}, inn AS (SELECT DISTINCT he_id AS id, filter_key FROM coarse WHERE doc_no >= 120), mg AS (SELECT id, CASE WHEN count(filter_key) = count(*) AND min(split_part(filter_key, ':', 1)) = max(split_part(filter_key, ':', 1)) THEN arg_max(filter_key, rank) END AS now FROM (SELECT a.*, r.rank FROM (SELECT * FROM st UNION ALL SELECT * FROM inn) a LEFT JOIN ranks r ON r.ctype = split_part(a.filter_key, ':', 2)) WHERE id IN (SELECT id FROM inn) GROUP BY id) SELECT mg.id, mg.now AS filter_key FROM mg LEFT JOIN st USING (id) WHERE st.id IS NULL OR mg.now IS DISTINCT FROM st.filter_key")
+def needs_write(spark: SparkSession, d: str) -> DataFrame:
+    rows = _coarse(spark, d).withColumnRenamed("he_id", "id")
+    return lookup.needs_write(rows.where("doc_no >= 120").select("id", "filter_key").distinct(), keys.merge_by(rows.where("doc_no < 120"), "id"))
+
+
+_ANCHORS = "(SELECT DISTINCT CAST(p_partkey % 20 AS BIGINT) AS anchor_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, 6) END AS anchor FROM part WHERE p_partkey < 20)"
+
+
+@query(f", an AS {_ANCHORS}, su AS (SELECT DISTINCT he_id, subject FROM coarse), ex AS (SELECT anchor_id, he_id FROM an JOIN su ON anchor = subject) SELECT * FROM ex UNION SELECT anchor_id, he_id FROM an JOIN su ON contains(subject, anchor) WHERE anchor_id NOT IN (SELECT anchor_id FROM ex)")
+def anchor_lookup(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    anchors = m.table(spark, d, "part").where("p_partkey < 20").select((k % 20).alias("anchor_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.substring("p_name", 1, 6)).alias("anchor")).distinct()
+    return lookup.by_anchor(anchors, _coarse(spark, d).select("he_id", "subject").distinct())
+
+
+_ROWS = "(SELECT o_custkey AS request, 'he-' || o_orderkey AS he_id, 'm' AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders)"
+
+
+@query(f", r AS {_ROWS}, g AS (SELECT request, he_id, 'open' AS text, rank FROM r WHERE rank % 3 = 1), e AS (SELECT *, 0 AS side FROM r WHERE rank % 3 <> 1 UNION ALL SELECT *, 1 FROM g) SELECT request, he_id, text, row_number() OVER (PARTITION BY request ORDER BY side, rank, he_id) AS rank FROM e")
+def grant_expand(spark: SparkSession, d: str) -> DataFrame:
+    rows = _requests(spark, d)
+    return lookup.expand_by_grants(rows, rows.where("rank % 3 = 1").withColumn("text", F.lit("open"))).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return m.table(spark, d, "orders").select(F.col("o_custkey").alias("request"), F.concat(F.lit("he-"), "o_orderkey").alias("he_id"), F.lit("m").alias("text"), place.alias("rank"))
+
+
+@query(f", r AS {_ROWS}, w AS (SELECT request, he_id FROM r WHERE rank = 2 AND request % 2 = 0), h AS (SELECT r.request, r.he_id FROM r JOIN w USING (request, he_id)) SELECT * FROM h UNION ALL SELECT request, he_id FROM r WHERE request NOT IN (SELECT request FROM h)")
+def citation_narrow(spark: SparkSession, d: str) -> DataFrame:
+    rows = _requests(spark, d).select("request", "he_id", "rank")
+    own = rows.where("rank = 2 and request % 2 = 0")
+    return lookup.narrow(rows.select("request", "he_id"), own, own.limit(0))
+
+
+@query(f"SELECT request, string_agg(he_id || ',' || rank, chr(10) ORDER BY rank) AS block FROM {_ROWS} GROUP BY request")
+def context_csv(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.context_csv(_requests(spark, d), "he_id", "rank")
+
+
+@query("SELECT 'u' || c_custkey AS account, CASE WHEN c_custkey % 3 = 0 THEN 'seed' ELSE c_mktsegment END AS role FROM customer")
+def account_sync(spark: SparkSession, d: str) -> DataFrame:
+    stored = m.table(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("account"), F.col("c_mktsegment").alias("role"), "c_custkey")
+    return store.sync_accounts(stored.select("account", "role"), stored.where("c_custkey % 3 = 0").select("account", F.lit("seed").alias("role")))
+
+
+@query("SELECT 'doc-' || o_orderkey AS doc_key, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS code, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice, 2) END AS cost FROM orders ORDER BY o_orderdate DESC, doc_key LIMIT 20")
+def batch_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = m.table(spark, d, "orders").withColumn("doc_key", F.concat(F.lit("doc-"), "o_orderkey"))
+    runs = rows.select("doc_key", F.col("o_orderdate").alias("started"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), F.col("o_orderpriority").alias("code"), F.lit("r").alias("reason"))
+    costs = rows.where("o_orderkey % 2 = 0").select("doc_key", F.round("o_totalprice", 2).alias("cost"))
+    return store.batch_status(runs, costs, 20).select("doc_key", "code", "cost")
+
+
+@query("SELECT he_id, string_agg(slot || '=' || vs, ';' ORDER BY slot) AS slots FROM (SELECT he_id, slot, string_agg(entity_id, ',' ORDER BY entity_id) AS vs FROM incd GROUP BY he_id, slot) GROUP BY he_id")
+def graph_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.snapshot(_incd(spark, d))
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("slots")), lambda x: F.concat_ws("=", x["key"], F.array_join(x["value"], ","))), ";")
+    return rows.select("he_id", flat.alias("slots"))
+
+
+@query(f"SELECT substr(sha256('{SALT}' || chr(0) || 'hyperedge' || chr(0) || he_id), 1, 16) AS he_alias, slot, substr(sha256('{SALT}' || chr(0) || 'entity' || chr(0) || entity_id), 1, 16) AS entity_alias FROM incd")
+def snapshot_redact(spark: SparkSession, d: str) -> DataFrame:
+    alias = lambda kind, c: text.pseudonym(SALT, F.lit(kind), F.col(c))
+    return _incd(spark, d).select(alias("hyperedge", "he_id").alias("he_alias"), "slot", alias("entity", "entity_id").alias("entity_alias"))
+
+
+@query("SELECT substr(md5(p_name), 1, 1) AS alias, count(DISTINCT p_name) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
+def alias_clashes(spark: SparkSession, d: str) -> DataFrame:
+    return checks.alias_clashes(m.table(spark, d, "part").select(F.col("p_name").alias("value"), F.substring(F.md5("p_name"), 1, 1).alias("alias")))
+
+
+_PARSED = "(SELECT l_orderkey % 50 AS chunk, CASE WHEN l_linenumber = 7 THEN 'NOT_JSON' END AS broken, CASE WHEN l_linenumber = 6 THEN 'NO_SUBJECT' END AS code, CASE WHEN l_linenumber < 6 THEN 'r' || (l_partkey % 40) END AS raw_id, CASE WHEN l_linenumber < 6 THEN 'h' || (l_partkey % 30) END AS he_id FROM lineitem)"
+
+
+@query(f", c AS (SELECT chunk, max(CASE WHEN broken IS NOT NULL THEN 1 ELSE 0 END) AS bad, count(*) FILTER (broken IS NULL) AS raw, count(*) FILTER (he_id IS NOT NULL) AS valid, count(DISTINCT raw_id) AS b, count(DISTINCT he_id) AS a FROM {_PARSED} GROUP BY chunk) SELECT count(*) AS chunks, CAST(sum(bad) AS BIGINT) AS broken, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(valid) AS BIGINT) AS valid, CAST(sum(valid - b) AS BIGINT) AS repeated, CAST(sum(b - a) AS BIGINT) AS merged_by_alias, round((sum(raw) - sum(valid)) / nullif(sum(raw), 0), 4) AS reject_ratio FROM c")
+def extraction_stats(spark: SparkSession, d: str) -> DataFrame:
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    parsed = m.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("chunk"), F.when(n == 7, "NOT_JSON").alias("broken"), F.when(n == 6, "NO_SUBJECT").alias("code"), F.when(n < 6, F.concat(F.lit("r"), p % 40)).alias("raw_id"), F.when(n < 6, F.concat(F.lit("h"), p % 30)).alias("he_id"))
+    return checks.extraction_stats(parsed)
+
+
+@query(f", qs AS (SELECT 'q' || (item_id % 37) AS question, 'N' || (item_id % 7 + 1) AS grp FROM benchmark), lb AS (SELECT 'q' || (item_id % 50) AS question, CASE WHEN item_id % 9 = 0 THEN 'he-none' ELSE (SELECT min(he_id) FROM he) END AS he_id FROM benchmark WHERE item_id % 4 <> 1), sz AS (SELECT 'N' || i AS grp, 6 AS size FROM range(1, 8) t(i)) SELECT 'DUPLICATE' AS check, question AS item FROM qs GROUP BY question HAVING count(*) > 1 UNION ALL SELECT 'NO_QUESTION', question FROM (SELECT DISTINCT question FROM lb) WHERE question NOT IN (SELECT question FROM qs) UNION ALL SELECT 'NO_LABEL', question FROM qs WHERE question NOT IN (SELECT question FROM lb) UNION ALL SELECT 'GONE', he_id FROM lb WHERE he_id = 'he-none' UNION ALL SELECT 'GROUP_SIZE', coalesce(a.grp, sz.grp) FROM (SELECT grp, count(*) AS n FROM qs GROUP BY grp) a FULL JOIN sz ON sz.grp = a.grp WHERE a.n IS DISTINCT FROM sz.size")
+def label_integrity(spark: SparkSession, d: str) -> DataFrame:
+    bench, k = m.table(spark, d, "benchmark"), F.col("item_id")
+    one = _coarse(spark, d).select(F.min("he_id").alias("he_id"))
+    questions = bench.select(F.concat(F.lit("q"), k % 37).alias("question"), F.concat(F.lit("N"), k % 7 + 1).alias("grp"))
+    labels = bench.where(k % 4 != 1).select(F.concat(F.lit("q"), k % 50).alias("question"), F.when(k % 9 == 0, "he-none").otherwise(F.lit(one.first()["he_id"])).alias("he_id"))
+    sizes = spark.range(1, 8).select(F.concat(F.lit("N"), "id").alias("grp"), F.lit(6).cast("long").alias("size"))
+    return checks.label_violations(questions, labels, one, sizes)
+
+
+@query("SELECT entity_id, len(list_filter(string_split(string_agg(slot || ' ', '<SEP>' ORDER BY he_id, slot) || '<SEP> ', '<SEP>'), lambda x: trim(x) <> '')) AS n_fragments FROM incd GROUP BY entity_id")
+def description_fragments(spark: SparkSession, d: str) -> DataFrame:
+    joined = _incd(spark, d).groupBy("entity_id").agg(F.concat(F.array_join(F.collect_list(F.concat("slot", F.lit(" "))), "<SEP>"), F.lit("<SEP> ")).alias("description"))
+    return checks.fragments(joined)
+
+
+@query(", e AS (SELECT he_id, count(DISTINCT slot) AS roles, count(*) > count(DISTINCT entity_id) AS rep FROM incd GROUP BY he_id) SELECT count(*) AS n, round(count(*) FILTER (roles = 2) / count(*), 4) AS pair_ratio, round(count(*) FILTER (rep) / count(*), 4) AS repeated_ratio, (SELECT roles FROM e GROUP BY roles ORDER BY count(*) DESC, roles LIMIT 1) AS modal_roles FROM e")
+def extractor_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return checks.fingerprint(_incd(spark, d))
+
+
+@query(", r AS (SELECT model, ts, event_id, tokens / nullif(tokens + event_id % 100 + 1, 0) AS r FROM ev) SELECT model, round(arg_max(r, {'a': ts, 'b': event_id}), 4) AS latest, round(min(r), 4) AS low, round(max(r), 4) AS high FROM r GROUP BY model")
+def token_ratio(spark: SparkSession, d: str) -> DataFrame:
+    rows = m.audit_events(spark, d).select("model", F.col("ts").alias("day"), F.col("event_id").alias("run"), (F.col("tokens") + F.col("event_id") % 100 + 1).alias("tokens_in"), F.col("tokens").alias("tokens_out"))
+    return checks.token_ratio(rows)
