@@ -37,7 +37,7 @@ from veilgraph.llm.textbatch import mix, slices
 SAMPLES = 2
 ALPHA = 0.5
 SEED = 20_260
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Nodes of a path whose untaken children get a bound each; those of all later nodes share one.
 NEAR = 16
 
