@@ -202,7 +202,7 @@ def test_cost(spark):
 def test_stream_counts(spark, small, tmp_path):
     source = str(tmp_path / "in")
     m.table(spark, small, "events").repartition(3).write.parquet(source)
-    stream.run_once(stream.windowed_counts(stream.deduplicated(stream.read_events(spark, source, 1)), "1 day", "90 days").select("start", "event_type", "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    stream.run_once(stream.windowed_counts(stream.deduplicated(stream.read_events(spark, source, 1), "90 days"), "1 day", None).select("start", "event_type", "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
     batch = m.table(spark, small, "events").groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("n"))
     done = spark.read.parquet(str(tmp_path / "out"))
     assert done.exceptAll(batch).count() == 0
