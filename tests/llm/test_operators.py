@@ -82,6 +82,51 @@ def test_lines(odd, spark, small):
     assert op1.drop_lines(odd.limit(0)).count() == 0
 
 
+def all_pairs_lines(docs):
+    """brute_lines with every earlier first document as a partner."""
+    split = [[x.strip() for x in (t or "").split("\n")] for _, t in docs]
+    full = [[k for k, x in enumerate(s) if x] for s in split]
+    text = [[s[k] for k in f] for s, f in zip(split, full, strict=True)]
+    classes, heads, gone = {}, [], defaultdict(set)
+    for i, s in enumerate(text):
+        if not s or docs[i][0] is None or docs[i][1] is None:
+            continue
+        if tuple(s) not in classes:
+            classes[tuple(s)] = i
+            for a in heads:
+                gone[i] |= set(op1.common_lines(text[a], s, [len(x) for x in s]))
+            heads.append(i)
+        elif docs[i] != docs[classes[tuple(s)]] and sum(map(len, s)) >= op1.MIN_CHARS:
+            gone[i] = set(range(len(s)))
+    return [(d, len(gone[i]), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {full[i][g] for g in gone[i]})) for i, (d, t) in enumerate(docs)]
+
+
+def test_lines_of_all_pairs(odd, spark, small):
+    short = [f"shared short line {k}" for k in range(3)]  # 57 characters together
+    lone = "one line that is much longer than forty characters by itself"
+    # the short lines have three different first holders; the long line comes twice in its first holders
+    blocks = [(k, f"own {k}\n{short[k]}\nend {k}") for k in range(3)] + [(3 + k, "\n".join([f"own {3 + k}", *short, f"end {3 + k}"])) for k in range(30)]
+    twice = [(k, "\n".join([f"p {k}", lone, f"q {k}", lone, f"r {k}"])) for k in range(12)] + [(12 + k, "\n".join([f"p {12 + k}", lone, f"r {12 + k}"])) for k in range(30)]
+    for n, rows in ((87, blocks), (29, twice)):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        found = rows_of(op1.drop_lines(frame), "doc_id", "n_removed", "text")
+        assert found == sorted(all_pairs_lines(rows), key=repr) and sum(r[1] for r in found) == n
+    for frame in both(odd, spark, small):
+        docs = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.hash("text").alias("h")).orderBy("doc_id", "h").collect()]
+        assert rows_of(op1.drop_lines(frame), "doc_id", "n_removed", "text") == sorted(all_pairs_lines(docs), key=repr)
+
+
+def test_shortest_runs_cover_every_block():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sizes = rng.integers(1, 50, rng.integers(0, 12)).tolist()
+        runs = op1.shortest_runs(sizes)
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):
+                if sum(sizes[i:j]) >= op1.MIN_CHARS:
+                    assert {x for p, q in runs if i <= p and q <= j for x in range(p, q)} == set(range(i, j))
+
+
 def test_patience():
     assert op1.align([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert op1.align([], [1]) == [] and op1.align([1, 1], [1, 1]) == [(0, 0), (1, 1)]

@@ -2,11 +2,13 @@
 
 A line is its text without outer white space; blank lines never match and always stay.  Documents
 with equal line sequences are one class: its first document is aligned for all, the later ones lose
-every line.  Between classes, overlap is found through shared lines: a rare line (held by at most
-RARE documents) pairs each holder with all earlier holders, a commoner one pairs it with the first
-holder, so pairs grow with lines, not with the square of a group.  Each pair is aligned by patience
-diff; runs of aligned lines of at least MIN_CHARS characters are deleted from the later document.
-Everything is judged on the input texts.
+every line.  Each first document is aligned by patience
+diff with earlier ones; runs of aligned lines of at least MIN_CHARS characters are deleted from the
+later document.  The result is that of all pairs, without all pairs: such a block holds a shortest
+run of consecutive lines that reaches MIN_CHARS, so a document is paired with the first holder of
+each of its runs.  Where an alignment leaves a line of a shared run standing, the next RARE holders
+of that run are tried, then RARE times as many, until nothing stands or every earlier holder was
+tried.  Everything is judged on the input texts.
 
 Rules for odd input: a null text stays null and has no lines; a null doc_id is kept whole; rows of
 one doc_id with different texts are kept apart and ordered by a hash of the text, equal rows are
@@ -21,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.llm.shared import table, written
@@ -103,6 +105,41 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "tk", "gone"])
 
 
+def shortest_runs(sizes: list[int], least: int = MIN_CHARS) -> list[tuple[int, int]]:
+    """Bounds (from, to) of the shortest runs that reach `least`, from each line on and up to each line."""
+    out, size, end = set(), 0, 0
+    for k in range(len(sizes)):
+        while end < len(sizes) and size < least:
+            size, end = size + sizes[end], end + 1
+        if size < least:
+            break
+        out.add((k, end))
+        size -= sizes[k]
+    size, begin = 0, len(sizes)
+    for k in range(len(sizes), 0, -1):
+        while begin and size < least:
+            begin -= 1
+            size += sizes[begin]
+        if size < least:
+            break
+        out.add((begin, k))
+        size -= sizes[k - 1]
+    return sorted(out)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, runs, begins, ends = [], [], [], []
+        for k in range(len(batch)):
+            h = batch.column(1)[k].as_py()
+            for p, q in shortest_runs(batch.column(2)[k].as_py()):
+                rows.append(k)
+                runs.append(hash(tuple(h[p:q])))  # of whole numbers: alike in every process
+                begins.append(p)
+                ends.append(q)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(runs, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["key", "run", "p", "q"])
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return documents.withColumn("__vg_id", F.col("doc_id").cast("long")).withColumn("__vg_tk", F.hash(text)).withColumn("__vg_text", text)
@@ -118,21 +155,42 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     marked = plain.withColumn("n", F.size("h")).join(classes, ["whole", "n"])
     later = marked.where("key <> first and aggregate(size, 0, (a, x) -> a + x) >= " + str(MIN_CHARS)).select("key", F.col("at").alias("gone"))
     heads = written(marked.where("key = first").select("key", "at", "h", "size"), "line-heads")
-    holds = heads.select("key", F.explode(F.array_distinct("h")).alias("line"))
-    shared = holds.groupBy("line").agg(F.count("*").alias("holders"), F.min("key").alias("first")).where("holders > 1")
-    held = holds.join(shared, "line")
-    common = held.where(f"holders > {RARE} and key > first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    # dealt anew after the filter, so that the join before it may split a very common line
-    few = held.where(f"holders <= {RARE}").repartition("line").groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most RARE keys
-    rare = few.select("keys", F.posexplode("keys").alias("k", "b")).select(F.explode(F.slice("keys", F.lit(1), F.col("k"))).alias("a"), "b")
-    pairs = common.union(rare).distinct()
+    runs = written(heads.select("key", "h", "size").mapInArrow(_runs, "key struct<id: long, tk: int>, run long, p int, q int"), "line-runs")
+    shared = runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    held = written(runs.join(shared, "run").select("run", "key", "p", "q", "first"), "held-runs")
     firsts = heads.select(F.col("key").alias("a"), F.col("h").alias("ha"))
     seconds = heads.select(F.col("key").alias("b"), F.col("h").alias("hb"), F.col("size").alias("sb"))
-    both = pairs.join(firsts, "a").join(seconds, "b").select(F.col("b.id").alias("doc_id"), F.col("b.tk").alias("tk"), "ha", "hb", "sb")
-    found = both.mapInArrow(_aligned, "doc_id long, tk int, gone array<int>").where(F.size("gone") > 0)
-    merged = found.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("part"))  # at most its own lines times its partners
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(firsts, "a").join(seconds, "b").select(F.col("b.id").alias("doc_id"), F.col("b.tk").alias("tk"), "ha", "hb", "sb")
+        return written(both.mapInArrow(_aligned, "doc_id long, tk int, gone array<int>").where(F.size("gone") > 0), "aligned")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("part"))  # at most its own lines times its partners
+
+    def standing(runs: DataFrame, found: DataFrame) -> DataFrame:
+        """Of the runs of later holders, those with a line that no alignment deleted."""
+        part = merged(found).select(F.struct(F.col("doc_id").alias("id"), "tk").alias("of"), "part")
+        joined = runs.join(part, runs["key"] == part["of"], "left")
+        return joined.where(F.col("part").isNull() | (F.size(F.array_except(F.sequence("p", F.col("q") - 1), "part")) > 0)).drop("of", "part")
+
+    found = aligned(held.where("key > first").select(F.col("first").alias("a"), F.col("key").alias("b")))
+    open_runs = written(standing(held.where("key > first").drop("first"), found), "open-runs")
+    # every earlier holder of a run by its number; only of runs that are open after their first holder
+    numbered_holders = held.join(open_runs.select("run").distinct(), "run", "left_semi").select("run", "key").distinct().withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("key")) - 1)
+    holders = written(numbered_holders, "run-holders")
+    open_runs = open_runs.join(holders, ["run", "key"])
+    begin, end = 1, 1 + RARE
+    while True:
+        open_runs = written(open_runs.where(f"n > {begin}"), "open-runs")
+        if open_runs.isEmpty():
+            break
+        earlier = holders.where(f"n >= {begin} and n < {end}").select("run", F.col("key").alias("a"), F.col("n").alias("m"))
+        found = found.union(aligned(open_runs.join(earlier, "run").where("m < n").select("a", F.col("key").alias("b"))))
+        open_runs, begin, end = standing(open_runs, found), end, end * RARE
+    merged_lines = merged(found)
     at = heads.select(F.col("key.id").alias("doc_id"), F.col("key.tk").alias("tk"), "at")
-    numbered = merged.join(at, ["doc_id", "tk"]).select("doc_id", "tk", F.transform("part", lambda k: F.get("at", k)).alias("gone"))
+    numbered = merged_lines.join(at, ["doc_id", "tk"]).select("doc_id", "tk", F.transform("part", lambda k: F.get("at", k)).alias("gone"))
     return numbered.union(later.select("key.id", "key.tk", "gone"))
 
 
