@@ -15,7 +15,7 @@ from veilgraph.llm.op1_line_dedup import drop_lines
 from veilgraph.llm.op3_sentencepiece import sample_encode
 from veilgraph.llm.op6_decontaminate import decontaminate
 from veilgraph.llm.op7_kneser_ney import classify
-from veilgraph.llm.op10_simhash import near_duplicates
+from veilgraph.llm.op10_simhash import later_copies
 from veilgraph.llm.shared import table, written
 
 
@@ -37,9 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays; rows without doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__vg_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__vg_id"), "left_anti")
+    """Of each group of linked fingerprints the row of the smallest doc_id and text hash stays, rows without doc_id last."""
+    key, tk = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    gone = later_copies(docs).select(F.col("doc_id").alias("__vg_id"), F.col("tk").alias("__vg_tk"))
+    left = docs.join(gone, key.eqNullSafe(F.col("__vg_id")) & (tk == F.col("__vg_tk")), "left_anti")
+    again = written(docs.groupBy(key.alias("__vg_id"), tk.alias("__vg_tk")).count().where("count > 1").drop("count"), "repeated-rows")
+    if again.isEmpty():
+        return left
+    # rows equal in doc_id and text: one of them stays
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__vg_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__vg_tk"))
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,13 @@ def test_odd_rows_pass_every_stage(spark, odd, small):
             found = stage(spark, docs, small)
             assert name == "encode" or found.columns == docs.columns
             found.count()
+
+
+def test_near_copies_of_repeated_and_missing_ids(spark, small):
+    words = [f"w{i}" for i in range(400)]
+    one, two, three = " ".join(words[:120]), " ".join(words[150:280]), " ".join(words[300:])
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three.upper()), (3, three), (None, one), (None, " ".join(words[100:200])), (None, " ".join(words[100:200]).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, small)
+    kept = [(r["doc_id"], r["text"].lower()) for r in found.collect()]
+    assert sorted(kept, key=repr) == sorted([(1, one), (2, two), (3, three), (None, " ".join(words[100:200]))], key=repr)

@@ -58,12 +58,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
                 wins = (2 * ones > counts[full][:, None]).astype(np.uint8)
                 prints[full] = np.packbits(wins, axis=1, bitorder="little").view("<u8").ravel()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "tk", "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp): majority bits over XXH64 of lower-cased word shingles."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, tk, fp): majority bits over XXH64 of lower-cased word shingles; tk, a hash of the text, tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, tk long, fp long")
 
 
 def _cells(prints: DataFrame) -> DataFrame:
@@ -156,6 +157,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return joined.union(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long")))
 
 
+def later_copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, tk) of all rows but the smallest (doc_id, tk), null ids last, of each component of linked fingerprints."""
+    prints = cut(fingerprints(documents))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk")).alias("least")
+    classes = cut(prints.groupBy("fp").agg(least).withColumn("rep", F.col("fp")))
+    parts = connected_components(links(classes.select("rep", "fp")), "a", "b")
+    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(F.col("fp").alias("of_fp"), "least", F.coalesce("component", "rep").alias("component"))
+    stays = named.join(named.groupBy("component").agg(F.min("least").alias("stays")), "component").select("of_fp", "stays")
+    joined = prints.join(stays, F.col("fp") == F.col("of_fp"))
+    return joined.where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tk") == F.col("stays.tk")))).select("doc_id", "tk").distinct()
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
