@@ -48,6 +48,7 @@ def both(odd, spark, small):
 
 
 def brute_lines(docs):
+    """Every first document of a line sequence against every earlier one."""
     split = [[x.strip() for x in (t or "").split("\n")] for _, t in docs]
     full = [[k for k, x in enumerate(s) if x] for s in split]
     text = [[s[k] for k in f] for s, f in zip(split, full, strict=True)]
@@ -55,21 +56,13 @@ def brute_lines(docs):
     for i, s in enumerate(text):
         if not s or docs[i][0] is None or docs[i][1] is None:
             continue
-        if tuple(s) in classes:
-            if docs[i] != docs[classes[tuple(s)]] and sum(map(len, s)) >= op1.MIN_CHARS:
-                gone[i] = set(range(len(s)))
-        else:
+        if tuple(s) not in classes:
             classes[tuple(s)] = i
+            for a in heads:
+                gone[i] |= set(op1.common_lines(text[a], s, [len(x) for x in s]))
             heads.append(i)
-    holders = defaultdict(list)
-    for i in heads:
-        for x in dict.fromkeys(text[i]):
-            holders[x].append(i)
-    pairs = set()
-    for h in holders.values():
-        pairs |= {(a, b) for n, b in enumerate(h) for a in (h[:n] if len(h) <= op1.RARE else h[:1]) if a != b}
-    for a, b in pairs:
-        gone[b] |= set(op1.common_lines(text[a], text[b], [len(x) for x in text[b]]))
+        elif docs[i] != docs[classes[tuple(s)]] and sum(map(len, s)) >= op1.MIN_CHARS:
+            gone[i] = set(range(len(s)))
     return [(d, len(gone[i]), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {full[i][g] for g in gone[i]})) for i, (d, t) in enumerate(docs)]
 
 
@@ -82,25 +75,6 @@ def test_lines(odd, spark, small):
     assert op1.drop_lines(odd.limit(0)).count() == 0
 
 
-def all_pairs_lines(docs):
-    """brute_lines with every earlier first document as a partner."""
-    split = [[x.strip() for x in (t or "").split("\n")] for _, t in docs]
-    full = [[k for k, x in enumerate(s) if x] for s in split]
-    text = [[s[k] for k in f] for s, f in zip(split, full, strict=True)]
-    classes, heads, gone = {}, [], defaultdict(set)
-    for i, s in enumerate(text):
-        if not s or docs[i][0] is None or docs[i][1] is None:
-            continue
-        if tuple(s) not in classes:
-            classes[tuple(s)] = i
-            for a in heads:
-                gone[i] |= set(op1.common_lines(text[a], s, [len(x) for x in s]))
-            heads.append(i)
-        elif docs[i] != docs[classes[tuple(s)]] and sum(map(len, s)) >= op1.MIN_CHARS:
-            gone[i] = set(range(len(s)))
-    return [(d, len(gone[i]), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {full[i][g] for g in gone[i]})) for i, (d, t) in enumerate(docs)]
-
-
 def test_lines_of_all_pairs(odd, spark, small):
     short = [f"shared short line {k}" for k in range(3)]  # 57 characters together
     lone = "one line that is much longer than forty characters by itself"
@@ -110,10 +84,7 @@ def test_lines_of_all_pairs(odd, spark, small):
     for n, rows in ((87, blocks), (29, twice)):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         found = rows_of(op1.drop_lines(frame), "doc_id", "n_removed", "text")
-        assert found == sorted(all_pairs_lines(rows), key=repr) and sum(r[1] for r in found) == n
-    for frame in both(odd, spark, small):
-        docs = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.hash("text").alias("h")).orderBy("doc_id", "h").collect()]
-        assert rows_of(op1.drop_lines(frame), "doc_id", "n_removed", "text") == sorted(all_pairs_lines(docs), key=repr)
+        assert found == sorted(brute_lines(rows), key=repr) and sum(r[1] for r in found) == n
 
 
 def test_shortest_runs_cover_every_block():
@@ -371,35 +342,74 @@ def brute_kneser_ney(texts):
     return p
 
 
-@pytest.mark.parametrize("shard", [2_000_000, 300])
-def test_entropy(odd, labels, shard, monkeypatch):
-    monkeypatch.setattr(op7, "SHARD_GRAMS", shard)
+@pytest.mark.parametrize("hot", [1 << 17, 300, 0])
+def test_entropy(odd, labels, hot, monkeypatch):
+    monkeypatch.setattr(op7, "HOT", hot)
+    monkeypatch.setattr(op7, "MERGED", 100)
     docs = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
-    p = brute_kneser_ney([t for d, t in docs if d in (0, 1, 6)])
+    found = op7.score(odd, labels).collect()
+    held = {r["doc_id"] for r in found if r["held"]}
+    assert {r["doc_id"] for r in found if r["trusted"]} == {0, 1, 6} and held < {0, 1, 6}
+    p = brute_kneser_ney([t for d, t in docs if d in {0, 1, 6} - held])
     expected, cache = [], {}
     for doc_id, text in docs:
+        size = len(text.encode())
         body = bytes(op7.ORDER - 1) + text.encode()
-        total = 0
-        for i in range(len(text.encode())):
+        total = rare = 0
+        for i in range(size):
             g = body[i : i + op7.ORDER]
             if g not in cache:
-                cache[g] = math.log(p(g)) * op7.MICRO
+                cache[g] = round(math.log(p(g)) * op7.MICRO)
             total += cache[g]
-        expected.append((doc_id, -total / max(len(text.encode()), 1)))
-    got = sorted(((r["doc_id"], r["entropy"]) for r in op7.score(odd, labels).collect()), key=repr)
+            rare += cache[g] < -op7.SURPRISE * op7.MICRO
+        expected.append((doc_id, -total / max(size, 1), rare * 1_000_000 / (size + op7.RATE_BYTES)))
+    order = lambda r: (str(r[0]), r[1])
+    got = sorted(((r["doc_id"], r["entropy"], r["rare_rate"]) for r in found), key=order)
     assert len(got) == len(expected)
-    for (a, x), (b, y) in zip(sorted(got, key=lambda r: (str(r[0]), r[1])), sorted(expected, key=lambda r: (str(r[0]), r[1])), strict=True):
-        assert a == b and x == pytest.approx(y, abs=3)
+    for (a, x, m), (b, y, n) in zip(got, sorted(expected, key=order), strict=True):
+        assert a == b and x == pytest.approx(y, abs=3) and m == pytest.approx(n, abs=1)
+
+
+def brute_bounds(rows):
+    """Bounds by sorted lists of held-out values, in bins of 1,000 and 10."""
+
+    def quantile(values, q, width):
+        ordered = sorted(v // width * width for v in values)
+        return ordered[max(math.ceil(q * len(ordered)), 1) - 1]
+
+    of = defaultdict(list)
+    for r in rows:
+        if r["held"] and r["n_bytes"]:
+            of[r["lang"] or "?"].append(r)
+            of["*"].append(r)
+    found = {}
+    for lang, x in of.items():
+        if len(x) >= op7.MIN_TRUSTED:
+            entropy, rate = [r["entropy"] for r in x], [r["rare_rate"] for r in x]
+            found[lang] = (quantile(entropy, op7.LOW, 1_000), quantile(entropy, op7.HIGH, 1_000) + 1_000, quantile(rate, op7.RARE_HIGH, 10) + 10)
+    return found
 
 
 def test_classifier(odd, labels, spark, small):
     assert op7.classify(odd, labels).count() == odd.count()
     assert op7.classify(odd, labels.limit(0)).where("n_bytes > 0 and not kept").count() == 0
     assert op7.classify(odd.limit(0), labels).count() == 0
-    docs, marks = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
-    found = op7.classify(docs, marks).join(marks, "doc_id")
-    kept = {r["quality"]: r["k"] for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert kept[1] > 0.97 and kept[0] < 0.4
+    docs, marks = (spark.read.parquet(f"{small}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = op7.classify(docs, marks).collect()
+    limits = brute_bounds(found)
+    for r in found:
+        low, high, rare = limits.get(r["lang"], limits["*"])
+        slack = op7.MARGIN_ROOT / math.sqrt(max(r["n_bytes"], 1))
+        assert (r["low"], r["high"], r["rare_high"]) == (low, high, rare)
+        assert r["kept"] == (r["n_bytes"] > 0 and low - slack <= r["entropy"] <= high + slack and r["rare_rate"] <= rare)
+    kept, of = {r["doc_id"]: r["kept"] for r in found}, defaultdict(list)
+    for r in marks.collect():
+        of[r["quality"], r["toxic"]].append(kept[r["doc_id"]])
+    share = {k: sum(v) / len(v) for k, v in of.items()}
+    assert share[1, 0] > 0.95 and share[0, 0] < 0.1 and share[0, 1] < 0.25
+    # of clean texts that the model was not fitted on, most stay
+    unseen = [r["kept"] for r in found if r["held"]]
+    assert sum(unseen) >= 0.9 * len(unseen)
 
 
 # ---- 8

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
@@ -19,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, where the session has no smaller bound: a task and its Python worker hold a few of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a Spark size such as 64m or 67108864b."""
+    found = re.fullmatch(r"(-?\d+)([bkmg]?)b?", size.strip().lower())
+    return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
+
+
 def work_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
