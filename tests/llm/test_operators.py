@@ -431,10 +431,10 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def features(text):
+def features(text, buckets):
     words = [w.encode() for w in SPACE.findall(text or "")]
-    chain = lambda *parts: 0 if not parts else _chain(parts)
-    return [signed(chain(w)) % op8.BUCKETS for w in words] + [signed(chain(a, b)) % op8.BUCKETS for a, b in zip(words, words[1:], strict=False)]
+    single = [signed(_chain((w,))) % buckets for w in words]
+    return single, [buckets + signed(_chain(pair)) % op8.PAIR_BUCKETS for pair in zip(words, words[1:], strict=False)]
 
 
 def _chain(parts):
@@ -444,24 +444,40 @@ def _chain(parts):
     return seed
 
 
-def test_rules(odd, labels, spark, small):
+def test_rules(odd, labels, spark, small, monkeypatch):
+    monkeypatch.setattr(op8, "WORD_BUCKETS", (1 << 10, 1 << 14))
+    monkeypatch.setattr(op8, "PAIR_BUCKETS", 1 << 10)
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    for frame, marks in ((odd, labels), (spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))):
+    for frame, marks in ((odd, labels), (spark.read.parquet(f"{small}/../sf0.01/documents.parquet"), spark.read.parquet(f"{small}/../sf0.01/labels.parquet"))):
         docs = [(r["doc_id"], r["text"]) for r in frame.collect()]
-        good = {r["doc_id"] for r in marks.collect() if r["doc_id"] is not None and r["quality"] == 1 and not r["toxic"]}
-        raw, target = Counter(), Counter()
-        for d, t in docs:
-            raw.update(features(t))
-            target.update(features(t) if d in good else [])
-        b = op8.BUCKETS
-        shift = math.log(sum(raw.values()) + b) - math.log(sum(target.values()) + b)
-        weight = [round(op8.MICRO * (math.log(target[k] + 1) - math.log(raw[k] + 1) + shift)) for k in range(b)]
-        expected = [(d, *brute_base(t), (lambda f: sum(weight[k] for k in f) // len(f) if f else 0)(features(t))) for d, t in docs]
+        held = {r["trusted_id"]: r["held"] for r in op8._trusted(marks).collect()}
+        assert set(held) == {r["doc_id"] for r in marks.collect() if r["doc_id"] is not None and r["quality"] == 1 and not r["toxic"]}
+        b = op8.word_buckets(frame.select("text"))
+        raw, target, of = Counter(), Counter(), [features(t, b) for _, t in docs]
+        for (d, _), f in zip(docs, of, strict=True):
+            raw.update(f[0] + f[1])
+            target.update(f[0] + f[1] if held.get(d) is False else [])
+        size = b + op8.PAIR_BUCKETS
+        shift = math.log(sum(raw.values()) + size) - math.log(sum(target.values()) + size)
+        weight = [round(op8.MICRO * (math.log(target[k] + 1) - math.log(raw[k] + 1) + shift)) for k in range(size)]
+        expected = []
+        for (d, t), (single, pairs) in zip(docs, of, strict=True):
+            low = sum(weight[k] <= op8.LOW_WEIGHT for k in single) * 1_000_000 // (len(single) + op8.RATE_WORDS)
+            expected.append((d, *brute_base(t), sum(weight[k] for k in single + pairs) // max(len(single + pairs), 1), low))
+        expected.sort(key=repr)
         found = op8.score_documents(frame, marks)
-        got = rows_of(found, *columns, "score")
-        assert [r[:-1] for r in got] == [r[:-1] for r in sorted(expected, key=repr)]
-        assert all(abs(x[-1] - y[-1]) <= 1 for x, y in zip(got, sorted(expected, key=repr), strict=True))
-        assert found.where("base_failed and kept").count() == 0
+        got = rows_of(found, *columns, "score", "low_rate", "kept")
+        assert [r[:-3] for r in got] == [r[:-2] for r in expected]
+        assert all(abs(x[-3] - y[-2]) <= 1 and x[-2] == y[-1] for x, y in zip(got, expected, strict=True))
+        passing = [r for r in got if not r[6]]
+        own = [r for r in passing if held.get(r[0])]
+        if len(own) < op8.MIN_HELD:
+            assert all(r[-1] for r in passing)
+        else:
+            least = sorted(r[-3] // 1_000 for r in own)[int(op8.REJECT_SCORE * len(own))] * 1_000
+            most = sorted(r[-2] // 100 for r in own)[int((1 - op8.REJECT_LOW) * len(own))] * 100 + 100
+            assert all(r[-1] == (r[-3] >= least and r[-2] <= most) for r in passing)
+        assert not any(r[-1] for r in got if r[6])
     assert op8.score_documents(odd, labels.limit(0)).where("kept = base_failed").count() == 0
     assert op8.score_documents(odd.limit(0), labels).count() == 0
 
