@@ -4,16 +4,19 @@ A line is its text without outer white space; blank lines never match and always
 with equal line sequences are one class: its first document is aligned for all, the later ones lose
 every line.  Each first document is aligned by patience
 diff with earlier ones; runs of aligned lines of at least MIN_CHARS characters are deleted from the
-later document.  The result is that of all pairs, without all pairs: such a block holds a shortest
-run of consecutive lines that reaches MIN_CHARS, so a document is paired with the first holder of
-each of its runs.  Where an alignment leaves a line of a shared run standing, the next RARE holders
-of that run are tried, then RARE times as many, until nothing stands or every earlier holder was
-tried.  Everything is judged on the input texts.
+later document.  Partners are found through shared runs: such a block holds a shortest run of
+consecutive lines that reaches MIN_CHARS, so a document is paired with the first holder of each of its
+runs.  Where the alignments leave a line of a shared run standing (it crosses another block, or comes
+twice in a document), the next holders of that run are tried, up to its first HOLDERS.  A run that
+still stands and has more earlier holders than that is common text: it is aligned by itself with
+its first holder, so its lines go.  No block that any pair of documents would lose by patience diff is
+kept, and a document has at most HOLDERS partners a run.  Everything is judged on the input texts.
 
 Rules for odd input: a null text stays null and has no lines; a null doc_id is kept whole; rows of
 one doc_id with different texts are kept apart and ordered by a hash of the text, equal rows are
-treated alike; a document whose lines all go keeps an empty text; other columns ride along (one named
-n_lines or n_removed is replaced).
+treated alike; a document whose lines all go keeps its blank lines only; lines of more than MIN_CHARS characters are
+runs of their own; an empty table gives no rows; a very long text costs memory of its own lines for
+each partner in turn; other columns ride along (one named n_lines or n_removed is replaced).
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm.shared import table, written
+from veilgraph.llm.shared import small_batches, table, written
 
-RARE = 8
+HOLDERS = 8
 MIN_CHARS = 40
 
 _TRIM = "^\\s+|\\s+$"
@@ -98,11 +101,9 @@ def common_lines(a: list[int], b: list[int], sizes: list[int], least: int = MIN_
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        first, later, sizes = (batch.column(k) for k in (2, 3, 4))
-        gone = []
-        for k in range(len(batch)):
-            gone.append(common_lines(first[k].as_py(), later[k].as_py(), sizes[k].as_py()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "tk", "gone"])
+        first, later, sizes = (batch.column(k) for k in (1, 2, 3))
+        gone = [common_lines(first[k].as_py(), later[k].as_py(), sizes[k].as_py()) for k in range(len(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
 
 def shortest_runs(sizes: list[int], least: int = MIN_CHARS) -> list[tuple[int, int]]:
@@ -137,7 +138,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs.append(hash(tuple(h[p:q])))  # of whole numbers: alike in every process
                 begins.append(p)
                 ends.append(q)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(runs, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["key", "run", "p", "q"])
+        columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(runs, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "run", "p", "q"])
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -145,62 +147,75 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__vg_id", F.col("doc_id").cast("long")).withColumn("__vg_tk", F.hash(text)).withColumn("__vg_text", text)
 
 
+def _line_rows(documents: DataFrame) -> DataFrame:
+    """(key, at, h, size, whole): numbers, hashes and sizes of the lines with text of every document that has some."""
+    stripped = F.transform(F.split("__vg_text", "\n"), lambda x: F.regexp_replace(x, _TRIM, ""))
+    marked = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.char_length(x).alias("size")))
+    key = F.struct(F.col("__vg_id").alias("id"), F.col("__vg_tk").alias("tk")).alias("key")
+    rows = _keyed(documents).where("__vg_id is not null and __vg_text is not null").select(key, stripped.alias("lines"))
+    full = rows.select("key", F.filter(marked, lambda s: s["size"] > 0).alias("full")).where(F.size("full") > 0)
+    return full.select("key", F.col("full.at").alias("at"), F.col("full.h").alias("h"), F.col("full.size").alias("size"), F.xxhash64("full.h", "full.size").alias("whole"))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(key, part): all line places that alignments delete; at most a document's own lines times its partners."""
+    return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("part"))
+
+
+def _standing(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of runs, those with a line that no alignment deleted."""
+    part = _merged(found).withColumnRenamed("key", "of")
+    joined = runs.join(part, runs["key"] == part["of"], "left")
+    left = F.array_except(F.sequence("p", F.col("q") - 1), "part")
+    return joined.where(F.col("part").isNull() | (F.size(left) > 0)).drop("of", "part")
+
+
 def removed_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, gone): line numbers (from 0, over all lines) to delete from each later document."""
-    lines = F.transform(F.split("__vg_text", "\n"), lambda x: F.regexp_replace(x, _TRIM, ""))
-    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.char_length(x).alias("size"))), lambda s: s["size"] > 0)
-    rows = _keyed(documents).where("__vg_id is not null and __vg_text is not null").select("__vg_id", "__vg_tk", lines.alias("lines")).select("__vg_id", "__vg_tk", full.alias("full"))
-    plain = written(rows.where(F.size("full") > 0).select(F.struct(F.col("__vg_id").alias("id"), F.col("__vg_tk").alias("tk")).alias("key"), F.col("full.at").alias("at"), F.col("full.h").alias("h"), F.col("full.size").alias("size"), F.xxhash64("full.h", "full.size").alias("whole")), "lines")
-    classes = plain.groupBy("whole", F.size("h").alias("n")).agg(F.min("key").alias("first"), F.count("*").alias("copies"))
+    small_batches(documents.sparkSession)
+    plain = written(_line_rows(documents), "lines")
+    classes = plain.groupBy("whole", F.size("h").alias("n")).agg(F.min("key").alias("first"))
     marked = plain.withColumn("n", F.size("h")).join(classes, ["whole", "n"])
-    later = marked.where("key <> first and aggregate(size, 0, (a, x) -> a + x) >= " + str(MIN_CHARS)).select("key", F.col("at").alias("gone"))
+    long_enough = F.aggregate("size", F.lit(0), lambda a, x: a + x) >= MIN_CHARS
+    later = marked.where((F.col("key") != F.col("first")) & long_enough).select("key", F.col("at").alias("gone"))
     heads = written(marked.where("key = first").select("key", "at", "h", "size"), "line-heads")
+    if not heads.groupBy("key").count().where("count > 1").isEmpty():
+        heads = written(heads.dropDuplicates(["key"]), "line-heads")  # rows that repeat as a whole
     runs = written(heads.select("key", "h", "size").mapInArrow(_runs, "key struct<id: long, tk: int>, run long, p int, q int"), "line-runs")
     shared = runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
     held = written(runs.join(shared, "run").select("run", "key", "p", "q", "first"), "held-runs")
     firsts = heads.select(F.col("key").alias("a"), F.col("h").alias("ha"))
-    seconds = heads.select(F.col("key").alias("b"), F.col("h").alias("hb"), F.col("size").alias("sb"))
+    seconds = heads.select("key", F.col("h").alias("hb"), F.col("size").alias("sb"))
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(firsts, "a").join(seconds, "b").select(F.col("b.id").alias("doc_id"), F.col("b.tk").alias("tk"), "ha", "hb", "sb")
-        return written(both.mapInArrow(_aligned, "doc_id long, tk int, gone array<int>").where(F.size("gone") > 0), "aligned")
-
-    def merged(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("part"))  # at most its own lines times its partners
-
-    def standing(runs: DataFrame, found: DataFrame) -> DataFrame:
-        """Of the runs of later holders, those with a line that no alignment deleted."""
-        part = merged(found).select(F.struct(F.col("doc_id").alias("id"), "tk").alias("of"), "part")
-        joined = runs.join(part, runs["key"] == part["of"], "left")
-        return joined.where(F.col("part").isNull() | (F.size(F.array_except(F.sequence("p", F.col("q") - 1), "part")) > 0)).drop("of", "part")
-
-    found = aligned(held.where("key > first").select(F.col("first").alias("a"), F.col("key").alias("b")))
-    open_runs = written(standing(held.where("key > first").drop("first"), found), "open-runs")
-    # every earlier holder of a run by its number; only of runs that are open after their first holder
-    numbered_holders = held.join(open_runs.select("run").distinct(), "run", "left_semi").select("run", "key").distinct().withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("key")) - 1)
-    holders = written(numbered_holders, "run-holders")
-    open_runs = open_runs.join(holders, ["run", "key"])
-    begin, end = 1, 1 + RARE
-    while True:
-        open_runs = written(open_runs.where(f"n > {begin}"), "open-runs")
-        if open_runs.isEmpty():
-            break
-        earlier = holders.where(f"n >= {begin} and n < {end}").select("run", F.col("key").alias("a"), F.col("n").alias("m"))
-        found = found.union(aligned(open_runs.join(earlier, "run").where("m < n").select("a", F.col("key").alias("b"))))
-        open_runs, begin, end = standing(open_runs, found), end, end * RARE
-    merged_lines = merged(found)
-    at = heads.select(F.col("key.id").alias("doc_id"), F.col("key.tk").alias("tk"), "at")
-    numbered = merged_lines.join(at, ["doc_id", "tk"]).select("doc_id", "tk", F.transform("part", lambda k: F.get("at", k)).alias("gone"))
-    return numbered.union(later.select("key.id", "key.tk", "gone"))
+        both = pairs.distinct().join(firsts, "a").join(seconds, "key").select("key", "ha", "hb", "sb")
+        return written(both.mapInArrow(_aligned, "key struct<id: long, tk: int>, gone array<int>").where(F.size("gone") > 0), "aligned")
+
+    after = held.where("key > first")
+    found = aligned(after.select(F.col("first").alias("a"), "key"))
+    open_runs = written(_standing(after.drop("first"), found), "open-runs")
+    # the first HOLDERS of the runs that are open: the limit on the row number is applied before the shuffle
+    holders = held.join(open_runs.select("run").distinct(), "run", "left_semi").select("run", F.col("key").alias("a")).distinct()
+    earliest = written(holders.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("a"))).where(F.col("n") <= HOLDERS), "run-holders")
+    others = open_runs.join(earliest.where("n > 1"), "run").where("a < key").select("a", "key")
+    found = found.union(aligned(others))
+    last = earliest.where(F.col("n") == HOLDERS).select("run", F.col("a").alias("last"))
+    common = _standing(open_runs, found).join(last, "run").where("key > last").select("key", F.sequence("p", F.col("q") - 1).alias("gone"))
+    numbered = _merged(found.union(common)).join(heads.select("key", "at"), "key").select("key", F.transform("part", lambda k: F.get("at", k)).alias("gone"))
+    return numbered.union(later).select(F.col("key.id").alias("doc_id"), F.col("key.tk").alias("tk"), "gone")
 
 
 def drop_lines(documents: DataFrame) -> DataFrame:
     """The documents with text less the deleted lines; adds n_lines and n_removed."""
-    gone = removed_lines(documents).select(F.col("doc_id").alias("__vg_of"), F.col("tk").alias("__vg_oftk"), F.col("gone").alias("__vg_gone")).dropDuplicates(["__vg_of", "__vg_oftk"])
-    joined = _keyed(documents).join(gone, (F.col("__vg_id") == F.col("__vg_of")) & (F.col("__vg_tk") == F.col("__vg_oftk")), "left").withColumn("__vg_lines", F.split("__vg_text", "\n"))
+    found = removed_lines(documents).select(F.col("doc_id").alias("__vg_of"), F.col("tk").alias("__vg_oftk"), F.col("gone").alias("__vg_gone"))
+    gone = found.dropDuplicates(["__vg_of", "__vg_oftk"])
+    same = (F.col("__vg_id") == F.col("__vg_of")) & (F.col("__vg_tk") == F.col("__vg_oftk"))
+    joined = _keyed(documents).join(gone, same, "left").withColumn("__vg_lines", F.split("__vg_text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__vg_lines") - 1), F.col("__vg_gone"))
-    kept = F.when(F.col("__vg_gone").isNull(), F.col("__vg_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__vg_lines", i)), "\n"))
-    counted = joined.withColumn("n_lines", F.coalesce(F.when(F.col("__vg_text").isNotNull(), F.size("__vg_lines")), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__vg_gone"), F.lit(0)).cast("long"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("__vg_lines", i)), "\n")
+    kept = F.when(F.col("__vg_gone").isNull(), F.col("__vg_text")).otherwise(rest)
+    n_lines = F.when(F.col("__vg_text").isNotNull(), F.size("__vg_lines")).otherwise(0).cast("long")
+    counted = joined.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.size("__vg_gone"), F.lit(0)).cast("long"))
     return counted.withColumn("text", kept).drop("__vg_id", "__vg_tk", "__vg_text", "__vg_of", "__vg_oftk", "__vg_gone", "__vg_lines")
 
 
