@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.components import connected_components
-from veilgraph.llm.shared import cut, table
+from veilgraph.llm.shared import cut, small_batches, table
 from veilgraph.llm.textbatch import slices
 
 SHINGLE = 3
@@ -63,6 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, fp): majority bits over XXH64 of lower-cased word shingles; tk, a hash of the text, tells rows of one doc_id apart."""
+    small_batches(documents.sparkSession)
     text = F.col("text").cast("string")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, tk long, fp long")
 

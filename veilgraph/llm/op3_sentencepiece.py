@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm.encoding import units_by_blank
 from veilgraph.llm.lattice import Lattice, Pieces, pieces_of, uniform, uniform_one
-from veilgraph.llm.shared import table
+from veilgraph.llm.shared import small_batches, table
 from veilgraph.llm.textbatch import mix, slices
 
 SAMPLES = 2
@@ -278,6 +278,7 @@ def sample_encode(documents: DataFrame, model: str, k: int = SAMPLES, alpha: flo
 
     A narrow map: each task holds one slice of SLICE bytes or one longer text at a time.
     """
+    small_batches(documents.sparkSession)
     names = {"ids": "ids array<int>", "text": "text string", "ids_crc32": "ids_crc32 long", "same": "same boolean"}
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(_sampler(model, k, alpha, seed, wanted), ", ".join([_BASE, *(names[x] for x in wanted)]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.llm.encoding import word_bpe
-from veilgraph.llm.shared import cut, table, work_path
+from veilgraph.llm.shared import cut, small_batches, table, work_path
 from veilgraph.llm.textbatch import slices
 from veilgraph.llm.wavelet import WaveletMatrix, pack, unpack
 
@@ -70,6 +70,7 @@ def write_shards(documents: DataFrame, tokenizer: str, path: str) -> None:
     number of tasks writes at once; a shard's memory is bounded by SHARD_TOKENS and its last text.
     The bytes go through Spark's own writer (with its commit protocol), one shard a file.
     """
+    small_batches(documents.sparkSession)
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blobs = ordered.mapInArrow(_shards(tokenizer), "blob binary")
     blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm.shared import cut, table, written
+from veilgraph.llm.shared import cut, small_batches, table, written
 from veilgraph.llm.textbatch import ALNUM_WORDS, LOWER, Words, lists, raw, slices, strings, words_of
 
 WINDOW = 10
@@ -80,6 +80,7 @@ def _post(terms: np.ndarray):
 
 
 def _texts(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
     text = F.col("text").cast("string")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tk"), text.alias("text"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.llm.encoding import piece_bpe
-from veilgraph.llm.shared import cut, table, work_path
+from veilgraph.llm.shared import cut, small_batches, table, work_path
 from veilgraph.llm.textbatch import lists, slices
 
 END = 2  # the model's end-of-text id, which no text encodes to
@@ -45,6 +45,7 @@ def _encode(path: str):
 
 def write_flat(documents: DataFrame, tokenizer: str, path: str) -> None:
     """Flat token files in the order of documents, by Spark's own writer: each row's bytes, then END.  A narrow map: no text moves between tasks."""
+    small_batches(documents.sparkSession)
     ids = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_encode(tokenizer), "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_ROWS).text(path)
 

@@ -12,9 +12,11 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="veilgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
