@@ -477,9 +477,9 @@ def signed(x):
 
 
 def features(text, buckets):
-    words = [w.encode() for w in SPACE.findall(text or "")]
-    single = [signed(_chain((w,))) % buckets for w in words]
-    return single, [buckets + signed(_chain(pair)) % op8.PAIR_BUCKETS for pair in zip(words, words[1:], strict=False)]
+    hashes = [_chain((w.encode(),)) for w in SPACE.findall(text or "")]
+    words = [x.to_bytes(8, "little") for x in hashes]
+    return [signed(x) % buckets for x in hashes], [buckets + signed(_chain(pair)) % op8.PAIR_BUCKETS for pair in zip(words, words[1:], strict=False)]
 
 
 def _chain(parts):

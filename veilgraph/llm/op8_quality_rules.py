@@ -59,12 +59,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _features(words: Column, buckets: int) -> Column:
     """Buckets of all words, then of all pairs of neighbours."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = F.transform(firsts, lambda w, i: (F.pmod(F.xxhash64(w, F.get(words, i + 1)), F.lit(PAIR_BUCKETS)) + buckets).cast("int"))
-    return F.concat(single, pairs)
+
+    def of(hashes: Column) -> Column:
+        single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+        firsts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0)))
+        pairs = F.transform(firsts, lambda h, i: (F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(PAIR_BUCKETS)) + buckets).cast("int"))
+        return F.concat(single, pairs)
+
+    return let(_hashes(words), of)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -83,7 +91,11 @@ def _repeat_words(words: Column) -> Column:
 
         return let(let(ordered, places), spread)
 
-    grams = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    def windows(hashes: Column) -> Column:
+        firsts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0)))
+        return F.transform(firsts, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+
+    grams = let(_hashes(words), windows)
     return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
 
 
