@@ -1,14 +1,19 @@
 """Main text of web pages by tree scoring.
 
 Each paragraph gives points (one, its commas, and its length up to a bound) to its ancestors, less
-with distance; a container's points are discounted by its link density; the best container is kept
-with those siblings that score alike, widened to the article element around it.  Menus, page
-headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are taken
-out of the tree before scoring.
+with distance; a container's points are discounted by its link density, and by SUSPECT if its class or
+id merely mentions what articles seldom are.  The best container is kept with those siblings that score
+alike and the headings right before it, widened to the article element around it.  Taken out of the tree
+before scoring are scripts, styles, forms, page headers and footers, menus, asides, hidden elements and
+elements that a whole class or id names a sidebar, notice, advert or comment list; headings and
+paragraphs only if it names an advert or notice.  Outside an article, containers mostly of links go too.
 
 Rules for odd input: a null or empty page gives an empty text; unclosed tags are closed as browsers
-do; a page without a scored paragraph falls back to its article, main or body element; rows that
-repeat stay; a null page_id or url is passed on; other columns are ignored.
+do, an unclosed last tag, comment or script ends the page; a page without a scored paragraph falls back
+to its article, main or body element; of containers that score the same the deeper one is best, then
+the first; a page is read in one pass, whatever its quotes, and costs memory of its own size; rows
+that repeat stay; a null page_id or url is passed on; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,46 +36,101 @@ SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 LINK_HEAVY = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|svg|iframe|xmp|math|title"
+RAW = frozenset("script style noscript template textarea svg iframe xmp title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option optgroup textarea input iframe svg object canvas dialog menu audio video map datalist label".split())
+DROPPED = frozenset("head script style noscript template nav footer aside form button select option optgroup textarea input iframe svg object canvas dialog menu audio video map datalist label annotation annotation-xml".split())
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "caption"}
 #: A start tag closes the nearest open one of these, unless a boundary lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PARAGRAPHS = frozenset("p pre td blockquote".split())
 START_POINTS = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 #: Words of class and id attributes, and roles, of what is not the article.
-UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription sidebar aside menu menubar nav navbar navigation navigational breadcrumb breadcrumbs footer masthead topbar header comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations pagination pager widget widgets toolbar login signin signup register search skip disclaimer paywall".split())
+NOTICES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices newsletter disclaimer paywall".split())
+ASIDES = frozenset("notification notifications modal overlay subscription sidebar aside menubar nav navbar navigation navigational breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations pagination pager widget widgets toolbar".split())
+#: Words that may also be an article's own subject: inside an article they name nothing.
+SUBJECTS = frozenset("alert popup banner header menu subscribe login signin signup register search skip".split())
+#: Words that go with those above in a name of the whole element.
+COMPANIONS = frozenset("main site page left right top bottom box block area list links link posts post articles article stories section container wrapper wrap bar inner outer content contents items item icons buttons button slot unit label title thread form panel group row col primary secondary media".split())
+#: Factor of a container's score if its names hold such a word among others.
+SUSPECT = 0.25
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_TEXTS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 
 
-def _unwanted(tag: str, token: str, in_article: bool) -> bool:
+def _tags(source: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, name, closing) of each piece of markup in one forward pass; no name: nothing to open or close."""
+    at, size, quoted = 0, len(source), True
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False
+            continue
+        closing = source.startswith("/", start + 1)
+        named = _NAME.match(source, start + 1 + closing)
+        if not named:
+            if source[start + 1 : start + 2] in ("!", "?", "/"):
+                end = source.find(">", start)
+                at = size if end < 0 else end + 1
+                yield start, at, "", False
+            else:
+                at = start + 1  # a bare < is text
+            continue
+        end = named.end()
+        while quoted:  # a > between quotes does not end a tag
+            stop = _STOP.search(source, end)
+            if stop and stop.group() == ">":
+                end = stop.end()
+                break
+            end = source.find(stop.group(), stop.end()) + 1 if stop else 0
+            if not end:
+                quoted = False  # quotes do not pair up to the end of this page: they count no more
+        if not quoted:
+            end = source.find(">", named.end()) + 1 or size
+        name, at = named.group().lower(), end
+        if not source.endswith(">", start, end):
+            yield start, size, "", False
+            return
+        if name in RAW and not closing:
+            last = _RAW_END[name].search(source, end)
+            at = last.end() if last else size
+            name = ""
+        yield start, at, name, closing
+
+
+def _names_only(words: list[str], kinds: frozenset[str]) -> bool:
+    return any(w in kinds for w in words) and all(w in kinds or w in COMPANIONS for w in words)
+
+
+def _judged(tag: str, token: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element goes, and whether its names make it suspect."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return True, False
     if tag in ROOTS or "=" not in token and "hidden" not in token:
-        return False
+        return False, False
+    kinds = NOTICES if tag in _TEXTS else NOTICES | ASIDES if in_article else NOTICES | ASIDES | SUBJECTS
+    suspect = False
     for name, *values in _ATTR.findall(token):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
+        if name == "style" and _HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
+            return True, False
         if name in ("class", "id"):
-            words = [x.lower() for x in _PART.findall(value)]
-            if any(x in UNWANTED for x in words) and not (in_article and words in (["header"], ["article", "header"], ["entry", "header"], ["post", "header"])):
-                return True
-    return False
+            for whole in value.split():
+                words = [x.lower() for x in _PART.findall(whole)]
+                if _names_only(words, kinds):
+                    return True, False
+                suspect |= tag not in _TEXTS and any(w in kinds for w in words)
+    return False, suspect
 
 
 class _Page:
@@ -78,7 +138,8 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.gone, self.link = ["#"], [-1], [False], [False]
-        self.article = [False]
+        self.article, self.suspect = [False], [False]
+        self.up = [-1]  # innermost block element around each node
         self.blocks: list[tuple[int, str]] = []  # owning node, text
         self.sizes: list[tuple[int, int, int]] = []  # owning node, characters, characters in links
         self._text: list[tuple[str, bool]] = []
@@ -114,23 +175,19 @@ class _Page:
                 self._owner = block[-1]
                 self._text.append((piece, self.link[node]))
 
-        for found in _TOKEN.finditer(source):
-            text(source[at : found.start()])
-            at = found.end()
-            token = found.group()
-            if found.group(1) or token[1] in "!?":
-                continue
-            named = _NAME.match(token)
-            if not named:
+        for begin, end, tag, closing in _tags(source):
+            text(source[at:begin])
+            at = end
+            if not tag:
                 continue
-            tag = named.group(1).lower()
-            if token[1] == "/":
+            if closing:
                 if open_tags.get(tag):
                     k = len(stack) - 1
                     while self.tag[stack[k]] != tag:
                         k -= 1
                     pop_to(k)
                 continue
+            token = source[begin:end]
             if tag == "br":
                 text(" ")
                 continue
@@ -159,19 +216,32 @@ class _Page:
             self.tag.append(tag)
             self.parent.append(top)
             self.article.append(in_article or tag in ("article", "main"))
-            self.gone.append(self.gone[top] or _unwanted(tag, token, in_article))
+            gone, suspect = (True, False) if self.gone[top] else _judged(tag, token, in_article)
+            self.gone.append(gone)
+            self.suspect.append(suspect)
+            self.up.append(block[-1])
             self.link.append(self.link[top] or tag == "a")
             if token.endswith("/>") and tag not in BLOCKS:
                 continue
             stack.append(node)
             block.append(node if tag in BLOCKS else block[-1])
             open_tags[tag] = open_tags.get(tag, 0) + 1
-        tail = source[at:]
-        cutoff = tail.rfind("<")
-        text(tail[:cutoff] if cutoff >= 0 and re.match(r"</?[a-zA-Z]", tail[cutoff:]) and '>' not in tail[cutoff:] else tail)
+        text(source[at:])
         self._flush()
 
 
+def _headings_before(page: _Page, best: int, size: list[int]) -> list[int]:
+    """Headings among the siblings right before the best container."""
+    found: list[int] = []
+    for node in range(1, best):
+        if page.parent[node] == page.parent[best] and not page.gone[node]:
+            if page.tag[node] in ("h1", "h2", "h3", "hgroup"):
+                found.append(node)
+            elif size[node]:
+                found = []
+    return found
+
+
 def main_text(source: str | None) -> str:
     """The article of one page: its blocks in page order, joined by newlines."""
     if not source:
@@ -185,12 +255,10 @@ def main_text(source: str | None) -> str:
         linked[owner] += in_links
         if length >= MIN_PARAGRAPH and (page.tag[owner] in PARAGRAPHS or page.tag[owner] in ("div", "section", "article", "main", "li")):
             worth = 1 + body.count(",") + body.count("，") + min(length / LENGTH_UNIT, LENGTH_MAX)
-            node, level = (page.parent[owner] if page.tag[owner] in PARAGRAPHS else owner), 0
+            node, level = (page.up[owner] if page.tag[owner] in PARAGRAPHS else owner), 0
             while node > 0 and level < LEVELS:
-                if page.tag[node] in BLOCKS:
-                    points[node] = points.get(node, START_POINTS.get(page.tag[node], 0.0)) + worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                    level += 1
-                node = page.parent[node]
+                points[node] = points.get(node, START_POINTS.get(page.tag[node], 0.0)) + worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                node, level = page.up[node], level + 1
     depth = [0] * n
     for node in range(1, n):
         depth[node] = depth[page.parent[node]] + 1
@@ -198,7 +266,7 @@ def main_text(source: str | None) -> str:
         size[page.parent[node]] += size[node]
         linked[page.parent[node]] += linked[node]
     share = [linked[i] / size[i] if size[i] else 0.0 for i in range(n)]
-    score = {node: got * (1 - share[node]) for node, got in points.items() if page.tag[node] != "html"}
+    score = {node: got * (1 - share[node]) * (SUSPECT if page.suspect[node] else 1) for node, got in points.items() if page.tag[node] != "html"}
     kept: set[int] = set()
     if score:
         best = max(score, key=lambda i: (score[i], depth[i], -i))
@@ -211,6 +279,7 @@ def main_text(source: str | None) -> str:
         kept.add(best)
         bar = max(SIBLING_LEAST, SIBLING_SHARE * best_score)
         if page.tag[best] not in ("body", "main"):
+            kept.update(_headings_before(page, best, size))
             for node in range(1, n):
                 if page.parent[node] == page.parent[best] and node != best and not page.gone[node]:
                     if score.get(node, 0.0) >= bar or page.tag[node] == "p" and size[node] > 80 and share[node] < 0.25:
@@ -224,7 +293,8 @@ def main_text(source: str | None) -> str:
     inside = [False] * n
     for node in range(n):
         up = page.parent[node]
-        heavy = page.tag[node] in ("ul", "ol", "div", "table", "section", "dl") and share[node] > LINK_HEAVY and node not in kept
+        loose = page.suspect[node] or not page.article[node]
+        heavy = loose and page.tag[node] in ("ul", "ol", "div", "table", "section", "dl") and share[node] > LINK_HEAVY and node not in kept
         inside[node] = node in kept or up >= 0 and inside[up] and not heavy
     return "\n".join(body for owner, body in page.blocks if inside[owner])
 
@@ -238,7 +308,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; a narrow map without shuffle."""
     small_batches(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    html_rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return html_rows.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
