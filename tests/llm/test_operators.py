@@ -595,11 +595,12 @@ def test_rules(odd, labels, spark, small, monkeypatch):
 # ---- 9
 
 
-@pytest.mark.parametrize("block", [1 << 18, 7])
+@pytest.mark.parametrize("block", [1 << 18, 64, 7])
 def test_token_counts(odd, spark, small, block, monkeypatch):
     import sentencepiece
 
     monkeypatch.setattr(op9, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(op9, "FILE_TOKENS", 1 << 23 if block == 64 else 100 * block)
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for frame in both(odd, spark, small) if block > 7 else (odd.where("doc_id <> 6 and doc_id <> 14"),):
         path = work_path(spark, "test-flat")
