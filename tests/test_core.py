@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veilgraph import model as m
 from veilgraph.functions import facts, keys, text
 from veilgraph.metrics import cost, matching, ratios
-from veilgraph.operators import audit, graph, masking, vector
+from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import Context, NoContext, readable, secure, system_context, user_context
 from veilgraph.sources import ingest, scan
@@ -143,6 +143,38 @@ def test_redaction(spark):
     assert again["redacted"] == out[1]["redacted"]
 
 
+def test_redaction_fails_closed(spark):
+    rows = spark.createDataFrame([(None, "amy@corp.vn 0912345678"), (1, "amy@corp.vn"), (1, "amy@corp.vn and bob@corp.vn"), (1, "amy@corp.vn"), (2, ""), (3, "ask Anna or Annabel, x.bob@corp.vn")], "id int, t string")
+    out = text.redact(rows, "id", "t").collect()
+    assert len(out) == 6 and not any("corp.vn" in r["redacted"] or "0912345678" in r["redacted"] for r in out)
+    assert sorted((r["n_email"], r["n_phone"]) for r in out) == [(0, 0), (1, 0), (1, 0), (1, 0), (1, 1), (2, 0)]
+    given = spark.createDataFrame([("Anna", "Person A"), ("amy@corp.vn", "first@example.invalid")], "value string, alias string")
+    named = {r["redacted"] for r in text.redact(rows, "id", "t", given).collect()}
+    assert "first@example.invalid" in named and any(x.startswith("ask Person A or Annabel") for x in named)
+    assert text.redact(rows.limit(0), "id", "t").count() == 0
+
+
+def test_kept_values(spark):
+    cases = {"172.16.0.9": True, "172.32.0.1": False, "8.8.8.8": True, "8.8.8.9": False, "300.1.1.1": True, "203.0.113.7": True, "93.1.2.3": False}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", text._kept_address(F.col("v")).alias("kept")).collect()
+    assert {r["v"]: r["kept"] for r in rows} == cases
+
+
+def test_unicode_forms_of_a_name_are_one(spark):
+    rows = spark.createDataFrame([("Caf\u00e9 ",), ("Cafe\u0301",)], "n string")
+    assert rows.select(text.point_id(text.normal_id(F.col("n"))).alias("p")).distinct().count() == 1
+    assert rows.select(text.grouping_key(F.col("n")).alias("g")).distinct().count() == 1
+    with pytest.raises(Exception, match="empty"):
+        spark.createDataFrame([("  ",)], "n string").select(text.normal_id(F.col("n")).alias("x")).collect()
+
+
+def test_anchors(spark):
+    facts = spark.createDataFrame([("a", "pump station north"), ("b", "pump"), ("c", "north pump station"), ("d", None), ("e", "")], "he_id string, subject string")
+    anchors = spark.createDataFrame([(1, "pump"), (2, "station"), (3, "no"), (4, "absent"), (5, "")], "anchor_id int, anchor string")
+    found = {tuple(r) for r in lookup.by_anchor(anchors, facts).collect()}
+    assert found == {(1, "b"), (2, "a"), (2, "c"), (3, "a"), (3, "c"), (5, "e")}
+
+
 def test_front_matter(spark):
     cases = {"---\na: 1\nb: 'x: y'\n---\nbody\n": ({"a": "1", "b": "x: y"}, "body\n"), "---\na: 1\nno end": ({}, "---\na: 1\nno end"), "plain": ({}, "plain")}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("f", text.front_matter(F.col("t"))).collect()
@@ -166,7 +198,10 @@ def test_vectors(spark):
     own = rows.select("vec_id", F.lit("chunks").alias("namespace"), F.when(F.col("vec_id") < 3, "internal:faq").alias("filter_key"), "embedding")
     found = vector.top_k(own, vector.HashEmbedder().embed(["t1"])[0], user_context(pol.DEFAULT, "staff", "s"), "chunks", 2).collect()
     assert found[0]["vec_id"] == 1 and found[0]["score"] == pytest.approx(1.0, abs=1e-6) and all(r["vec_id"] < 3 for r in found)
-    new = own.where("vec_id < 2").withColumn("filter_key", F.when(F.col("vec_id") == 0, "customer_a:faq").otherwise("internal:runbook"))
+    new = own.where("vec_id < 2").withColumn("filter_key", F.when(F.col("vec_id") == 0, "customer_a:faq").otherwise("internal:runbook")).withColumn("written", F.lit(1))
+    again = new.withColumn("written", F.lit(2)).withColumn("filter_key", F.lit("internal:faq")).withColumn("embedding", F.array(F.lit(9.0).cast("float")))
+    last = vector.upsert(own.where("vec_id < 3"), new.union(again)).where("vec_id = 1").first()
+    assert last["embedding"] == [9.0] and last["filter_key"] == "internal:runbook"
     after = {r["vec_id"]: r["filter_key"] for r in vector.upsert(own.where("vec_id < 3"), new).collect()}
     assert after == {1: "internal:runbook", 2: "internal:faq"}
 

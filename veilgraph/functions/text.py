@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +21,16 @@ MIN_SALT = 16
 
 def collapse_py(value: str) -> str:
     """NFC, white space to single blanks, outer paired double quotes peeled."""
-    out = " ".join(unicodedata.normalize("NFC", value).split())
-    while len(out) > 1 and out[0] == out[-1] == '"':
-        out = out[1:-1].strip()
-    return out
+    whole = " ".join(unicodedata.normalize("NFC", value).split())
+    core = whole.strip('" ')
+    if not core:
+        return '"' * (whole.count('"') % 2)
+    begin = whole.index(core)
+    left, right = whole[:begin].split('"'), whole[begin + len(core) :].split('"')
+    pairs = min(len(left), len(right)) - 1
+    if not pairs:
+        return whole
+    return '"'.join(left[pairs:]).lstrip() + core + '"'.join(right[: len(right) - pairs]).rstrip()
 
 
 @F.pandas_udf(T.StringType())
@@ -36,8 +44,18 @@ def fold(values: pd.Series) -> pd.Series:
     return values.map(lambda x: " ".join(unicodedata.normalize("NFC", x).casefold().split()), na_action="ignore")
 
 
+def normal_id(name: Column) -> Column:
+    """NFC with outer white space trimmed: two Unicode forms of one name are one id; an empty name is an error."""
+    return F.when(F.length(_nfc(name)) > 0, _nfc(name)).when(name.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("an id may not be empty")))
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: unicodedata.normalize("NFC", x).strip(), na_action="ignore")
+
+
 def point_id(name: Column) -> Column:
-    """Name-based version 5 UUID, from built-in SHA-1."""
+    """Name-based version 5 UUID of an id as it is (see normal_id), from built-in SHA-1."""
     h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
     variant = F.element_at(F.array(*map(F.lit, "89ab89ab89ab89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
@@ -78,38 +96,69 @@ def front_matter(text: Column) -> Column:
     return F.struct(meta.alias("meta"), F.when(closed, F.regexp_replace(text, block, "")).otherwise(text).alias("body"))
 
 
-# What the de-identifier recognises, in order, and what it leaves.
-CREDENTIAL = r"(?i)((?:password|passwd|pwd|pass|client[_\- ]?secret|private[_\- ]?key|access[_\- ]?key|api[_\- ]?key|secret|token|authorization)\s*[:=]\s*)(?!<CREDENTIAL>)(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|(?:(?:bearer|basic)\s+)?[^\s'\"]{4,})"
-BEARER = r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]{8,}"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-IPV4_KEPT = r"^(?:10\.|127\.|0\.|255\.|169\.254\.|192\.168\.|203\.0\.113\.|172\.(?:1[6-9]|2\d|3[01])\.|(?:8\.8\.8\.8|8\.8\.4\.4|1\.1\.1\.1|1\.0\.0\.1)$)"
-PHONE = r"\b0\d{9,10}\b"
-PHONE_KEPT = r"^0900000\d{3}$"
+# Names of credentials, and what the de-identifier leaves.
+CREDENTIAL_NAMES = ("password", "passwd", "pwd", "pass", "secret", "token", "authorization", "api key", "access key", "private key", "client secret")
+SCHEMES = ("bearer", "basic")
+KEPT_NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "203.0.113.0/24", "255.0.0.0/8", "1.0.0.1/32", "1.1.1.1/32", "8.8.4.4/32", "8.8.8.8/32")
+KEPT_MAIL_HOSTS = ("example.com", "example.org", "example.invalid")
+KEPT_PHONES = "0900000"
+
 CREDENTIAL_MARK = "<CREDENTIAL>"
 ALIAS_FORMS = {"email": "mail%02d@example.invalid", "ip": "203.0.113.%d", "phone": "0900000%03d"}
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"  # alike in both engines, unlike \\b
+EMAIL = _BEFORE + r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + _AFTER
+IPV4 = _BEFORE + r"\d{1,3}(?:\.\d{1,3}){3}" + _AFTER
+PHONE = _BEFORE + r"0\d{9,10}" + _AFTER
+PATTERNS = {"email": EMAIL, "ip": IPV4, "phone": PHONE}
+#: Leading characters that values are numbered by: enough that a bucket of one kind stays small.
+BUCKET_CHARS = 6
+
+
+def _credential() -> str:
+    """Name, separator, then a quoted value or one without blanks, which a scheme may stand before."""
+    names = "|".join(sorted((x.replace(" ", "[ _-]?") for x in CREDENTIAL_NAMES), key=len, reverse=True))
+    quoted = "|".join(f"{q}[^{q}\\n]{{4,}}{q}" for q in "\"'")
+    return rf"(?i)((?:{names})\s*[:=]\s*)(?!{CREDENTIAL_MARK})(?:{quoted}|(?:(?:{'|'.join(SCHEMES)})\s+)?[^\s'\"]{{4,}})"
 
 
-def _found(text: Column, kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+CREDENTIAL = _credential()
+SCHEME_VALUE = rf"(?i)\b({'|'.join(SCHEMES)})\s+[\w.~+/=-]{{8,}}"
 
 
 def strip_credentials(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, CREDENTIAL, f"$1{CREDENTIAL_MARK}"), BEARER, f"$1 {CREDENTIAL_MARK}")
+    named = F.regexp_replace(text, CREDENTIAL, f"$1{CREDENTIAL_MARK}")
+    return F.regexp_replace(named, SCHEME_VALUE, f"$1 {CREDENTIAL_MARK}")
+
+
+def _kept_address(value: Column) -> Column:
+    """Whether an address lies in a network that is left as it is, or is none."""
+    parts = F.split(value, "\\.")
+    octets = [F.get(parts, k).cast("long") for k in range(4)]
+    number = sum((o * (1 << (24 - 8 * k)) for k, o in enumerate(octets)), F.lit(0).cast("long"))
+    kept = F.lit(False)
+    for network in map(ipaddress.ip_network, KEPT_NETWORKS):
+        kept = kept | number.between(int(network.network_address), int(network.broadcast_address))
+    return kept | F.greatest(*octets).__gt__(255)
 
 
-def sensitive_values(rows: DataFrame, text: str) -> DataFrame:
-    """(kind, value, alias_no): distinct values found, numbered within their kind in order of value."""
-    from pyspark.sql import Window
+def _personal(kind: Column, value: Column) -> Column:
+    host = F.substring_index(value, "@", -1).isin(*KEPT_MAIL_HOSTS)
+    return F.when(kind == "email", ~host).when(kind == "ip", ~_kept_address(value)).otherwise(~value.startswith(KEPT_PHONES))
 
-    clean = strip_credentials(F.col(text))
-    every = F.concat(_found(clean, "email", EMAIL), _found(F.regexp_replace(clean, EMAIL, " "), "ip", IPV4), _found(F.regexp_replace(clean, EMAIL, " "), "phone", PHONE))
-    octets = F.forall(F.split("value", "\\."), lambda o: o.cast("int") <= 255)
-    live = rows.select(F.explode(every).alias("x")).select("x.kind", "x.value").distinct().where((F.col("kind") == "email") & ~F.col("value").rlike(r"@example\.(com|org|invalid)$") | (F.col("kind") == "ip") & ~F.col("value").rlike(IPV4_KEPT) & octets | (F.col("kind") == "phone") & ~F.col("value").rlike(PHONE_KEPT))
-    # number by counting the values of smaller buckets first, so that no task holds a whole kind
-    spread = live.withColumn("bucket", F.substring("value", 1, 2))
+
+def _found(text: Column) -> Column:
+    """Array of (kind, value) in a text without credentials; an address or number within an e-mail is not one itself."""
+    plain = F.regexp_replace(text, EMAIL, " ")
+    each = lambda body, kind: F.transform(F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return F.concat(each(text, "email"), each(plain, "ip"), each(plain, "phone"))
+
+
+def numbered_values(values: DataFrame) -> DataFrame:
+    """(kind, value, alias_no): distinct values numbered within their kind in order of value, bucket by bucket."""
+    spread = values.select("kind", "value").distinct().withColumn("bucket", F.substring("value", 1, BUCKET_CHARS))
     sizes = spread.groupBy("kind", "bucket").agg(F.count("*").alias("n"))
-    base = sizes.select("kind", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("kind", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("value"))
     return spread.withColumn("k", within).join(base, ["kind", "bucket"]).select("kind", "value", (F.col("base") + F.col("k")).alias("alias_no"))
 
@@ -121,44 +170,67 @@ def alias_of(kind: Column, number: Column) -> Column:
     return out
 
 
-def redact(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, redacted, n_credentials, n_email, n_ip, n_phone): values replaced by aliases that are the same everywhere."""
-    from collections.abc import Iterator
-
-    values = sensitive_values(rows, text)
-    aliases = values.select("value", alias_of(F.col("kind"), F.col("alias_no")).alias("alias"))
-    base = rows.select(key, text)
-    hits = base.withColumn("v", F.explode(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), F.regexp_extract_all(text, F.lit(IPV4), F.lit(0)), F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)))))).select(key, "v")
-    named = hits.join(aliases, hits["v"] == aliases["value"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("v", "alias"))).alias("names"))
+def redact(rows: DataFrame, key: str, text: str, given: DataFrame | None = None) -> DataFrame:
+    """(key, redacted, n_credentials, n_email, n_ip, n_phone): values replaced by aliases that are the same everywhere.
+
+    Aliases are joined by a hash of the whole text, so rows with a null or repeated key are redacted
+    like any other.  given(value, alias) are aliases and names from outside; they are replaced as whole
+    words and come before found values.
+    """
+    base = rows.select(key, F.col(text).alias("__raw"))
+    clean = base.withColumn("__clean", strip_credentials(F.col("__raw"))).withColumn("__of", F.sha2("__clean", 256))
+    hits = clean.select("__of", F.explode(F.array_distinct(_found(F.col("__clean")))).alias("x")).select("__of", "x.kind", "x.value").distinct()
+    personal = hits.where(_personal(F.col("kind"), F.col("value")))
+    aliases = numbered_values(personal).select("kind", "value", alias_of(F.col("kind"), F.col("alias_no")).alias("alias"))
+    named = personal.join(aliases, ["kind", "value"]).select("__of", "value", "alias")
+    if given is not None:
+        outside = given.select("value", "alias").distinct()
+        # a bounded list of names: each is looked for in every text
+        words = clean.select("__of", F.explode(F.array_distinct(F.regexp_extract_all("__clean", F.lit(r"[\w@.%+-]+"), F.lit(0)))).alias("value"))
+        named = words.join(outside, "value").select("__of", "value", "alias").distinct().unionByName(named.join(outside.select("value"), "value", "left_anti"))
+    names = named.groupBy(F.col("__of").alias("__named")).agg(F.collect_list(F.struct("value", "alias")).alias("names"))
     kind = base.schema[key].dataType.simpleString()
-    patterns = [("n_email", re.compile(EMAIL)), ("n_ip", re.compile(IPV4)), ("n_phone", re.compile(PHONE))]
+    joined = clean.join(names, clean["__of"] == names["__named"], "left").select(F.col(key), "__clean", "names")
+    return joined.mapInPandas(_spliced(key), f"`{key}` {kind}, redacted string, n_credentials long, n_email long, n_ip long, n_phone long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, body, raw, names in zip(batch[key], batch["clean"], batch[text], batch["names"], strict=True):
-                names, counts = dict(names) if names is not None else {}, {}
-                for column, pattern in patterns:
-                    counts[column] = 0
 
-                    def swap(m: re.Match, column: str = column, counts: dict = counts, names: dict = names) -> str:
-                        counts[column] += m.group() in names
-                        return names.get(m.group(), m.group())
+def _spliced(key: str):
+    patterns = [(f"n_{kind}", re.compile(pattern, re.ASCII)) for kind, pattern in PATTERNS.items()]
+    words = re.compile(r"[\w@.%+-]+", re.ASCII)
+
+    def one(body: str, names: dict[str, str]) -> tuple:
+        found = []
+        for _, pattern in patterns:
+            hits = 0
 
-                    body = pattern.sub(swap, body or "")
-                out.append((name, body, body.count(CREDENTIAL_MARK), *counts.values()))
-            yield pd.DataFrame(out, columns=[key, "redacted", "n_credentials", "n_email", "n_ip", "n_phone"])
+            def swap(m: re.Match) -> str:
+                nonlocal hits
+                hits += m.group() in names
+                return names.get(m.group(), m.group())
 
-    joined = base.join(named, key, "left").select(key, text, strip_credentials(F.col(text)).alias("clean"), "names")
-    return joined.mapInPandas(run, f"`{key}` {kind}, redacted string, n_credentials long, n_email long, n_ip long, n_phone long")
+            body = pattern.sub(swap, body)
+            found.append(hits)
+        if names:
+            body = words.sub(lambda m: names.get(m.group(), m.group()), body)
+        return (body, body.count(CREDENTIAL_MARK), *found)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, body, names in zip(batch[key], batch["__clean"], batch["names"], strict=True):
+                pairs = {x["value"]: x["alias"] for x in names} if names is not None else {}
+                out.append((name, *one(body or "", pairs)))
+            frame = pd.DataFrame(out, columns=[key, "redacted", "n_credentials", *(column for column, _ in patterns)])
+            frame[key] = batch[key].to_numpy()
+            yield frame
 
-# Fixed value: a dotted machine name whose last label is letters.
-MACHINE = r"^[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
+    return run
 
 
 def grouping_key(name: Column) -> Column:
-    """Folded name without domain suffix, blanks, dashes and underscores."""
-    folded = F.lower(F.trim(name))
-    host = F.when(folded.rlike(MACHINE), F.substring_index(folded, ".", 1)).otherwise(folded)
-    return F.regexp_replace(host, "[\\s_-]+", "")
+    """Folded name without domain suffix, blanks, dashes and underscores; only dotted machine names have a suffix."""
+    folded = fold(name)
+    labels = F.split(folded, "\\.")
+    plain = F.forall(labels, lambda x: x.rlike("^[a-z0-9-]+$"))
+    machine = (F.size(labels) > 1) & plain & F.element_at(labels, -1).rlike("^[a-z]{2,}$")
+    return F.regexp_replace(F.when(machine, F.element_at(labels, 1)).otherwise(folded), "[\\s_-]+", "")

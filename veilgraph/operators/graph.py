@@ -14,6 +14,7 @@ from veilgraph.functions.keys import key_scope, key_type
 from veilgraph.model import GROUPS, SLOTS
 from veilgraph.operators.masking import effective_level, mask_edges, mask_roles, masked_slots
 from veilgraph.plans.context import Context, readable, secure
+from veilgraph.sources.held import held
 
 
 def visible_edges(hyperedges: DataFrame, entities: DataFrame, incidence: DataFrame, context: Context, strict: bool = True) -> DataFrame:
@@ -36,24 +37,40 @@ def node_degree(edges: DataFrame, node: str, other: str) -> DataFrame:
     return edges.select(node, other).distinct().groupBy(node).agg(F.count("*").alias("degree"))
 
 
+def _reached(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(root, he_id): hyperedges that share an entity with the frontier(root, he_id).
+
+    The frontier is turned into distinct (root, entity) rows before it meets the links, so an entity
+    held by a large share of all hyperedges is expanded once for each root, never once for each pair of
+    its hyperedges; Spark can split that key's side of the join.
+    """
+    shared = frontier.select("root", "he_id").join(links, "he_id").select("root", "entity_id").distinct()
+    return shared.join(links, "entity_id").select("root", "he_id").distinct()
+
+
 def adjacent(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, he_id): hyperedges that share an entity with a root, roots of the same call left out per root."""
-    start = edges.join(roots.select(F.col("he_id").alias("root")), F.col("he_id") == F.col("root")).select("root", "entity_id").distinct()
-    return start.join(edges.select("he_id", "entity_id").distinct(), "entity_id").where("he_id <> root").select("root", "he_id").distinct()
+    """(root, he_id): hyperedges that share an entity with a root, the root itself left out."""
+    links = edges.select("he_id", "entity_id").distinct()
+    return _reached(links, roots.select(F.col("he_id").alias("root"), "he_id")).where("he_id <> root")
 
 
 def zone(edges: DataFrame, roots: DataFrame, steps: int) -> DataFrame:
     """(root, he_id, step): breadth-first, each hyperedge at its first step; the root itself is step 0.
 
-    steps is small; each step is one join from the frontier only.
+    The incidence and each step's frontier are written once; a step is one join from the frontier, and
+    an entity that an earlier frontier of the same root went through is not expanded again.
     """
-    links = edges.select("he_id", "entity_id").distinct()
-    seen = roots.select(F.col("he_id").alias("root"), "he_id", F.lit(0).alias("step"))
-    frontier = seen
+    links = held(edges.select("he_id", "entity_id").distinct(), "links")
+    seen = held(roots.select(F.col("he_id").alias("root"), "he_id", F.lit(0).alias("step")), "zone-0")
+    frontier, used = seen, None
     for step in range(1, steps + 1):
         shared = frontier.select("root", "he_id").join(links, "he_id").select("root", "entity_id").distinct()
-        reached = shared.join(links, "entity_id").select("root", "he_id").distinct()
-        frontier = reached.join(seen.select("root", "he_id"), ["root", "he_id"], "left_anti").withColumn("step", F.lit(step))
+        fresh = shared if used is None else shared.join(used, ["root", "entity_id"], "left_anti")
+        fresh = held(fresh, f"zone-entities-{step}")
+        reached = fresh.join(links, "entity_id").select("root", "he_id").distinct()
+        found = reached.join(seen.select("root", "he_id"), ["root", "he_id"], "left_anti").withColumn("step", F.lit(step))
+        frontier = held(found, f"zone-{step}")
+        used = fresh if used is None else used.union(fresh)
         seen = seen.union(frontier.select("root", "he_id", "step"))
     return seen
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from veilgraph.functions.keys import key_state, merged_key
 from veilgraph.plans.context import Context, secure
 
+#: Characters by which an anchor is looked up inside subjects.
+GRAM = 6
+
 
 def get_by_ids(ids: DataFrame, rows: DataFrame, context: Context, namespace: str, *fields: str) -> DataFrame:
     """ids(pos, id) with the named fields; what the context may not read looks missing."""
@@ -30,12 +33,21 @@ def needs_write(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def by_anchor(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     """(anchor_id, he_id): facts whose subject equals the anchor; only where there is none, those that contain it.
 
-    anchors is a bounded list of labels; facts(he_id, subject).
+    anchors(anchor_id, anchor), facts(he_id, subject).  Containment is an equi-join: an anchor is found
+    at the places where a subject's GRAM characters equal the anchor's first ones, then compared whole;
+    subjects are taken once each, however many facts have them.  Anchors shorter than GRAM characters
+    are joined on pieces of their own length.
     """
     exact = anchors.join(facts, F.col("anchor") == F.col("subject")).select("anchor_id", "he_id")
-    rest = F.broadcast(anchors.join(exact.select("anchor_id").distinct(), "anchor_id", "left_anti"))
-    partial = facts.join(rest, F.col("subject").contains(F.col("anchor"))).select("anchor_id", "he_id")
-    return exact.union(partial).distinct()
+    rest = anchors.where("length(anchor) > 0").join(exact.select("anchor_id").distinct(), "anchor_id", "left_anti")
+    lead = rest.withColumn("size", F.least(F.char_length("anchor"), F.lit(GRAM))).withColumn("piece", F.substring("anchor", 1, GRAM))
+    sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
+    subjects = facts.where("length(subject) > 0").select("subject").distinct()
+    cut = subjects.select("subject", F.explode(sizes).alias("size")).where(F.col("size") <= F.char_length("subject"))
+    placed = cut.select("subject", "size", F.explode(F.sequence(F.lit(1), F.char_length("subject") - F.col("size") + 1)).alias("at"))
+    pieces = placed.select("subject", "size", F.col("subject").substr(F.col("at"), F.col("size")).alias("piece")).distinct()
+    found = pieces.join(lead, ["size", "piece"]).where(F.col("subject").contains(F.col("anchor"))).select("anchor_id", "subject").distinct()
+    return exact.union(found.join(facts, "subject").select("anchor_id", "he_id")).distinct()
 
 
 def expand_by_grants(context_rows: DataFrame, granted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -21,10 +21,18 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Deterministic vectors from a hash: for tests and offline runs."""
+    """Deterministic vectors for tests and offline runs: signed counts of hashed words."""
+
+    def __init__(self, size: int = 32) -> None:
+        self.size = size
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [[1.0, *(b / 255 for b in hashlib.sha256(t.encode()).digest()[:7])] for t in texts]
+        out = np.zeros((len(texts), self.size))
+        for row, text in zip(out, texts, strict=True):
+            for word in text.lower().split():
+                code = zlib.crc32(word.encode())
+                row[code % self.size] += 1.0 if code >> 31 else -1.0
+        return out.tolist()
 
 
 def embed(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
@@ -54,15 +62,22 @@ def top_k(vectors: DataFrame, query: list[float], context: Context, namespace: s
     return own.select("vec_id", (dot / (size * norm)).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """vectors after a write: keys of touched ids merged with the stored ones; ids that merge to no key go."""
+def upsert(old: DataFrame, new: DataFrame, order: str = "written") -> DataFrame:
+    """vectors after a write: keys of touched ids merged with the stored ones; ids that merge to no key go.
+
+    The embedding and namespace kept are those of the id's last row in new by `order`, a column of new; rows
+    written at one time are told apart by their key.
+    """
     from veilgraph.functions.keys import merged_key
 
-    keys = old.select("vec_id", "filter_key").union(new.select("vec_id", "filter_key")).join(new.select("vec_id").distinct(), "vec_id", "left_semi")
+    touched = new.select("vec_id").distinct()
+    keys = old.select("vec_id", "filter_key").union(new.select("vec_id", "filter_key")).join(touched, "vec_id", "left_semi")
     merged = keys.groupBy("vec_id").agg(merged_key(F.col("filter_key")).alias("filter_key")).where("filter_key is not null")
-    kept = old.join(new.select("vec_id").distinct(), "vec_id", "left_anti")
-    latest = new.groupBy("vec_id").agg(F.max_by("embedding", "filter_key").alias("embedding"), F.max("namespace").alias("namespace"))
-    return kept.select("vec_id", "namespace", "filter_key", "embedding").union(latest.join(merged, "vec_id").select("vec_id", "namespace", "filter_key", "embedding"))
+    kept = old.join(touched, "vec_id", "left_anti")
+    last = new.groupBy("vec_id").agg(F.max_by(F.struct("namespace", "embedding"), F.struct(order, "filter_key")).alias("last"))
+    latest = last.select("vec_id", "last.namespace", "last.embedding").join(merged, "vec_id")
+    columns = ("vec_id", "namespace", "filter_key", "embedding")
+    return kept.select(*columns).union(latest.select(*columns))
 
 
 def hybrid_context(entity_hits: DataFrame, edge_hits: DataFrame, edges: DataFrame, budget: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import Context, dropped_level, readable, secure, user_context
 from veilgraph.sources import ingest, scan, store
+from veilgraph.sources.held import held
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,12 +27,24 @@ START, END = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
 SALT = "veilgraph-salt-2024"
 
 
+#: Facts with ids written by the query that is being built, so that its branches share them.
+_FACTS: dict[str, DataFrame] = {}
+
+
 def query(sql: str | None = None):
     def add(call: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[call.__name__] = call
+        @functools.wraps(call)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            _FACTS.clear()
+            try:
+                return call(spark, d)
+            finally:
+                _FACTS.clear()
+
+        QUERIES[call.__name__] = run
         if sql is not None:
             ORACLES[call.__name__] = _WITH + sql
-        return call
+        return run
 
     return add
 
@@ -50,8 +64,16 @@ def _type(n: str) -> str:
     return f"({_list(m.TYPES)})[({n}) % 13 + 1]"
 
 
-def _policy_rows(p: pol.Policy) -> str:
-    return ", ".join(f"('{p.name}', '{r}', '{s}', '{t}', '{s}:{t}', {k}, '{lv}', {_list(mask)})" for r, s, t, k, lv, mask in pol.flat(p))
+#: The default policy and its variants, written out by hand.
+_POLICY = """rl(role, scopes, open_to, part_to) AS (VALUES ('staff', ['internal'], 4, 10), ('support', ['customer_a', 'customer_b'], 10, 18), ('engineer', ['internal', 'customer_a'], 16, 24),
+  ('security', ['internal', 'customer_a', 'customer_b'], 20, 27), ('admin', ['internal', 'customer_a', 'customer_b'], 30, 30)),
+lv AS (SELECT role, scopes, ctype, rank, CASE WHEN rank <= open_to THEN 'L2' WHEN rank <= part_to THEN 'L1' ELSE 'L0' END AS level,
+  CASE WHEN rank <= 16 THEN ['source', 'owner'] WHEN rank <= 24 THEN ['source', 'condition', 'owner'] ELSE ['source', 'condition', 'cause', 'remediation', 'owner'] END AS part FROM rl, ranks),
+vr AS (SELECT 'off' AS variant, role, ['internal', 'customer_a', 'customer_b'] AS scopes, ctype, rank, 'L2' AS level, ['owner'] AS mask FROM lv
+  UNION ALL SELECT 'binary', role, scopes, ctype, rank, CASE level WHEN 'L1' THEN 'L0' ELSE level END, ['owner'] FROM lv
+  UNION ALL SELECT 'full', role, scopes, ctype, rank, level, CASE level WHEN 'L1' THEN part ELSE ['owner'] END FROM lv
+  UNION ALL SELECT 'min_l1', role, scopes, ctype, rank, CASE level WHEN 'L0' THEN 'L1' ELSE level END, CASE level WHEN 'L1' THEN part WHEN 'L2' THEN ['owner'] ELSE ['subject', 'symptom', 'cause', 'condition', 'remediation', 'source', 'time', 'owner'] END FROM lv),
+allpolicy AS (SELECT variant, role, scope, ctype, scope || ':' || ctype AS filter_key, rank, level, mask FROM (SELECT variant, role, unnest(scopes) AS scope, ctype, rank, level, mask FROM vr)),"""
 
 
 def _merge(key: str) -> str:
@@ -64,9 +86,9 @@ def _json(cols) -> str:
 
 _UNPIVOT = " UNION ALL ".join(f"SELECT he_id, doc_no, filter_key, '{s}' AS slot, \"{s}\" AS entity_id FROM coarse WHERE \"{s}\" IS NOT NULL" for s in m.COARSE) + " UNION ALL SELECT he_id, doc_no, filter_key, 'source', order_ref FROM coarse"
 
-_WITH = f"""WITH allpolicy(variant, role, scope, ctype, filter_key, rank, level, mask) AS (VALUES {", ".join(_policy_rows(pol.variant(pol.DEFAULT, v)) for v in pol.VARIANTS)}),
+_WITH = f"""WITH ranks(ctype, rank, owner_group) AS (VALUES {", ".join(f"('{t}', {r}, {repr(m.GROUPS[t]) if t in m.GROUPS else 'NULL'})" for t, r in m.RANKS.items())}),
+{_POLICY}
 policy AS (SELECT * FROM allpolicy WHERE variant = 'full'),
-ranks(ctype, rank, owner_group) AS (VALUES {", ".join(f"('{t}', {r}, {repr(m.GROUPS[t]) if t in m.GROUPS else 'NULL'})" for t, r in m.RANKS.items())}),
 docs AS (SELECT doc_id, 'doc-' || doc_id AS doc_key, {_scope("doc_id")} AS scope, {_type("doc_id")} AS ctype, {_scope("doc_id")} || ':' || {_type("doc_id")} AS filter_key, text FROM documents),
 facts AS (SELECT l_orderkey, l_orderkey % 200 AS doc_no, p_name AS subject, CASE WHEN l_quantity > 25 THEN p_type END AS symptom, CASE WHEN l_discount > 0.05 THEN o_orderpriority END AS cause,
   l_returnflag || l_linestatus AS condition, CASE WHEN l_tax > 0.04 THEN p_brand END AS remediation, 'order-' || o_orderkey AS source, strftime(l_shipdate, '%Y-%m-%d') AS time, s_name AS owner
@@ -99,7 +121,9 @@ def _ctx(grants: frozenset[str] = frozenset()) -> Context:
 
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
-    return m.coarse_facts(spark, d).withColumn("he_id", ff.fact_id())
+    if d not in _FACTS:
+        _FACTS[d] = held(m.coarse_facts(spark, d).withColumn("he_id", ff.fact_id()), "facts")
+    return _FACTS[d]
 
 
 def _he(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +297,8 @@ def graph_view(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT v.he_id, c.doc_no AS chunk_id FROM vis v JOIN coarse c USING (he_id) WHERE c.filter_key IN (SELECT filter_key FROM hekeys WHERE level = 'L2')")
 def chunks_by_source(spark: SparkSession, d: str) -> DataFrame:
     edges = _coarse(spark, d).groupBy("he_id").agg(keys.merged_key(F.col("filter_key")).alias("filter_key"), F.collect_set("doc_no").alias("sources"))
-    chunks = spark.range(200).select(F.col("id").alias("chunk_id"), F.concat_ws(":", m.scope_of(F.col("id")), m.type_of(F.col("id"))).alias("filter_key"))
+    number = F.col("chunk_id")
+    chunks = _coarse(spark, d).select(F.col("doc_no").alias("chunk_id")).distinct().withColumn("filter_key", F.concat_ws(":", m.scope_of(number), m.type_of(number)))
     return graph.chunks_by_source(edges, chunks, _ctx())
 
 
@@ -377,10 +402,10 @@ def audit_tail(spark: SparkSession, d: str) -> DataFrame:
     return audit.tail(m.audit_events(spark, d), "s2", 50).select("event_id", "event", "tier")
 
 
-@query("SELECT 'doc-' || o_orderkey AS doc_key, count(*) AS n, round(sum(e.cost), 4) AS cost FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(o_orderkey % 40000 AS INTEGER)) AS s FROM orders WHERE o_custkey % 50 = 0) o JOIN ev e ON e.ts >= o.s AND e.ts < o.s + INTERVAL 3 HOURS GROUP BY o_orderkey")
+@query("SELECT 'doc-' || o_orderkey AS doc_key, count(*) AS n, round(sum(e.cost), 4) AS cost FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(o_orderkey % 40000 AS INTEGER)) AS s FROM orders) o JOIN ev e ON e.ts >= o.s AND e.ts < o.s + INTERVAL 3 HOURS GROUP BY o_orderkey")
 def cost_per_doc_window(spark: SparkSession, d: str) -> DataFrame:
     start = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit("2024-01-01 00:00:00"))) + F.col("o_orderkey") % 40000 * 60)
-    spans = m.table(spark, d, "orders").where("o_custkey % 50 = 0").select(F.concat(F.lit("doc-"), "o_orderkey").alias("doc_key"), start.alias("start")).withColumn("end", F.col("start") + F.expr("INTERVAL 3 HOURS"))
+    spans = m.table(spark, d, "orders").select(F.concat(F.lit("doc-"), "o_orderkey").alias("doc_key"), start.alias("start")).withColumn("end", F.col("start") + F.expr("INTERVAL 3 HOURS"))
     return audit.cost_by_interval(m.audit_events(spark, d), spans)
 
 
@@ -454,7 +479,11 @@ def multi_source_entities(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = "(SELECT 's' || (c_custkey % 3) AS scope, CASE c_custkey % 4 WHEN 0 THEN upper(c_mktsegment) WHEN 1 THEN lower(c_mktsegment) || '.corp.example' WHEN 2 THEN replace(c_mktsegment, 'U', 'u-') ELSE c_mktsegment END AS name, count(*) AS n FROM customer GROUP BY 1, 2)"
 
 
-@query(f", g AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(lower(trim(name)), '{text.MACHINE}') THEN split_part(lower(trim(name)), '.', 1) ELSE lower(trim(name)) END, '[\\s_-]+', '', 'g') AS group_key FROM {_NAMES}) SELECT scope, group_key, arg_min(name, {{'a': -n, 'b': length(name), 'c': name}}) AS canonical, string_agg(DISTINCT name, ',' ORDER BY name) AS variants FROM g GROUP BY scope, group_key HAVING count(DISTINCT name) > 1")
+_FOLDED = "lower(trim(nfc_normalize(name)))"
+_HOST = "^[a-z0-9-]+([.][a-z0-9-]+)*[.][a-z]{2,}$"
+
+
+@query(f", g AS (SELECT *, regexp_replace(CASE WHEN regexp_matches({_FOLDED}, '{_HOST}') THEN split_part({_FOLDED}, '.', 1) ELSE {_FOLDED} END, '[\\s_-]+', '', 'g') AS group_key FROM {_NAMES}) SELECT scope, group_key, arg_min(name, {{'a': -n, 'b': length(name), 'c': name}}) AS canonical, string_agg(DISTINCT name, ',' ORDER BY name) AS variants FROM g GROUP BY scope, group_key HAVING count(DISTINCT name) > 1")
 def alias_candidates(spark: SparkSession, d: str) -> DataFrame:
     k, seg = F.col("c_custkey") % 4, F.col("c_mktsegment")
     name = F.when(k == 0, F.upper(seg)).when(k == 1, F.concat(F.lower(seg), F.lit(".corp.example"))).when(k == 2, F.replace(seg, F.lit("U"), F.lit("u-"))).otherwise(seg)
@@ -487,7 +516,7 @@ def prf1(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
-    rows = _inc(spark, d).where("doc_no < 20 and slot = 'subject'").select(F.concat(F.lit("doc-"), "doc_no").alias("doc_key"), "he_id", "entity_id").distinct()
+    rows = _inc(spark, d).where("slot = 'subject'").select(F.concat(F.lit("doc-"), "doc_no").alias("doc_key"), "he_id", "entity_id").distinct()
     right = rows.select("doc_key", F.col("he_id").alias("pred_id"), "entity_id")
     score = F.when(F.col("gold_id") == F.col("pred_id"), 1.0).otherwise(0.5)
     pairs = rows.withColumnRenamed("he_id", "gold_id").join(right, ["doc_key", "entity_id"]).select("doc_key", "gold_id", "pred_id", score.alias("score"))
@@ -604,13 +633,13 @@ def needs_write(spark: SparkSession, d: str) -> DataFrame:
     return lookup.needs_write(rows.where("doc_no >= 120").select("id", "filter_key").distinct(), keys.merge_by(rows.where("doc_no < 120"), "id"))
 
 
-_ANCHORS = "(SELECT DISTINCT CAST(p_partkey % 20 AS BIGINT) AS anchor_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, 6) END AS anchor FROM part WHERE p_partkey < 20)"
+_ANCHORS = "(SELECT DISTINCT CAST(p_partkey AS BIGINT) AS anchor_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, 6) END AS anchor FROM part)"
 
 
 @query(f", an AS {_ANCHORS}, su AS (SELECT DISTINCT he_id, subject FROM coarse), ex AS (SELECT anchor_id, he_id FROM an JOIN su ON anchor = subject) SELECT * FROM ex UNION SELECT anchor_id, he_id FROM an JOIN su ON contains(subject, anchor) WHERE anchor_id NOT IN (SELECT anchor_id FROM ex)")
 def anchor_lookup(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    anchors = m.table(spark, d, "part").where("p_partkey < 20").select((k % 20).alias("anchor_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.substring("p_name", 1, 6)).alias("anchor")).distinct()
+    anchors = m.table(spark, d, "part").select(k.cast("long").alias("anchor_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.substring("p_name", 1, 6)).alias("anchor")).distinct()
     return lookup.by_anchor(anchors, _coarse(spark, d).select("he_id", "subject").distinct())
 
 
