@@ -692,3 +692,18 @@ def test_query_returns_every_row(spark, small, name):
         assert found.where(F.col("n_removed") == 0).count() > 0
     if name == "op6_decontaminate":
         assert found.where("n_items = 0").select("items_sha256").distinct().first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, small, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
+    answer = duck.sql(queries.ORACLES[name])
+    columns = sorted(answer.columns)
+    frame = queries.QUERIES[name](spark, small)
+    assert sorted(frame.columns) == columns
+    place = [answer.columns.index(c) for c in columns]
+    assert rows_of(frame, *columns) == sorted((tuple(row[i] for i in place) for row in answer.fetchall()), key=repr)

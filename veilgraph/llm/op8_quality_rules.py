@@ -43,6 +43,8 @@ HELD = 5
 MIN_HELD = 30
 REJECT_SCORE, REJECT_LOW = 0.005, 0.02
 MICRO = 1_000_000
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 LOW_WEIGHT = -2 * MICRO
 #: Added to a text's words in its rate, so that one word does not judge a short text.
 RATE_WORDS = 20
@@ -99,6 +101,26 @@ def _repeat_words(words: Column) -> Column:
     return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, tk, text): tk, a hash of the text, tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def base_counts(texts: DataFrame) -> DataFrame:
+    """doc_id, tk and COUNTS of every row of _texts()."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    return texts.withColumn("words", words_of(F.col("text"))).select(
+        "doc_id",
+        "tk",
+        F.size("words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
+    )
+
+
 def _trusted(labels: DataFrame) -> DataFrame:
     """(trusted_id, held) of every trusted document."""
     good = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0")
@@ -141,8 +163,7 @@ def weights(texts: DataFrame, fitted: DataFrame, buckets: int) -> DataFrame:
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, score (micro-units a feature), low_rate, base_failed and kept, for every row."""
-    text = F.col("text").cast("string")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.coalesce(text, F.lit("")).alias("text"))
+    texts = _texts(documents)
     trusted = _trusted(labels)
     buckets = word_buckets(texts)
     weighed = weights(texts, _fitted(trusted), buckets)
@@ -155,23 +176,12 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("of_doc"), F.col("tk").alias("of_tk"))
         .agg(F.sum("w").alias("w"), F.count("*").alias("features"), F.count_if(is_word).alias("all_words"), F.count_if(is_word & (F.col("w") <= LOW_WEIGHT)).alias("low"))
     )
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    base = texts.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id",
-        "tk",
-        F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
-    )
+    base = base_counts(texts)
     joined = base.join(sums, base["doc_id"].eqNullSafe(sums["of_doc"]) & (base["tk"] == sums["of_tk"]), "left")
     score = F.coalesce(F.floor(F.col("w") / F.col("features")), F.lit(0)).cast("long")
     low = F.coalesce(F.col("low") * F.col("n_words") / F.col("all_words"), F.lit(0))
     rate = F.floor(low * 1_000_000 / (F.col("n_words") + RATE_WORDS)).cast("long")
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    scored = written(joined.select("doc_id", *counts, score.alias("score"), rate.alias("low_rate"), failed.alias("base_failed")), "quality-scores")
+    scored = written(joined.select("doc_id", *COUNTS, score.alias("score"), rate.alias("low_rate"), F.expr(FAILED).alias("base_failed")), "quality-scores")
     least, most = _thresholds(scored, trusted.where("held"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)) & (F.col("low_rate") <= F.lit(most)))
 
@@ -201,3 +211,9 @@ def _thresholds(scored: DataFrame, held: DataFrame) -> tuple[int, int]:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_quality_rules that SQL can express."""
+    counted = base_counts(_texts(table(spark, sf_dir, "documents")))
+    return counted.select("doc_id", *COUNTS, F.expr(FAILED).alias("base_failed"))

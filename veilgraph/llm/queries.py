@@ -9,7 +9,7 @@ from veilgraph.llm.op4_wavelet import op4_wavelet
 from veilgraph.llm.op5_substring import op5_substring
 from veilgraph.llm.op6_decontaminate import op6_decontaminate
 from veilgraph.llm.op7_kneser_ney import op7_kneser_ney
-from veilgraph.llm.op8_quality_rules import op8_quality_rules
+from veilgraph.llm.op8_quality_rules import base_rules, op8_quality_rules
 from veilgraph.llm.op9_separators import op9_separators
 from veilgraph.llm.op10_simhash import op10_simhash
 
@@ -24,7 +24,39 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_separators": op9_separators,
     "op10_simhash": op10_simhash,
+    "base_rules": base_rules,
 }
 
-#: DuckDB SQL where it can express the operator.
-ORACLES: dict[str, str] = {}
+_SPACE_WORDS = r"[^\x20\x09-\x0D]+"
+_ALNUM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_REPEATS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORDS}') AS ws FROM documents),
+g AS (SELECT doc_id, i, sha256(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+hit AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT h, min(doc_id) AS low FROM g GROUP BY h) USING (h) WHERE g.doc_id > low),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, 50)) AS k FROM hit)),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS body, count(*) AS n FROM word ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+_HITS = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_ALNUM_WORDS}') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_ALNUM_WORDS}') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+z AS (SELECT item, ws, least(10, len(ws)) AS s FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item, s, array_to_string(ws[i : i + s - 1], ' ') AS win FROM (SELECT item, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM z)),
+dw AS (SELECT doc_id, s, i, array_to_string(ws[i : i + s - 1], ' ') AS win FROM (SELECT doc_id, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM z) WHERE len(ws) >= s)),
+hit AS (SELECT doc_id, i, s, item FROM dw JOIN iw USING (s, win)),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, s)) AS k FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+_BASE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORDS}') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACE_WORDS}')) AS ls FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 2], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM r) GROUP BY doc_id),
+x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM t LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x"""
+
+#: DuckDB SQL where it can express the operator; the others are tested against brute force.
+ORACLES: dict[str, str] = {"op5_substring": _REPEATS, "op6_decontaminate": _HITS, "base_rules": _BASE}
