@@ -182,7 +182,8 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     if not heads.groupBy("key").count().where("count > 1").isEmpty():
         heads = written(heads.dropDuplicates(["key"]), "line-heads")  # rows that repeat as a whole
     runs = written(heads.select("key", "h", "size").mapInArrow(_runs, "key struct<id: long, tk: int>, run long, p int, q int"), "line-runs")
-    shared = runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    # written, so that the join below has an exchange of its own on either side and a common run's can be split
+    shared = written(runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last"), "shared-runs")
     held = written(runs.join(shared, "run").select("run", "key", "p", "q", "first"), "held-runs")
     firsts = heads.select(F.col("key").alias("a"), F.col("h").alias("ha"))
     seconds = heads.select("key", F.col("h").alias("hb"), F.col("size").alias("sb"))
