@@ -8,7 +8,8 @@ Items shorter than WINDOW words count as one window of their own length.
 
 Rules for odd input: a null text or one without words has no words and no hits; a benchmark row
 with null item_id or no words is no item; rows of one doc_id are kept apart by a hash of their text;
-equal item_ids count once; other columns are ignored; an empty benchmark leaves every row clean.
+equal item_ids count once; other columns are ignored; an empty benchmark leaves every row clean; an
+empty table gives no rows; a very long text is indexed and checked whole, in memory of its own size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from veilgraph.llm.textbatch import ALNUM_WORDS, LOWER, Words, lists, raw, slice
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
+#: Windows planned at once in the driver.
+PLANNED = 1 << 18
 
 _COUNTS = "term long, n long"
 _POSTING = "term long, doc_id long, tk int, positions array<int>"
@@ -101,6 +104,37 @@ def term_counts(documents: DataFrame, terms: np.ndarray) -> DataFrame:
     return _texts(documents).select("text").mapInArrow(_count(np.unique(terms)), _COUNTS).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _rarest(words: Words, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rarest and second rarest term of each window of the items (ties by hash); number counts each word in the corpus.
+
+    A window with a word that no document has cannot occur and is left out; one with a single
+    term counts it twice.
+    """
+    place = np.lexsort((words.hash, number))
+    ordered = words.hash[place]
+    rank = np.zeros(len(place), dtype=np.int64)
+    rank[place] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))) if len(place) else 0
+    rank[number == 0] = -1
+    sizes = np.minimum(WINDOW, np.diff(words.first))
+    ones, twos = [], []
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        low, high = words.first[:-1][sizes == size], words.first[1:][sizes == size]
+        count = high - low - size + 1
+        starts = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        for at in range(0, len(starts), PLANNED):
+            begin = starts[at : at + PLANNED]
+            window = rank[begin[:, None] + np.arange(size)]
+            can = window.min(axis=1) >= 0
+            begin, window = begin[can], window[can]
+            one = window.argmin(axis=1)
+            others = np.where(window == window.min(axis=1, keepdims=True), np.iinfo(np.int64).max, window)
+            two = np.where(others.min(axis=1) == np.iinfo(np.int64).max, one, others.argmin(axis=1))
+            ones.append(begin + one)
+            twos.append(begin + two)
+    empty = [np.zeros(0, dtype=np.int64)]
+    return np.unique(np.concatenate(ones or empty)), np.unique(np.concatenate(twos or empty))
+
+
 def _alignments(texts: DataFrame, ids: list[str], words: Words) -> DataFrame | None:
     """(doc_id, tk, item, words, diag): document positions at which an item may start, for one block of items."""
     spark = texts.sparkSession
@@ -109,30 +143,19 @@ def _alignments(texts: DataFrame, ids: list[str], words: Words) -> DataFrame | N
         return None
     counted = {int(r["term"]) & (1 << 64) - 1: r["n"] for r in texts.select("text").mapInArrow(_count(have), _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most the block's terms
     number = np.array([counted.get(int(h), 0) for h in words.hash], dtype=np.int64)
-    firsts, seconds = set(), set()
-    for i in range(words.rows):
-        low, high = int(words.first[i]), int(words.first[i + 1])
-        size = min(WINDOW, high - low)
-        for s in range(low, high - size + 1) if size else ():
-            n = number[s : s + size]
-            if n.min() == 0:
-                continue  # a word that no document has
-            order = np.lexsort((np.arange(size), words.hash[s : s + size], n))
-            one = int(order[0])
-            two = next((int(k) for k in order if words.hash[s + k] != words.hash[s + one]), one)
-            firsts.add((i, s + one - low))
-            seconds.add((i, s + two - low))
-    if not firsts:
+    firsts, seconds = _rarest(words, number)
+    if not len(firsts):
         return None
 
-    def picked(which: set[tuple[int, int]]) -> DataFrame:
-        rows = pd.DataFrame([(int(words.hash[words.first[i] + k].view(np.int64)), i, k) for i, k in sorted(which)], columns=["term", "item_no", "offset"])
+    def picked(which: np.ndarray) -> DataFrame:
+        item = np.searchsorted(words.first, which, side="right") - 1
+        rows = pd.DataFrame({"term": words.hash[which].view(np.int64), "item_no": item.astype(np.int32), "offset": (which - words.first[item]).astype(np.int32)})
         return F.broadcast(spark.createDataFrame(rows, "term long, item_no int, offset int"))  # bounded by the block
 
-    used = np.unique(np.array([words.hash[words.first[i] + k] for i, k in firsts | seconds], dtype=np.uint64))
+    used = np.unique(words.hash[np.concatenate((firsts, seconds))])
     index = written(texts.mapInArrow(_post(used), _POSTING), "postings")
 
-    def shifted(which: set[tuple[int, int]]) -> DataFrame:
+    def shifted(which: np.ndarray) -> DataFrame:
         hit = index.join(picked(which), "term").select("doc_id", "tk", "item_no", "offset", F.explode("positions").alias("pos"))
         return hit.select("doc_id", "tk", "item_no", (F.col("pos") - F.col("offset")).alias("diag")).distinct()
 
