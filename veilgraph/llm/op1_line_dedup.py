@@ -174,7 +174,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, gone): line numbers (from 0, over all lines) to delete from each later document."""
     small_batches(documents.sparkSession)
     plain = written(_line_rows(documents), "lines")
-    classes = plain.groupBy("whole", F.size("h").alias("n")).agg(F.min("key").alias("first"))
+    classes = written(plain.groupBy("whole", F.size("h").alias("n")).agg(F.min("key").alias("first")), "line-classes")
     marked = plain.withColumn("n", F.size("h")).join(classes, ["whole", "n"])
     long_enough = F.aggregate("size", F.lit(0), lambda a, x: a + x) >= MIN_CHARS
     later = marked.where((F.col("key") != F.col("first")) & long_enough).select("key", F.col("at").alias("gone"))
