@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import Context, dropped_level, readable, secure, user_context
 from veilgraph.sources import ingest, scan, store
-from veilgraph.sources.held import held
+from veilgraph.sources.held import held, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -548,6 +549,24 @@ def ingest_classify(spark: SparkSession, d: str) -> DataFrame:
     return ingest.classify(batch, ledger)
 
 
+_AFTER = """, p AS (SELECT DISTINCT he_id, doc_no, filter_key, rank FROM keyedc WHERE doc_no >= 20 AND doc_no IN (SELECT doc_id FROM docs) AND (symptom IS NOT NULL OR doc_no < 100 OR doc_no % 3 > 0))
+SELECT he_id AS art_id, CASE WHEN min(split_part(filter_key, ':', 1)) = max(split_part(filter_key, ':', 1)) THEN arg_max(filter_key, rank) END AS filter_key, count(DISTINCT doc_no) AS n_sources FROM p GROUP BY he_id"""
+
+
+@query(_AFTER)
+def ingest_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches, the second changing a third of its documents, then a deletion: what the store holds."""
+    path = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    docs = m.documents(spark, d).select("doc_id", "doc_key", "scope", "ctype", F.concat("doc_key", "text").alias("body"))
+    facts = _coarse(spark, d).select(F.concat(F.lit("doc-"), "doc_no").alias("doc_key"), F.col("he_id").alias("art_id"), "filter_key", "doc_no", "symptom")
+    changed = F.col("doc_id") % 3 == 0
+    ingest.ingest(docs.where("doc_id < 150").drop("doc_id"), facts.where("doc_no < 150"), path, "s0")
+    second = docs.where("doc_id >= 100 and doc_id < 200").withColumn("body", F.when(changed, F.concat("body", F.lit(" changed"))).otherwise(F.col("body")))
+    ingest.ingest(second.drop("doc_id"), facts.where("doc_no >= 100 and (symptom is not null or doc_no % 3 > 0)"), path, "s0")
+    ingest.remove(docs.where("doc_id < 20").select("doc_key"), path, "s0")
+    return ingest.stored_artifacts(spark, path, "s0").select("art_id", "filter_key", F.size("sources").cast("long").alias("n_sources"))
+
+
 @query(", t AS (SELECT he_id, count(*) FILTER (doc_no < 20) AS g, count(*) FILTER (doc_no >= 20) AS l FROM hdocs GROUP BY he_id HAVING count(*) FILTER (doc_no < 20) > 0), k AS (SELECT he_id, CASE WHEN min(split_part(filter_key, ':', 1)) = max(split_part(filter_key, ':', 1)) THEN arg_max(filter_key, rank) END AS filter_key FROM keyedc WHERE doc_no >= 20 GROUP BY he_id) SELECT t.he_id AS art_id, CASE WHEN t.l = 0 THEN 'private' ELSE 'shared' END AS fate, k.filter_key FROM t LEFT JOIN k USING (he_id)")
 def provenance_delete(spark: SparkSession, d: str) -> DataFrame:
     rows = _coarse(spark, d).select(F.col("he_id").alias("art_id"), F.col("doc_no").alias("doc_key"), "filter_key").distinct()
