@@ -76,12 +76,26 @@ def alias_candidates(names: DataFrame) -> DataFrame:
     return grouped.agg(F.min_by("name", order).alias("canonical"), F.sort_array(F.collect_set("name")).alias("variants")).where(F.size("variants") > 1)
 
 
+#: Roles that a policy may have.
+MAX_ROLES = 1_000
+
+
 def recall(labels: DataFrame, levels: DataFrame) -> DataFrame:
-    """(role, grp, n, n_found, recall), and a total row with grp null; labels(question, grp, filter_key), levels(role, filter_key, level)."""
-    roles = levels.select("role").distinct()
-    asked = labels.join(F.broadcast(roles.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
-    found = asked.join(F.broadcast(levels), ["role", "filter_key"], "left").withColumn("hit", (F.coalesce("level", F.lit("L0")) >= "L1").cast("long"))
-    return found.rollup("role", "grp").agg(F.count("*").alias("n"), F.sum("hit").alias("n_found")).where("role is not null").select("role", "grp", "n", "n_found", ratio(F.col("n_found"), F.col("n")).alias("recall"))
+    """(role, grp, n, n_found, n_scope, n_level, recall), totals of each role with grp null, and the grand total with both null.
+
+    labels(question, grp, filter_key), levels(role, filter_key, level).  What a role does not find is lost
+    to its scopes (no row of its policy) or to a level below L1.
+    """
+    roles = [r["role"] for r in levels.select("role").distinct().limit(MAX_ROLES + 1).collect()]
+    if len(roles) > MAX_ROLES:
+        raise ValueError(f"a policy has at most {MAX_ROLES} roles")
+    asked = labels.withColumn("role", F.explode(F.array(*map(F.lit, roles)).cast("array<string>")))
+    joined = asked.join(levels, ["role", "filter_key"], "left")
+    hit = F.coalesce("level", F.lit("L0")) >= "L1"
+    counts = joined.rollup("role", "grp").agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("n_found"), F.count_if(F.col("level").isNull()).alias("n_scope"), F.count_if(F.col("level") < "L1").alias("n_level")
+    )
+    return counts.withColumn("recall", ratio(F.col("n_found"), F.col("n")))
 
 
 def confusion(pairs: DataFrame, roles: tuple[str, ...]) -> DataFrame:

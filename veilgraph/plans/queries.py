@@ -459,7 +459,11 @@ def compare_variants(spark: SparkSession, d: str) -> DataFrame:
 _LABELS = "(SELECT item_id, 'N' || (item_id % 7 + 1) AS grp, " + _scope("item_id") + " || ':' || " + _type("item_id") + " AS filter_key FROM benchmark)"
 
 
-@query(f"SELECT r.role, l.grp, count(*) AS n, CAST(sum(CASE WHEN p.level >= 'L1' THEN 1 ELSE 0 END) AS BIGINT) AS n_found, round(sum(CASE WHEN p.level >= 'L1' THEN 1 ELSE 0 END) / count(*), 4) AS recall FROM {_LABELS} l CROSS JOIN (SELECT DISTINCT role FROM policy) r LEFT JOIN policy p ON p.role = r.role AND p.filter_key = l.filter_key GROUP BY GROUPING SETS ((r.role, l.grp), (r.role))")
+@query(
+    f"""SELECT r.role, l.grp, count(*) AS n, count(*) FILTER (p.level >= 'L1') AS n_found, count(*) FILTER (p.level IS NULL) AS n_scope, count(*) FILTER (p.level < 'L1') AS n_level,
+  round(count(*) FILTER (p.level >= 'L1') / count(*), 4) AS recall
+FROM {_LABELS} l CROSS JOIN (SELECT DISTINCT role FROM policy) r LEFT JOIN policy p ON p.role = r.role AND p.filter_key = l.filter_key GROUP BY GROUPING SETS ((r.role, l.grp), (r.role), ())"""
+)
 def recall_ceiling(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("item_id")
     labels = m.table(spark, d, "benchmark").select(n.alias("question"), F.concat(F.lit("N"), n % 7 + 1).alias("grp"), F.concat_ws(":", m.scope_of(n), m.type_of(n)).alias("filter_key"))
