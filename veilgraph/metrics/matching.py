@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _greedy(ties: tuple[str, str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right, kept = set(), set(), []
+        ordered = group.sort_values(["score", *ties], ascending=[False, True, True])
+        for place, (gold, pred) in enumerate(zip(ordered["gold_id"], ordered["pred_id"], strict=True)):
+            if gold not in left and pred not in right:
+                left.add(gold)
+                right.add(pred)
+                kept.append(place)
+        return ordered.iloc[kept]
 
+    return run
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    left, right, out = set(), set(), []
-    for row in group.sort_values(["score", "gold_id", "pred_id"], ascending=[False, True, True]).itertuples():
-        if row.gold_id not in left and row.pred_id not in right:
-            left.add(row.gold_id)
-            right.add(row.pred_id)
-            out.append((row.doc_key, row.gold_id, row.pred_id, row.score))
-    return pd.DataFrame(out, columns=["doc_key", "gold_id", "pred_id", "score"])
 
+def greedy_match(candidates: DataFrame, ties: tuple[str, str] = ("gold_id", "pred_id")) -> DataFrame:
+    """candidates(doc_key, gold_id, pred_id, score) taken by falling score, then by the ids in the order of `ties`.
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
-    """candidates(doc_key, gold_id, pred_id, score) taken by falling score; a document's candidates are one group, bounded by its facts."""
-    return candidates.groupBy("doc_key").applyInPandas(_greedy, "doc_key string, gold_id string, pred_id string, score double")
+    Pairs that compete with no other pair are kept as they are.  What is left of a document's candidates is
+    one group, bounded by its facts.
+    """
+    rows = candidates.select("doc_key", "gold_id", "pred_id", "score")
+    by_gold = rows.groupBy("doc_key", "gold_id").agg(F.count("*").alias("_g"))
+    by_pred = rows.groupBy("doc_key", "pred_id").agg(F.count("*").alias("_p"))
+    counted = rows.join(by_gold, ["doc_key", "gold_id"]).join(by_pred, ["doc_key", "pred_id"])
+    alone = (F.col("_g") == 1) & (F.col("_p") == 1)
+    columns = ("doc_key", "gold_id", "pred_id", "score")
+    rest = counted.where(~alone).select(*columns)
+    return counted.where(alone).select(*columns).union(rest.groupBy("doc_key").applyInPandas(_greedy(ties), rest.schema))
