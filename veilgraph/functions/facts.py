@@ -98,6 +98,13 @@ def apply_aliases(facts: DataFrame, aliases: DataFrame, slot: str) -> DataFrame:
     return facts.join(rules, hit, "left").withColumn(slot, F.coalesce("_to", slot)).drop("_scope", "_alias", "_to")
 
 
+def keep_first(rows: DataFrame, group: str, pos: str, *key: str) -> DataFrame:
+    """The first row of each key in its group, by position; combines before the shuffle."""
+    names = [c for c in rows.columns if c not in (group, *key)]
+    first = rows.groupBy(group, *key).agg(F.min(F.struct(pos, *[c for c in names if c != pos])).alias("_first"))
+    return first.select(group, *key, *[F.col(f"_first.{c}").alias(c) for c in names])
+
+
 def first_seen(rows: DataFrame, group: str, pos: str, key: str = "he_id") -> DataFrame:
     """Adds seen: 1 for the first row of a fact id in its group, by position; later ones repeat it."""
     from pyspark.sql import Window

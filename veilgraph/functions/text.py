@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: the namespace of RFC 4122 URL names.
-URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+# Fixed value: the namespace of point ids.
+ID_NAMESPACE = "93cef57c853153dea55fdbe2449c3d9d"
 
 CHUNK_WORDS, CHUNK_OVERLAP = 1200, 100
 MIN_SALT = 16
@@ -45,18 +45,26 @@ def fold(values: pd.Series) -> pd.Series:
 
 
 def normal_id(name: Column) -> Column:
-    """NFC with outer white space trimmed: two Unicode forms of one name are one id; an empty name is an error."""
-    return F.when(F.length(_nfc(name)) > 0, _nfc(name)).when(name.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("an id may not be empty")))
+    """NFC without outer white space and paired quotes: two Unicode forms of one name are one id; an empty name is an error."""
+    plain = _id_form(name)
+    return F.when(F.length(plain) > 0, plain).when(name.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("an id may not be empty")))
+
+
+def id_form_py(value: str) -> str:
+    plain = unicodedata.normalize("NFC", value).strip()
+    while re.fullmatch(r'"(?s:.*)"', plain):
+        plain = plain[1:-1].strip()
+    return plain
 
 
 @F.pandas_udf(T.StringType())
-def _nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: unicodedata.normalize("NFC", x).strip(), na_action="ignore")
+def _id_form(values: pd.Series) -> pd.Series:
+    return values.map(id_form_py, na_action="ignore")
 
 
 def point_id(name: Column) -> Column:
-    """Name-based version 5 UUID of an id as it is (see normal_id), from built-in SHA-1."""
-    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    """Name-based version 5 UUID of the normal form of an id, from built-in SHA-1."""
+    h = F.sha1(F.concat(F.unhex(F.lit(ID_NAMESPACE)), F.encode(normal_id(name), "UTF-8")))
     variant = F.element_at(F.array(*map(F.lit, "89ab89ab89ab89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 

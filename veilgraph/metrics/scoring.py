@@ -14,6 +14,7 @@ from veilgraph.functions.text import fold
 from veilgraph.metrics.matching import greedy_match
 from veilgraph.metrics.ratios import ratio
 from veilgraph.model import SLOTS
+from veilgraph.sources.held import held
 
 MISSING, EXTRA = "missing", "extra"
 _PLACE = {s: i for i, s in enumerate(SLOTS)}
@@ -27,8 +28,7 @@ def agree(a: Column, b: Column) -> Column:
 
 
 def folded(facts: DataFrame) -> DataFrame:
-    cells = {s: F.when(F.length(fold(s)) > 0, fold(s)) for s in SLOTS}
-    return facts.select("doc_key", "fact_id", *SLOTS).withColumns(cells)
+    return facts.select("doc_key", "fact_id", *[F.nullif(fold(s), F.lit("")).alias(s) for s in SLOTS])
 
 
 def subject_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -43,43 +43,51 @@ def subject_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return near.join(g, ["doc_key", "gold_subject"]).join(p, ["doc_key", "pred_subject"]).select("doc_key", "gold_id", "pred_id", "gold", "pred")
 
 
-def slot_matches(gold: Column, pred: Column) -> Column:
-    """Slots of two facts matched one to one: same role exactly, same role loosely, then across roles exactly and loosely.
+def slot_matches(rows: DataFrame) -> DataFrame:
+    """Adds hits, the slots of gold and pred matched one to one: same role exactly, same role loosely, across roles exactly, then loosely.
 
     gold and pred are structs of folded slots.  Same-role passes can't compete, as a fact has a role once;
     across roles each gold slot in role order takes the first slot still free.
     """
-    pairs = F.array(*[F.struct(F.lit(s).alias("role"), gold[s].alias("gold"), pred[s].alias("pred"), agree(gold[s], pred[s]).alias("kind")) for s in SLOTS])
-    same = F.transform(F.filter(pairs, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["role"].alias("gold_role"), x["role"].alias("pred_role"), x["kind"].alias("kind")))
-    free = lambda side: F.transform(F.filter(pairs, lambda x: x["kind"].isNull() & x[side].isNotNull()), lambda x: F.struct(x["role"].alias("role"), x[side].alias("value")))
-    state = _across(free("gold"), free("pred"), same, "exact")
-    return _across(state["golds"], state["preds"], state["hits"], "loose")["hits"]
+    pairs = F.array(*[F.struct(F.lit(s).alias("role"), F.col(f"gold.{s}").alias("gold"), F.col(f"pred.{s}").alias("pred"), agree(F.col(f"gold.{s}"), F.col(f"pred.{s}")).alias("kind")) for s in SLOTS])
+    same = F.transform(F.filter("_pairs", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["role"].alias("gold_role"), x["role"].alias("pred_role"), x["kind"].alias("kind")))
+    free = lambda side: F.transform(F.filter("_pairs", lambda x: x["kind"].isNull() & x[side].isNotNull()), lambda x: F.struct(x["role"].alias("role"), x[side].alias("value")))
+    first = F.struct(free("gold").alias("golds"), free("pred").alias("preds"), same.cast(_HIT).alias("hits"))
+    steps = rows.withColumn("_pairs", pairs).withColumn("_free", first).withColumn("_free", _across(F.col("_free"), "exact")).withColumn("_free", _across(F.col("_free"), "loose"))
+    return steps.withColumn("hits", F.col("_free.hits")).drop("_pairs", "_free")
 
 
-def _across(golds: Column, preds: Column, hits: Column, kind: str) -> Column:
-    start = F.struct(F.array().cast(_SLOT).alias("golds"), preds.alias("preds"), hits.cast(_HIT).alias("hits"))
+def _across(state: Column, kind: str) -> Column:
+    """State (golds, preds, hits) after one pass across roles."""
+    start = F.struct(F.array().cast(_SLOT).alias("golds"), state["preds"].alias("preds"), state["hits"].alias("hits"))
 
-    def step(state: Column, g: Column) -> Column:
-        hit = F.try_element_at(F.filter(state["preds"], lambda p: agree(g["value"], p["value"]) == kind), F.lit(1))
-        left = F.struct(F.array_append(state["golds"], g).alias("golds"), state["preds"].alias("preds"), state["hits"].alias("hits"))
-        row = F.struct(g["role"].alias("gold_role"), hit["role"].alias("pred_role"), F.lit(kind).alias("kind"))
-        rest = F.filter(state["preds"], lambda p: p["role"] != hit["role"])
-        return F.when(hit.isNull(), left).otherwise(F.struct(state["golds"].alias("golds"), rest.alias("preds"), F.array_append(state["hits"], row).alias("hits")))
+    def step(s: Column, g: Column) -> Column:
+        fits = F.slice(F.filter(s["preds"], lambda p: agree(g["value"], p["value"]) == kind), 1, 1)
+        rows = F.transform(fits, lambda p: F.struct(g["role"].alias("gold_role"), p["role"].alias("pred_role"), F.lit(kind).alias("kind")))
+        left = F.filter(F.array(g), lambda _: F.size(fits) == 0)
+        return F.struct(F.concat(s["golds"], left).alias("golds"), F.array_except(s["preds"], fits).alias("preds"), F.concat(s["hits"], rows).alias("hits"))
 
-    return F.aggregate(golds, start, step)
+    return F.aggregate(state["golds"], start, step)
 
 
 def scored_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_key, gold_id, pred_id, n_same, n_any): slots matched in their own role, and in any."""
-    hits = slot_matches(F.col("gold"), F.col("pred"))
+    return _scored(folded(gold), folded(pred))
+
+
+def _scored(gold: DataFrame, pred: DataFrame) -> DataFrame:
     own = F.size(F.filter("hits", lambda x: x["gold_role"] == x["pred_role"]))
-    each = subject_candidates(folded(gold), folded(pred)).withColumn("hits", hits)
+    each = slot_matches(subject_candidates(gold, pred))
     return each.select("doc_key", "gold_id", "pred_id", own.cast("long").alias("n_same"), F.size("hits").cast("long").alias("n_any"))
 
 
 def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_key, gold_id, pred_id): pairs taken one to one by slots in role, then slots in any, then ids of pred and gold."""
-    scored = scored_candidates(gold, pred).withColumn("score", (F.col("n_same") * 16 + F.col("n_any")).cast("double"))
+    return _paired(folded(gold), folded(pred))
+
+
+def _paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    scored = held(_scored(gold, pred), "candidates").withColumn("score", (F.col("n_same") * 16 + F.col("n_any")).cast("double"))
     return greedy_match(scored.select("doc_key", "gold_id", "pred_id", "score"), ("pred_id", "gold_id")).drop("score")
 
 
@@ -91,10 +99,11 @@ def _slots(facts: DataFrame, name: str) -> DataFrame:
 
 def pair_level(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_key, gold_role, pred_role, kind): every slot once; slots of facts without a partner are missing or extra."""
-    g, p, pairs = folded(gold), folded(pred), paired(gold, pred)
+    g, p = held(folded(gold), "gold"), held(folded(pred), "pred")
+    pairs = held(_paired(g, p), "pairs")
     both = pairs.join(g.select("doc_key", F.col("fact_id").alias("gold_id"), F.struct(*SLOTS).alias("gold")), ["doc_key", "gold_id"])
     both = both.join(p.select("doc_key", F.col("fact_id").alias("pred_id"), F.struct(*SLOTS).alias("pred")), ["doc_key", "pred_id"])
-    hits = both.select("doc_key", "gold_id", "pred_id", F.explode(slot_matches(F.col("gold"), F.col("pred"))).alias("x")).select("doc_key", "gold_id", "pred_id", "x.*")
+    hits = slot_matches(both).select("doc_key", "gold_id", "pred_id", F.explode("hits").alias("x")).select("doc_key", "gold_id", "pred_id", "x.*")
     lost = _slots(g, "gold").join(hits, ["doc_key", "gold_id", "gold_role"], "left_anti")
     more = _slots(p, "pred").join(hits, ["doc_key", "pred_id", "pred_role"], "left_anti")
     return (
@@ -112,15 +121,15 @@ def document_level(gold: DataFrame, pred: DataFrame) -> DataFrame:
     is none it is repeated (an equal value of its role is used), used (one that contains it is) or missing.
     Slots of pred that nothing points at are extra.
     """
-    g = _slots(folded(gold), "gold").withColumnRenamed("gold_role", "role")
-    p = _slots(folded(pred), "pred").withColumnRenamed("pred_role", "role")
+    g = held(_slots(folded(gold), "gold").withColumnRenamed("gold_role", "role"), "gold")
+    p = held(_slots(folded(pred), "pred").withColumnRenamed("pred_role", "role"), "pred")
     nth = lambda name: F.row_number().over(Window.partitionBy("doc_key", "role", "value").orderBy(f"{name}_id"))
     same = g.withColumn("n", nth("gold")).join(p.withColumn("n", nth("pred")), ["doc_key", "role", "value", "n"])
-    exact = same.select("doc_key", "role", "gold_id", "pred_id", F.lit("exact").alias("kind"))
+    exact = held(same.select("doc_key", "role", "gold_id", "pred_id", F.lit("exact").alias("kind")), "exact")
     g_left, p_left = g.join(exact, ["doc_key", "role", "gold_id"], "left_anti"), p.join(exact, ["doc_key", "role", "pred_id"], "left_anti")
     near = g_left.withColumnRenamed("value", "gv").join(p_left.withColumnRenamed("value", "pv"), ["doc_key", "role"]).where(agree(F.col("gv"), F.col("pv")) == "loose")
     taken = greedy_match(near.select(F.struct("doc_key", "role").alias("doc_key"), "gold_id", "pred_id", F.lit(1.0).alias("score")), ("gold_id", "pred_id"))
-    loose = taken.select("doc_key.doc_key", "doc_key.role", "gold_id", "pred_id", F.lit("loose").alias("kind"))
+    loose = held(taken.select("doc_key.doc_key", "doc_key.role", "gold_id", "pred_id", F.lit("loose").alias("kind")), "loose")
     hits = exact.union(loose)
     lost = g_left.join(loose, ["doc_key", "role", "gold_id"], "left_anti")
     values = p.groupBy("doc_key", F.col("role").alias("other"), F.col("value").alias("pv")).agg(F.min("pred_id").alias("pred_id"))

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 GRANT_MINUTES = 60
 
+# The catalogue of audit events.
+EVENTS = (
+    "llm_cost", "embedding_cost", "ingest_doc", "delete_doc", "delete_space", "extract_doc", "policy_swap", "query", "refusal", "filter",
+    "auth_login", "startup", "permission_mismatch", "breakglass_request", "breakglass_cancel", "breakglass_approve", "breakglass_reject",
+    "breakglass_grant", "role_swap",
+)
+TIERS = ("mutation", "observation")
+
 
 def in_window(ts: Column, start: str, end: str) -> Column:
     return (ts >= F.to_timestamp(F.lit(start))) & (ts < F.to_timestamp(F.lit(end)))
@@ -48,6 +56,25 @@ def grants(requests: DataFrame) -> DataFrame:
     return requests.withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {GRANT_MINUTES} MINUTES"))
 
 
+def unknown_events(events: DataFrame, catalogue: tuple[str, ...] = EVENTS) -> DataFrame:
+    """(event, tier, n): rows that the closed catalogue does not allow."""
+    bad = ~F.coalesce(F.col("event").isin(*catalogue) & F.col("tier").isin(*TIERS), F.lit(False))
+    return events.where(bad).groupBy("event", "tier").agg(F.count("*").alias("n"))
+
+
+def grant_decisions(requests: DataFrame, granted: DataFrame) -> DataFrame:
+    """(request_id, n_covered, refused): a request is refused if a grant of its act, role and space still covers any of its ids.
+
+    requests(request_id, ts, act, role, space, he_ids), granted(ts, expires_at, act, role, space, he_ids).
+    """
+    by_id = ("act", "role", "space", "he_id")
+    asked = requests.select("request_id", "ts", "act", "role", "space", F.explode_outer(F.array_distinct("he_ids")).alias("he_id"))
+    live = granted.select(F.col("ts").alias("from"), "expires_at", "act", "role", "space", F.explode(F.array_distinct("he_ids")).alias("he_id"))
+    held = asked.join(live, list(by_id)).where((F.col("from") <= F.col("ts")) & (F.col("ts") < F.col("expires_at"))).groupBy("request_id").agg(F.count_distinct("he_id").alias("n_covered"))
+    out = requests.select("request_id").join(held, "request_id", "left").na.fill(0, ["n_covered"])
+    return out.withColumn("refused", F.col("n_covered") > 0)
+
+
 def active_grants(granted: DataFrame, as_of: Column) -> DataFrame:
     """(act, space, he_ids): sorted distinct ids of grants not yet expired."""
     live = granted.where((F.col("expires_at") > as_of) & (F.col("ts") <= as_of))

@@ -24,6 +24,17 @@ def keys_by_id(ids: DataFrame, rows: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(found, "id", "left").select("id", "filter_key", key_state(F.col("_found"), F.col("filter_key")).alias("key_state"))
 
 
+def exists(ids: DataFrame, rows: DataFrame, context: Context, namespace: str) -> DataFrame:
+    """(id, found): distinct ids; what the context may not read is not there."""
+    seen = secure(rows, context, namespace).select("id", F.lit(True).alias("_found")).distinct()
+    return ids.select("id").distinct().join(seen, "id", "left").select("id", F.col("_found").isNotNull().alias("found"))
+
+
+def id_collisions(rows: DataFrame) -> DataFrame:
+    """(point_id, n): points that several ids map to; rows(id, point_id)."""
+    return rows.groupBy("point_id").agg(F.count_distinct("id").alias("n")).where("n > 1")
+
+
 def needs_write(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids that are new, or whose merged key would differ from the stored one."""
     merged = stored.select("id", "filter_key").union(incoming.select("id", "filter_key")).join(incoming.select("id").distinct(), "id", "left_semi").groupBy("id").agg(merged_key(F.col("filter_key")).alias("now"))

@@ -81,6 +81,20 @@ def mask_description(context: Context, key: Column, text: Column) -> Column:
     return F.when(readable(context, "entities", key), text).otherwise(DESCRIPTION_MARK)
 
 
+def masked_nodes(ids: DataFrame) -> DataFrame:
+    """(id, name, description): what a lookup of marker ids shows, a node made up of markers; other ids give no row."""
+    return ids.where(is_marker(F.col("id"))).select("id", F.col("id").alias("name"), F.lit(DESCRIPTION_MARK).alias("description"))
+
+
+def check_masked(before: DataFrame, after: DataFrame) -> DataFrame:
+    """after, if masking dropped no column and changed no type; the plan is enough to know."""
+    kinds = lambda frame: {f.name: f.dataType for f in frame.schema}
+    lost = [name for name, kind in kinds(before).items() if kinds(after).get(name) != kind]
+    if lost:
+        raise ValueError(f"masking lost {lost}")
+    return after
+
+
 def is_marker(value: Column) -> Column:
     """Whether a value is one of the markers masking can make."""
     known = sorted({*SLOT_MARKS.values(), NO_KEY_MARK, DESCRIPTION_MARK, *map(owner_mark, set(GROUPS.values()))})

@@ -80,6 +80,18 @@ def upsert(old: DataFrame, new: DataFrame, order: str = "written") -> DataFrame:
     return kept.select(*columns).union(latest.select(*columns))
 
 
+def check_size(vectors: DataFrame, size: int) -> DataFrame:
+    """(vec_id, size): stored vectors that are null or not of the configured size."""
+    return vectors.select("vec_id", F.size("embedding").cast("long").alias("size")).where(~F.col("size").eqNullSafe(F.lit(size)))
+
+
+def unkeyed(rows: DataFrame) -> DataFrame:
+    """vec_ids whose keys merge to none: kept as a ledger, since the store holds no row of them; rows(vec_id, filter_key)."""
+    from veilgraph.functions.keys import merge_by
+
+    return merge_by(rows, "vec_id").where("filter_key is null").select("vec_id")
+
+
 def hybrid_context(entity_hits: DataFrame, edge_hits: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
     """(he_id, score, degree, rank): hyperedges hit themselves or through an entity, by score, then degree, then id.
 

@@ -362,7 +362,7 @@ def pseudonymize(spark: SparkSession, d: str) -> DataFrame:
     return _he(spark, d).select("he_id", text.pseudonym(SALT, F.lit("hyperedge"), F.col("he_id")).alias("alias"))
 
 
-@query("SELECT p_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || (['8','9','a','b'])[CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT DISTINCT p_name, sha1(unhex('" + text.URL_NAMESPACE + "') || encode(p_name)) AS h FROM part)")
+@query("SELECT p_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || (['8','9','a','b'])[CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT DISTINCT p_name, sha1(unhex('93cef57c853153dea55fdbe2449c3d9d') || encode(p_name)) AS h FROM part)")
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
     return m.table(spark, d, "part").select("p_name").distinct().select("p_name", text.point_id(F.col("p_name")).alias("point_id"))
 

@@ -39,6 +39,13 @@ def check_files(rows: DataFrame) -> DataFrame:
     return out.select(F.col("name").alias("doc_key"), good(F.trim(scope)).alias("scope"), good(F.trim(ctype)).alias("ctype"), good(filter_key(scope, ctype)).alias("filter_key"), good(body).alias("body"), "reject_code")
 
 
+def check_space(spark: SparkSession, path: str, space: str) -> None:
+    """Refuses a folder that is not declared for the space: its `.space` file must hold the name and nothing else."""
+    found = [r["value"].strip() for r in spark.read.text(f"{path.rstrip('/')}/.space").limit(2).collect()]
+    if found != [space]:
+        raise ValueError(f"{path} is declared for {found}, not for {space}")
+
+
 def visible_key(space: Column, name: str) -> Column:
     """Rows of one space (tenant); spaces are partition columns of stored tables."""
     return space == F.lit(name)
