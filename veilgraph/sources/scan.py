@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,18 @@ def check_files(rows: DataFrame) -> DataFrame:
     return out.select(F.col("name").alias("doc_key"), good(F.trim(scope)).alias("scope"), good(F.trim(ctype)).alias("ctype"), good(filter_key(scope, ctype)).alias("filter_key"), good(body).alias("body"), "reject_code")
 
 
-def check_space(spark: SparkSession, path: str, space: str) -> None:
-    """Refuses a folder that is not declared for the space: its `.space` file must hold the name and nothing else."""
-    found = [r["value"].strip() for r in spark.read.text(f"{path.rstrip('/')}/.space").limit(2).collect()]
-    if found != [space]:
+def check_space(path: str, space: str) -> None:
+    """Refuses a folder that is not declared for the space: its `.space` file must hold the name and nothing else.
+
+    Read in the driver, by path or URI: Spark's readers leave hidden files out.
+    """
+    store, folder = FileSystem.from_uri(path)
+    name = f"{folder.rstrip('/')}/.space"
+    found = None
+    if store.get_file_info(name).is_file:
+        with store.open_input_stream(name) as stream:
+            found = stream.read().decode().strip()
+    if found != space:
         raise ValueError(f"{path} is declared for {found}, not for {space}")
 
 
