@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgraph import model as m
-from veilgraph.functions import facts, keys, text
+from veilgraph.functions import facts, keys, redaction, text
 from veilgraph.metrics import cost, matching, ratios
 from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
@@ -131,33 +131,77 @@ def test_ids(spark):
         text.pseudonym("short", F.lit("k"), F.lit("v"))
 
 
+def _redacted(spark, rows, names=None, known=None):
+    frame = spark.createDataFrame(rows, "id int, t string")
+    names = spark.createDataFrame(names, "value string, alias string") if names else None
+    known = spark.createDataFrame(known, "kind string, value string, alias string") if known else None
+    out, aliases = redaction.redact(frame, "id", "t", names, known)
+    return sorted(out.collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["redacted"])), sorted(tuple(r) for r in aliases.collect())
+
+
 def test_redaction(spark):
-    body = 'mail bob@corp.de or ann@corp.de, 10.0.0.1 and 93.1.2.3, call 0912345678, password: "two words", bob@corp.de Bearer abcdefgh12'
-    rows = spark.createDataFrame([(1, body), (2, "ann@corp.de"), (3, None)], "id int, t string")
-    out = {r["id"]: r for r in text.redact(rows, "id", "t").collect()}
-    assert "corp.de" not in out[1]["redacted"] and "93.1.2.3" not in out[1]["redacted"] and "10.0.0.1" in out[1]["redacted"]
-    assert "two words" not in out[1]["redacted"] and "abcdefgh12" not in out[1]["redacted"]
-    assert out[2]["redacted"] == "mail01@example.invalid" and out[2]["redacted"] in out[1]["redacted"]
-    assert (out[1]["n_email"], out[1]["n_ip"], out[1]["n_phone"], out[1]["n_credentials"]) == (3, 1, 1, 2)
-    again = text.redact(spark.createDataFrame([(1, out[1]["redacted"])], "id int, t string"), "id", "t").first()
-    assert again["redacted"] == out[1]["redacted"]
+    body = 'mail bob@corp.de or ann@corp.de, 10.0.0.1 and 93.1.2.3, call 0912345678, password: "two words", bob@corp.de Bearer abcdefgh12 see www.corp.de'
+    out, aliases = _redacted(spark, [(1, body), (2, "ann@corp.de"), (3, None)])
+    assert out[0]["redacted"] == "mail mail02@example.invalid or mail01@example.invalid, 10.0.0.1 and 203.0.113.1, call 0900000001, password: <CREDENTIAL>, mail02@example.invalid Bearer <CREDENTIAL> see customer01.example"
+    assert out[1]["redacted"] == "mail01@example.invalid" and out[2]["redacted"] == ""
+    assert [out[0][f"n_{k}"] for k in (*redaction.KINDS, "name")] == [2, 3, 1, 1, 1, 0]
+    assert aliases == [("domain", "www.corp.de", "customer01.example"), ("email", "ann@corp.de", "mail01@example.invalid"), ("email", "bob@corp.de", "mail02@example.invalid"), ("ip", "93.1.2.3", "203.0.113.1"), ("phone", "0912345678", "0900000001")]
+    again, more = _redacted(spark, [(1, out[0]["redacted"])])
+    assert again[0]["redacted"] == out[0]["redacted"] and more == []
+
+
+def test_redaction_of_names(spark):
+    names = [("Nguyễn Văn A", "P1"), ("Nguyễn Văn", "P2"), ("Anna Smith", "P3"), ("Trần", "P4"), ("CongTyX", "O1"), ("CongTyXcloud", "O1"), ("ACME (VN).", "O2")]
+    import unicodedata
+
+    texts = ["Nguyễn Văn A, Nguyễn  Văn\nB; Trần", "ask Anna\tSmith or Annabel Smith", "CongTyXcloud va CongTyX", unicodedata.normalize("NFD", "Trần Nguyễn Văn A"), "Trầnx _Trần the ACME (VN). end", "AnnaSmith Anna, Smith"]
+    out, _ = _redacted(spark, list(enumerate(texts)), names)
+    assert [r["redacted"] for r in out] == ["P1, P2\nB; P4", "ask P3 or Annabel Smith", "O1 va O1", "P4 P1", "Trầnx _Trần the O2). end", "AnnaSmith Anna, Smith"]
+    assert [r["n_name"] for r in out] == [3, 1, 2, 2, 1, 0]
+    for bad in ([("A", "x"), ("A", "y")], [("--", "x")]):
+        with pytest.raises(ValueError):
+            _redacted(spark, [(1, "A")], bad)
+
+
+def test_aliases_skip_what_is_there(spark):
+    rows = [(1, "real 0900000001 and 0912345678, 0912345679"), (2, "mail02@example.invalid a@b.vn c@b.vn"), (3, "203.0.113.1 93.1.2.3 240.0.0.0 customer01.example x.vn")]
+    out, aliases = _redacted(spark, rows, known=[("email", "old@b.vn", "mail01@example.invalid"), ("phone", "0999999999", "0900000003")])
+    assert [r["redacted"] for r in out] == ["real 0900000001 and 0900000002, 0900000004", "mail02@example.invalid mail03@example.invalid mail04@example.invalid", "203.0.113.1 203.0.113.2 240.0.0.0 customer01.example customer02.example"]
+    assert len({(k, a) for k, _, a in aliases}) == len(aliases) == 8
+    many = [(i, f"host 93.{i // 200}.{i % 200}.7") for i in range(600)]
+    out, aliases = _redacted(spark, many)
+    found = {a for _, _, a in aliases}
+    assert len(found) == 600 and all(max(map(int, a.split("."))) < 256 for a in found) and not any("93." in r["redacted"] for r in out)
+    assert _redacted(spark, [(1, " ".join(sorted(found)))])[1] == []
+    with pytest.raises(ValueError):
+        _redacted(spark, rows, known=[("email", "a", "mail01@example.invalid"), ("email", "b", "mail01@example.invalid")])
+
+
+def test_credentials():
+    cases = {
+        "password: Mau@98765x": ["Mau@98765x"], 'SECRET="00000000-1111"': ['"00000000-1111"'], "Authorization: Bearer abc123 rest": ["Bearer abc123"], "mật  khẩu = bí mật": [], "mật khẩu: matkhau1": ["matkhau1"],
+        "api-key=abcd api_key=abcd apikey=abcd API KEY: abcd": ["abcd"] * 4, "api--key=abcd": [], "pass: abc": [], "pass='ab cd' x": ["'ab cd'"], 'pass="ab\ncd"': [], "basic QWxhZGRpbjpvcGVu": ["QWxhZGRpbjpvcGVu"],
+        "token=<CREDENTIAL>": [], "token = token=abcd": ["token=abcd"], "compass: north": ["north"], "bearer short": [], "secret:": [], "Bearer abcdefgh": ["abcdefgh"], "authorization: Basic abc": ["Basic"],
+    }
+    for text_, want in cases.items():
+        assert [text_[s:e] for s, e in redaction.credentials(text_)] == want, text_
+    long = "a: b = c " * 50_000
+    assert redaction.credentials(long + "token=abcdef") == [(len(long) + 6, len(long) + 12)]
 
 
 def test_redaction_fails_closed(spark):
-    rows = spark.createDataFrame([(None, "amy@corp.vn 0912345678"), (1, "amy@corp.vn"), (1, "amy@corp.vn and bob@corp.vn"), (1, "amy@corp.vn"), (2, ""), (3, "ask Anna or Annabel, x.bob@corp.vn")], "id int, t string")
-    out = text.redact(rows, "id", "t").collect()
+    rows = [(None, "amy@corp.vn 0912345678"), (1, "amy@corp.vn"), (1, "amy@corp.vn and bob@corp.vn"), (1, "amy@corp.vn"), (2, ""), (3, "ask Anna or Annabel, x.bob@corp.vn")]
+    out, _ = _redacted(spark, rows, [("Anna", "Person A")], [("email", "amy@corp.vn", "first@example.invalid")])
     assert len(out) == 6 and not any("corp.vn" in r["redacted"] or "0912345678" in r["redacted"] for r in out)
     assert sorted((r["n_email"], r["n_phone"]) for r in out) == [(0, 0), (1, 0), (1, 0), (1, 0), (1, 1), (2, 0)]
-    given = spark.createDataFrame([("Anna", "Person A"), ("amy@corp.vn", "first@example.invalid")], "value string, alias string")
-    named = {r["redacted"] for r in text.redact(rows, "id", "t", given).collect()}
-    assert "first@example.invalid" in named and any(x.startswith("ask Person A or Annabel") for x in named)
-    assert text.redact(rows.limit(0), "id", "t").count() == 0
+    texts = {r["redacted"] for r in out}
+    assert "first@example.invalid" in texts and any(x.startswith("ask Person A or Annabel") for x in texts)
+    assert redaction.redact(spark.createDataFrame([], "id int, t string"), "id", "t")[0].count() == 0
 
 
-def test_kept_values(spark):
+def test_kept_values():
     cases = {"172.16.0.9": True, "172.32.0.1": False, "8.8.8.8": True, "8.8.8.9": False, "300.1.1.1": True, "203.0.113.7": True, "93.1.2.3": False}
-    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", text._kept_address(F.col("v")).alias("kept")).collect()
-    assert {r["v"]: r["kept"] for r in rows} == cases
+    assert {v: redaction._kept("ip", v) for v in cases} == cases
 
 
 def test_unicode_forms_of_a_name_are_one(spark):

@@ -1,5 +1,9 @@
 """Guards and parsers that the SQL comparison does not reach."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +51,24 @@ def test_guards(spark, tmp_path):
 def test_id_form():
     assert text.id_form_py(' ""a" "b"" ') == 'a" "b'
     assert text.id_form_py('"') == '"' and text.id_form_py('""') == ""
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "veilgraph.llm", "corpus_pipeline"])
+def test_the_rest_works_without(missing):
+    """A library that cannot be imported takes away only what needs it."""
+    code = f"""
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hide())
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+names = set(e.queries())
+print(len(names) > 90, "pii_redact" in names, "op1_line_dedup" in names, "pipeline" in names, set(e.oracle_sql()) <= names)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parent.parent, timeout=300)
+    has = missing == "corpus_pipeline"
+    assert done.stdout.split() == ["True", "True", str(has), "False", "True"], done.stderr[-500:]

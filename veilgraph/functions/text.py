@@ -1,14 +1,12 @@
-"""Text functions: normalisation, ids, chunking, front matter, de-identification, pseudonyms."""
+"""Text functions: normalisation, ids, chunking, front matter, pseudonyms."""
 
 from __future__ import annotations
 
-import ipaddress
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,137 +102,6 @@ def front_matter(text: Column) -> Column:
     return F.struct(meta.alias("meta"), F.when(closed, F.regexp_replace(text, block, "")).otherwise(text).alias("body"))
 
 
-# Names of credentials, and what the de-identifier leaves.
-CREDENTIAL_NAMES = ("password", "passwd", "pwd", "pass", "secret", "token", "authorization", "api key", "access key", "private key", "client secret")
-SCHEMES = ("bearer", "basic")
-KEPT_NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "203.0.113.0/24", "255.0.0.0/8", "1.0.0.1/32", "1.1.1.1/32", "8.8.4.4/32", "8.8.8.8/32")
-KEPT_MAIL_HOSTS = ("example.com", "example.org", "example.invalid")
-KEPT_PHONES = "0900000"
-
-CREDENTIAL_MARK = "<CREDENTIAL>"
-ALIAS_FORMS = {"email": "mail%02d@example.invalid", "ip": "203.0.113.%d", "phone": "0900000%03d"}
-_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"  # alike in both engines, unlike \\b
-EMAIL = _BEFORE + r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + _AFTER
-IPV4 = _BEFORE + r"\d{1,3}(?:\.\d{1,3}){3}" + _AFTER
-PHONE = _BEFORE + r"0\d{9,10}" + _AFTER
-PATTERNS = {"email": EMAIL, "ip": IPV4, "phone": PHONE}
-#: Leading characters that values are numbered by: enough that a bucket of one kind stays small.
-BUCKET_CHARS = 6
-
-
-def _credential() -> str:
-    """Name, separator, then a quoted value or one without blanks, which a scheme may stand before."""
-    names = "|".join(sorted((x.replace(" ", "[ _-]?") for x in CREDENTIAL_NAMES), key=len, reverse=True))
-    quoted = "|".join(f"{q}[^{q}\\n]{{4,}}{q}" for q in "\"'")
-    return rf"(?i)((?:{names})\s*[:=]\s*)(?!{CREDENTIAL_MARK})(?:{quoted}|(?:(?:{'|'.join(SCHEMES)})\s+)?[^\s'\"]{{4,}})"
-
-
-CREDENTIAL = _credential()
-SCHEME_VALUE = rf"(?i)\b({'|'.join(SCHEMES)})\s+[\w.~+/=-]{{8,}}"
-
-
-def strip_credentials(text: Column) -> Column:
-    named = F.regexp_replace(text, CREDENTIAL, f"$1{CREDENTIAL_MARK}")
-    return F.regexp_replace(named, SCHEME_VALUE, f"$1 {CREDENTIAL_MARK}")
-
-
-def _kept_address(value: Column) -> Column:
-    """Whether an address lies in a network that is left as it is, or is none."""
-    parts = F.split(value, "\\.")
-    octets = [F.get(parts, k).cast("long") for k in range(4)]
-    number = sum((o * (1 << (24 - 8 * k)) for k, o in enumerate(octets)), F.lit(0).cast("long"))
-    kept = F.lit(False)
-    for network in map(ipaddress.ip_network, KEPT_NETWORKS):
-        kept = kept | number.between(int(network.network_address), int(network.broadcast_address))
-    return kept | F.greatest(*octets).__gt__(255)
-
-
-def _personal(kind: Column, value: Column) -> Column:
-    host = F.substring_index(value, "@", -1).isin(*KEPT_MAIL_HOSTS)
-    return F.when(kind == "email", ~host).when(kind == "ip", ~_kept_address(value)).otherwise(~value.startswith(KEPT_PHONES))
-
-
-def _found(text: Column) -> Column:
-    """Array of (kind, value) in a text without credentials; an address or number within an e-mail is not one itself."""
-    plain = F.regexp_replace(text, EMAIL, " ")
-    each = lambda body, kind: F.transform(F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    return F.concat(each(text, "email"), each(plain, "ip"), each(plain, "phone"))
-
-
-def numbered_values(values: DataFrame) -> DataFrame:
-    """(kind, value, alias_no): distinct values numbered within their kind in order of value, bucket by bucket."""
-    spread = values.select("kind", "value").distinct().withColumn("bucket", F.substring("value", 1, BUCKET_CHARS))
-    sizes = spread.groupBy("kind", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("kind", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("value"))
-    return spread.withColumn("k", within).join(base, ["kind", "bucket"]).select("kind", "value", (F.col("base") + F.col("k")).alias("alias_no"))
-
-
-def alias_of(kind: Column, number: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, form in ALIAS_FORMS.items():
-        out = F.when(kind == name, F.format_string(form, number)).otherwise(out)
-    return out
-
-
-def redact(rows: DataFrame, key: str, text: str, given: DataFrame | None = None) -> DataFrame:
-    """(key, redacted, n_credentials, n_email, n_ip, n_phone): values replaced by aliases that are the same everywhere.
-
-    Aliases are joined by a hash of the whole text, so rows with a null or repeated key are redacted
-    like any other.  given(value, alias) are aliases and names from outside; they are replaced as whole
-    words and come before found values.
-    """
-    base = rows.select(key, F.col(text).alias("__raw"))
-    clean = base.withColumn("__clean", strip_credentials(F.col("__raw"))).withColumn("__of", F.sha2("__clean", 256))
-    hits = clean.select("__of", F.explode(F.array_distinct(_found(F.col("__clean")))).alias("x")).select("__of", "x.kind", "x.value").distinct()
-    personal = hits.where(_personal(F.col("kind"), F.col("value")))
-    aliases = numbered_values(personal).select("kind", "value", alias_of(F.col("kind"), F.col("alias_no")).alias("alias"))
-    named = personal.join(aliases, ["kind", "value"]).select("__of", "value", "alias")
-    if given is not None:
-        outside = given.select("value", "alias").distinct()
-        # a bounded list of names: each is looked for in every text
-        words = clean.select("__of", F.explode(F.array_distinct(F.regexp_extract_all("__clean", F.lit(r"[\w@.%+-]+"), F.lit(0)))).alias("value"))
-        named = words.join(outside, "value").select("__of", "value", "alias").distinct().unionByName(named.join(outside.select("value"), "value", "left_anti"))
-    names = named.groupBy(F.col("__of").alias("__named")).agg(F.collect_list(F.struct("value", "alias")).alias("names"))
-    kind = base.schema[key].dataType.simpleString()
-    joined = clean.join(names, clean["__of"] == names["__named"], "left").select(F.col(key), "__clean", "names")
-    return joined.mapInPandas(_spliced(key), f"`{key}` {kind}, redacted string, n_credentials long, n_email long, n_ip long, n_phone long")
-
-
-def _spliced(key: str):
-    patterns = [(f"n_{kind}", re.compile(pattern, re.ASCII)) for kind, pattern in PATTERNS.items()]
-    words = re.compile(r"[\w@.%+-]+", re.ASCII)
-
-    def one(body: str, names: dict[str, str]) -> tuple:
-        found = []
-        for _, pattern in patterns:
-            hits = 0
-
-            def swap(m: re.Match) -> str:
-                nonlocal hits
-                hits += m.group() in names
-                return names.get(m.group(), m.group())
-
-            body = pattern.sub(swap, body)
-            found.append(hits)
-        if names:
-            body = words.sub(lambda m: names.get(m.group(), m.group()), body)
-        return (body, body.count(CREDENTIAL_MARK), *found)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, body, names in zip(batch[key], batch["__clean"], batch["names"], strict=True):
-                pairs = {x["value"]: x["alias"] for x in names} if names is not None else {}
-                out.append((name, *one(body or "", pairs)))
-            frame = pd.DataFrame(out, columns=[key, "redacted", "n_credentials", *(column for column, _ in patterns)])
-            frame[key] = batch[key].to_numpy()
-            yield frame
-
-    return run
-
-
 def grouping_key(name: Column) -> Column:
     """Folded name without domain suffix, blanks, dashes and underscores; only dotted machine names have a suffix."""
     folded = fold(name)

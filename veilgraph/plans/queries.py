@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilgraph import model as m
 from veilgraph.functions import facts as ff
-from veilgraph.functions import keys, text
+from veilgraph.functions import keys, redaction, text
 from veilgraph.metrics import checks, cost, matching, ratios
 from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
@@ -351,10 +351,46 @@ def chunking(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "chunk_no", F.col("n_words").cast("long").alias("n_words"), F.md5("content").alias("content_md5"))
 
 
-@query()
+def _pass(n: int, kind: str, pattern: str, kept: str, alias: str, folded: bool = False) -> str:
+    """One kind: texts cut at its matches, values numbered in order, pieces put together again."""
+    p, v = pattern.replace("'", "''"), "lower(v)" if folded else "v"
+    return f"""c{n} AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM t{n}),
+v{n} AS (SELECT doc_id, i, v, CASE WHEN {kept} THEN NULL ELSE {v} END AS k FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v FROM c{n})),
+a{n} AS MATERIALIZED (SELECT k, row_number() OVER (ORDER BY k) AS no FROM (SELECT DISTINCT k FROM v{n} WHERE k IS NOT NULL)),
+s{n} AS (SELECT doc_id, count(k) AS n_{kind}, list(coalesce({alias}, v) ORDER BY i) AS rs FROM v{n} LEFT JOIN a{n} USING (k) GROUP BY doc_id),
+t{n + 1} AS MATERIALIZED (SELECT doc_id, coalesce(n_{kind}, 0) AS n_{kind}, CASE WHEN rs IS NULL THEN t ELSE array_to_string(list_transform(range(1, len(gs) + 1), lambda i: gs[i] || coalesce(rs[i], '')), '') END AS t FROM t{n} JOIN c{n} USING (doc_id) LEFT JOIN s{n} USING (doc_id))"""
+
+
+def _octets(v: str) -> str:
+    return f"list_transform(string_split({v}, '.'), lambda x: CAST(x AS BIGINT))"
+
+
+_HEADS = r"(?i)(?:password|passwd|pwd|pass|m\x{1EAD}t\s*kh\x{1EA9}u|secret|token|authorization|(?:api|access|private)[_ -]?key)\s*[:=]\s*"
+_LOCAL = f"list_max({_octets('v')}) > 255 OR regexp_matches(v, '^(0|10|127|24[0-9]|25[0-5]|169[.]254|192[.]168|203[.]0[.]113|172[.](1[6-9]|2[0-9]|3[01]))[.]') OR v IN ('1.0.0.1', '1.1.1.1', '8.8.4.4', '8.8.8.8')"
+_TOPS = "|".join(x for x in redaction.TOP_DOMAINS if len(x) > 2)
+_REDACTED = f""", raw AS (SELECT doc_id, nfc_normalize(coalesce(text, '') || chr(10) || 'Nguyễn Thị ' || n_name || ', ' || n_name || chr(10) || 'www.' || lower(replace(n_name, ' ', '-')) || '.com.vn') AS t, n_name FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 25),
+h AS (SELECT doc_id, regexp_extract_all(t, '{_HEADS}') AS hs, string_split_regex(t, '{_HEADS}') AS gs FROM raw),
+t1 AS MATERIALIZED (SELECT doc_id, array_to_string(list_transform(range(1, len(gs) + 1), lambda i: CASE WHEN i = 1 THEN gs[1] ELSE regexp_replace(gs[i], '^(?:"[^"\n]{{4,}}"|''[^''\n]{{4,}}''|(?i:(?:bearer|basic)\s+)?[^\s''"]{{4,}})', '<CREDENTIAL>') END || coalesce(hs[i], '')), '') AS t FROM h),
+{_pass(1, "email", r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}\b", "regexp_matches(lower(v), 'example[.](com|org|invalid)$')", "printf('mail%02d@example.invalid', no)", True)},
+{_pass(2, "ip", r"\b[0-9]{1,3}(?:[.][0-9]{1,3}){3}\b", _LOCAL, "CASE WHEN no <= 254 THEN '203.0.113.' || no ELSE '240.' || ((no - 255) // 65536) || '.' || ((no - 255) // 256 % 256) || '.' || ((no - 255) % 256) END")},
+{_pass(3, "domain", rf"(?i)\b[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.](?:[a-z]{{2}}|{_TOPS})\b", f"lower(v) IN ({', '.join(repr(x) for x in redaction.KEPT_DOMAINS)})", "printf('customer%02d.example', no)", True)},
+{_pass(4, "phone", r"\b0[0-9]{9,10}\b", "starts_with(v, '0900000')", "printf('0900000%03d', no)")},
+x AS (SELECT doc_id, regexp_replace(t5.t, 'Nguyễn Thị ' || n_name, 'person ' || (n_nationkey + 1)) AS t FROM t5 JOIN nation ON n_nationkey = doc_id % 25),
+y AS (SELECT doc_id, replace(t, ', ' || n_name || chr(10), ', place' || chr(10)) AS t FROM x JOIN nation ON n_nationkey = doc_id % 25)
+SELECT y.doc_id, md5(y.t) AS redacted_md5, CAST(len(string_split(y.t, '<CREDENTIAL>')) - 1 AS BIGINT) AS n_credential, n_email, n_ip, n_domain, n_phone, CAST(2 AS BIGINT) AS n_name
+FROM y JOIN t2 USING (doc_id) JOIN t3 USING (doc_id) JOIN t4 USING (doc_id) JOIN t5 USING (doc_id)"""
+
+
+@query(_REDACTED)
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
-    found = text.redact(m.table(spark, d, "documents"), "doc_id", "text")
-    return found.select("doc_id", F.md5("redacted").alias("redacted_md5"), "n_credentials", "n_email", "n_ip", "n_phone")
+    """Documents with a signature of a name of several words, a name within it, and a domain, all of which go."""
+    nation = m.table(spark, d, "nation")
+    docs = m.table(spark, d, "documents").join(F.broadcast(nation), F.col("n_nationkey") == F.col("doc_id") % 25)
+    n = F.col("n_name")
+    signed = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\nNguyễn Thị "), n, F.lit(", "), n, F.lit("\nwww."), F.lower(F.replace(n, F.lit(" "), F.lit("-"))), F.lit(".com.vn")).alias("text"))
+    people = nation.select(F.concat(F.lit("Nguyễn  Thị "), n).alias("value"), F.concat(F.lit("person "), F.col("n_nationkey") + 1).alias("alias"))
+    found, _ = redaction.redact(signed, "doc_id", "text", people.union(nation.select("n_name", F.lit("place"))))
+    return found.select("doc_id", F.md5("redacted").alias("redacted_md5"), *[f"n_{k}" for k in (*redaction.KINDS, "name")])
 
 
 @query(f"SELECT he_id, substr(sha256('{SALT}' || chr(0) || 'hyperedge' || chr(0) || he_id), 1, 16) AS alias FROM he")
