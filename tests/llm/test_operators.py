@@ -74,7 +74,7 @@ def _without_lines(docs, full, text, gone, classes):
 
 
 def all_pairs_lines(docs):
-    """Every first document against every earlier one."""
+    """The rule: every first document loses what patience diff with any earlier one deletes."""
     full, text, heads, gone, classes = _line_classes(docs)
     for n, b in enumerate(heads):
         for a in heads[:n]:
@@ -82,34 +82,8 @@ def all_pairs_lines(docs):
     return _without_lines(docs, full, text, gone, classes)
 
 
-def brute_lines(docs):
-    """The stated rule: the first holder of each run, then the first few, then the run by itself."""
-    full, text, heads, gone, classes = _line_classes(docs)
-    holders = defaultdict(list)
-    for b in heads:
-        sizes, runs = [len(x) for x in text[b]], {}
-        for p, q in op1.shortest_runs(sizes):
-            runs[p, q] = holders[tuple(text[b][p:q])]
-
-        def standing():
-            return [(r, h) for r, h in runs.items() if h and not set(range(*r)) <= gone[b]]  # noqa: B023
-
-        def align(partners):
-            for a in partners:
-                gone[b] |= set(op1.common_lines(text[a], text[b], sizes))  # noqa: B023
-
-        align({h[0] for h in runs.values() if h})
-        align({a for _, h in standing() for a in h[1 : op1.HOLDERS]})
-        for r in [r for r, h in standing() if len(h) >= op1.HOLDERS]:
-            gone[b] |= set(range(*r))
-        for p, q in runs:
-            if b not in holders[tuple(text[b][p:q])]:
-                holders[tuple(text[b][p:q])].append(b)
-    return _without_lines(docs, full, text, gone, classes)
-
-
 def in_order(frame):
-    return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.hash("text").alias("h")).orderBy("doc_id", "h").collect()]
+    return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()]
 
 
 def test_lines(odd, spark, small):
@@ -120,20 +94,39 @@ def test_lines(odd, spark, small):
     twice = [(k, "\n".join([f"p {k}", lone, f"q {k}", lone, f"r {k}"])) for k in range(12)] + [(12 + k, "\n".join([f"p {12 + k}", lone, f"r {12 + k}"])) for k in range(30)]
     page = "\n".join(f"line {k} of a page that is there twice as a whole row" for k in range(4))
     repeated = [(1, page), (1, page), (2, "start\n" + page), (2, "start\n" + page), (2, "other text\nof this id"), (3, page), (None, page)]
-    frames = [spark.createDataFrame(rows, "doc_id long, text string") for rows in (blocks, twice, repeated)]
-    for n, frame in zip((87, 30 + 2 * 4, 12), frames, strict=False):
-        assert frame.count() < 10 or sum(r[1] for r in brute_lines(in_order(frame))) == n
+    # the line stays twice in all of them; then some hold it once, or between lines that others have
+    doubled = [(k, "\n".join([f"a {k}", lone, f"b {k}", lone, f"c {k}"])) for k in range(40)]
+    mixed = [(k, "\n".join([f"a {k}", *(["x"] if k % 3 else []), lone, *(["y", f"b {k}"] if k % 2 else ["z"]), *([lone] if k % 4 else []), *(["x"] if k % 5 == 0 else []), f"c {k}"])) for k in range(40)]
+    # two passages that cross each other
+    crossed = [(k, "\n".join((["u" * 45, f"own {k}", "v" * 45] if k % 2 else ["v" * 45, f"own {k}", "u" * 45]) + [f"end {k % 7}"])) for k in range(24)]
+    apart = []  # one table of all these, no line of one in another
+    for n, rows in enumerate((blocks, twice, doubled, doubled[:9], mixed, crossed)):
+        apart += [(len(apart) + i, "\n".join(f"{x} in {n}" for x in t.split("\n"))) for i, (_, t) in enumerate(rows)]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string") for rows in (apart, repeated)]
+    assert sum(r[1] for r in all_pairs_lines(blocks)) == 87 and sum(r[1] for r in all_pairs_lines(doubled)) == 0
     for frame in (*both(odd, spark, small), *frames):
         found = op1.drop_lines(frame)
         assert set(frame.columns) <= set(found.columns)
-        docs = in_order(frame)
-        expected = brute_lines(docs)
-        assert rows_of(found, "doc_id", "n_removed", "text") == sorted(expected, key=repr)
-        assert all(x[1] >= y[1] for x, y in zip(expected, all_pairs_lines(docs), strict=True))
-    assert [r[1] for r in brute_lines(repeated)] == [0, 0, 4, 4, 0, 4, 0]
+        assert rows_of(found, "doc_id", "n_removed", "text") == sorted(all_pairs_lines(in_order(frame)), key=repr)
+    assert [r[1] for r in all_pairs_lines(repeated)] == [0, 0, 4, 4, 0, 4, 0]
     assert op1.drop_lines(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("holders", [2, 9, 40])
+def test_lines_of_random_pages(spark, holders, monkeypatch):
+    """As all pairs do, whatever the number of holders and where the switch to shapes lies."""
+    rng = np.random.default_rng(holders)
+    lines = ["s%d" % k for k in range(6)] + ["a longer line of a template, number %d, over forty" % k for k in range(4)]
+    docs = []
+    for k in range(holders):
+        own = [lines[j] if rng.random() < 0.7 else f"own {k} {i}" for i, j in enumerate(rng.integers(0, len(lines), rng.integers(3, 14)).tolist())]
+        docs.append((k, "\n".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for switch in (1, op1.HOLDERS):
+        monkeypatch.setattr(op1, "HOLDERS", switch)
+        assert rows_of(op1.drop_lines(frame), "doc_id", "n_removed", "text") == sorted(all_pairs_lines(docs), key=repr)
+
+
 def test_shortest_runs_cover_every_block():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -629,7 +622,7 @@ def fingerprint(text):
 
 def groups(prints):
     """Smallest id reachable over links of three bits."""
-    ids = sorted(prints, key=lambda x: x[0])
+    ids = sorted(prints, key=lambda x: (x[0] is None, x[0] or 0))
     label = list(range(len(ids)))
 
     def find(i):
@@ -643,18 +636,26 @@ def groups(prints):
             if (ids[i][1] ^ ids[j][1]).bit_count() <= 3:
                 a, b = sorted((find(i), find(j)))
                 label[b] = a
-    return sorted((d, f, ids[find(k)][0]) for k, (d, f) in enumerate(ids))
+    return sorted(((d, f, ids[find(k)][0]) for k, (d, f) in enumerate(ids)), key=repr)
 
 
 def test_simhash(odd, spark, small):
     for frame in both(odd, spark, small):
-        prints = [(r["doc_id"], fingerprint(r["text"])) for r in frame.collect() if r["doc_id"] is not None]
-        found = op10.near_duplicates(frame).where("doc_id is not null")
-        assert sorted((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in found.collect()) == groups(prints)
+        prints = [(r["doc_id"], fingerprint(r["text"])) for r in frame.collect()]
+        found = op10.near_duplicates(frame)
+        assert sorted(((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in found.collect()), key=repr) == sorted(groups(prints), key=repr)
     assert op10.near_duplicates(odd.limit(0)).count() == 0
     assert op10.near_duplicates(odd.where("doc_id is null")).first()["component_id"] is None
 
 
+def test_a_row_without_id_links(spark, monkeypatch):
+    """It joins what lies on either side of it."""
+    frame = spark.createDataFrame([(1, 7, 0), (None, 8, 0b111), (2, 9, 0b111111), (None, 5, 1 << 40)], "doc_id long, tk long, fp long")
+    monkeypatch.setattr(op10, "fingerprints", lambda _: frame)
+    assert rows_of(op10.near_duplicates(frame), "doc_id", "fp", "component_id") == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, 1 << 40, None)], key=repr)
+    assert rows_of(op10.later_copies(frame), "doc_id", "tk") == sorted([(None, 8), (2, 9)], key=repr)
+
+
 def test_dense_groups_of_fingerprints(spark, monkeypatch):
     """Hot cells, cut into blocks, connect what all pairs connect."""
     rng = np.random.default_rng(4)

@@ -9,7 +9,7 @@ from test_operators import brute_hits, brute_lines, fingerprint, groups  # noqa:
 
 
 def _docs(frame):
-    return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.hash("text").alias("h")).orderBy("doc_id", "h").collect()]
+    return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()]
 
 
 def test_stages(spark, small):

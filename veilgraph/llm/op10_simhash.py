@@ -1,8 +1,10 @@
 """SimHash near-duplicates: popcount grid range-join, exact Hamming verification, components.
 
-Rules for odd input: a null or word-less text has fingerprint zero and links like any other;
-rows whose doc_id repeats each keep their row; null doc_id rows get a null component; columns
-besides doc_id and text are ignored.
+Rules for odd input: a null or word-less text has fingerprint zero and links like any other; a bit set in
+exactly half of the shingles is 0; rows whose doc_id repeats each keep their row; a row with a null
+doc_id links like any other, and its component is the smallest doc_id it reaches, null if none; an empty
+table gives no rows; a very long text is hashed whole, in memory of its own size; columns besides doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -148,23 +150,26 @@ def links(prints: DataFrame) -> DataFrame:
     return direct.union(forest)
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(of_fp, least, component): distinct fingerprints, their smallest row (null ids last), and a label of their component."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk")).alias("least")
+    classes = cut(prints.groupBy("fp").agg(least).withColumn("rep", F.col("fp")))
+    parts = connected_components(links(classes.select("rep", "fp")), "a", "b")
+    return cut(classes.join(parts, classes["rep"] == parts["node"], "left").select(F.col("fp").alias("of_fp"), "least", F.coalesce("component", "rep").alias("component")))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links of MAX_BITS or fewer differing bits."""
+    """(doc_id, fp, component_id): the smallest doc_id reachable over links of MAX_BITS or fewer differing bits; null where none has one."""
     prints = cut(fingerprints(documents))
-    classes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(links(classes), "a", "b")
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id"))
-    joined = prints.where("doc_id is not null").join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
-    return joined.union(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long")))
+    named = _classes(prints)
+    labels = named.join(named.groupBy("component").agg(F.min("least.doc_id").alias("component_id")), "component").select("of_fp", "component_id")
+    return prints.join(labels, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
 def later_copies(documents: DataFrame) -> DataFrame:
     """(doc_id, tk) of all rows but the smallest (doc_id, tk), null ids last, of each component of linked fingerprints."""
     prints = cut(fingerprints(documents))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk")).alias("least")
-    classes = cut(prints.groupBy("fp").agg(least).withColumn("rep", F.col("fp")))
-    parts = connected_components(links(classes.select("rep", "fp")), "a", "b")
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(F.col("fp").alias("of_fp"), "least", F.coalesce("component", "rep").alias("component"))
+    named = _classes(prints)
     stays = named.join(named.groupBy("component").agg(F.min("least").alias("stays")), "component").select("of_fp", "stays")
     joined = prints.join(stays, F.col("fp") == F.col("of_fp"))
     return joined.where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tk") == F.col("stays.tk")))).select("doc_id", "tk").distinct()

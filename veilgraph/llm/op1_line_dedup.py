@@ -7,10 +7,12 @@ diff with earlier ones; runs of aligned lines of at least MIN_CHARS characters a
 later document.  Partners are found through shared runs: such a block holds a shortest run of
 consecutive lines that reaches MIN_CHARS, so a document is paired with the first holder of each of its
 runs.  Where the alignments leave a line of a shared run standing (it crosses another block, or comes
-twice in a document), the next holders of that run are tried, up to its first HOLDERS.  A run that
-still stands and has more earlier holders than that is common text: it is aligned by itself with
-its first holder, so its lines go.  No block that any pair of documents would lose by patience diff is
-kept, and a document has at most HOLDERS partners a run.  Everything is judged on the input texts.
+twice in a document), the next holders of that run are tried, up to its first HOLDERS.  Beyond them holders
+are taken by shape: the lines that a document shares with other holders of standing runs, in order, with
+one gap for whatever is between.  Lines that nobody else has never match, so all holders of one shape
+align alike, and only the first of each shape is tried, in rounds of more and more shapes until none is left.
+So a document loses just what alignments with all earlier documents would delete, at any number of
+holders, without all pairs of them.  Everything is judged on the input texts.
 
 Rules for odd input: a null text stays null and has no lines; a null doc_id is kept whole; rows of
 one doc_id with different texts are kept apart and ordered by a hash of the text, equal rows are
@@ -99,10 +101,15 @@ def common_lines(a: list[int], b: list[int], sizes: list[int], least: int = MIN_
     return gone
 
 
+def _gaps(lines: list[int | None]) -> list:
+    """Lines with each gap (null) as a token that nothing equals."""
+    return [x if x is not None else (k,) for k, x in enumerate(lines)]
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first, later, sizes = (batch.column(k) for k in (1, 2, 3))
-        gone = [common_lines(first[k].as_py(), later[k].as_py(), sizes[k].as_py()) for k in range(len(batch))]
+        gone = [common_lines(_gaps(first[k].as_py()), later[k].as_py(), sizes[k].as_py()) for k in range(len(batch))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
 
@@ -144,7 +151,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return documents.withColumn("__vg_id", F.col("doc_id").cast("long")).withColumn("__vg_tk", F.hash(text)).withColumn("__vg_text", text)
+    return documents.withColumn("__vg_id", F.col("doc_id").cast("long")).withColumn("__vg_tk", F.xxhash64(text)).withColumn("__vg_text", text)
 
 
 def _line_rows(documents: DataFrame) -> DataFrame:
@@ -170,6 +177,23 @@ def _standing(runs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.col("part").isNull() | (F.size(left) > 0)).drop("of", "part")
 
 
+def _shapes(heads: DataFrame, held: DataFrame, still: DataFrame) -> DataFrame:
+    """(run, a, shape, n): for each standing run the first holder a of every shape, numbered from 1 by a.
+
+    The shape is the lines of a that another holder of a standing run has as well; runs of other lines
+    are one null each.
+    """
+    own = written(held.join(still.select("run").distinct(), "run", "left_semi").select("run", "key").distinct(), "run-members")
+    members = heads.join(own.select("key").distinct(), "key", "left_semi").select("key", F.posexplode("h").alias("pos", "line"))
+    lines = written(members, "member-lines")
+    common = written(lines.select("key", "line").distinct().groupBy("line").agg(F.count("*").alias("holders")).where("holders > 1").select(F.col("line").alias("common")), "common-lines")
+    marked = lines.join(common, lines["line"] == common["common"], "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "common"))).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | x["common"].isNotNull() | F.get(F.col("s"), i - 1)["common"].isNotNull())
+    shaped = marked.select("key", F.transform(first, lambda x: x["common"]).alias("shape"))
+    each = own.join(shaped, "key").groupBy("run", "shape").agg(F.min("key").alias("a"))
+    return each.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("a")))
+
+
 def removed_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, gone): line numbers (from 0, over all lines) to delete from each later document."""
     small_batches(documents.sparkSession)
@@ -181,16 +205,18 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     heads = written(marked.where("key = first").select("key", "at", "h", "size"), "line-heads")
     if not heads.groupBy("key").count().where("count > 1").isEmpty():
         heads = written(heads.dropDuplicates(["key"]), "line-heads")  # rows that repeat as a whole
-    runs = written(heads.select("key", "h", "size").mapInArrow(_runs, "key struct<id: long, tk: int>, run long, p int, q int"), "line-runs")
+    runs = written(heads.select("key", "h", "size").mapInArrow(_runs, "key struct<id: long, tk: long>, run long, p int, q int"), "line-runs")
     # written, so that the join below has an exchange of its own on either side and a common run's can be split
     shared = written(runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last"), "shared-runs")
     held = written(runs.join(shared, "run").select("run", "key", "p", "q", "first"), "held-runs")
     firsts = heads.select(F.col("key").alias("a"), F.col("h").alias("ha"))
     seconds = heads.select("key", F.col("h").alias("hb"), F.col("size").alias("sb"))
 
-    def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(firsts, "a").join(seconds, "key").select("key", "ha", "hb", "sb")
-        return written(both.mapInArrow(_aligned, "key struct<id: long, tk: int>, gone array<int>").where(F.size("gone") > 0), "aligned")
+    def aligned(pairs: DataFrame, lines: str | None = None) -> DataFrame:
+        """Aligns a with key, by the whole lines of a or by those that a column of pairs holds."""
+        first = pairs.distinct().join(firsts, "a") if lines is None else pairs.select("key", F.col(lines).alias("ha")).distinct()
+        both = first.join(seconds, "key").select("key", "ha", "hb", "sb")
+        return written(both.mapInArrow(_aligned, "key struct<id: long, tk: long>, gone array<int>").where(F.size("gone") > 0), "aligned")
 
     after = held.where("key > first")
     found = aligned(after.select(F.col("first").alias("a"), "key"))
@@ -201,8 +227,19 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     others = open_runs.join(earliest.where("n > 1"), "run").where("a < key").select("a", "key")
     found = found.union(aligned(others))
     last = earliest.where(F.col("n") == HOLDERS).select("run", F.col("a").alias("last"))
-    common = _standing(open_runs, found).join(last, "run").where("key > last").select("key", F.sequence("p", F.col("q") - 1).alias("gone"))
-    numbered = _merged(found.union(common)).join(heads.select("key", "at"), "key").select("key", F.transform("part", lambda k: F.get("at", k)).alias("gone"))
+    still = written(_standing(open_runs, found).join(last, "run").where("key > last").drop("last"), "standing-runs")
+    if not still.isEmpty():
+        shapes = written(_shapes(heads, held, still), "run-shapes")
+        low, high = 0, HOLDERS
+        while True:
+            batch = shapes.where((F.col("n") > low) & (F.col("n") <= high))
+            tried = aligned(still.join(batch.select("run", "a", "shape"), "run").where("a < key").select("a", "key", "shape"), "shape")
+            found = found.union(tried)
+            still = written(_standing(still, found), "standing-runs")
+            low, high = high, 8 * high
+            if still.isEmpty() or shapes.where(F.col("n") > low).isEmpty():
+                break
+    numbered = _merged(found).join(heads.select("key", "at"), "key").select("key", F.transform("part", lambda k: F.get("at", k)).alias("gone"))
     return numbered.union(later).select(F.col("key.id").alias("doc_id"), F.col("key.tk").alias("tk"), "gone")
 
 

@@ -131,14 +131,14 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     plain equi-joins whose skewed side Spark can split.  No pair of occurrences is ever formed.
     """
     known = texts.where("doc_id is not null")
-    segments = written(known.mapInArrow(_segments(length), "doc_id long, tk int, anchor long, seg long, a int, b int"), "segments")
+    segments = written(known.mapInArrow(_segments(length), "doc_id long, tk long, anchor long, seg long, a int, b int"), "segments")
     classes = segments.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     anchors = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first_doc").alias("low"), F.max("last_doc").alias("high")).where("low < high")
     shared = classes.join(anchors, "anchor").select("anchor", "seg", "first_doc", (F.col("kinds") > 1).alias("mixed"))
     marked = written(segments.join(shared, ["anchor", "seg"]).where("doc_id > first_doc or mixed"), "shared-segments")
     whole = marked.where("doc_id > first_doc").select("doc_id", "tk", "a", "b")
     todo = marked.where("doc_id = first_doc").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("todo"))
-    windows = written(known.join(todo, ["doc_id", "tk"]).select("doc_id", "tk", "text", "todo").mapInArrow(_expand(length), "doc_id long, tk int, anchor long, win long, a int"), "windows")
+    windows = written(known.join(todo, ["doc_id", "tk"]).select("doc_id", "tk", "text", "todo").mapInArrow(_expand(length), "doc_id long, tk long, anchor long, win long, a int"), "windows")
     first = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "win", "low")
     partly = windows.join(first, ["anchor", "win"]).where("doc_id > low").select("doc_id", "tk", "a", F.col("a").alias("b"))
     return whole.union(partly)
@@ -147,7 +147,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def drop_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, spans): spans holds start and end words of each maximal repeat."""
     small_batches(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.hash("text").alias("tk"), "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("tk"), "text")
     hits = repeated_windows(texts, length).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
     return texts.join(hits, ["doc_id", "tk"], "left").select("doc_id", "text", "hits").mapInArrow(_finish(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<int>")
 

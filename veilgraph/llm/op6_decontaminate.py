@@ -31,8 +31,8 @@ BLOCK_CHARS = 4_000_000
 PLANNED = 1 << 18
 
 _COUNTS = "term long, n long"
-_POSTING = "term long, doc_id long, tk int, positions array<int>"
-_VERDICT = "doc_id long, tk int, n_words long, n_hit long, items array<string>, spans array<int>"
+_POSTING = "term long, doc_id long, tk long, positions array<int>"
+_VERDICT = "doc_id long, tk long, n_words long, n_hit long, items array<string>, spans array<int>"
 
 
 def _members(sorted_terms: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -85,7 +85,7 @@ def _post(terms: np.ndarray):
 def _texts(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     text = F.col("text").cast("string")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tk"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
 def hash_terms(texts: list[str]) -> Words:
@@ -208,7 +208,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         if part is not None:
             parts.append(part)
     if not parts:
-        found = documents.sparkSession.createDataFrame([], "doc_id long, tk int, found array<struct<item string, words array<long>, diag int>>")
+        found = documents.sparkSession.createDataFrame([], "doc_id long, tk long, found array<struct<item string, words array<long>, diag int>>")
     else:
         every = parts[0]
         for part in parts[1:]:

@@ -51,7 +51,7 @@ MICRO = 1_000_000
 SLICE = 256 << 10
 MERGED = 1 << 18
 
-_PARTS = "rid long, doc_id long, tk int, lang string, trusted boolean, held boolean, n_bytes long, hot long, rare long, g array<long>, k array<int>"
+_PARTS = "rid long, doc_id long, tk long, lang string, trusted boolean, held boolean, n_bytes long, hot long, rare long, g array<long>, k array<int>"
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _source(documents: DataFrame, labels: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     text = F.col("text").cast("string")
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tk"), F.col("lang").cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.col("lang").cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")
     )
     trusted = F.col("trusted_id").isNotNull()
     held = trusted & (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0)
