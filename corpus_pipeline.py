@@ -22,7 +22,7 @@ from veilgraph.llm.shared import table, written
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id and text hash are in gone (doc_id, tk)."""
     keys = gone.select(F.col("doc_id").alias("__vg_id"), F.col("tk").alias("__vg_tk"))
-    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_id")) & (F.hash(docs["text"].cast("string")) == F.col("__vg_tk")), "left_anti")
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__vg_tk")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
