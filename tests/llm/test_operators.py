@@ -650,9 +650,9 @@ def test_simhash(odd, spark, small):
 
 def test_a_row_without_id_links(spark, monkeypatch):
     """It joins what lies on either side of it."""
-    frame = spark.createDataFrame([(1, 7, 0), (None, 8, 0b111), (2, 9, 0b111111), (None, 5, 1 << 40)], "doc_id long, tk long, fp long")
+    frame = spark.createDataFrame([(1, 7, 0), (None, 8, 0b111), (2, 9, 0b111111), (None, 5, 255 << 40)], "doc_id long, tk long, fp long")
     monkeypatch.setattr(op10, "fingerprints", lambda _: frame)
-    assert rows_of(op10.near_duplicates(frame), "doc_id", "fp", "component_id") == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, 1 << 40, None)], key=repr)
+    assert rows_of(op10.near_duplicates(frame), "doc_id", "fp", "component_id") == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, 255 << 40, None)], key=repr)
     assert rows_of(op10.later_copies(frame), "doc_id", "tk") == sorted([(None, 8), (2, 9)], key=repr)
 
 
