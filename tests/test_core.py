@@ -12,7 +12,7 @@ from veilgraph.metrics import cost, matching, ratios
 from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import Context, NoContext, readable, secure, system_context, user_context
-from veilgraph.sources import ingest, scan
+from veilgraph.sources import ingest, scan, versions
 from veilgraph.streaming import audit as stream
 
 
@@ -256,7 +256,7 @@ def test_ingest_writes_and_removes(spark, tmp_path):
     batch = lambda *rows: spark.createDataFrame([(k, "internal", t, b) for k, t, b in rows], "doc_key string, scope string, ctype string, body string")
     arts = lambda *rows: spark.createDataFrame(list(rows), "doc_key string, art_id string, filter_key string")
     status = lambda frame: {r["doc_key"]: r["status"] for r in frame.collect()}
-    stored = lambda space="s": {r["art_id"]: (r["filter_key"], r["sources"]) for r in ingest.stored_artifacts(spark, path, space).collect()}
+    stored = lambda space="s": {r["art_id"]: (r["filter_key"], r["sources"]) for r in ingest.stored_artifacts(spark, versions.latest(spark, path, space)).collect()}
     first = batch(("a", "faq", "one"), ("b", "runbook", "two"), ("c", "faq", "one"), ("d", "nonsense", "x"), ("e", "faq", "no facts here"))
     facts = arts(("a", "h1", "internal:faq"), ("a", "h2", "internal:faq"), ("b", "h2", "internal:runbook"), ("c", "h9", "internal:faq"), ("d", "h9", "internal:faq"))
     assert status(ingest.ingest(first, facts, path, "s")) == {"a": "new", "b": "new", "c": "duplicate", "d": "unknown_rank", "e": "no_facts"}
@@ -266,7 +266,7 @@ def test_ingest_writes_and_removes(spark, tmp_path):
     assert status(ingest.ingest(again, arts(("a", "h3", "internal:faq"), ("b", "h4", "internal:faq")), path, "s")) == {"a": "reingest", "b": "unchanged"}
     assert stored() == {"h2": ("internal:runbook", ["b"]), "h3": ("internal:faq", ["a"])}
     assert status(ingest.ingest(batch(("a", "faq", "now empty")), arts(("z", "h5", "internal:faq")), path, "s")) == {"a": "no_facts"}
-    assert set(stored()) == {"h2"} and {r["doc_key"] for r in ingest.read_space(spark, path, "ledger", "s").collect()} == {"b"}
+    assert set(stored()) == {"h2"} and {r["doc_key"] for r in versions.rows_of(spark, versions.latest(spark, path, "s"), "ledger").collect()} == {"b"}
     assert {r["art_id"]: r["fate"] for r in ingest.remove(spark.createDataFrame([("b",)], "doc_key string"), path, "s").collect()} == {"h2": "private"}
     assert stored() == {} and set(stored("other")) == {"h1", "h2"}
     with pytest.raises(ValueError, match="repeats"):
@@ -275,13 +275,6 @@ def test_ingest_writes_and_removes(spark, tmp_path):
     assert stored("other") == {}
 
 
-def test_spaces_are_rewritten_alone(spark, tmp_path):
-    path = str(tmp_path / "t")
-    ingest.rewrite_space(spark.createDataFrame([("a", 1), ("b", 2)], "space string, v int"), path)
-    ingest.rewrite_space(spark.createDataFrame([("a", 3)], "space string, v int"), path)
-    assert {(r["space"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 3), ("b", 2)}
-
-
 def test_greedy_match(spark):
     rows = [("d", "g1", "p1", 0.9), ("d", "g1", "p2", 0.8), ("d", "g2", "p1", 0.85), ("d", "g2", "p2", 0.1)]
     got = matching.greedy_match(spark.createDataFrame(rows, "doc_key string, gold_id string, pred_id string, score double")).collect()

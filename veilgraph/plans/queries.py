@@ -16,7 +16,7 @@ from veilgraph.metrics import checks, cost, matching, ratios
 from veilgraph.operators import audit, graph, lookup, masking, vector
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import Context, dropped_level, readable, secure, user_context
-from veilgraph.sources import ingest, scan, store
+from veilgraph.sources import ingest, scan, store, versions
 from veilgraph.sources.held import held, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,7 +368,7 @@ def _octets(v: str) -> str:
 _HEADS = r"(?i)(?:password|passwd|pwd|pass|m\x{1EAD}t\s*kh\x{1EA9}u|secret|token|authorization|(?:api|access|private)[_ -]?key)\s*[:=]\s*"
 _LOCAL = f"list_max({_octets('v')}) > 255 OR regexp_matches(v, '^(0|10|127|24[0-9]|25[0-5]|169[.]254|192[.]168|203[.]0[.]113|172[.](1[6-9]|2[0-9]|3[01]))[.]') OR v IN ('1.0.0.1', '1.1.1.1', '8.8.4.4', '8.8.8.8')"
 _TOPS = "|".join(x for x in redaction.TOP_DOMAINS if len(x) > 2)
-_REDACTED = f""", raw AS (SELECT doc_id, nfc_normalize(coalesce(text, '') || chr(10) || 'Nguyễn Thị ' || n_name || ', ' || n_name || chr(10) || 'www.' || lower(replace(n_name, ' ', '-')) || '.com.vn') AS t, n_name FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 25),
+_REDACTED = rf""", raw AS (SELECT doc_id, nfc_normalize(coalesce(text, '') || chr(10) || 'Nguyễn Thị ' || n_name || ', ' || n_name || chr(10) || 'www.' || lower(replace(n_name, ' ', '-')) || '.com.vn') AS t, n_name FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 25),
 h AS (SELECT doc_id, regexp_extract_all(t, '{_HEADS}') AS hs, string_split_regex(t, '{_HEADS}') AS gs FROM raw),
 t1 AS MATERIALIZED (SELECT doc_id, array_to_string(list_transform(range(1, len(gs) + 1), lambda i: CASE WHEN i = 1 THEN gs[1] ELSE regexp_replace(gs[i], '^(?:"[^"\n]{{4,}}"|''[^''\n]{{4,}}''|(?i:(?:bearer|basic)\s+)?[^\s''"]{{4,}})', '<CREDENTIAL>') END || coalesce(hs[i], '')), '') AS t FROM h),
 {_pass(1, "email", r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}\b", "regexp_matches(lower(v), 'example[.](com|org|invalid)$')", "printf('mail%02d@example.invalid', no)", True)},
@@ -589,22 +589,23 @@ def ingest_classify(spark: SparkSession, d: str) -> DataFrame:
     return ingest.classify(batch, ledger)
 
 
-_AFTER = """, p AS (SELECT DISTINCT he_id, doc_no, filter_key, rank FROM keyedc WHERE doc_no >= 20 AND doc_no IN (SELECT doc_id FROM docs) AND (symptom IS NOT NULL OR doc_no < 100 OR doc_no % 3 > 0))
-SELECT he_id AS art_id, CASE WHEN min(split_part(filter_key, ':', 1)) = max(split_part(filter_key, ':', 1)) THEN arg_max(filter_key, rank) END AS filter_key, count(DISTINCT doc_no) AS n_sources FROM p GROUP BY he_id"""
+_AFTER = f""", n AS (SELECT count(*) AS n FROM documents), o AS (SELECT CAST(substr(order_ref, 7) AS BIGINT) % n AS doc, he_id, symptom FROM coarse, n),
+p AS (SELECT DISTINCT he_id, doc, {_scope("doc")} || ':' || {_type("doc")} AS filter_key FROM o WHERE doc % 10 <> 0 AND (doc % 2 = 0 OR doc % 3 <> 0 OR symptom IS NOT NULL))
+SELECT he_id AS art_id, {_merge("filter_key")} AS filter_key, count(DISTINCT doc) AS n_sources FROM p GROUP BY he_id"""
 
 
 @query(_AFTER)
 def ingest_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    """Two batches, the second changing a third of its documents, then a deletion: what the store holds."""
+    """All documents but every fourth; then all odd ones, every third of which changed; then every tenth goes: what the last version holds."""
     path = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    docs = m.documents(spark, d).select("doc_id", "doc_key", "scope", "ctype", F.concat("doc_key", "text").alias("body"))
-    facts = _coarse(spark, d).select(F.concat(F.lit("doc-"), "doc_no").alias("doc_key"), F.col("he_id").alias("art_id"), "filter_key", "doc_no", "symptom")
-    changed = F.col("doc_id") % 3 == 0
-    ingest.ingest(docs.where("doc_id < 150").drop("doc_id"), facts.where("doc_no < 150"), path, "s0")
-    second = docs.where("doc_id >= 100 and doc_id < 200").withColumn("body", F.when(changed, F.concat("body", F.lit(" changed"))).otherwise(F.col("body")))
-    ingest.ingest(second.drop("doc_id"), facts.where("doc_no >= 100 and (symptom is not null or doc_no % 3 > 0)"), path, "s0")
-    ingest.remove(docs.where("doc_id < 20").select("doc_key"), path, "s0")
-    return ingest.stored_artifacts(spark, path, "s0").select("art_id", "filter_key", F.size("sources").cast("long").alias("n_sources"))
+    docs = held(m.documents(spark, d).select("doc_id", "doc_key", "scope", "ctype", "filter_key", F.concat("doc_key", F.coalesce("text", F.lit(""))).alias("body")), "ingest-docs")
+    number = F.substring("order_ref", 7, 20).cast("long") % docs.count()
+    facts = _coarse(spark, d).select(F.concat(F.lit("doc-"), number).alias("doc_key"), F.col("he_id").alias("art_id"), number.alias("n"), "symptom").join(docs.select("doc_key", "filter_key"), "doc_key")
+    ingest.ingest(docs.where("doc_id % 4 <> 3").select("doc_key", "scope", "ctype", "body"), facts.where("n % 4 <> 3"), path, "s0")
+    second = docs.where("doc_id % 2 = 1").withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.concat("body", F.lit(" changed"))).otherwise(F.col("body")))
+    ingest.ingest(second.select("doc_key", "scope", "ctype", "body"), facts.where("n % 2 = 1 and (symptom is not null or n % 3 > 0)"), path, "s0")
+    ingest.remove(docs.where("doc_id % 10 = 0").select("doc_key"), path, "s0")
+    return ingest.stored_artifacts(spark, versions.latest(spark, path, "s0")).select("art_id", "filter_key", F.size("sources").cast("long").alias("n_sources"))
 
 
 @query(", t AS (SELECT he_id, count(*) FILTER (doc_no < 20) AS g, count(*) FILTER (doc_no >= 20) AS l FROM hdocs GROUP BY he_id HAVING count(*) FILTER (doc_no < 20) > 0), k AS (SELECT he_id, CASE WHEN min(split_part(filter_key, ':', 1)) = max(split_part(filter_key, ':', 1)) THEN arg_max(filter_key, rank) END AS filter_key FROM keyedc WHERE doc_no >= 20 GROUP BY he_id) SELECT t.he_id AS art_id, CASE WHEN t.l = 0 THEN 'private' ELSE 'shared' END AS fate, k.filter_key FROM t LEFT JOIN k USING (he_id)")

@@ -1,19 +1,21 @@
-"""Incremental ingest on plain tables: classify, write, provenance delete, reconcile; rewrite by whole partitions.
+"""Incremental ingest: classify, write, provenance delete, reconcile, all through versions of a space.
 
-A store is a folder with two Parquet tables partitioned by space: provenance(art_id, doc_key, filter_key) and
-ledger(doc_key, sha, scope, ctype).  Keys and sources of artifacts are always those of the documents that
-still hold them, since they are merged from provenance when read.  Provenance is rewritten before the ledger:
-after a failure between the two, the documents are ingested again, never believed to be there.
+Keys and sources of artifacts are always those of the documents that still hold them, since they are merged from
+provenance when read.  Provenance, ledger, chunks and the audit row of a change become visible together,
+in one version; a change whose audit row cannot be written does not happen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.functions.keys import merged_key
 from veilgraph.model import RANKS
 from veilgraph.sources.held import held
+from veilgraph.sources.versions import Version, commit, latest, rows_of, vacuum
+
+STATUSES = ("new", "reingest", "unchanged", "duplicate", "unknown_rank", "no_facts")
 
 
 def classify(batch: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -63,85 +65,79 @@ def reconcile(reports: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.where("agree < stores or missing > 0").select("id_join", F.coalesce("n_states", F.lit(0)).alias("n_states"), F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
-def rewrite_space(rows: DataFrame, path: str) -> None:
-    """Replace only the partitions (spaces) that rows hold; tenants not in rows stay untouched."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space").parquet(path)
-
-
-TABLES = {"provenance": "art_id string, doc_key string, filter_key string", "ledger": "doc_key string, sha string, scope string, ctype string"}
-
-
-def _folder(spark: SparkSession, path: str):
-    """The file system of a path and the path itself, as Spark's own writers see them."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+def drop_duplicate_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of chunks(chunk_id, doc_key, filter_key, content) without those whose document stored has with the same chunk_id already, each once."""
+    fresh = chunks.join(stored.select("chunk_id", "doc_key"), ["chunk_id", "doc_key"], "left_anti")
+    return fresh.groupBy("chunk_id", "doc_key").agg(F.min(F.struct("filter_key", "content")).alias("x")).select("chunk_id", "doc_key", "x.*")
 
 
-def read_space(spark: SparkSession, store: str, table: str, space: str) -> DataFrame:
-    """One space's rows of a store's table; none where nothing was written."""
-    files, where = _folder(spark, f"{store}/{table}/space={space}")
-    if not files.exists(where):
-        return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).parquet(f"{store}/{table}/space={space}")
+def stored_chunks(spark: SparkSession, version: Version) -> DataFrame:
+    """(chunk_id, filter_key, sources, content): one row a content, with the key its documents merge to."""
+    rows = rows_of(spark, version, "chunks")
+    return rows.groupBy("chunk_id").agg(merged_key(F.col("filter_key")).alias("filter_key"), F.sort_array(F.collect_set("doc_key")).alias("sources"), F.min("content").alias("content"))
 
 
-def _write_space(rows: DataFrame, store: str, table: str, space: str) -> None:
-    """Replace a space's rows of a table; other spaces stay untouched.  rows may come from the space itself."""
-    kept = held(rows, f"next-{table}")
-    if kept.isEmpty():
-        files, where = _folder(rows.sparkSession, f"{store}/{table}/space={space}")
-        files.delete(where, True)
-    else:
-        rewrite_space(kept.withColumn("space", F.lit(space)), f"{store}/{table}")
+def _audit(spark: SparkSession, event: str, act: str, at: Column, counts: DataFrame) -> DataFrame:
+    """One mutation row whose details are counts as JSON."""
+    return counts.select(F.lit(event).alias("event"), F.lit(act).alias("act"), at.cast("timestamp").alias("at"), F.to_json(F.struct("*")).alias("details"))
 
 
-def ingest(batch: DataFrame, artifacts: DataFrame, store: str, space: str) -> DataFrame:
-    """(doc_key, status) after batch(doc_key, scope, ctype, body) with its artifacts(doc_key, art_id, filter_key) is written.
+def ingest(batch: DataFrame, artifacts: DataFrame, store: str, space: str, chunks: DataFrame | None = None, act: str = "ingest", at: Column | None = None, base: Version | None = None) -> DataFrame:
+    """(doc_key, status) after batch(doc_key, scope, ctype, body) with its artifacts(doc_key, art_id, filter_key) is committed.
 
     Statuses are those of classify(); of documents with one content in the batch the first doc_key is
     taken and the others are duplicates; a taken document without artifacts is no_facts and leaves
     nothing behind.  A re-ingested document loses all it had before.  A doc_key that repeats in the
-    batch is an error.
+    batch is an error; so is a commit by another writer since base (the newest version, if not given).
     """
     spark = batch.sparkSession
     if not batch.groupBy("doc_key").count().where("count > 1").isEmpty():
         raise ValueError("a doc_key repeats in the batch")
+    base = base or latest(spark, store, space)
     shown = batch.select("doc_key", "scope", "ctype", "body", F.sha2("body", 256).alias("sha"))
-    ledger, provenance = (read_space(spark, store, name, space) for name in ("ledger", "provenance"))
     firsts = shown.groupBy("sha").agg(F.min("doc_key").alias("first_key"))
     with_facts = artifacts.select("doc_key", F.lit(True).alias("has_facts")).distinct()
-    known = classify(shown.drop("sha"), ledger).join(shown.drop("body"), "doc_key").join(firsts, "sha").join(with_facts, "doc_key", "left")
+    known = classify(shown.drop("sha"), rows_of(spark, base, "ledger")).join(shown.drop("body"), "doc_key").join(firsts, "sha").join(with_facts, "doc_key", "left")
     arriving = F.col("status").isin("new", "reingest")
     status = F.when(arriving & (F.col("first_key") != F.col("doc_key")), "duplicate").when(arriving & F.col("has_facts").isNull(), "no_facts").otherwise(F.col("status"))
-    judged = held(known.select("doc_key", "sha", "scope", "ctype", status.alias("status"), arriving.alias("replaced")), "ingest-status")
+    judged = held(known.select("doc_key", "sha", "scope", "ctype", status.alias("status"), arriving.alias("replaced"), (F.col("status") == "reingest").alias("had")), "ingest-status")
     taken = judged.where("status in ('new', 'reingest')")
-    # whatever arrives with new content replaces what its key had, even if nothing of it is taken
-    old = judged.where("replaced and status <> 'duplicate'").select("doc_key")
-    fresh = artifacts.join(taken.select("doc_key"), "doc_key", "left_semi").select("art_id", "doc_key", "filter_key").distinct()
-    _write_space(provenance.join(old, "doc_key", "left_anti").select("art_id", "doc_key", "filter_key").union(fresh), store, "provenance", space)
-    columns = ("doc_key", "sha", "scope", "ctype")
-    _write_space(ledger.join(old, "doc_key", "left_anti").select(*columns).union(taken.select(*columns)), store, "ledger", space)
+    own = taken.select("doc_key")
+    adds = {
+        # whatever arrives with new content replaces what its key had, even if nothing of it is taken
+        "gone": judged.where("had and status <> 'duplicate'").select("doc_key"),
+        "provenance": artifacts.join(own, "doc_key", "left_semi").select("art_id", "doc_key", "filter_key").distinct(),
+        "ledger": taken.select("doc_key", "sha", "scope", "ctype"),
+        "audit": _audit(spark, "ingest", act, at if at is not None else F.current_timestamp(), judged.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])),
+    }
+    if chunks is not None:
+        # chunks of a replaced document go with it, so only those of documents that stay can be there already
+        staying = rows_of(spark, base, "chunks").join(adds["gone"], "doc_key", "left_anti")
+        adds["chunks"] = drop_duplicate_chunks(chunks.join(own, "doc_key", "left_semi"), staying)
+    commit(spark, base, adds)
     return judged.select("doc_key", "status")
 
 
-def remove(gone: DataFrame, store: str, space: str) -> DataFrame:
+def remove(gone: DataFrame, store: str, space: str, act: str = "remove", at: Column | None = None, base: Version | None = None) -> DataFrame:
     """artifacts_on_delete() of gone(doc_key), after the documents are taken out of the store."""
     spark = gone.sparkSession
-    ledger, provenance = (read_space(spark, store, name, space) for name in ("ledger", "provenance"))
-    fates = held(artifacts_on_delete(provenance, gone.select("doc_key").distinct()), "delete-fates")
-    _write_space(provenance.join(gone, "doc_key", "left_anti").select("art_id", "doc_key", "filter_key"), store, "provenance", space)
-    _write_space(ledger.join(gone, "doc_key", "left_anti").select("doc_key", "sha", "scope", "ctype"), store, "ledger", space)
+    base = base or latest(spark, store, space)
+    keys = held(gone.select("doc_key").distinct(), "delete-keys")
+    fates = held(artifacts_on_delete(rows_of(spark, base, "provenance"), keys), "delete-fates")
+    counts = fates.agg(F.count_if(F.col("fate") == "private").alias("private"), F.count_if(F.col("fate") == "shared").alias("shared"))
+    commit(spark, base, {"gone": keys, "audit": _audit(spark, "remove", act, at if at is not None else F.current_timestamp(), counts)})
     return fates
 
 
-def drop_space(spark: SparkSession, store: str, space: str) -> None:
-    """A tenant goes: its partition of every table."""
-    for table in TABLES:
-        files, where = _folder(spark, f"{store}/{table}/space={space}")
-        files.delete(where, True)
+def drop_space(spark: SparkSession, store: str, space: str, act: str = "drop", at: Column | None = None) -> None:
+    """A tenant goes: a version without documents, then everything that older ones hold; the audit rows stay."""
+    base = latest(spark, store, space)
+    row = _audit(spark, "drop_space", act, at if at is not None else F.current_timestamp(), spark.range(1).select(F.lit(base.number).alias("last_version")))
+    commit(spark, base, {"audit": rows_of(spark, base, "audit").union(row)}, replace=True)
+    vacuum(spark, store, space)
 
 
-def stored_artifacts(spark: SparkSession, store: str, space: str) -> DataFrame:
+def stored_artifacts(spark: SparkSession, version: Version) -> DataFrame:
     """(art_id, filter_key, sources): artifacts with the key and the sorted sources that their documents merge to."""
-    rows = read_space(spark, store, "provenance", space)
+    rows = rows_of(spark, version, "provenance")
     return rows.groupBy("art_id").agg(merged_key(F.col("filter_key")).alias("filter_key"), F.sort_array(F.collect_set("doc_key")).alias("sources"))
