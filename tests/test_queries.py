@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from veilgraph.plans import measures  # noqa: F401  registers its queries
+from veilgraph.plans import features, measures  # noqa: F401  register their queries
 from veilgraph.plans import queries as q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys of an answer, its bound of sources, and the labels and fences of context blocks.
 REFUSED, ANSWER, SOURCES = "khong_co_dap_an", "cau_tra_loi", "nguon"
 MAX_SOURCES = 1000
+#: Lines that one record of a block may have.
+LONGEST_CELL = 200
 BLOCKS = ("-----Entities-----", "-----Relationships-----", "-----Sources-----")
 FENCE, FENCE_END = "```csv", "```"
 
@@ -77,3 +81,90 @@ def parse_answers(rows: DataFrame, text: str) -> DataFrame:
     kept = F.array_distinct(F.filter(F.coalesce(numbers, F.array().cast("array<bigint>")), lambda x: x >= 0))
     good = lambda c: F.when(F.col("code").isNull(), c)
     return read.withColumn("code", code).withColumns({"refused": good(refused), "answer": good(F.when(refused, "").otherwise(answer)), "sources": good(kept)}).drop(*names)
+
+
+def csv_records(block: str) -> list[list[str]]:
+    """Records of a CSV text: quotes may hold commas, line breaks and doubled quotes.
+
+    A record goes on over lines while a quoted cell is open.  One that never closes ends at its own line:
+    tables that were put together without quoting hold stray quotes, and they must not swallow what follows.
+    """
+    lines, out, at = block.split("\n"), [], 0
+    while at < len(lines):
+        end = at + 1
+        cells, is_open = _cells(lines[at])
+        while is_open and end < len(lines) and end - at < LONGEST_CELL:
+            end += 1
+            cells, is_open = _cells("\n".join(lines[at:end]))
+        if is_open:
+            end, cells = at + 1, _cells(lines[at])[0]
+        if any(c for c in cells):
+            out.append(cells)
+        at = end
+    return out
+
+
+def _cells(record: str) -> tuple[list[str], bool]:
+    """Trimmed cells of a record, and whether a quoted one is still open at its end."""
+    cells, at, n = [], 0, len(record)
+    while True:
+        begin = at
+        while begin < n and record[begin] in " \t":
+            begin += 1
+        if begin < n and record[begin] == '"':
+            value, at, closed = [], begin + 1, False
+            while at < n:
+                quote = record.find('"', at)
+                if quote < 0:
+                    break
+                value.append(record[at:quote])
+                if record.startswith('""', quote):
+                    value.append('"')
+                    at = quote + 2
+                    continue
+                at, closed = quote + 1, True
+                break
+            if not closed:
+                return [*cells, record[begin + 1 :].strip()], True
+            comma = record.find(",", at)
+            tail = record[at : comma if comma >= 0 else n]
+            cells.append(("".join(value) + tail.rstrip()).strip())
+        else:
+            comma = record.find(",", at)
+            cells.append(record[at : comma if comma >= 0 else n].strip())
+        if comma < 0:
+            return cells, False
+        at = comma + 1
+
+
+def block_rows(rows: DataFrame, key: str, block: str, column: str = "hyperedge") -> DataFrame:
+    """(key, row_no, ordinal, value): rows of CSV blocks with a header, what each holds in a column, and the number in its id cell.
+
+    ordinal is -1 where the id cell is no number; rows with nothing in the column are left out, and so are blocks
+    without the column.  A null block has no rows; nothing is deduplicated.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, numbers, ordinals, values = [], [], [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                records = csv_records(body or "")
+                if not records or column not in records[0]:
+                    continue
+                at, of_id = records[0].index(column), records[0].index("id") if "id" in records[0] else None
+                for n, cells in enumerate(records[1:], 1):
+                    if len(cells) > at and cells[at]:
+                        mark = cells[of_id] if of_id is not None else ""
+                        owners.append(i)
+                        numbers.append(n)
+                        ordinals.append(int(mark) if mark.isdecimal() and len(mark) < 10 else -1)
+                        values.append(cells[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), pa.array(ordinals, pa.int32()), pa.array(values, pa.string())], names=[key, "row_no", "ordinal", "value"])
+
+    return rows.select(key, F.col(block).cast("string")).mapInArrow(run, f"`{key}` {kind}, row_no int, ordinal int, value string")
+
+
+def cited(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """(key, value): distinct values whose ordinal an answer declares; rows(key, ordinal, value), answers(key, sources array)."""
+    return answers.select("key", F.explode("sources").alias("ordinal")).where("ordinal >= 0").join(rows, ["key", "ordinal"]).select("key", "value").distinct()

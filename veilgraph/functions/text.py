@@ -102,10 +102,16 @@ def front_matter(text: Column) -> Column:
     return F.struct(meta.alias("meta"), F.when(closed, F.regexp_replace(text, block, "")).otherwise(text).alias("body"))
 
 
-def grouping_key(name: Column) -> Column:
-    """Folded name without domain suffix, blanks, dashes and underscores; only dotted machine names have a suffix."""
-    folded = fold(name)
-    labels = F.split(folded, "\\.")
-    plain = F.forall(labels, lambda x: x.rlike("^[a-z0-9-]+$"))
-    machine = (F.size(labels) > 1) & plain & F.element_at(labels, -1).rlike("^[a-z]{2,}$")
-    return F.regexp_replace(F.when(machine, F.element_at(labels, 1)).otherwise(folded), "[\\s_-]+", "")
+@F.pandas_udf(T.StringType())
+def plain(values: pd.Series) -> pd.Series:
+    """NFC, white space collapsed."""
+    return values.map(lambda x: " ".join(unicodedata.normalize("NFC", x).split()), na_action="ignore")
+
+
+def grouping_key(name: Column, case: bool = True, domain: bool = True, joints: bool = True) -> Column:
+    """Name without case, domain suffix, blanks, dashes and underscores, or with those rules that are off; only dotted machine names have a suffix."""
+    base = fold(name) if case else plain(name)
+    labels = F.split(base, "\\.")
+    machine = (F.size(labels) > 1) & F.forall(labels, lambda x: x.rlike("^[A-Za-z0-9-]+$")) & F.element_at(labels, -1).rlike("^[A-Za-z]{2,}$")
+    short = F.when(machine, F.element_at(labels, 1)).otherwise(base) if domain else base
+    return F.regexp_replace(short, "[\\s_-]+", "") if joints else short

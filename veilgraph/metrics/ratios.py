@@ -76,6 +76,23 @@ def alias_candidates(names: DataFrame) -> DataFrame:
     return grouped.agg(F.min_by("name", order).alias("canonical"), F.sort_array(F.collect_set("name")).alias("variants")).where(F.size("variants") > 1)
 
 
+#: Rules that bring names together, by what they leave out.
+RULES = ("case", "domain", "joints")
+
+
+def alias_reasons(names: DataFrame) -> DataFrame:
+    """(scope, group_key, reasons, n_scopes): the rules without which a group of alias_candidates() falls apart, and in how many scopes it is one.
+
+    All variants of the rules are keyed in one pass and counted in one aggregation.
+    """
+    without = {rule: grouping_key(F.col("name"), **{rule: False}) for rule in RULES}
+    keyed = names.select("scope", "name", grouping_key(F.col("name")).alias("group_key"), *[k.alias(f"no_{r}") for r, k in without.items()])
+    sizes = keyed.groupBy("scope", "group_key").agg(F.count_distinct("name").alias("n"), *[F.size(F.collect_set(f"no_{r}")).alias(r) for r in RULES]).where("n > 1")
+    reasons = F.array_compact(F.array(*[F.when(F.col(r) > 1, F.lit(r)) for r in RULES]))
+    scopes = sizes.groupBy("group_key").agg(F.count("*").alias("n_scopes"))
+    return sizes.select("scope", "group_key", reasons.alias("reasons")).join(scopes, "group_key").select("scope", "group_key", "reasons", "n_scopes")
+
+
 #: Roles that a policy may have.
 MAX_ROLES = 1_000
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions.keys import key_state, merged_key
+from veilgraph.functions.text import fold
 from veilgraph.plans.context import Context, secure
+from veilgraph.sources.held import held
 
 #: Characters by which an anchor is looked up inside subjects.
 GRAM = 6
@@ -61,6 +63,66 @@ def by_anchor(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     return exact.union(found.join(facts, "subject").select("anchor_id", "he_id")).distinct()
 
 
+def anchor_summary(anchors: DataFrame, facts: DataFrame) -> DataFrame:
+    """(anchor_id, tier, n, first_he): how many facts by_anchor() finds for each anchor, and the smallest; pairs are of anchors and distinct subjects only."""
+    subjects = facts.where("length(subject) > 0").groupBy("subject").agg(F.count_distinct("he_id").alias("n"), F.min("he_id").alias("he_id"))
+    pairs = by_anchor(anchors, subjects.select(F.col("subject").alias("he_id"), "subject")).select("anchor_id", F.col("he_id").alias("of"))
+    joined = pairs.join(subjects, F.col("of") == F.col("subject")).join(anchors, "anchor_id")
+    tier = F.when(F.max(F.col("subject") == F.col("anchor")), "equal").otherwise("contains")
+    return joined.groupBy("anchor_id").agg(tier.alias("tier"), F.sum("n").alias("n"), F.min("he_id").alias("first_he"))
+
+
+def _grams(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(*keep, gram): the distinct GRAM-character pieces of a text; shorter texts are one piece."""
+    size = F.least(F.char_length(text), F.lit(GRAM))
+    cut = texts.where(F.length(text) > 0).select(*keep, text, F.explode(F.sequence(F.lit(1), F.char_length(text) - size + 1)).alias("at"), size.alias("size"))
+    return cut.select(*keep, F.col(text).substr(F.col("at"), F.col("size")).alias("gram")).distinct()
+
+
+def resolve_labels(labels: DataFrame, values: DataFrame) -> DataFrame:
+    """(label_id, tier, n, he_id, found, status): the facts that each label's anchors point to within its document.
+
+    labels(label_id, he_id, doc_key, anchor, second), values(he_id, doc_key, slot, value); a null second
+    anchor narrows nothing, an empty one leaves nothing.  Texts are compared folded.  Facts whose subject
+    equals the anchor come first (tier equal); only where there are none, those that contain it; of these
+    stay those with the second anchor in any slot.  A gram index over all values of a document serves both
+    anchors: each is looked up by its gram with the shortest list, then compared whole.
+
+    status: OK; AMBIGUOUS (several facts); DRIFTED (one other fact, the id is gone), MOVED (one other fact,
+    the id is there); STALE (none, but the id is there); LOST (none, and the id is gone).  found is the only fact.
+    """
+    folded = held(values.select("value").distinct().select("value", fold("value").alias("text")), "folded")
+    index = held(values.join(folded, "value").select("doc_key", "he_id", "slot", "text").distinct(), "label-values")
+    asked = held(labels.select("label_id", "he_id", "doc_key", fold("anchor").alias("anchor"), fold("second").alias("second")), "labels")
+    grams = held(_grams(index.select("doc_key", "text").distinct(), "text", "doc_key", "text"), "label-grams")
+    lists = grams.groupBy("doc_key", "gram").agg(F.count("*").alias("length"))
+
+    def holding(which: str) -> DataFrame:
+        """(label_id, text): values of the label's document that contain an anchor."""
+        own = asked.where(F.length(which) > 0)
+        long = own.where(F.char_length(which) >= GRAM)
+        pieces = _grams(long, which, "label_id", "doc_key", which)
+        sized = pieces.join(lists, ["doc_key", "gram"], "left")
+        rarest = sized.groupBy("label_id", "doc_key", which).agg(F.min_by("gram", F.struct(F.coalesce("length", F.lit(0)), "gram")).alias("gram"))
+        found = rarest.join(grams, ["doc_key", "gram"]).where(F.contains(F.col("text"), F.col(which))).select("label_id", "text")
+        short = own.where(F.char_length(which) < GRAM).join(index.select("doc_key", "text").distinct(), "doc_key").where(F.contains(F.col("text"), F.col(which))).select("label_id", "text")
+        return found.union(short)
+
+    first = holding("anchor").join(asked.select("label_id", "doc_key", "anchor", "second"), "label_id").join(index.where("slot = 'subject'"), ["doc_key", "text"])
+    tiered = first.select("label_id", "second", "he_id", (F.col("text") == F.col("anchor")).alias("equal")).groupBy("label_id", "second", "he_id").agg(F.max("equal").alias("equal"))
+    best = tiered.groupBy("label_id").agg(F.max("equal").alias("any_equal"))
+    near = held(tiered.join(best, "label_id").where("equal or not any_equal").select("label_id", "second", "he_id", "equal"), "label-candidates")
+    beside = holding("second").join(asked.select("label_id", "doc_key"), "label_id").join(index, ["doc_key", "text"]).select("label_id", "he_id").distinct()
+    kept = near.where("second is null").unionByName(near.where("second is not null").join(beside, ["label_id", "he_id"], "left_semi").select(*near.columns))
+    counted = kept.groupBy("label_id").agg(F.count("*").alias("n"), F.min("he_id").alias("least"), F.first("equal").alias("equal"))
+    there = index.select(F.col("he_id").alias("there")).distinct()
+    out = asked.join(counted, "label_id", "left").join(there, F.col("he_id") == F.col("there"), "left")
+    n, known = F.coalesce("n", F.lit(0)), F.col("there").isNotNull()
+    status = F.when(n > 1, "AMBIGUOUS").when((n == 0) & known, "STALE").when(n == 0, "LOST").when(F.col("least") == F.col("he_id"), "OK").when(known, "MOVED").otherwise("DRIFTED")
+    tier = F.when(n == 0, "none").when(F.col("equal"), "equal").otherwise("contains")
+    return out.select("label_id", tier.alias("tier"), n.alias("n"), "he_id", F.when(n == 1, F.col("least")).alias("found"), status.alias("status"))
+
+
 def expand_by_grants(context_rows: DataFrame, granted: DataFrame) -> DataFrame:
     """Granted rows replace their masked twins and the rest follow; rank starts anew per request. Both: (request, he_id, text, rank)."""
     kept = context_rows.join(granted.select("request", "he_id"), ["request", "he_id"], "left_anti").withColumn("_side", F.lit(0))
@@ -78,5 +140,5 @@ def narrow(citations: DataFrame, declared: DataFrame, granted: DataFrame) -> Dat
 
 def context_csv(rows: DataFrame, *columns: str) -> DataFrame:
     """(request, block): one CSV line a row in order of rank; a request's rows are bounded by its token budget."""
-    line = F.to_csv(F.struct(*columns))
+    line = F.to_csv(F.struct(*columns), {"escape": '"'})
     return rows.groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))

@@ -8,10 +8,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.plans.context import Context, secure
+from veilgraph.sources.held import held
 
 TOP_K, THRESHOLD = 5, 0.2
 
@@ -62,6 +64,67 @@ def top_k(vectors: DataFrame, query: list[float], context: Context, namespace: s
     return own.select("vec_id", (dot / (size * norm)).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+#: Probes that are scored at once: their matrix goes to every task.
+PROBES = 1_024
+
+
+def _normal(rows: np.ndarray) -> np.ndarray:
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(size == 0, np.nan, size)
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, vectors) of the rows of a list column that have the width and no null."""
+    lists = column.to_pylist()
+    at = [i for i, x in enumerate(lists) if x is not None and len(x) == width and None not in x]
+    return np.array(at, dtype=np.int64), np.array([lists[i] for i in at], dtype=np.float64).reshape(-1, width)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """Places of the k best scores that reach the threshold, smaller ids first among equals."""
+    good = np.flatnonzero(score >= threshold)
+    return good[np.lexsort((ids[good], -score[good]))[:k]]
+
+
+def _scored(probe_ids: list, probes: np.ndarray, k: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = _matrix(batch.column(1), probes.shape[1])
+            ids = np.asarray(batch.column(0))[at]
+            scores = _normal(rows) @ probes.T
+            found = [_best(scores[:, j], ids, k, threshold) for j in range(len(probe_ids))]
+            owner = [p for p, f in zip(probe_ids, found, strict=True) for _ in range(len(f))]
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            column = np.concatenate([np.full(len(f), j) for j, f in enumerate(found)]) if found else flat
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(ids[flat], pa.int64()), pa.array(scores[flat, column.astype(np.int64)], pa.float64())], names=["probe_id", "vec_id", "score"])
+
+    return run
+
+
+def top_k_many(vectors: DataFrame, probes: DataFrame, context: Context, namespace: str, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+    """(probe_id, vec_id, score, rank): top_k() of every row of probes(probe_id, embedding), exactly.
+
+    Probes go to the tasks in blocks of about PROBES; every batch keeps k rows a probe, and the rest is a windowed
+    limit.  Vectors and probes that are null, hold a null or have another length than a block's first match nothing.
+    """
+    own = secure(vectors.where(F.col("namespace") == namespace), context, namespace).select("vec_id", "embedding")
+    asked = held(probes.where("embedding is not null").select(F.col("probe_id").cast("long").alias("probe_id"), "embedding"), "probes")
+    blocks = -(-asked.count() // PROBES)
+    parts = asked.sparkSession.createDataFrame([], "probe_id long, vec_id long, score double")
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == block).orderBy("probe_id").collect()  # about PROBES rows
+        rows = [r for r in rows if len(r["embedding"]) == len(rows[0]["embedding"]) and None not in r["embedding"]]
+        if rows:
+            matrix = _normal(np.array([r["embedding"] for r in rows], dtype=np.float64))
+            parts = parts.union(own.mapInArrow(_scored([r["probe_id"] for r in rows], matrix, k, threshold), "probe_id long, vec_id long, score double"))
+    return _first(parts, k)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def upsert(old: DataFrame, new: DataFrame, order: str = "written") -> DataFrame:
     """vectors after a write: keys of touched ids merged with the stored ones; ids that merge to no key go.
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.model import NAMESPACE_LEVEL, OWNER
 from veilgraph.plans.policy import KEY_CEILING, Policy
 
+#: Levels that a row left out may have.
+DROPPED = ("L0", "L1")
+
 
 class NoContext(PermissionError):
     """A read without a context."""
@@ -68,3 +71,34 @@ def secure(rows: DataFrame, context: Context | None, namespace: str, key: str =
 def dropped_level(context: Context, key: Column) -> Column:
     """Level of a row that was left out: L1 where its key shows at hyperedge level, else L0."""
     return F.when(readable(context, "hyperedges", key), "L1").otherwise("L0")
+
+
+def secure_counted(rows: DataFrame, context: Context | None, namespace: str, key: str = "filter_key") -> tuple[DataFrame, Observation]:
+    """secure(), and an observation of what it leaves out: filled by the first action over the result, in the same pass.
+
+    The counts are taken where the rows are filtered, so nothing is read twice; the price is that the
+    predicate does not reach the scan, since rows that are left out must be seen to be counted.
+    """
+    seen = Observation()
+    keep = F.coalesce(readable(context, namespace, F.col(key)), F.lit(False))
+    if context is None or context.system:
+        lost = {level: F.sum(F.lit(0)) for level in DROPPED}
+    else:
+        lost = {level: F.count_if(~keep & (dropped_level(context, F.col(key)) == level)) for level in DROPPED}
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("read"), *[n.alias(level) for level, n in lost.items()])
+    return watched.where(keep), seen
+
+
+def dropped_rows(spark: SparkSession, counters: list[tuple[str | None, str, Context, Observation]]) -> DataFrame:
+    """(request_id, role, space, namespace, dropped, n) of observations (request_id, namespace, context, observation) whose reads are done.
+
+    Reads of one request and namespace are summed; what dropped nothing has no row.  Bounded by the requests at hand.
+    """
+    total: dict[tuple, int] = {}
+    for request, namespace, context, seen in counters:
+        for level in DROPPED:
+            n = seen.get[level] or 0
+            if n:
+                at = (request, context.role, context.space, namespace, level)
+                total[at] = total.get(at, 0) + n
+    return spark.createDataFrame([(*at, n) for at, n in sorted(total.items(), key=repr)], "request_id string, role string, space string, namespace string, dropped string, n long")

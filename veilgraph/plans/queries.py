@@ -240,17 +240,20 @@ def mask_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("entity_id", masking.mask_description(_ctx(), F.col("filter_key"), F.concat(F.lit("about "), "entity_id")).alias("description"))
 
 
-@query(
-    f""", q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), e) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_inner_product(e, e)) AS score
-  FROM embeddings, q WHERE vec_id % 3 = 0 AND {_scope("vec_id")} || ':' || {_type("label")} IN (SELECT filter_key FROM allpolicy WHERE variant = 'full' AND role = 'admin' AND level = 'L2'))
-SELECT vec_id, round(score, 4) AS score FROM s WHERE score >= 0.2 ORDER BY s.score DESC, vec_id LIMIT 10"""
-)
+_NEIGHBOURS = f""", q AS (SELECT vec_id AS probe_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT probe_id, vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), e) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_inner_product(e, e)) AS score
+  FROM embeddings, q WHERE vec_id % 3 = 0 AND {_scope("vec_id")} || ':' || {_type("label")} IN (SELECT filter_key FROM allpolicy WHERE variant = 'full' AND role = 'admin' AND level = 'L2')),
+k AS (SELECT probe_id, vec_id, score, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.2)"""
+
+
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    return m.vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("probe_id"), "embedding")
+
+
+@query(_NEIGHBOURS + "SELECT probe_id, vec_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
 def vector_topk_acl(spark: SparkSession, d: str) -> DataFrame:
-    rows = m.vectors(spark, d)
-    probe = rows.where("vec_id = 0").select("embedding").first()["embedding"]
-    found = vector.top_k(rows, list(probe), user_context(pol.DEFAULT, "admin", "s0"), "chunks", 10)
-    return found.select("vec_id", F.round("score", 4).alias("score"))
+    found = vector.top_k_many(m.vectors(spark, d), _probes(spark, d), user_context(pol.DEFAULT, "admin", "s0"), "chunks", 10)
+    return found.select("probe_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query("SELECT v.he_id, i.entity_id, CAST(count(*) AS DOUBLE) AS weight, string_agg(DISTINCT 'doc-' || i.doc_no, ',' ORDER BY 'doc-' || i.doc_no) AS sources, coalesce(string_agg(DISTINCT i.slot, ',' ORDER BY i.slot) FILTER (NOT list_contains(v.mask, i.slot)), '') AS slots FROM inc i JOIN vis v USING (he_id) JOIN visent e USING (entity_id) GROUP BY v.he_id, i.entity_id")
@@ -696,11 +699,11 @@ def needs_write(spark: SparkSession, d: str) -> DataFrame:
 _ANCHORS = "(SELECT DISTINCT CAST(p_partkey AS BIGINT) AS anchor_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, 6) END AS anchor FROM part)"
 
 
-@query(f", an AS {_ANCHORS}, su AS (SELECT DISTINCT he_id, subject FROM coarse), ex AS (SELECT anchor_id, he_id FROM an JOIN su ON anchor = subject) SELECT * FROM ex UNION SELECT anchor_id, he_id FROM an JOIN su ON contains(subject, anchor) WHERE anchor_id NOT IN (SELECT anchor_id FROM ex)")
+@query(f", an AS {_ANCHORS}, su AS (SELECT subject, count(DISTINCT he_id) AS n, min(he_id) AS he_id FROM coarse GROUP BY subject), ex AS (SELECT anchor_id, n, he_id FROM an JOIN su ON anchor = subject), co AS (SELECT anchor_id, sum(n) AS n, min(he_id) AS he_id FROM an JOIN su ON contains(subject, anchor) WHERE anchor_id NOT IN (SELECT anchor_id FROM ex) GROUP BY anchor_id) SELECT anchor_id, 'equal' AS tier, n, he_id AS first_he FROM ex UNION ALL SELECT anchor_id, 'contains', CAST(n AS BIGINT), he_id FROM co")
 def anchor_lookup(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     anchors = m.table(spark, d, "part").select(k.cast("long").alias("anchor_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.substring("p_name", 1, 6)).alias("anchor")).distinct()
-    return lookup.by_anchor(anchors, _coarse(spark, d).select("he_id", "subject").distinct())
+    return lookup.anchor_summary(anchors, _coarse(spark, d).select("he_id", "subject").distinct())
 
 
 _ROWS = "(SELECT o_custkey AS request, 'he-' || o_orderkey AS he_id, 'm' AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders)"
