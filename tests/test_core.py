@@ -113,13 +113,20 @@ def test_bridge_entity_is_masked_but_walks(spark):
     assert {r["neighbor"] for r in masking.mask_edges(edges, ctx).collect()} == {masking.NO_KEY_MARK}
 
 
-def test_fact_checks():
-    good = {"subject": ' "a  b" ', "cause": "c"}
-    assert facts.check_fact(good) == ({"subject": "a b", "cause": "c"}, None)
-    cases = [(5, "NOT_OBJECT"), ({"x": "y"}, "UNKNOWN_ROLE"), ({"subject": 1}, "WRONG_TYPE"), ({"subject": "---"}, "EMPTY_VALUE"), ({"subject": "a" * 301}, "TOO_LONG"), ({"cause": "c", "time": "t"}, "NO_SUBJECT"), ({"subject": "s"}, "TOO_FEW_ROLES")]
-    assert [facts.check_fact(x)[1] for x, _ in cases] == [c for _, c in cases]
-    assert facts.check_fact({"subject": "---", "nope": "x"})[1] == "EMPTY_VALUE"  # the first wrong key decides
-    assert facts.parse_response('```json\n{"facts": []}\n```') == ([], None)
+def test_fact_checks(spark):
+    import json
+
+    cases = [
+        ({"subject": ' "a  b" ', "cause": "c"}, None), (5, "NOT_OBJECT"), ({"x": "y"}, "UNKNOWN_ROLE"), ({"subject": 1}, "WRONG_TYPE"), ({"subject": "---"}, "EMPTY_VALUE"), ({"subject": "a" * 301}, "TOO_LONG"), ({"cause": "c", "time": "t"}, "NO_SUBJECT"),
+        ({"subject": "s"}, "TOO_FEW_ROLES"), ({"subject": "---", "nope": "x"}, "EMPTY_VALUE"), ({"nope": "x", "subject": "---"}, "UNKNOWN_ROLE"), ({}, "NO_SUBJECT"), ({"subject": "a", "cause": None}, "WRONG_TYPE"), ([], "NOT_OBJECT"), ({"subject": "ab", "cause": "١"}, None),
+    ]  # fmt: skip  # the first wrong key decides
+    bodies = {1: json.dumps({"facts": [x for x, _ in cases]}), 2: '```json\n{"facts": []}\n```', 3: "", 4: None, 5: "[1]", 6: '{"facts": {}}', 7: "[" * 100_000, 8: '```\n{"facts": [{"subject": "a", "cause": "b", "cause": "c"}]}\n``` more'}
+    found = facts.parse_responses(spark.createDataFrame(list(bodies.items()), "id int, t string"), "id", "t").collect()
+    assert [r["code"] for r in sorted((r for r in found if r["id"] == 1), key=lambda r: r["pos"])] == [c for _, c in cases]
+    good = next(r for r in found if r["id"] == 1 and r["pos"] == 0)
+    assert (good["subject"], good["cause"], good["time"]) == ("a b", "c", None) and all(r["subject"] is None for r in found if r["code"])
+    assert {r["id"]: r["broken"] for r in found if r["id"] > 2} == {3: "NOT_JSON", 4: "NOT_JSON", 5: "NO_FACTS", 6: "NO_FACTS", 7: "NOT_JSON", 8: None}
+    assert not [r for r in found if r["id"] == 2] and [r["cause"] for r in found if r["id"] == 8] == ["c"]
 
 
 def test_ids(spark):

@@ -84,7 +84,7 @@ def test_index_prunes_and_finds(spark, vectors, tmp_path, monkeypatch):
     centroids = vector_index.fit(vectors, 8)
     index = vector_index.write(vectors, centroids, str(tmp_path / "index"))
     assert index.count() == vectors.count()
-    found = vector_index.search(index, centroids, probes, ctx, "chunks", 10, 2, vector.THRESHOLD)
+    found = vector_index.search(index, centroids, probes, ctx, "chunks", 10, 5, vector.THRESHOLD)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "internal:faq" in plan.split("PartitionFilters: [")[1].split("]")[0]
     total = vector_index.recall(found, exact).agg(F.sum("n_found").alias("f"), F.sum("n_exact").alias("e")).first()

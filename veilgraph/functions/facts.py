@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgraph.functions.text import collapse_py
 from veilgraph.model import SLOTS
 
 MAX_VALUE = 300
 MIN_ROLES = 2
-#: Reasons to reject one fact, in the order they are tested.
+#: Reasons to reject one fact: the item, its cells in order, what it lacks.
 CODES = ("NOT_OBJECT", "UNKNOWN_ROLE", "WRONG_TYPE", "EMPTY_VALUE", "TOO_LONG", "NO_SUBJECT", "TOO_FEW_ROLES")
 
 # Role labels of rendered sentences.
@@ -38,57 +38,47 @@ def incidence(facts: DataFrame, *keep: str) -> DataFrame:
     return facts.select(*keep, F.explode(F.filter(pairs, lambda x: x["entity_id"].isNotNull())).alias("x")).select(*keep, "x.slot", "x.entity_id")
 
 
-def check_fact(raw: object) -> tuple[dict[str, str] | None, str | None]:
-    """(normalised slots, None) or (None, code of the first thing wrong, in input order)."""
-    if not isinstance(raw, dict):
-        return None, CODES[0]
-    slots = {}
-    for role, value in raw.items():
-        if role not in SLOTS:
-            return None, CODES[1]
-        if not isinstance(value, str):
-            return None, CODES[2]
-        clean = collapse_py(value)
-        if not any(c.isalnum() for c in clean):
-            return None, CODES[3]
-        if len(clean) > MAX_VALUE:
-            return None, CODES[4]
-        slots[role] = clean
-    if "subject" not in slots:
-        return None, CODES[5]
-    return (slots, None) if len(slots) >= MIN_ROLES else (None, CODES[6])
-
-
-def parse_response(text: str) -> tuple[list[tuple[dict[str, str] | None, str | None]], str | None]:
-    """Checked facts of one model response, or the code of a broken response."""
-    body = text.strip()
-    if body.startswith("```"):
-        body = body.split("\n", 1)[-1].rsplit("```", 1)[0]
+_CELL = T.StructType([T.StructField("role", T.StringType()), T.StructField("is_text", T.BooleanType()), T.StructField("value", T.StringType())])
+_OPENED = T.StructType([T.StructField("broken", T.StringType()), T.StructField("items", T.ArrayType(T.StructType([T.StructField("is_object", T.BooleanType()), T.StructField("cells", T.ArrayType(_CELL))])))])
+
+
+def _opened(text: str | None) -> tuple[str | None, list[tuple[bool, list[tuple[str, bool, str]]]]]:
+    """What is wrong with a response as a whole, and its items with their cells in order of the text: Spark's own JSON types sort keys."""
+    lines = (text or "").strip().split("\n")
+    if lines[0].startswith("```"):
+        lines = "\n".join(lines[1:]).rsplit("```", 1)[:1]
     try:
-        found = json.loads(body)
-    except ValueError:
-        return [], "NOT_JSON"
-    if not isinstance(found, dict) or not isinstance(found.get("facts"), list):
-        return [], "NO_FACTS"
-    return [check_fact(x) for x in found["facts"]], None
+        items = json.loads("\n".join(lines))
+    except (ValueError, RecursionError):
+        return "NOT_JSON", []
+    items = items.get("facts") if isinstance(items, dict) else None
+    if not isinstance(items, list):
+        return "NO_FACTS", []
+    cell = lambda role, value: (role, True, collapse_py(value)) if isinstance(value, str) else (role, False, "")
+    return None, [(True, [cell(r, v) for r, v in x.items()]) if isinstance(x, dict) else (False, []) for x in items]
+
+
+@F.pandas_udf(_OPENED)
+def _open(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_opened(t) for t in texts], columns=["broken", "items"])
+
+
+def fact_code(is_object: Column, cells: Column) -> Column:
+    """The reason to reject an item, null for none: its first cell with one, then what the item as a whole lacks."""
+    of_cell = lambda c: F.coalesce(*[F.when(bad, code) for bad, code in zip((~c["role"].isin(*SLOTS), ~c["is_text"], ~c["value"].rlike("[\\p{L}\\p{N}]"), F.char_length(c["value"]) > MAX_VALUE), CODES[1:5], strict=True)])
+    first = F.get(F.array_compact(F.transform(cells, of_cell)), 0)
+    has_subject = F.exists(cells, lambda c: c["role"] == SLOTS[0])
+    return F.when(~is_object, CODES[0]).otherwise(F.coalesce(first, F.when(~has_subject, CODES[5]), F.when(F.size(cells) < MIN_ROLES, CODES[6])))
 
 
 def parse_responses(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, code, broken, eight slots): one row a fact, or one row with broken for a broken response."""
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, pos int, code string, broken string, " + ", ".join(f"`{s}` string" for s in SLOTS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, body in zip(batch[key], batch[text], strict=True):
-                found, broken = parse_response(body or "")
-                if broken:
-                    out.append((name, None, None, broken, *[None] * len(SLOTS)))
-                out += [(name, i, code, None, *[(slots or {}).get(s) for s in SLOTS]) for i, (slots, code) in enumerate(found)]
-            yield pd.DataFrame(out, columns=[key, "pos", "code", "broken", *SLOTS]).astype({"pos": "Int32"})
-
-    return rows.select(key, text).mapInPandas(run, schema)
+    opened = rows.select(key, _open(F.col(text)).alias("r"))
+    each = opened.where("r.broken is null").select(key, F.posexplode("r.items").alias("pos", "item")).select(key, "pos", fact_code(F.col("item.is_object"), F.col("item.cells")).alias("code"), F.col("item.cells").alias("cells"))
+    slot = lambda s: F.when(F.col("code").isNull(), F.get(F.filter("cells", lambda c: c["role"] == s), 0)["value"]).alias(s)
+    none = lambda kind: F.lit(None).cast(kind)
+    broken = opened.where("r.broken is not null").select(key, none("int").alias("pos"), none("string").alias("code"), F.col("r.broken").alias("broken"), *[none("string").alias(s) for s in SLOTS])
+    return each.select(key, "pos", "code", none("string").alias("broken"), *[slot(s) for s in SLOTS]).union(broken)
 
 
 def apply_aliases(facts: DataFrame, aliases: DataFrame, slot: str) -> DataFrame:

@@ -11,10 +11,11 @@ from veilgraph import model as m
 from veilgraph.functions import answers
 from veilgraph.functions import facts as ff
 from veilgraph.metrics import ratios
-from veilgraph.operators import lookup, vector, vector_index
+from veilgraph.operators import completion, lookup, vector, vector_index
 from veilgraph.plans import policy as pol
 from veilgraph.plans.context import dropped_rows, secure_counted, user_context
 from veilgraph.plans.queries import _FOLDED, _HOST, _NAMES, _NEIGHBOURS, _ROWS, _coarse, _ent, _he, _probes, _requests, query
+from veilgraph.sources import catalogue
 from veilgraph.sources.held import held, shared_dir
 from veilgraph.streaming import requests
 
@@ -137,3 +138,30 @@ def block_rows(spark: SparkSession, d: str) -> DataFrame:
     blocks = lookup.context_csv(rows, "id", "note", "he_id")
     headed = blocks.select("request", F.concat(F.lit("id,note,hyperedge\n"), "block").alias("block"))
     return answers.block_rows(headed, "request", "block")
+
+
+# ---- policies as stored
+
+
+@query("SELECT CASE variant WHEN 'full' THEN 1 ELSE 2 END AS since, CASE variant WHEN 'full' THEN 2 END AS until, p.role, count(*) AS n_docs FROM docs d JOIN allpolicy p USING (filter_key) WHERE variant IN ('full', 'binary') AND level = 'L2' GROUP BY variant, p.role")
+def policy_swaps(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that each role reads whole before and after a swap, from one table of all policies the space had."""
+    path = f"{shared_dir(spark).rstrip('/')}/policies-{uuid.uuid4().hex}"
+    for policy in (pol.DEFAULT, pol.variant(pol.DEFAULT, "binary")):
+        version = catalogue.swap(spark, path, "s0", catalogue.document(policy, m.RANKS, m.GROUPS), "owner")
+    per_key = m.documents(spark, d).groupBy("filter_key").agg(F.count("*").alias("n"))
+    dim = catalogue.dimensions(spark, version).where("level = 'L2'")
+    out = per_key.join(F.broadcast(dim), "filter_key").groupBy("since", "until", "role").agg(F.sum("n").alias("n_docs"))  # dim: swaps x roles x scopes x types
+    return out.select(F.col("since").cast("int").alias("since"), F.col("until").cast("int").alias("until"), "role", "n_docs")
+
+
+# ---- metered completions
+
+_WORDS_OF = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"SELECT 'echo' AS model, count(*) AS calls, CAST(0 AS BIGINT) AS failed, CAST(sum({_WORDS_OF}) AS BIGINT) AS prompt_tokens, CAST(sum({_WORDS_OF}) AS BIGINT) AS completion_tokens FROM benchmark WHERE {_WORDS_OF} > 0")
+def completion_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Usage rows of one pass over the benchmark items with the offline provider."""
+    done = held(completion.complete(m.table(spark, d, "benchmark"), "item_id", "text", completion.EchoProvider(), real=True), "completions")
+    return completion.usage(done)
