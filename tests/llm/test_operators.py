@@ -225,6 +225,43 @@ def test_article_keeps_what_only_sounds_like_boilerplate():
     assert op2.main_text(f"<body><div class='old-comments-archive'>{p * 3}</div><div>{p * 3}</div></body>").count(line) == 3
 
 
+def test_readers_and_notices_inside_the_article():
+    p = "<p>This is a paragraph, with commas, and enough text to be scored as one by the rules of the tree.</p>"
+    line, prose = re.sub("<.*?>", "", p), "Prices rose in March, as they had in May, and the ministry, which had said otherwise, now says that it will look at them again."
+    reader = "<div class='user-comments-v2'><p>A reader writes, at length, that all of this is wrong, and that the paper should know it.</p></div>"
+    letter = "<div class='wp-block-newsletter'><p>Sign up, and get our stories every day.</p></div>"
+    assert op2.main_text(f"<body><article>{p * 3}{letter}{p * 2}{reader}</article></body>") == "\n".join([line] * 5)
+    assert op2.main_text(f"<body><article>{p}<p class=ads>{prose}</p><p id=notice>{prose}</p><p class=ad>buy this, now, and cheap</p></article></body>") == f"{line}\n{prose}\n{prose}"
+    parts = f"<div class=part>{p * 3}</div><div class=part><p>Short.</p></div><h2>Next</h2><div class=part>{p * 3}</div><div><a href=1>more</a></div>"
+    assert op2.main_text(f"<body><div>{parts}</div><footer>x</footer></body>") == "\n".join([line] * 3 + ["Short.", "Next"] + [line] * 3)
+    # an article on comments, in a container of that name
+    assert op2.main_text(f"<body><div class='the-comments-debate'>{p * 20}</div></body>") == "\n".join([line] * 20)
+
+
+def test_generated_layouts():
+    """Pages of nested div layouts whose article is known: its blocks come back, and nothing else."""
+    rng = np.random.default_rng(8)
+    sentence = lambda n: " ".join(f"w{x}" + ("," if x % 5 == 0 else "") for x in rng.integers(0, 500, n).tolist()) + "."
+    for number in range(60):
+        blocks, body = [f"Title {number}"], f"<h1>Title {number}</h1>"
+        for k in range(int(rng.integers(3, 9))):
+            if k and rng.random() < 0.3:
+                blocks.append(f"Part {k}")
+                body += f"<h2>Part {k}</h2>"
+            text = sentence(int(rng.integers(20, 60)))
+            blocks.append(text)
+            body += f"<p>{text}</p>" if rng.random() < 0.8 else f"<blockquote>{text}</blockquote>"
+        links = "".join(f"<li><a href=/{k}>section {k}</a></li>" for k in range(6))
+        comments = "".join(f"<div class=comment><p>{sentence(12)}</p></div>" for _ in range(int(rng.integers(0, 5))))
+        kind = ("article", "main", "div", "section")[number % 4]
+        inner = f"<{kind} class=story>{body}</{kind}>"
+        for _ in range(int(rng.integers(0, 3))):
+            inner = f"<div>{inner}</div>"
+        side = f"<div class=sidebar><ul>{links}</ul><p>{sentence(8)}</p></div>"
+        page = f"<html><head><title>x</title></head><body><header><p>{sentence(6)}</p></header><nav><ul>{links}</ul></nav><div class=layout>{side if number % 2 else ''}{inner}{'' if number % 2 else side}</div><div id=comments>{comments}</div><div class='cookie-banner'><p>{sentence(15)}</p></div><footer><p>{sentence(9)}</p></footer><script>var x='<p>no</p>'</script></body></html>"
+        assert op2.main_text(page) == "\n".join(blocks), number
+
+
 @pytest.mark.parametrize("piece", ['<a x="', '<a ">"<a "', "<a x='\">", '<li class="', "<!--", "<b>", "<", "</", "<script>"])
 def test_hostile_pages_take_one_pass(piece):
     began = time.process_time()
@@ -555,7 +592,7 @@ def test_rules(odd, labels, spark, small, monkeypatch):
         docs = [(r["doc_id"], r["text"]) for r in frame.collect()]
         held = {r["trusted_id"]: r["held"] for r in op8._trusted(marks).collect()}
         assert set(held) == {r["doc_id"] for r in marks.collect() if r["doc_id"] is not None and r["quality"] == 1 and not r["toxic"]}
-        b = op8.word_buckets(frame.select("text"))
+        b = op8.word_buckets(op8.feature_counts(op8._texts(frame), op8._fitted(op8._trusted(marks))))
         raw, target, of = Counter(), Counter(), [features(t, b) for _, t in docs]
         for (d, _), f in zip(docs, of, strict=True):
             raw.update(f[0] + f[1])

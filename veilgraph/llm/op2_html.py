@@ -5,8 +5,12 @@ with distance; a container's points are discounted by its link density, and by S
 id merely mentions what articles seldom are.  The best container is kept with those siblings that score
 alike and the headings right before it, widened to the article element around it.  Taken out of the tree
 before scoring are scripts, styles, forms, page headers and footers, menus, asides, hidden elements and
-elements that a whole class or id names a sidebar, notice, advert or comment list; headings and
-paragraphs only if it names an advert or notice.  Outside an article, containers mostly of links go too.
+elements that a whole class or id names a sidebar, notice, advert or comment list.  A heading or
+paragraph that it names an advert or notice goes unless it reads like prose.  Within the article a
+container whose names merely mention readers' comments or newsletters goes if it comes after the last strong
+paragraph or holds a small share of the points; one that mentions other such things goes if much of it is
+links.  What stands between two kept siblings stays with them.  Outside an article, containers mostly of
+links go too.
 
 Rules for odd input: a null or empty page gives an empty text; unclosed tags are closed as browsers
 do, an unclosed last tag, comment or script ends the page; a page without a scored paragraph falls back
@@ -33,7 +37,12 @@ MIN_PARAGRAPH = 25
 LENGTH_UNIT, LENGTH_MAX = 100, 3
 LEVELS = 5
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
-LINK_HEAVY = 0.5
+LINK_HEAVY, LINK_SOME = 0.5, 0.25
+#: A container with such a share of the points is the article, whatever its names say.
+MOST = 0.5
+#: Characters of a strong paragraph; characters and commas of prose.
+STRONG = 80
+PROSE, PROSE_COMMAS = 120, 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg iframe xmp title".split())
@@ -53,6 +62,8 @@ SUBJECTS = frozenset("alert popup banner header menu subscribe login signin sign
 COMPANIONS = frozenset("main site page left right top bottom box block area list links link posts post articles article stories section container wrapper wrap bar inner outer content contents items item icons buttons button slot unit label title thread form panel group row col primary secondary media".split())
 #: Factor of a container's score if its names hold such a word among others.
 SUSPECT = 0.25
+#: Words of containers in which readers speak or are asked to subscribe.
+READERS = frozenset("comment comments commentlist disqus respond replies reply newsletter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
 
@@ -110,27 +121,34 @@ def _names_only(words: list[str], kinds: frozenset[str]) -> bool:
     return any(w in kinds for w in words) and all(w in kinds or w in COMPANIONS for w in words)
 
 
-def _judged(tag: str, token: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element goes, and whether its names make it suspect."""
+def _judged(tag: str, token: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element goes, and what its names say of it: nothing, suspect, readers (suspect, of READERS) or notice (a text element)."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True, False
+        return True, ""
     if tag in ROOTS or "=" not in token and "hidden" not in token:
-        return False, False
+        return False, ""
     kinds = NOTICES if tag in _TEXTS else NOTICES | ASIDES if in_article else NOTICES | ASIDES | SUBJECTS
-    suspect = False
+    said = ""
     for name, *values in _ATTR.findall(token):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, ""
         if name == "style" and _HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
-            return True, False
+            return True, ""
         if name in ("class", "id"):
             for whole in value.split():
                 words = [x.lower() for x in _PART.findall(whole)]
                 if _names_only(words, kinds):
-                    return True, False
-                suspect |= tag not in _TEXTS and any(w in kinds for w in words)
-    return False, suspect
+                    if tag not in _TEXTS:
+                        return True, ""
+                    said = "notice"
+                elif tag not in _TEXTS and any(w in kinds for w in words):
+                    said = "readers" if said == "readers" or any(w in READERS for w in words) else "suspect"
+    return False, said
+
+
+def _is_prose(text: str) -> bool:
+    return len(text) >= PROSE and text.count(",") + text.count("，") >= PROSE_COMMAS
 
 
 class _Page:
@@ -138,7 +156,7 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.gone, self.link = ["#"], [-1], [False], [False]
-        self.article, self.suspect = [False], [False]
+        self.article, self.said = [False], [""]
         self.up = [-1]  # innermost block element around each node
         self.blocks: list[tuple[int, str]] = []  # owning node, text
         self.sizes: list[tuple[int, int, int]] = []  # owning node, characters, characters in links
@@ -149,7 +167,7 @@ class _Page:
     def _flush(self) -> None:
         if self._text:
             whole = " ".join(html.unescape("".join(x for x, _ in self._text)).split())
-            if whole:
+            if whole and (self.said[self._owner] != "notice" or _is_prose(whole)):
                 linked = "".join(x for x, in_link in self._text if in_link)
                 self.blocks.append((self._owner, whole))
                 self.sizes.append((self._owner, len(whole), len(" ".join(html.unescape(linked).split())) if linked else 0))
@@ -216,9 +234,9 @@ class _Page:
             self.tag.append(tag)
             self.parent.append(top)
             self.article.append(in_article or tag in ("article", "main"))
-            gone, suspect = (True, False) if self.gone[top] else _judged(tag, token, in_article)
+            gone, said = (True, "") if self.gone[top] else _judged(tag, token, in_article)
             self.gone.append(gone)
-            self.suspect.append(suspect)
+            self.said.append(said)
             self.up.append(block[-1])
             self.link.append(self.link[top] or tag == "a")
             if token.endswith("/>") and tag not in BLOCKS:
@@ -242,6 +260,46 @@ def _headings_before(page: _Page, best: int, size: list[int]) -> list[int]:
     return found
 
 
+def _readers(page: _Page, kept: set[int], best: int) -> set[int]:
+    """Containers that said something of themselves, within what is kept, that go after all: not the best one nor what it lies in."""
+    if not any(page.said):
+        return set()
+    n, spine = len(page.tag), set()
+    while best > 0:
+        spine.add(best)
+        best = page.parent[best]
+    inside, apart = [False] * n, [False] * n
+    for node in range(1, n):
+        up = page.parent[node]
+        inside[node] = node in kept or inside[up]
+        apart[node] = apart[up] or bool(page.said[node]) and page.tag[node] not in _TEXTS and node not in spine
+    worth, size, linked = [0.0] * n, [0] * n, [0] * n
+    last = total = 0
+    for (owner, body), (_, length, in_links) in zip(page.blocks, page.sizes, strict=True):
+        if inside[owner]:
+            size[owner] += length
+            linked[owner] += in_links
+            if length >= MIN_PARAGRAPH:
+                worth[owner] += _worth(body)
+                total += _worth(body)
+            if length >= STRONG and not apart[owner]:
+                last = max(last, owner)
+    for node in range(n - 1, 0, -1):
+        up = page.parent[node]
+        worth[up], size[up], linked[up] = worth[up] + worth[node], size[up] + size[node], linked[up] + linked[node]
+    out = set()
+    for node in range(1, n):
+        if page.said[node] and page.tag[node] not in _TEXTS and node not in spine and node not in kept and size[node]:
+            late, small = node > last and worth[node] < MOST * total, worth[node] < SIBLING_SHARE * total
+            if page.said[node] == "readers" and (late or small) or linked[node] > LINK_SOME * size[node]:
+                out.add(node)
+    return out
+
+
+def _worth(body: str) -> float:
+    return 1 + body.count(",") + body.count("，") + min(len(body) / LENGTH_UNIT, LENGTH_MAX)
+
+
 def main_text(source: str | None) -> str:
     """The article of one page: its blocks in page order, joined by newlines."""
     if not source:
@@ -254,7 +312,7 @@ def main_text(source: str | None) -> str:
         size[owner] += length
         linked[owner] += in_links
         if length >= MIN_PARAGRAPH and (page.tag[owner] in PARAGRAPHS or page.tag[owner] in ("div", "section", "article", "main", "li")):
-            worth = 1 + body.count(",") + body.count("，") + min(length / LENGTH_UNIT, LENGTH_MAX)
+            worth = _worth(body)
             node, level = (page.up[owner] if page.tag[owner] in PARAGRAPHS else owner), 0
             while node > 0 and level < LEVELS:
                 points[node] = points.get(node, START_POINTS.get(page.tag[node], 0.0)) + worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -266,8 +324,9 @@ def main_text(source: str | None) -> str:
         size[page.parent[node]] += size[node]
         linked[page.parent[node]] += linked[node]
     share = [linked[i] / size[i] if size[i] else 0.0 for i in range(n)]
-    score = {node: got * (1 - share[node]) * (SUSPECT if page.suspect[node] else 1) for node, got in points.items() if page.tag[node] != "html"}
+    score = {node: got * (1 - share[node]) * (SUSPECT if page.said[node] else 1) for node, got in points.items() if page.tag[node] != "html"}
     kept: set[int] = set()
+    own = 0  # the container that scored best
     if score:
         best = max(score, key=lambda i: (score[i], depth[i], -i))
         node, wide = best, best
@@ -275,15 +334,17 @@ def main_text(source: str | None) -> str:
             if page.tag[node] == "article" or page.tag[node] == "main" and page.tag[wide] != "article":
                 wide = node
             node = page.parent[node]
-        best_score, best = score[best], wide
+        best_score, own, best = score[best], best, wide
         kept.add(best)
         bar = max(SIBLING_LEAST, SIBLING_SHARE * best_score)
         if page.tag[best] not in ("body", "main"):
             kept.update(_headings_before(page, best, size))
             for node in range(1, n):
                 if page.parent[node] == page.parent[best] and node != best and not page.gone[node]:
-                    if score.get(node, 0.0) >= bar or page.tag[node] == "p" and size[node] > 80 and share[node] < 0.25:
+                    if score.get(node, 0.0) >= bar or page.tag[node] == "p" and size[node] > STRONG and share[node] < LINK_SOME:
                         kept.add(node)
+            low, high = min(kept), max(kept)
+            kept.update(i for i in range(low, high) if page.parent[i] == page.parent[best] and size[i] and not page.gone[i] and not page.said[i] and share[i] < LINK_HEAVY)
     else:
         for tag in ("article", "main", "body"):
             kept = {i for i in range(1, n) if page.tag[i] == tag and not page.gone[i]}
@@ -291,11 +352,12 @@ def main_text(source: str | None) -> str:
                 break
         kept = kept or {0}
     inside = [False] * n
+    out = _readers(page, kept, own)
     for node in range(n):
         up = page.parent[node]
-        loose = page.suspect[node] or not page.article[node]
+        loose = page.said[node] or not page.article[node]
         heavy = loose and page.tag[node] in ("ul", "ol", "div", "table", "section", "dl") and share[node] > LINK_HEAVY and node not in kept
-        inside[node] = node in kept or up >= 0 and inside[up] and not heavy
+        inside[node] = node in kept or up >= 0 and inside[up] and not heavy and node not in out
     return "\n".join(body for owner, body in page.blocks if inside[owner])
 
 

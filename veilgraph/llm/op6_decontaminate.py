@@ -163,7 +163,8 @@ def _alignments(texts: DataFrame, ids: list[str], words: Words) -> DataFrame | N
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("k")) & (F.col("item_no") == F.col("i")) & (F.col("diag") == F.col("g"))
     both = shifted(firsts).join(two, same).select("doc_id", "tk", "item_no", "diag")
     names = spark.createDataFrame([(i, ids[i], [int(h) for h in words.hash[words.first[i] : words.first[i + 1]].view(np.int64)]) for i in range(words.rows)], "item_no int, item string, words array<long>")
-    return both.join(F.broadcast(names), "item_no").select("doc_id", "tk", "item", "words", "diag")
+    # written before the next block: one block's terms and items are broadcast at a time
+    return written(both.join(F.broadcast(names), "item_no").select("doc_id", "tk", "item", "words", "diag"), "alignments")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

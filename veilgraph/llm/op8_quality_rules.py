@@ -137,21 +137,30 @@ def _fitted(trusted: DataFrame) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64("trusted_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * MAX_TRUSTED / n))
 
 
-def word_buckets(texts: DataFrame) -> int:
-    """Buckets of words for this corpus, from an estimate of its distinct words."""
-    distinct = texts.select(F.explode(words_of(F.col("text"))).alias("word")).agg(F.approx_count_distinct("word", 0.02)).first()[0]
+def feature_counts(texts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(bucket, raw, target): how often the corpus and its fitted documents fill each bucket, with the most buckets of words."""
+    flagged = texts.join(F.broadcast(fitted), texts["doc_id"] == fitted["trusted_id"], "left")  # about MAX_TRUSTED ids
+    good = F.col("trusted_id").isNotNull().cast("long").alias("good")
+    features = flagged.select(good, F.explode(let(words_of(F.col("text")), lambda w: _features(w, WORD_BUCKETS[1]))).alias("bucket"))
+    return written(features.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")), "bucket-counts")
+
+
+def word_buckets(counts: DataFrame) -> int:
+    """Buckets of words for this corpus, from its distinct words as the filled ones of the most buckets tell them."""
     buckets, most = WORD_BUCKETS
+    filled = counts.where(F.col("bucket") < most).count()
+    distinct = -most * math.log(1 - filled / most) if filled < most else math.inf
     while buckets < most and buckets * WORDS_A_BUCKET < distinct:
         buckets *= 2
     return buckets
 
 
-def weights(texts: DataFrame, fitted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, w): the log ratio, in micro-units, of every bucket that the corpus fills."""
-    flagged = texts.join(F.broadcast(fitted), texts["doc_id"] == fitted["trusted_id"], "left")  # about MAX_TRUSTED ids
-    good = F.col("trusted_id").isNotNull().cast("long").alias("good")
-    features = flagged.select(good, F.explode(let(words_of(F.col("text")), lambda w: _features(w, buckets))).alias("bucket"))
-    counts = written(features.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")), "bucket-counts")
+def weights(counts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, w): the log ratio, in micro-units, of every bucket that the corpus fills; buckets of words are folded (powers of two), pairs follow them."""
+    most = WORD_BUCKETS[1]
+    if buckets < most:
+        folded = F.when(F.col("bucket") < most, F.col("bucket") % buckets).otherwise(F.col("bucket") - most + buckets).cast("int")
+        counts = counts.groupBy(folded.alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = (x or 0 for x in counts.agg(F.sum("raw"), F.sum("target")).first())
     if not target:
         return counts.select("bucket", F.lit(0).alias("w"))
@@ -165,8 +174,9 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, score (micro-units a feature), low_rate, base_failed and kept, for every row."""
     texts = _texts(documents)
     trusted = _trusted(labels)
-    buckets = word_buckets(texts)
-    weighed = weights(texts, _fitted(trusted), buckets)
+    counts = feature_counts(texts, _fitted(trusted))
+    buckets = word_buckets(counts)
+    weighed = weights(counts, buckets)
     # rows of one doc_id and text add up: their sums, features and words grow alike
     features = F.explode(let(words_of(F.col("text")), lambda w: _features(w, buckets))).alias("bucket")
     is_word = F.col("bucket") < buckets
