@@ -288,6 +288,23 @@ def test_greedy_match(spark):
     assert {(r["gold_id"], r["pred_id"]) for r in got} == {("g1", "p1"), ("g2", "p2")}
 
 
+def test_greedy_match_by_rounds(spark, monkeypatch):
+    """Large documents are matched as small ones are, with chains and ties."""
+    rng = random.Random(2)
+    rows = {(f"d{i % 3}", f"g{rng.randrange(12)}", f"p{rng.randrange(12)}"): float(rng.randrange(4)) for i in range(300)}
+    rows |= {("chain", f"g{k:02d}", f"p{k + j:02d}"): float(20 - k) for k in range(15) for j in (0, 1)}
+    frame = spark.createDataFrame([(*k, v) for k, v in rows.items()], "doc_key string, gold_id string, pred_id string, score double")
+    for ties in (("gold_id", "pred_id"), ("pred_id", "gold_id")):
+        place, used, want = {"gold_id": 1, "pred_id": 2}, set(), []
+        for (d, g, p), v in sorted(rows.items(), key=lambda r: (-r[1], *[r[0][place[t]] for t in ties])):
+            if (d, 1, g) not in used and (d, 2, p) not in used:
+                used |= {(d, 1, g), (d, 2, p)}
+                want.append((d, g, p, v))
+        for group in (10_000, 5):
+            monkeypatch.setattr(matching, "GROUP", group)
+            assert sorted(map(tuple, matching.greedy_match(frame, ties).collect())) == sorted(want)
+
+
 def test_composition_needs_every_entity(spark):
     rank = spark.createDataFrame([("hot", 24), ("cold", 4)], "he_id string, rank int")
     inc = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "a")], "he_id string, entity_id string")

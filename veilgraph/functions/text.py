@@ -39,7 +39,9 @@ def collapse(values: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def fold(values: pd.Series) -> pd.Series:
     """NFC, white space collapsed, case folded: for comparing."""
-    return values.map(lambda x: " ".join(unicodedata.normalize("NFC", x).casefold().split()), na_action="ignore")
+    codes, distinct = pd.factorize(values)  # each distinct value of a batch once; null has code -1
+    done = [" ".join((x.lower() if x.isascii() else unicodedata.normalize("NFC", x).casefold()).split()) for x in distinct]
+    return pd.Series([done[c] if c >= 0 else None for c in codes], index=values.index, dtype=object)
 
 
 def normal_id(name: Column) -> Column:

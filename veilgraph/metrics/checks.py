@@ -47,7 +47,7 @@ def fingerprint(incidence: DataFrame) -> DataFrame:
     each = own.groupBy("he_id").agg(F.count_distinct("slot").alias("roles"), (F.count("*") > F.count_distinct("entity_id")).alias("repeated"))
     mode = each.groupBy("roles").agg(F.count("*").alias("c")).agg(F.min_by("roles", F.struct(-F.col("c"), F.col("roles"))).alias("modal_roles"))
     counts = each.agg(F.count("*").alias("n"), ratio(F.count_if(F.col("roles") == 2), F.count("*")).alias("pair_ratio"), ratio(F.count_if("repeated"), F.count("*")).alias("repeated_ratio"))
-    return counts.withColumn("_a", F.lit(1)).join(F.broadcast(mode.withColumn("_b", F.lit(1))), F.col("_a") == F.col("_b")).drop("_a", "_b")
+    return counts.crossJoin(F.broadcast(mode))  # one row each
 
 
 def token_ratio(measured: DataFrame) -> DataFrame:

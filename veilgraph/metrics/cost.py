@@ -12,8 +12,8 @@ def token_cost(tokens: Column, price_per_million: Column) -> Column:
 
 def batch_estimate(chunks: DataFrame, prices: DataFrame, out_ratio: float) -> DataFrame:
     """(model, calls, tokens_in, tokens_out, cost): chunks(n_words) under every model of the catalogue (a small dimension)."""
-    total = chunks.agg(F.count("*").alias("calls"), F.sum("n_words").alias("tokens_in")).withColumn("_one", F.lit(1))
-    rows = prices.withColumn("_two", F.lit(1)).join(F.broadcast(total), F.col("_one") == F.col("_two"))
+    total = chunks.agg(F.count("*").alias("calls"), F.sum("n_words").alias("tokens_in"))
+    rows = prices.crossJoin(F.broadcast(total))  # one row
     out = F.floor(F.col("tokens_in") * out_ratio).cast("long")
     return rows.select("model", "calls", "tokens_in", out.alias("tokens_out"), F.round(token_cost(F.col("tokens_in"), F.col("price_in")) + token_cost(out, F.col("price_out")), 6).alias("cost"))
 

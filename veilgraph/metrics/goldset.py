@@ -35,29 +35,31 @@ def gold_violations(gold: DataFrame, documents: DataFrame) -> DataFrame:
     NO_DOCUMENT; NOT_NORMAL, a value that normalising changes; NOT_IN_BODY, a value that the folded text
     lacks; NOT_VERBATIM, a sentence that the text lacks as it stands; DUPLICATE, a fact id twice in a
     document; UNKNOWN_TYPE, a document type without a rank; UNCOVERED, a role that no fact fills.  A null
-    text has no values and no sentences.  A fact's text is joined to it once, for all its slots.
+    text has no values and no sentences.  A document's facts are gathered before its text is
+    joined to them, once, and looked for in it by array functions.
     """
     out = lambda frame, check, item: frame.select(F.lit(check).alias("check"), "doc_key", item.cast("string").alias("item"))
-    known = documents.select("doc_key", "ctype", "text", F.lit(True).alias("_known"))
+    known = documents.select("doc_key", F.lit(True).alias("_known"))
     facts = gold.join(known, "doc_key", "left")
-    found = facts.where("_known")
     values = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("value"), collapse(s).alias("plain"), fold(s).alias("folded")) for s in SLOTS])
-    body = F.coalesce(fold(F.col("text")), F.lit(""))
-    strange = lambda x: x["value"].isNotNull() & (x["value"] != x["plain"])
-    judged = found.withColumns({"_values": values, "_body": body})
-    lacking = F.filter("_values", lambda x: x["value"].isNotNull() & ~F.col("_body").contains(x["folded"]))
-    item = F.concat_ws(":", "fact_id", "slot")
-    slots = judged.select("doc_key", "fact_id", F.explode(F.concat(
-        F.transform(F.filter("_values", strange), lambda x: F.struct(F.lit("NOT_NORMAL").alias("check"), x["slot"].alias("slot"))),
-        F.transform(lacking, lambda x: F.struct(F.lit("NOT_IN_BODY").alias("check"), x["slot"].alias("slot"))),
-    )).alias("x")).select("doc_key", "fact_id", "x.check", "x.slot")
+    gathered = gold.select("doc_key", "fact_id", "sentence", values.alias("values")).groupBy("doc_key").agg(F.collect_list(F.struct("fact_id", "sentence", "values")).alias("facts"))
+    whole = documents.select("doc_key", F.coalesce("text", F.lit("")).alias("text")).join(gathered, "doc_key").withColumn("body", fold("text"))
+    fault = lambda check, item: F.struct(F.lit(check).alias("check"), item.alias("item"))
+
+    def of_fact(f: Column) -> Column:
+        cell = lambda check: lambda x: fault(check, F.concat_ws(":", f["fact_id"], x["slot"]))
+        strange = F.filter(f["values"], lambda x: x["value"].isNotNull() & (x["value"] != x["plain"]))
+        lacking = F.filter(f["values"], lambda x: x["value"].isNotNull() & ~F.contains(F.col("body"), x["folded"]))
+        unsaid = F.filter(F.array(f["sentence"]), lambda x: ~F.contains(F.col("text"), x))
+        return F.concat(F.transform(strange, cell("NOT_NORMAL")), F.transform(lacking, cell("NOT_IN_BODY")), F.transform(unsaid, lambda _: fault("NOT_VERBATIM", f["fact_id"].cast("string"))))
+
+    judged = whole.select("doc_key", F.explode(F.flatten(F.transform("facts", of_fact))).alias("x")).select("x.check", "doc_key", "x.item")
     twice = gold.groupBy("doc_key", "fact_id").agg(F.count("*").alias("n")).where("n > 1")
     types = documents.where(F.col("ctype").isNotNull() & rank_of(F.col("ctype")).isNull())
     roles = gold.sparkSession.createDataFrame([(None, s) for s in SLOTS], "doc_key string, slot string")
     return (
         out(facts.where("_known is null"), "NO_DOCUMENT", F.col("fact_id"))
-        .union(slots.select("check", "doc_key", item.alias("item")))
-        .union(out(found.where(~F.coalesce(F.col("text"), F.lit("")).contains(F.col("sentence"))), "NOT_VERBATIM", F.col("fact_id")))
+        .union(judged)
         .union(out(twice, "DUPLICATE", F.col("fact_id")))
         .union(out(types, "UNKNOWN_TYPE", F.col("ctype")))
         .union(out(roles.join(_filled(gold).select("slot").distinct(), "slot", "left_anti"), "UNCOVERED", F.col("slot")))

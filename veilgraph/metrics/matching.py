@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgraph.sources.held import held
 
-def _greedy(ties: tuple[str, str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, kept = set(), set(), []
-        ordered = group.sort_values(["score", *ties], ascending=[False, True, True])
-        for place, (gold, pred) in enumerate(zip(ordered["gold_id"], ordered["pred_id"], strict=True)):
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs sorted by document and then in the order of matching: each is taken if both of its facts are still free."""
+    document, left, right = object(), set(), set()
+    for batch in batches:
+        taken = []
+        for place, (doc, gold, pred) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            if doc != document:
+                document, left, right = doc, set(), set()
             if gold not in left and pred not in right:
                 left.add(gold)
                 right.add(pred)
-                kept.append(place)
-        return ordered.iloc[kept]
+                taken.append(place)
+        yield batch.take(pa.array(taken, pa.int64()))
+
+
+#: Pairs of a document that one task may take; larger documents are cut down by rounds first.
+GROUP = 10_000
+
+_PAIR = ("doc_key", "gold_id", "pred_id", "score")
+
 
-    return run
+def _dominant(rows: DataFrame, ties: tuple[str, str]) -> DataFrame:
+    """Pairs that are the first of both their facts: under a total order, greedy matching takes them whatever else it takes."""
+    ranked = rows.withColumn("_key", F.struct((-F.col("score")).alias("s"), *ties))
+    first = {side: ranked.groupBy("doc_key", side).agg(F.min("_key").alias(f"_{side}")) for side in ("gold_id", "pred_id")}
+    both = ranked.join(first["gold_id"], ["doc_key", "gold_id"]).join(first["pred_id"], ["doc_key", "pred_id"])
+    return both.where((F.col("_key") == F.col("_gold_id")) & (F.col("_key") == F.col("_pred_id"))).select(*_PAIR)
 
 
 def greedy_match(candidates: DataFrame, ties: tuple[str, str] = ("gold_id", "pred_id")) -> DataFrame:
-    """candidates(doc_key, gold_id, pred_id, score) taken by falling score, then by the ids in the order of `ties`.
+    """candidates(doc_key, gold_id, pred_id, score), each pair once, taken by falling score, then by the ids in the order of `ties`.
 
-    Pairs that compete with no other pair are kept as they are.  What is left of a document's candidates is
-    one group, bounded by its facts.
+    A document of up to GROUP pairs is matched in one task, which reads its documents one after the other.  Of larger ones the pairs that are first for both of
+    their facts are taken, what competes with them goes, and so on until GROUP are left.
     """
-    rows = candidates.select("doc_key", "gold_id", "pred_id", "score")
-    by_gold = rows.groupBy("doc_key", "gold_id").agg(F.count("*").alias("_g"))
-    by_pred = rows.groupBy("doc_key", "pred_id").agg(F.count("*").alias("_p"))
-    counted = rows.join(by_gold, ["doc_key", "gold_id"]).join(by_pred, ["doc_key", "pred_id"])
-    alone = (F.col("_g") == 1) & (F.col("_p") == 1)
-    columns = ("doc_key", "gold_id", "pred_id", "score")
-    rest = counted.where(~alone).select(*columns)
-    return counted.where(alone).select(*columns).union(rest.groupBy("doc_key").applyInPandas(_greedy(ties), rest.schema))
+    rows = candidates.select(*_PAIR)
+    sized = rows.join(rows.groupBy("doc_key").agg(F.count("*").alias("_n")), "doc_key")
+    small, big = sized.where(F.col("_n") <= GROUP).drop("_n"), held(sized.where(F.col("_n") > GROUP).drop("_n"), "large-documents")
+    taken = []
+    while not big.isEmpty():
+        won = held(_dominant(big, ties), "matched")
+        taken.append(won)
+        left = held(big.join(won.select("doc_key", "gold_id"), ["doc_key", "gold_id"], "left_anti").join(won.select("doc_key", "pred_id"), ["doc_key", "pred_id"], "left_anti").select(*_PAIR), "unmatched")
+        sized = left.join(left.groupBy("doc_key").agg(F.count("*").alias("_n")), "doc_key")
+        small, big = small.union(sized.where(F.col("_n") <= GROUP).select(*_PAIR)), sized.where(F.col("_n") > GROUP).select(*_PAIR)
+    out = small.select(*_PAIR).repartition("doc_key").sortWithinPartitions("doc_key", F.desc("score"), *ties).mapInArrow(_greedy, rows.schema)
+    for won in taken:
+        out = out.union(won)
+    return out

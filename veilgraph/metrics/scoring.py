@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.functions.grams import containing, pieces
 from veilgraph.functions.text import fold
 from veilgraph.metrics.matching import greedy_match
 from veilgraph.metrics.ratios import ratio
@@ -38,8 +39,11 @@ def subject_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """
     side = lambda frame, name: frame.select("doc_key", F.col("subject").alias(f"{name}_subject"), F.col("fact_id").alias(f"{name}_id"), F.struct(*SLOTS).alias(name)).where(f"{name}_subject is not null")
     g, p = side(gold, "gold"), side(pred, "pred")
-    subjects = g.select("doc_key", "gold_subject").distinct().join(p.select("doc_key", "pred_subject").distinct(), "doc_key")
-    near = subjects.where(agree(F.col("gold_subject"), F.col("pred_subject")).isNotNull())
+    golds, preds = (held(f.select("doc_key", F.col(c).alias("text")).distinct(), "subjects") for f, c in ((g, "gold_subject"), (p, "pred_subject")))
+    # subjects of one document meet if one contains the other: looked up by their rarest piece, not pair by pair
+    within = lambda needles, texts: containing(needles.withColumnRenamed("text", "needle"), pieces(texts, "text", "doc_key", "text"), texts, "doc_key")
+    near = within(golds, preds).select("doc_key", F.col("needle").alias("gold_subject"), F.col("text").alias("pred_subject"))
+    near = near.union(within(preds, golds).select("doc_key", F.col("text").alias("gold_subject"), F.col("needle").alias("pred_subject"))).distinct()
     return near.join(g, ["doc_key", "gold_subject"]).join(p, ["doc_key", "pred_subject"]).select("doc_key", "gold_id", "pred_id", "gold", "pred")
 
 

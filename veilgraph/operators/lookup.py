@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.functions.grams import GRAM, containing, pieces
 from veilgraph.functions.keys import key_state, merged_key
 from veilgraph.functions.text import fold
 from veilgraph.plans.context import Context, secure
 from veilgraph.sources.held import held
 
-#: Characters by which an anchor is looked up inside subjects.
-GRAM = 6
-
 
 def get_by_ids(ids: DataFrame, rows: DataFrame, context: Context, namespace: str, *fields: str) -> DataFrame:
     """ids(pos, id) with the named fields; what the context may not read looks missing."""
@@ -72,13 +70,6 @@ def anchor_summary(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.groupBy("anchor_id").agg(tier.alias("tier"), F.sum("n").alias("n"), F.min("he_id").alias("first_he"))
 
 
-def _grams(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """(*keep, gram): the distinct GRAM-character pieces of a text; shorter texts are one piece."""
-    size = F.least(F.char_length(text), F.lit(GRAM))
-    cut = texts.where(F.length(text) > 0).select(*keep, text, F.explode(F.sequence(F.lit(1), F.char_length(text) - size + 1)).alias("at"), size.alias("size"))
-    return cut.select(*keep, F.col(text).substr(F.col("at"), F.col("size")).alias("gram")).distinct()
-
-
 def resolve_labels(labels: DataFrame, values: DataFrame) -> DataFrame:
     """(label_id, tier, n, he_id, found, status): the facts that each label's anchors point to within its document.
 
@@ -94,19 +85,13 @@ def resolve_labels(labels: DataFrame, values: DataFrame) -> DataFrame:
     folded = held(values.select("value").distinct().select("value", fold("value").alias("text")), "folded")
     index = held(values.join(folded, "value").select("doc_key", "he_id", "slot", "text").distinct(), "label-values")
     asked = held(labels.select("label_id", "he_id", "doc_key", fold("anchor").alias("anchor"), fold("second").alias("second")), "labels")
-    grams = held(_grams(index.select("doc_key", "text").distinct(), "text", "doc_key", "text"), "label-grams")
-    lists = grams.groupBy("doc_key", "gram").agg(F.count("*").alias("length"))
+    texts = index.select("doc_key", "text").distinct()
+    grams = held(pieces(texts, "text", "doc_key", "text"), "label-grams")
 
     def holding(which: str) -> DataFrame:
         """(label_id, text): values of the label's document that contain an anchor."""
-        own = asked.where(F.length(which) > 0)
-        long = own.where(F.char_length(which) >= GRAM)
-        pieces = _grams(long, which, "label_id", "doc_key", which)
-        sized = pieces.join(lists, ["doc_key", "gram"], "left")
-        rarest = sized.groupBy("label_id", "doc_key", which).agg(F.min_by("gram", F.struct(F.coalesce("length", F.lit(0)), "gram")).alias("gram"))
-        found = rarest.join(grams, ["doc_key", "gram"]).where(F.contains(F.col("text"), F.col(which))).select("label_id", "text")
-        short = own.where(F.char_length(which) < GRAM).join(index.select("doc_key", "text").distinct(), "doc_key").where(F.contains(F.col("text"), F.col(which))).select("label_id", "text")
-        return found.union(short)
+        found = containing(asked.select("doc_key", F.col(which).alias("needle")), grams, texts, "doc_key")
+        return asked.select("label_id", "doc_key", F.col(which).alias("needle")).join(found, ["doc_key", "needle"]).select("label_id", "text")
 
     first = holding("anchor").join(asked.select("label_id", "doc_key", "anchor", "second"), "label_id").join(index.where("slot = 'subject'"), ["doc_key", "text"])
     tiered = first.select("label_id", "second", "he_id", (F.col("text") == F.col("anchor")).alias("equal")).groupBy("label_id", "second", "he_id").agg(F.max("equal").alias("equal"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.model import SLOTS
+from veilgraph.sources.held import held
 
 
 def sync_accounts(stored: DataFrame, seed: DataFrame) -> DataFrame:
@@ -15,9 +16,11 @@ def sync_accounts(stored: DataFrame, seed: DataFrame) -> DataFrame:
 
 def batch_status(runs: DataFrame, costs: DataFrame, keep: int) -> DataFrame:
     """The newest `keep` rows of document states with cost; running rows show no code or reason."""
-    shown = runs.join(costs, "doc_key", "left")
+    order = (F.desc("started"), "doc_key")
+    top = held(runs.orderBy(*order).limit(keep), "newest")  # a report of `keep` rows
+    own = costs.join(F.broadcast(top.select("doc_key")), "doc_key", "left_semi")
     hidden = lambda c: F.when(F.col("status") != "running", F.col(c)).alias(c)
-    return shown.select("doc_key", "started", "status", hidden("code"), hidden("reason"), "cost").orderBy(F.desc("started"), "doc_key").limit(keep)
+    return top.join(own, "doc_key", "left").select("doc_key", "started", "status", hidden("code"), hidden("reason"), "cost").orderBy(*order).limit(keep)
 
 
 def snapshot(incidence: DataFrame) -> DataFrame:
