@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_operators import brute_hits, brute_lines, fingerprint, groups  # noqa: E402
+from test_operators import all_pairs_lines, brute_hits, fingerprint, groups  # noqa: E402
 
 
 def _docs(frame):
@@ -20,7 +20,7 @@ def test_stages(spark, small):
     marks = spark.read.parquet(f"{small}/labels.parquet").where("quality = 1 and toxic = 0").join(docs, "doc_id", "left_semi")
     assert clean.columns == columns and clean.join(marks, "doc_id", "left_semi").count() >= 0.97 * marks.count()
     fewer = stages["lines"](spark, docs, small)
-    expected = sorted((d, t) for d, n, t in brute_lines(_docs(docs)) if not n or t.strip())
+    expected = sorted((d, t) for d, n, t in all_pairs_lines(_docs(docs)) if not n or t.strip())
     assert fewer.columns == columns and sorted(_docs(fewer)) == expected
     assert fewer.where("n_chars <> char_length(text)").count() == 0
     alone = stages["near_copies"](spark, docs, small)
