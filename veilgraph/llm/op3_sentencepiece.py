@@ -13,7 +13,8 @@ results do not depend on partitioning.
 
 Rules for odd input: a null or empty text has one, empty, segmentation; texts with fewer than k
 segmentations give them all, with inclusion 0; rows of one doc_id draw the same numbers; a null
-doc_id draws as 0; other columns are ignored.
+doc_id draws as 0; a very long text is searched whole, in memory of its own lattice; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

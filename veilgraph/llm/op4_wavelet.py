@@ -2,7 +2,7 @@
 
 Rules for odd input: a null text is empty (only the end id is stored); rows with equal doc_id all
 stay, ordered by text; null doc_ids come first and read back as null; other columns are ignored; an
-empty table gives no files and no rows.
+empty table gives no files and no rows; a very long text is encoded whole, and its shard grows by it.
 """
 
 from __future__ import annotations

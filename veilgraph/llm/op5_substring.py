@@ -9,7 +9,8 @@ windows merge into maximal repeats of at least LENGTH words.
 
 Rules for odd input: a null or word-less text has no words and nothing removed; texts under LENGTH
 words lose nothing (tk, a hash of the text, tells rows of one doc_id apart); repeats inside one document are no reason to remove; rows with equal doc_id are
-kept apart but never remove each other; a null doc_id is kept whole; other columns are ignored.
+kept apart but never remove each other; a null doc_id is kept whole; a very long text is cut into
+segments whole, in memory of its own size; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
