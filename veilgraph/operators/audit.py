@@ -36,13 +36,38 @@ def tail(events: DataFrame, space: str, limit: int) -> DataFrame:
     return events.where(F.col("space") == space).orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def sums_between(events: DataFrame, bounds: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """(bucket, at, n, cost): events summed from each bound to the next one in its time bucket; at is null before the first.
+
+    events(ts, cost), bounds(at) in microseconds.
+    """
+    bucket = F.floor(F.col("at") / (bucket_seconds * 1_000_000)).alias("bucket")
+    own = events.select(_micros(F.col("ts")).alias("at"), "cost", F.lit(True).alias("event")).where("at is not null")
+    marks = bounds.distinct().select("at", F.lit(None).alias("cost"), F.lit(False).alias("event"))
+    placed = own.union(marks).select(bucket, "*")
+    last = F.max(F.when(~F.col("event"), F.col("at"))).over(Window.partitionBy("bucket").orderBy("at", "event"))
+    return placed.withColumn("last", last).where("event").groupBy("bucket", F.col("last").alias("at")).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+
+
 def cost_by_interval(events: DataFrame, intervals: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """(doc_key, n, cost): events in each document's [start, end), by one equi-join on time buckets."""
-    epoch = lambda c: F.floor(F.unix_timestamp(c) / bucket_seconds)
-    wide = intervals.select("doc_key", "start", "end", F.explode(F.sequence(epoch(F.col("start")), epoch(F.col("end")))).alias("bucket"))
-    keyed = events.select("ts", "cost", epoch(F.col("ts")).alias("bucket"))
-    hit = wide.join(keyed, "bucket").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
-    return hit.groupBy("doc_key").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
+    """(doc_key, n, cost): events in each document's [start, end), by one equi-join on time buckets.
+
+    Equal intervals are summed once.  They meet sums of the events between neighbouring bounds, not the events: a
+    bound lies inside none of these, so each is in an interval as a whole or not at all.
+    """
+    own = intervals.select("doc_key", _micros(F.col("start")).alias("start"), _micros(F.col("end")).alias("end")).where("start < end")
+    spans = own.select("start", "end").distinct()
+    sums = sums_between(events, spans.select(F.explode(F.array("start", "end")).alias("at")), bucket_seconds)
+    size = bucket_seconds * 1_000_000
+    epoch = lambda c: F.floor(F.col(c) / size)
+    wide = spans.select("start", "end", F.explode(F.sequence(epoch("start"), epoch("end"))).alias("bucket"))
+    at = F.coalesce("at", F.col("bucket") * size)
+    each = wide.join(sums, "bucket").where((at >= F.col("start")) & (at < F.col("end"))).groupBy("start", "end").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+    return own.join(each, ["start", "end"]).groupBy("doc_key").agg(F.sum("n").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 def latest(rows: DataFrame, group: str, *order: str) -> DataFrame:
