@@ -3,8 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from veilgraph.metrics import documents, scoring
+from veilgraph.model import SLOTS
 from veilgraph.operators import audit
 
 
@@ -26,3 +30,26 @@ def test_cost_by_interval_meets_sums(spark):
     # what a span meets is bounded by the bounds, however many events lie between them
     bounds = spark.createDataFrame([(s,) for s in starts], "at timestamp").select(F.unix_micros("at").alias("at"))
     assert audit.sums_between(frame, bounds).count() <= len(starts) + 5
+
+
+SCHEMA = "doc_key string, fact_id string, " + ", ".join(f"`{s}` string" for s in SLOTS)
+
+
+@pytest.mark.parametrize("call", [scoring.scored_candidates, scoring.pair_level, scoring.document_level])
+def test_documents_as_by_joins(spark, monkeypatch, call):
+    rng = random.Random(5)
+    words = ["ab", "ABC", "abcd", "x", "xy", "Đà", "đà nẵng", "q", "  ", "", None, None]
+    fact = lambda doc, side, n: (doc, f"{side}{rng.randrange(10)}{n}", rng.choice(words), *[rng.choice(words) for _ in SLOTS[1:]])
+    gold, pred = (spark.createDataFrame([fact(f"d{d}" if d else None, side, n) for d in range(40) for n in range(d % 5 + more)], SCHEMA) for side, more in (("g", 1), ("p", 0)))
+    own, some, none = [], [], []
+    for size, rows in ((400, own), (4, some), (0, none)):
+        monkeypatch.setattr(documents, "GROUP", size)
+        rows += sorted(map(repr, call(gold, pred).collect()))
+    assert own == some == none and own
+
+
+def test_documents_are_shuffled_once(spark):
+    frame = spark.createDataFrame([], SCHEMA)
+    for call in (scoring.scored_candidates, scoring.pair_level, scoring.document_level):
+        plan = call(frame, frame)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 0 and plan.count("RepartitionByExpression") == 1

@@ -36,11 +36,15 @@ def collapse(values: pd.Series) -> pd.Series:
     return values.map(collapse_py, na_action="ignore")
 
 
+def fold_py(value: str) -> str:
+    return " ".join((value.lower() if value.isascii() else unicodedata.normalize("NFC", value).casefold()).split())
+
+
 @F.pandas_udf(T.StringType())
 def fold(values: pd.Series) -> pd.Series:
     """NFC, white space collapsed, case folded: for comparing."""
     codes, distinct = pd.factorize(values)  # each distinct value of a batch once; null has code -1
-    done = [" ".join((x.lower() if x.isascii() else unicodedata.normalize("NFC", x).casefold()).split()) for x in distinct]
+    done = [fold_py(x) for x in distinct]
     return pd.Series([done[c] if c >= 0 else None for c in codes], index=values.index, dtype=object)
 
 

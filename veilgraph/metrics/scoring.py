@@ -3,6 +3,9 @@
 gold and pred are (doc_key, fact_id, one column a slot), a fact_id once in a document on each side (see
 `facts.first_seen`).  Values are compared folded; a null or blank value is no slot.  Two values agree
 exactly when equal, loosely when one contains the other.
+
+Documents are scored one by one inside the tasks (`documents`), after one shuffle; those of more than `documents.GROUP`
+facts by the joins written here, which give the same rows.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions.grams import containing, pieces
 from veilgraph.functions.text import fold
+from veilgraph.metrics import documents
+from veilgraph.metrics.documents import EXTRA, MISSING, by_document
 from veilgraph.metrics.matching import greedy_match
 from veilgraph.metrics.ratios import ratio
 from veilgraph.model import SLOTS
 from veilgraph.sources.held import held
 
-MISSING, EXTRA = "missing", "extra"
 _PLACE = {s: i for i, s in enumerate(SLOTS)}
+_CELL = "gold_role string, pred_role string, kind string"
 _SLOT = "array<struct<role:string,value:string>>"
 _HIT = "array<struct<gold_role:string,pred_role:string,kind:string>>"
 
@@ -76,7 +81,8 @@ def _across(state: Column, kind: str) -> Column:
 
 def scored_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_key, gold_id, pred_id, n_same, n_any): slots matched in their own role, and in any."""
-    return _scored(folded(gold), folded(pred))
+    fields = "gold_id string, pred_id string, n_same long, n_any long"
+    return by_document(gold, pred, documents.scored_candidates, fields, lambda g, p: _scored(folded(g), folded(p)))
 
 
 def _scored(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -103,6 +109,10 @@ def _slots(facts: DataFrame, name: str) -> DataFrame:
 
 def pair_level(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_key, gold_role, pred_role, kind): every slot once; slots of facts without a partner are missing or extra."""
+    return by_document(gold, pred, documents.pair_level, _CELL, _pair_level)
+
+
+def _pair_level(gold: DataFrame, pred: DataFrame) -> DataFrame:
     g, p = held(folded(gold), "gold"), held(folded(pred), "pred")
     pairs = held(_paired(g, p), "pairs")
     both = pairs.join(g.select("doc_key", F.col("fact_id").alias("gold_id"), F.struct(*SLOTS).alias("gold")), ["doc_key", "gold_id"])
@@ -125,6 +135,10 @@ def document_level(gold: DataFrame, pred: DataFrame) -> DataFrame:
     is none it is repeated (an equal value of its role is used), used (one that contains it is) or missing.
     Slots of pred that nothing points at are extra.
     """
+    return by_document(gold, pred, documents.document_level, _CELL, _document_level)
+
+
+def _document_level(gold: DataFrame, pred: DataFrame) -> DataFrame:
     g = held(_slots(folded(gold), "gold").withColumnRenamed("gold_role", "role"), "gold")
     p = held(_slots(folded(pred), "pred").withColumnRenamed("pred_role", "role"), "pred")
     nth = lambda name: F.row_number().over(Window.partitionBy("doc_key", "role", "value").orderBy(f"{name}_id"))
