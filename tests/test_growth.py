@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.metrics import documents, scoring
 from veilgraph.model import SLOTS
-from veilgraph.operators import audit
+from veilgraph.operators import audit, lookup
 
 
 def test_cost_by_interval_meets_sums(spark):
@@ -53,3 +53,20 @@ def test_documents_are_shuffled_once(spark):
     for call in (scoring.scored_candidates, scoring.pair_level, scoring.document_level):
         plan = call(frame, frame)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 0 and plan.count("RepartitionByExpression") == 1
+
+
+def test_labels_as_by_grams(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["alpha beta", "Alpha", "beta gamma delta", "gamma", "Đà nẵng", "", None, "delta alpha beta"]
+    values = [(f"h{rng.randrange(60)}", f"d{d}", rng.choice(SLOTS[:3]), rng.choice(words)) for d in range(25) for _ in range(d % 9)]
+    parts = ["alpha", "ALPHA BETA", "a", "gamma d", "nẵng", "", None, "zzz"]
+    labels = [(n, f"h{rng.randrange(80)}", f"d{n % 27}" if n % 10 else None, rng.choice(parts), rng.choice([None, *parts])) for n in range(200)]
+    frames = spark.createDataFrame(labels, "label_id long, he_id string, doc_key string, anchor string, second string"), spark.createDataFrame(values, "he_id string, doc_key string, slot string, value string")
+    own, some, none = [], [], []
+    for size, rows in ((400, own), (9, some), (0, none)):
+        monkeypatch.setattr(documents, "GROUP", size)
+        rows += sorted(map(repr, lookup.resolve_labels(*frames).collect()))
+    assert own == some == none and len(own) == 200
+    monkeypatch.setattr(documents, "GROUP", 400)
+    plan = lookup.resolve_labels(*frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1

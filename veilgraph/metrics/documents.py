@@ -118,13 +118,21 @@ def document_level(golds: list[Fact], preds: list[Fact]) -> Iterator[tuple]:
             yield EXTRA, SLOTS[i], EXTRA
 
 
-def _folded(column: pa.Array) -> list[str | None]:
+def folded(column: pa.Array, empty: str | None = None) -> list[str | None]:
     coded = column.dictionary_encode()  # each distinct value of a batch is folded once
-    values = [fold_py(v) or None for v in coded.dictionary.to_pylist()]
+    values = [fold_py(v) or empty for v in coded.dictionary.to_pylist()]
     return [None if c is None else values[c] for c in coded.indices.to_pylist()]
 
 
-def _stream(score: Score, schema: pa.Schema):
+def _facts(batch: pa.RecordBatch) -> Iterator[tuple]:
+    slots = zip(*(folded(batch.column(i)) for i in range(3, batch.num_columns)), strict=True)
+    ids = (batch.column(i).to_pylist() for i in range(3))
+    return ((doc, side, (name, values)) for doc, side, name, values in zip(*ids, slots, strict=True))
+
+
+def stream(read: Callable[[pa.RecordBatch], Iterable[tuple]], score: Callable[[list, list], Iterable[tuple]], schema: pa.Schema):
+    """For mapInArrow over rows sorted by document: read(batch) gives (document, side, item), score(items of side 0, items of side 1) a document's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides, out = None, ([], []), []
 
@@ -137,12 +145,11 @@ def _stream(score: Score, schema: pa.Schema):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            slots = zip(*(_folded(batch.column(i)) for i in range(3, batch.num_columns)), strict=True)
-            for doc, side, name, values in zip(*(batch.column(i).to_pylist() for i in range(3)), slots, strict=True):
-                if doc != key or doc is None:  # facts without a document meet nothing
+            for doc, side, item in read(batch):
+                if doc != key or doc is None:  # rows without a document meet nothing
                     close()
                     key, sides = doc, ([], [])
-                sides[side].append((name, values))
+                sides[side].append(item)
             yield flush()
             out = []
         close()
@@ -151,10 +158,15 @@ def _stream(score: Score, schema: pa.Schema):
     return run
 
 
+def large_documents(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(doc_key): documents with more than GROUP rows on both sides together."""
+    every = one.select("doc_key").union(two.select("doc_key")).where("doc_key is not null")
+    return held(every.groupBy("doc_key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("doc_key"), "large-documents")
+
+
 def by_document(gold: DataFrame, pred: DataFrame, score: Score, fields: str, joined: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """(doc_key, fields): score of every document; both sides are shuffled once, by document.  joined(gold, pred) gives the same rows of documents larger than GROUP."""
-    every = gold.select("doc_key").union(pred.select("doc_key")).where("doc_key is not null")
-    large = held(every.groupBy("doc_key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("doc_key"), "large-documents")
+    large = large_documents(gold, pred)
     rest = None
     if not large.isEmpty():
         rest = joined(gold.join(large, "doc_key", "left_semi"), pred.join(large, "doc_key", "left_semi"))
@@ -162,5 +174,5 @@ def by_document(gold: DataFrame, pred: DataFrame, score: Score, fields: str, joi
     rows = gold.select("doc_key", F.lit(0).alias("side"), "fact_id", *SLOTS).union(pred.select("doc_key", F.lit(1).alias("side"), "fact_id", *SLOTS))
     types = {"string": pa.string(), "long": pa.int64()}
     schema = pa.schema([(name, types[kind]) for name, kind in (f.split() for f in f"doc_key string, {fields}".split(", "))])
-    out = rows.repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(_stream(score, schema), f"doc_key string, {fields}")
+    out = rows.repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(stream(_facts, score, schema), f"doc_key string, {fields}")
     return out if rest is None else out.union(rest)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions.grams import GRAM, containing, pieces
 from veilgraph.functions.keys import key_state, merged_key
 from veilgraph.functions.text import fold
+from veilgraph.metrics import documents
 from veilgraph.plans.context import Context, secure
 from veilgraph.sources.held import held
 
@@ -70,18 +75,76 @@ def anchor_summary(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.groupBy("anchor_id").agg(tier.alias("tier"), F.sum("n").alias("n"), F.min("he_id").alias("first_he"))
 
 
+def _labels_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    doc, side, first, second = (batch.column(i).to_pylist() for i in range(4))
+    anchor, beside = documents.folded(batch.column(4), ""), documents.folded(batch.column(5), "")
+    others = batch.column(6)
+    texts = documents.folded(others.flatten(), "")
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(others), 0)).to_pylist()
+    each = (texts[a:b] for a, b in zip([0, *ends], ends, strict=False))
+    return ((d, s, x) for d, s, *x in zip(doc, side, first, second, anchor, beside, each, strict=True))
+
+
+def _pointed(labels: list[tuple], facts: list[tuple]) -> Iterator[tuple]:
+    """(label_id, he_id, n, least, equal) of the labels of one document."""
+    subjects = [(he, subject) for he, _, subject, _, _ in facts if subject is not None]
+    texts = subjects + [(he, text) for he, *_, others in facts for text in others]
+    for label, own, anchor, second, _ in labels:
+        near: dict[str, bool] = {}
+        for he, text in subjects:
+            if anchor and anchor in text:
+                near[he] = near.get(he, False) or text == anchor
+        equal = any(near.values())
+        kept = {he for he, same in near.items() if same or not equal}
+        if second is not None and kept:
+            kept &= {he for he, text in texts if second and second in text}
+        yield label, own, len(kept), min((he for he in kept if he is not None), default=None), equal
+
+
+_POINTED = pa.schema([("doc_key", pa.string()), ("label_id", pa.string()), ("he_id", pa.string()), ("n", pa.int64()), ("least", pa.string()), ("equal", pa.bool_())])
+
+
 def resolve_labels(labels: DataFrame, values: DataFrame) -> DataFrame:
     """(label_id, tier, n, he_id, found, status): the facts that each label's anchors point to within its document.
 
-    labels(label_id, he_id, doc_key, anchor, second), values(he_id, doc_key, slot, value); a null second
-    anchor narrows nothing, an empty one leaves nothing.  Texts are compared folded.  Facts whose subject
-    equals the anchor come first (tier equal); only where there are none, those that contain it; of these
-    stay those with the second anchor in any slot.  A gram index over all values of a document serves both
-    anchors: each is looked up by its gram with the shortest list, then compared whole.
+    labels(label_id, he_id, doc_key, anchor, second), a label_id once; values(he_id, doc_key, slot, value) or, a row a fact,
+    values(he_id, doc_key, subject, others).  A null second anchor narrows nothing, an empty one leaves nothing.  Texts are
+    compared folded.  Facts whose subject equals the anchor come first (tier equal); only where there are none, those that
+    contain it; of these stay those with the second anchor in any slot.  Documents are resolved one by one inside the tasks,
+    after one shuffle; those of more than `documents.GROUP` rows by a gram index.
 
     status: OK; AMBIGUOUS (several facts); DRIFTED (one other fact, the id is gone), MOVED (one other fact,
     the id is there); STALE (none, but the id is there); LOST (none, and the id is gone).  found is the only fact.
     """
+    if "others" not in values.columns:
+        is_subject = F.col("slot") == "subject"
+        one = F.when(is_subject | F.col("value").isNull(), F.array().cast("array<string>")).otherwise(F.array("value"))
+        values = values.select("he_id", "doc_key", F.when(is_subject, F.col("value")).alias("subject"), one.alias("others"))
+    kind = labels.schema["label_id"].dataType
+    labels = labels.select("doc_key", F.col("label_id").cast("string").alias("label_id"), "he_id", "anchor", "second")
+    large = documents.large_documents(labels, values)
+    facts, asked, rest = values, labels, None
+    if not large.isEmpty():
+        rest = _resolved_by_grams(labels.join(large, "doc_key", "left_semi"), values.join(large, "doc_key", "left_semi"))
+        facts, asked = values.join(large, "doc_key", "left_anti"), labels.join(large, "doc_key", "left_anti")
+    none = F.array().cast("array<string>")
+    rows = asked.select("doc_key", F.lit(0).alias("side"), "label_id", "he_id", "anchor", "second", none.alias("others"))
+    rows = rows.union(facts.select("doc_key", F.lit(1), "he_id", F.lit(None), "subject", F.lit(None), "others"))
+    out = rows.repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(documents.stream(_labels_of, _pointed, _POINTED), "doc_key string, label_id string, he_id string, n long, least string, equal boolean")
+    out = out.drop("doc_key") if rest is None else out.drop("doc_key").union(rest)
+    there = values.where("subject is not null or size(others) > 0").select(F.col("he_id").alias("there")).distinct()
+    out = out.join(there, F.col("he_id") == F.col("there"), "left")
+    n, known = F.col("n"), F.col("there").isNotNull()
+    status = F.when(n > 1, "AMBIGUOUS").when((n == 0) & known, "STALE").when(n == 0, "LOST").when(F.col("least") == F.col("he_id"), "OK").when(known, "MOVED").otherwise("DRIFTED")
+    tier = F.when(n == 0, "none").when(F.col("equal"), "equal").otherwise("contains")
+    return out.select(F.col("label_id").cast(kind).alias("label_id"), tier.alias("tier"), n.alias("n"), "he_id", F.when(n == 1, F.col("least")).alias("found"), status.alias("status"))
+
+
+def _resolved_by_grams(labels: DataFrame, values: DataFrame) -> DataFrame:
+    """(label_id, he_id, n, least, equal) of large documents: a gram index over all values of a document serves both anchors, each
+    looked up by its gram with the shortest list, then compared whole."""
+    cells = F.concat(F.array(F.struct(F.lit("subject").alias("slot"), F.col("subject").alias("value"))), F.transform("others", lambda x: F.struct(F.lit("other").alias("slot"), x.alias("value"))))
+    values = values.select("he_id", "doc_key", F.explode(cells).alias("x")).select("he_id", "doc_key", "x.*").where("value is not null")
     folded = held(values.select("value").distinct().select("value", fold("value").alias("text")), "folded")
     index = held(values.join(folded, "value").select("doc_key", "he_id", "slot", "text").distinct(), "label-values")
     asked = held(labels.select("label_id", "he_id", "doc_key", fold("anchor").alias("anchor"), fold("second").alias("second")), "labels")
@@ -100,12 +163,7 @@ def resolve_labels(labels: DataFrame, values: DataFrame) -> DataFrame:
     beside = holding("second").join(asked.select("label_id", "doc_key"), "label_id").join(index, ["doc_key", "text"]).select("label_id", "he_id").distinct()
     kept = near.where("second is null").unionByName(near.where("second is not null").join(beside, ["label_id", "he_id"], "left_semi").select(*near.columns))
     counted = kept.groupBy("label_id").agg(F.count("*").alias("n"), F.min("he_id").alias("least"), F.first("equal").alias("equal"))
-    there = index.select(F.col("he_id").alias("there")).distinct()
-    out = asked.join(counted, "label_id", "left").join(there, F.col("he_id") == F.col("there"), "left")
-    n, known = F.coalesce("n", F.lit(0)), F.col("there").isNotNull()
-    status = F.when(n > 1, "AMBIGUOUS").when((n == 0) & known, "STALE").when(n == 0, "LOST").when(F.col("least") == F.col("he_id"), "OK").when(known, "MOVED").otherwise("DRIFTED")
-    tier = F.when(n == 0, "none").when(F.col("equal"), "equal").otherwise("contains")
-    return out.select("label_id", tier.alias("tier"), n.alias("n"), "he_id", F.when(n == 1, F.col("least")).alias("found"), status.alias("status"))
+    return asked.join(counted, "label_id", "left").select("label_id", "he_id", F.coalesce("n", F.lit(0)).alias("n"), "least", "equal")
 
 
 def expand_by_grants(context_rows: DataFrame, granted: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from veilgraph import model as m
 from veilgraph.functions import answers
-from veilgraph.functions import facts as ff
 from veilgraph.metrics import ratios
 from veilgraph.operators import completion, lookup, vector, vector_index
 from veilgraph.plans import policy as pol
@@ -86,7 +85,8 @@ def label_drift(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 4 == 0, F.upper(s)).when(k % 4 == 1, F.substring(s, 1, 4)).when(k % 4 == 2, s).otherwise(F.substring(s, 3, 7)).alias("anchor"),
         F.when(k % 3 == 1, c).when(k % 3 == 2, F.when(k % 2 == 0, "zzz").otherwise(F.substring(c, 1, 1))).alias("second"),
     )
-    values = ff.incidence(rows, "he_id", "order_ref").select("he_id", F.col("order_ref").alias("doc_key"), "slot", F.col("entity_id").alias("value"))
+    others = F.array_compact(F.array(*[x for x in m.SLOTS if x != "subject"]))
+    values = rows.select("he_id", F.col("order_ref").alias("doc_key"), "subject", others.alias("others"))
     return lookup.resolve_labels(labels, values)
 
 
