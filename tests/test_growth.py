@@ -70,3 +70,15 @@ def test_labels_as_by_grams(spark, monkeypatch):
     monkeypatch.setattr(documents, "GROUP", 400)
     plan = lookup.resolve_labels(*frames)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_anchor_links_lose_no_pair(spark):
+    rng = random.Random(2)
+    words = ["gateway one", "gateway", "gate", "one", "payment page", "page", "x", "đà nẵng"]
+    anchors = spark.createDataFrame([(i, rng.choice([*words, "nowhere", "teway o"])) for i in range(90)], "anchor_id long, anchor string")
+    facts = spark.createDataFrame([(f"h{rng.randrange(70)}", rng.choice([*words[:2], *words[3:], None, ""])) for _ in range(150)], "he_id string, subject string")
+    rows = lookup.anchor_links(anchors, facts).collect()
+    of = lambda kind: [r for r in rows if r["kind"] == kind]
+    expanded = {(a["anchor_id"], f["he_id"]) for a in of("anchor") for p in of("pair") for f in of("fact") if a["anchor"] == p["anchor"] and p["subject"] == f["subject"]}
+    assert expanded == {tuple(r) for r in lookup.by_anchor(anchors, facts).collect()}
+    assert len(of("pair")) == len({(p["anchor"], p["subject"]) for p in of("pair")}) < 90

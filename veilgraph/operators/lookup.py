@@ -66,13 +66,26 @@ def by_anchor(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     return exact.union(found.join(facts, "subject").select("anchor_id", "he_id")).distinct()
 
 
-def anchor_summary(anchors: DataFrame, facts: DataFrame) -> DataFrame:
-    """(anchor_id, tier, n, first_he): how many facts by_anchor() finds for each anchor, and the smallest; pairs are of anchors and distinct subjects only."""
-    subjects = facts.where("length(subject) > 0").groupBy("subject").agg(F.count_distinct("he_id").alias("n"), F.min("he_id").alias("he_id"))
-    pairs = by_anchor(anchors, subjects.select(F.col("subject").alias("he_id"), "subject")).select("anchor_id", F.col("he_id").alias("of"))
-    joined = pairs.join(subjects, F.col("of") == F.col("subject")).join(anchors, "anchor_id")
-    tier = F.when(F.max(F.col("subject") == F.col("anchor")), "equal").otherwise("contains")
-    return joined.groupBy("anchor_id").agg(tier.alias("tier"), F.sum("n").alias("n"), F.min("he_id").alias("first_he"))
+def anchor_links(anchors: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every link of by_anchor(), equal texts taken together: (kind, anchor_id, anchor, subject, he_id, tier, n, first_he).
+
+    pair rows link a distinct anchor text to a distinct subject; anchor rows give each linked anchor's text with how many facts
+    it finds and the smallest; fact rows give each linked fact's subject.  An anchor finds a fact where a pair links their texts.
+    """
+    of = facts.where("length(subject) > 0").select("he_id", "subject").distinct()
+    subjects = of.groupBy("subject").agg(F.count("*").alias("n"), F.min("he_id").alias("first_he"))
+    texts = anchors.select(F.col("anchor").alias("anchor_id"), "anchor").distinct()
+    found = by_anchor(texts, subjects.select(F.col("subject").alias("he_id"), "subject"))
+    tier = F.when(F.col("anchor_id") == F.col("he_id"), "equal").otherwise("contains")
+    pairs = held(found.select(F.col("anchor_id").alias("anchor"), F.col("he_id").alias("subject"), tier.alias("tier")), "anchor-pairs")
+    sums = pairs.join(subjects, "subject").groupBy("anchor", "tier").agg(F.sum("n").alias("n"), F.min("first_he").alias("first_he"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    kind = anchors.schema["anchor_id"].dataType
+    each = anchors.join(sums, "anchor").select(F.lit("anchor").alias("kind"), "anchor_id", "anchor", *none("string", "subject", "he_id"), "tier", "n", "first_he")
+    links = pairs.select(F.lit("pair"), *none(kind, "anchor_id"), "anchor", "subject", *none("string", "he_id"), "tier", *none("long", "n"), *none("string", "first_he"))
+    held_by = of.join(pairs.select("subject").distinct(), "subject", "left_semi")
+    members = held_by.select(F.lit("fact"), *none(kind, "anchor_id"), *none("string", "anchor"), "subject", "he_id", *none("string", "tier"), *none("long", "n"), *none("string", "first_he"))
+    return each.union(links).union(members)
 
 
 def _labels_of(batch: pa.RecordBatch) -> Iterator[tuple]:
