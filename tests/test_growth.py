@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from veilgraph.metrics import documents, scoring
+from veilgraph.metrics import documents, ratios, scoring
 from veilgraph.model import SLOTS
 from veilgraph.operators import audit, lookup
 
@@ -82,3 +82,19 @@ def test_anchor_links_lose_no_pair(spark):
     expanded = {(a["anchor_id"], f["he_id"]) for a in of("anchor") for p in of("pair") for f in of("fact") if a["anchor"] == p["anchor"] and p["subject"] == f["subject"]}
     assert expanded == {tuple(r) for r in lookup.by_anchor(anchors, facts).collect()}
     assert len(of("pair")) == len({(p["anchor"], p["subject"]) for p in of("pair")}) < 90
+
+
+def test_restriction_and_risk_shuffle_little(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", None), ("b", 1)], "he_id string, doc_no long")
+    kept = spark.createDataFrame([(1,), (1,), (None,)], "doc_no long")
+    found = ratios.restrict(rows, kept)
+    assert sorted(r["he_id"] for r in found.collect()) == ["b"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    slots = spark.createDataFrame([("a", "subject"), ("a", "subject"), ("a", "owner"), ("b", "cause")], "he_id string, slot string")
+    assert {tuple(r) for r in slots.groupBy("he_id").agg(ratios.n_roles(F.col("slot"))).collect()} == {("a", 2), ("b", 1)}
+    ranks = spark.createDataFrame([("hot", 24), ("two", 24), ("low", 2)], "he_id string, rank int")
+    cells = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("hot", "y"), ("two", "x"), ("low", "x")], "he_id string, entity_id string")
+    scopes = spark.createDataFrame([("hot", "s"), ("hot", "t"), ("low", "t"), ("two", "s"), ("two", None)], "he_id string, scope string")
+    risk = ratios.composition_risk(ranks, cells, scopes)
+    assert {tuple(r) for r in risk.collect()} == {("hot", 2, 1, False), ("two", 1, 0, False)}
+    assert risk._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from veilgraph.metrics.ratios import nary_ratios, ratio, restrict
 from veilgraph.model import SLOTS
+from veilgraph.sources.held import held
 
 
 def common(column: str, *frames: DataFrame) -> DataFrame:
     """Distinct values of a column that every frame has."""
-    return reduce(DataFrame.intersect, [f.select(column) for f in frames]).distinct()
+    every = reduce(DataFrame.union, [f.select(column).distinct().withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)])
+    return every.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") == len(frames)).select(column)
 
 
 def shared_values(column: str, *frames: DataFrame) -> DataFrame:
@@ -28,10 +30,10 @@ def controlled(snapshots: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     A snapshot is rows(he_id, n_roles, rank) and documents(he_id, doc_no); a hyperedge stays in the common
     part when all its documents do.
     """
-    kept = common("doc_no", *[docs for _, docs in snapshots.values()])
+    kept = held(common("doc_no", *[docs for _, docs in snapshots.values()]), "common-documents")
     parts = []
     for name, (rows, docs) in snapshots.items():
-        own = rows.join(restrict(docs.select("he_id", "doc_no").distinct(), kept), "he_id", "left_semi")
+        own = rows.join(restrict(docs.select("he_id", "doc_no"), kept), "he_id", "left_semi")
         parts += [nary_ratios(part).select(F.lit(name).alias("snapshot"), F.lit(which).alias("part"), "*") for which, part in (("all", rows), ("common", own))]
     return reduce(DataFrame.union, parts)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions.keys import key_type, rank_of
 from veilgraph.functions.text import grouping_key
-from veilgraph.model import NARY_ROLES, SENSITIVE_RANK
+from veilgraph.model import NARY_ROLES, SENSITIVE_RANK, SLOTS
+from veilgraph.sources.held import held
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -15,6 +16,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), 4)
 
 
+def n_roles(slot: Column) -> Column:
+    """Aggregate: how many of the roles occur, as a set of bits."""
+    return F.bit_count(F.bit_or(F.coalesce(*[F.when(slot == s, 1 << i) for i, s in enumerate(SLOTS)]))).cast("long")
+
+
 def ranked(snapshot: DataFrame, doc_types: DataFrame) -> DataFrame:
     """Adds rank: of the key's type, or the highest of the contributing documents where there is no key.
 
@@ -38,12 +44,12 @@ def composition_risk(rows: DataFrame, incidence: DataFrame, scopes: DataFrame) -
     in one of the same scopes; the hyperedge is at risk when all its entities are.
     rows(he_id, rank), incidence(he_id, entity_id), scopes(he_id, scope).
     """
-    pairs = incidence.select("he_id", "entity_id").distinct()
-    placed = pairs.join(scopes.select("he_id", "scope").distinct(), "he_id").join(rows.select("he_id", "rank"), "he_id")
-    exposed = placed.where(F.col("rank") < SENSITIVE_RANK).select("scope", "entity_id").distinct().withColumn("_seen", F.lit(1))
-    hot = placed.where(F.col("rank") >= SENSITIVE_RANK)
-    each = hot.join(exposed, ["scope", "entity_id"], "left").groupBy("he_id", "entity_id").agg(F.max("_seen").alias("seen"))
-    return each.groupBy("he_id").agg(F.count("*").alias("n_entities"), F.count("seen").alias("n_exposed")).withColumn("at_risk", F.col("n_entities") == F.col("n_exposed"))
+    own = scopes.select("he_id", "scope").distinct().groupBy("he_id").agg(F.collect_set("scope").alias("scopes")).join(rows.select("he_id", "rank"), "he_id")  # a space has few scopes
+    placed = held(incidence.select("he_id", "entity_id").distinct().join(own, "he_id"), "placed")
+    low = placed.where(F.col("rank") < SENSITIVE_RANK).select("entity_id", F.explode("scopes").alias("scope")).distinct()
+    hot = placed.where(F.col("rank") >= SENSITIVE_RANK).join(low.groupBy("entity_id").agg(F.collect_set("scope").alias("open")), "entity_id", "left")
+    counts = hot.groupBy("he_id").agg(F.count("*").alias("n_entities"), F.count_if(F.arrays_overlap("scopes", "open")).alias("n_exposed"))
+    return counts.withColumn("at_risk", F.col("n_entities") == F.col("n_exposed"))
 
 
 def distributions(rows: DataFrame, incidence: DataFrame) -> DataFrame:
@@ -60,8 +66,8 @@ def run_range(runs: DataFrame, group: str, value: str) -> DataFrame:
 
 def restrict(documents: DataFrame, kept: DataFrame) -> DataFrame:
     """he_ids whose every document is kept; documents(he_id, doc_no), kept(doc_no)."""
-    outside = documents.join(kept, "doc_no", "left_anti").select("he_id").distinct()
-    return documents.select("he_id").distinct().join(outside, "he_id", "left_anti")
+    marked = documents.join(kept.select("doc_no", F.lit(True).alias("_kept")).distinct(), "doc_no", "left")
+    return marked.groupBy("he_id").agg(F.every(F.col("_kept").isNotNull()).alias("_all")).where("_all").select("he_id")
 
 
 def multi_source(rows: DataFrame) -> DataFrame:
