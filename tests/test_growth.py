@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from veilgraph.metrics import documents, ratios, scoring
+from veilgraph.metrics import documents, matching, ratios, scoring
 from veilgraph.model import SLOTS
 from veilgraph.operators import audit, lookup
 
@@ -98,3 +98,14 @@ def test_restriction_and_risk_shuffle_little(spark):
     risk = ratios.composition_risk(ranks, cells, scopes)
     assert {tuple(r) for r in risk.collect()} == {("hot", 2, 1, False), ("two", 1, 0, False)}
     assert risk._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_matching_by_values_as_by_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    fact = lambda d, side, n: (f"d{d}", f"{side}{rng.randrange(10)}{n}", *[rng.choice(["a", "A", "b", "", None]) for _ in SLOTS])
+    gold, pred = (spark.createDataFrame([fact(d, side, n) for d in range(20) for n in range(d % 6)], SCHEMA) for side in "gp")
+    found = []
+    for size in (400, 5, 0):
+        monkeypatch.setattr(documents, "GROUP", size)
+        found.append(sorted(map(tuple, matching.match_by_values(gold, pred).collect())))
+    assert found[0] == found[1] == found[2] and found[0]

@@ -130,6 +130,23 @@ def _facts(batch: pa.RecordBatch) -> Iterator[tuple]:
     return ((doc, side, (name, values)) for doc, side, name, values in zip(*ids, slots, strict=True))
 
 
+def plain_facts(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Facts with their values as they are, not folded."""
+    doc, side, name, *slots = (column.to_pylist() for column in batch.columns)
+    return ((d, s, (n, v)) for d, s, n, v in zip(doc, side, name, zip(*slots, strict=True), strict=True))
+
+
+def by_shared_values(golds: list[Fact], preds: list[Fact]) -> Iterator[tuple]:
+    """(gold_id, pred_id, score): pairs by falling number of equal values in a role, then ids, each fact once."""
+    pairs = ((sum(a is not None and a == b for a, b in zip(g[1], p[1], strict=True)), g[0], p[0]) for g in golds for p in preds)
+    left, right = set(), set()
+    for n, gold, pred in sorted((x for x in pairs if x[0]), key=lambda x: (-x[0], x[1], x[2])):
+        if gold not in left and pred not in right:
+            left.add(gold)
+            right.add(pred)
+            yield gold, pred, float(n)
+
+
 def stream(read: Callable[[pa.RecordBatch], Iterable[tuple]], score: Callable[[list, list], Iterable[tuple]], schema: pa.Schema):
     """For mapInArrow over rows sorted by document: read(batch) gives (document, side, item), score(items of side 0, items of side 1) a document's rows."""
 
@@ -164,7 +181,7 @@ def large_documents(one: DataFrame, two: DataFrame) -> DataFrame:
     return held(every.groupBy("doc_key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("doc_key"), "large-documents")
 
 
-def by_document(gold: DataFrame, pred: DataFrame, score: Score, fields: str, joined: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def by_document(gold: DataFrame, pred: DataFrame, score: Score, fields: str, joined: Callable[[DataFrame, DataFrame], DataFrame], read: Callable[[pa.RecordBatch], Iterable[tuple]] = _facts) -> DataFrame:
     """(doc_key, fields): score of every document; both sides are shuffled once, by document.  joined(gold, pred) gives the same rows of documents larger than GROUP."""
     large = large_documents(gold, pred)
     rest = None
@@ -172,7 +189,7 @@ def by_document(gold: DataFrame, pred: DataFrame, score: Score, fields: str, joi
         rest = joined(gold.join(large, "doc_key", "left_semi"), pred.join(large, "doc_key", "left_semi"))
         gold, pred = gold.join(large, "doc_key", "left_anti"), pred.join(large, "doc_key", "left_anti")
     rows = gold.select("doc_key", F.lit(0).alias("side"), "fact_id", *SLOTS).union(pred.select("doc_key", F.lit(1).alias("side"), "fact_id", *SLOTS))
-    types = {"string": pa.string(), "long": pa.int64()}
+    types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(name, types[kind]) for name, kind in (f.split() for f in f"doc_key string, {fields}".split(", "))])
-    out = rows.repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(stream(_facts, score, schema), f"doc_key string, {fields}")
+    out = rows.repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(stream(read, score, schema), f"doc_key string, {fields}")
     return out if rest is None else out.union(rest)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgraph.functions.facts import incidence
+from veilgraph.metrics import documents
 from veilgraph.sources.held import held
 
 
@@ -60,3 +62,18 @@ def greedy_match(candidates: DataFrame, ties: tuple[str, str] = ("gold_id", "pre
     for won in taken:
         out = out.union(won)
     return out
+
+
+def match_by_values(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(doc_key, gold_id, pred_id, score): facts of a document matched greedily by how many values they share in the same role.
+
+    gold and pred are (doc_key, fact_id, one column a slot), a fact_id once in a document; values are compared as they are.
+    Documents are matched one by one inside the tasks, those of more than `documents.GROUP` facts by a join.
+    """
+    return documents.by_document(gold, pred, documents.by_shared_values, "gold_id string, pred_id string, score double", _match_joined, documents.plain_facts)
+
+
+def _match_joined(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    side = lambda rows, name: incidence(rows, "doc_key", "fact_id").withColumnRenamed("fact_id", name)
+    pairs = side(gold, "gold_id").join(side(pred, "pred_id"), ["doc_key", "slot", "entity_id"]).groupBy("doc_key", "gold_id", "pred_id").agg(F.count("*").cast("double").alias("score"))
+    return greedy_match(pairs)
