@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,25 @@ def test_index_prunes_and_finds(spark, vectors, tmp_path, monkeypatch):
     assert vector_index.search(vector_index.write(none, empty, str(tmp_path / "none")), empty, probes, ctx, "chunks", 5, 2, 0.2).count() == 0
 
 
+def test_search_joins_no_pairs(spark, vectors, tmp_path):
+    ctx, probes = user_context(pol.DEFAULT, "staff", "s0"), vectors.select(F.col("vec_id").alias("probe_id"), "embedding")
+    centroids = vector_index.fit(vectors, 8)
+    found = vector_index.search(vector_index.write(vectors, centroids, str(tmp_path / "index")), centroids, probes, ctx, "chunks", 10, 8, vector.THRESHOLD)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_rows_across_batches(monkeypatch):
+    monkeypatch.setattr(vector, "ROWS", 3)
+    rng = np.random.default_rng(4)
+    rows, probes = rng.integers(-2, 3, (300, 2)).astype(float), vector._normal(rng.integers(1, 3, (70, 2)).astype(float))  # many equal directions
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(b, b + 60)), pa.array(rows[b : b + 60].tolist(), pa.list_(pa.float32()))], names=["vec_id", "embedding"]) for b in (240, 0, 60, 180, 120)]
+    monkeypatch.setattr(vector, "max", lambda *_: 40, raising=False)  # so that the pool is cut often
+    (out,) = vector._scored(list(range(70)), probes, 4, 0.2)(iter(batches))
+    scores = (vector._normal(rows) @ probes.T).round(vector.DECIMALS)
+    want = {(p, v) for p in range(70) for v in sorted((v for v in range(300) if scores[v, p] >= 0.2), key=lambda v: (-scores[v, p], v))[:4]}
+    assert set(zip(out["probe_id"].to_pylist(), out["vec_id"].to_pylist(), strict=True)) == want and out.num_rows == len(want)
+
+
 def test_records_round_trip(spark):
     cells = ['a "quoted" one', "comma, and\nbreak", "", " plain ", '"', 'x""y', "end\n\n"]
     rows = [(i // 9, i % 9, a, b, f"he-{i}") for i, (a, b) in enumerate(itertools.product(cells, cells[:5]))]

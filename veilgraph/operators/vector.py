@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,48 +76,79 @@ def _normal(rows: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, vectors) of the rows of a list column that have the width and no null."""
-    lists = column.to_pylist()
-    at = [i for i, x in enumerate(lists) if x is not None and len(x) == width and None not in x]
-    return np.array(at, dtype=np.int64), np.array([lists[i] for i in at], dtype=np.float64).reshape(-1, width)
+    at = np.flatnonzero(pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False) == width)
+    flat = column.take(pa.array(at)).flatten()
+    whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), width).any(axis=1)
+    return at[whole], flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)[whole]
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    """Places of the k best scores that reach the threshold, smaller ids first among equals."""
-    good = np.flatnonzero(score >= threshold)
-    return good[np.lexsort((ids[good], -score[good]))[:k]]
+#: Rows that are scored at once against a block of probes, and decimals that scores have: equal vectors tie, however they are multiplied.
+ROWS, DECIMALS = 2_048, 12
 
 
-def _scored(probe_ids: list, probes: np.ndarray, k: int, threshold: float):
+def _scored(probe_ids: list, probes: np.ndarray, k: int, threshold: float, cells: dict[int, np.ndarray] | None = None):
+    """Best k rows of a task for each probe, over batches (vec_id, embedding) or, with the places of the probes that look into each cell, (vec_id, embedding, cell)."""
+    owner, every = np.array(probe_ids, np.int64), np.arange(len(probe_ids))
+
+    def first(pool: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        of, ids, score = map(np.concatenate, zip(*pool, strict=True))
+        order = np.lexsort((ids, -score, of))
+        of, ids, score = of[order], ids[order], score[order]
+        kept = np.arange(len(of)) - np.searchsorted(of, of) < k
+        return of[kept], ids[kept], score[kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what is below a probe's k-th best so far is left out at once
+        least, limit = np.full(len(owner), threshold), max(1 << 17, 4 * k * len(owner))
+        pool, held_rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         for batch in batches:
             at, rows = _matrix(batch.column(1), probes.shape[1])
-            ids = np.asarray(batch.column(0))[at]
-            scores = _normal(rows) @ probes.T
-            found = [_best(scores[:, j], ids, k, threshold) for j in range(len(probe_ids))]
-            owner = [p for p, f in zip(probe_ids, found, strict=True) for _ in range(len(f))]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            column = np.concatenate([np.full(len(f), j) for j, f in enumerate(found)]) if found else flat
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(ids[flat], pa.int64()), pa.array(scores[flat, column.astype(np.int64)], pa.float64())], names=["probe_id", "vec_id", "score"])
+            ids, unit = np.asarray(batch.column(0))[at], _normal(rows)
+            if cells is None:
+                runs = [(np.arange(len(ids)), every)]
+            else:
+                cell = np.asarray(batch.column(2))[at]
+                runs = [(np.flatnonzero(cell == c), cells[c]) for c in np.unique(cell).tolist() if c in cells]
+            for mine, asked in runs:
+                for begin in range(0, len(mine), ROWS):
+                    part = mine[begin : begin + ROWS]
+                    scores = unit[part] @ probes[asked].T
+                    r, c = np.nonzero((scores >= threshold) & (scores >= least[asked] - 10.0**-DECIMALS))
+                    pool.append((asked[c], ids[part[r]], scores[r, c].round(DECIMALS)))
+                    held_rows += len(r)
+                    if held_rows > limit:
+                        of, _, score = best = first(pool)
+                        ends = np.flatnonzero(np.bincount(of, minlength=len(owner)) == k)
+                        least[ends] = score[np.searchsorted(of, ends, "right") - 1]
+                        pool, held_rows = [best], len(of)
+        of, ids, score = first(pool)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[of]), pa.array(ids), pa.array(score)], names=["probe_id", "vec_id", "score"])
 
     return run
 
 
+def blocks_of(probes: DataFrame, width: int | None = None) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(ids, unit vectors) of probes(probe_id, embedding) in blocks of about PROBES; vectors have the width given or that of the block's first."""
+    asked = held(probes.where("embedding is not null").select(F.col("probe_id").cast("long").alias("probe_id"), "embedding"), "probes")
+    blocks = -(-asked.count() // PROBES)
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == block).orderBy("probe_id").collect()  # about PROBES rows
+        size = width or (len(rows[0]["embedding"]) if rows else 0)
+        rows = [r for r in rows if len(r["embedding"]) == size and None not in r["embedding"]]
+        if rows:
+            yield [r["probe_id"] for r in rows], _normal(np.array([r["embedding"] for r in rows], dtype=np.float64))
+
+
 def top_k_many(vectors: DataFrame, probes: DataFrame, context: Context, namespace: str, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """(probe_id, vec_id, score, rank): top_k() of every row of probes(probe_id, embedding), exactly.
 
-    Probes go to the tasks in blocks of about PROBES; every batch keeps k rows a probe, and the rest is a windowed
+    Probes go to the tasks in blocks of about PROBES; every task keeps k rows a probe, and the rest is a windowed
     limit.  Vectors and probes that are null, hold a null or have another length than a block's first match nothing.
     """
     own = secure(vectors.where(F.col("namespace") == namespace), context, namespace).select("vec_id", "embedding")
-    asked = held(probes.where("embedding is not null").select(F.col("probe_id").cast("long").alias("probe_id"), "embedding"), "probes")
-    blocks = -(-asked.count() // PROBES)
-    parts = asked.sparkSession.createDataFrame([], "probe_id long, vec_id long, score double")
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == block).orderBy("probe_id").collect()  # about PROBES rows
-        rows = [r for r in rows if len(r["embedding"]) == len(rows[0]["embedding"]) and None not in r["embedding"]]
-        if rows:
-            matrix = _normal(np.array([r["embedding"] for r in rows], dtype=np.float64))
-            parts = parts.union(own.mapInArrow(_scored([r["probe_id"] for r in rows], matrix, k, threshold), "probe_id long, vec_id long, score double"))
+    parts = vectors.sparkSession.createDataFrame([], "probe_id long, vec_id long, score double")
+    for ids, matrix in blocks_of(probes):
+        parts = parts.union(own.mapInArrow(_scored(ids, matrix, k, threshold), "probe_id long, vec_id long, score double"))
     return _first(parts, k)
 
 

@@ -13,17 +13,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.operators.vector import _best, _first, _matrix, _normal
+from veilgraph.operators.vector import _first, _matrix, _normal, _scored, blocks_of
 from veilgraph.plans.context import Context, secure
 from veilgraph.sources.held import held
 
 SAMPLE = 100_000
 CELLS = 64
 SEED = 42
+#: Parts of the sample while centroids are fitted.
+PARTS = 16
 
 
 def fit(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> np.ndarray:
@@ -33,8 +36,8 @@ def fit(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> np.ndar
     first = chosen.first()
     if first is None:
         return np.zeros((0, 0))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x))
-    unit = chosen.where(F.size("x") == len(first["x"])).select(array_to_vector(F.transform("x", lambda x: x / norm)).alias("features"))
+    whole = chosen.where(F.size("x") == len(first["x"])).repartition(PARTS).select(array_to_vector("x").alias("whole"))
+    unit = Normalizer(inputCol="whole", outputCol="features").transform(whole).select("features")
     model = KMeans(k=max(2, cells), seed=SEED, maxIter=10, initMode="random").fit(unit)
     return _normal(np.array(model.clusterCenters()))
 
@@ -61,38 +64,20 @@ def write(vectors: DataFrame, centroids: np.ndarray, path: str) -> DataFrame:
     return vectors.sparkSession.read.schema("vec_id long, namespace string, embedding array<float>, cell int, filter_key string").parquet(path)
 
 
-def _near(centroids: np.ndarray, probed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = _matrix(batch.column(1), centroids.shape[1])
-            cells = np.argsort(-(_normal(rows) @ centroids.T), axis=1, kind="stable")[:, :probed].astype(np.int32)
-            keep = pa.array(np.repeat(at, cells.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(cells.ravel())], names=["probe_id", "probe", "cell"])
-
-    return run
-
-
-def _scores(k: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            probe, vec = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            a, b = (np.array(batch.column(i).to_pylist(), dtype=np.float64) for i in (1, 3))
-            score = (_normal(a) * _normal(b)).sum(axis=1)
-            good = np.flatnonzero(score >= threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(probe[good]), pa.array(vec[good]), pa.array(score[good])], names=["probe_id", "vec_id", "score"])
-
-    return run
-
-
 def search(index: DataFrame, centroids: np.ndarray, probes: DataFrame, context: Context, namespace: str, k: int, probed: int, threshold: float) -> DataFrame:
-    """(probe_id, vec_id, score, rank): the k best rows of the `probed` cells nearest to each probe, scored exactly."""
+    """(probe_id, vec_id, score, rank): the k best rows of the `probed` cells nearest to each probe, scored exactly.
+
+    Probes go to the tasks in blocks, as in top_k_many(); the rows of a cell meet only the probes that look into it, as one product.
+    """
+    parts = index.sparkSession.createDataFrame([], "probe_id long, vec_id long, score double")
     if not centroids.size:
-        return _first(index.sparkSession.createDataFrame([], "probe_id long, vec_id long, score double"), k)
-    own = secure(index, context, namespace).where((F.col("namespace") == namespace) & (F.size("embedding") == centroids.shape[1]) & (F.col("cell") >= 0))
-    asked = probes.select(F.col("probe_id").cast("long").alias("probe_id"), F.col("embedding").cast("array<float>").alias("probe"))
-    cells = held(asked.mapInArrow(_near(centroids, probed), "probe_id long, probe array<float>, cell int"), "probed-cells")
-    pairs = own.select("cell", "vec_id", "embedding").join(cells, "cell").select("probe_id", "probe", "vec_id", "embedding")
-    return _first(pairs.mapInArrow(_scores(k, threshold), "probe_id long, vec_id long, score double"), k)
+        return _first(parts, k)
+    own = secure(index, context, namespace).where((F.col("namespace") == namespace) & (F.size("embedding") == centroids.shape[1]) & (F.col("cell") >= 0)).select("vec_id", "embedding", "cell")
+    for ids, matrix in blocks_of(probes, centroids.shape[1]):
+        near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probed]
+        asked = {cell: np.flatnonzero((near == cell).any(axis=1)) for cell in np.unique(near).tolist()}
+        parts = parts.union(own.mapInArrow(_scored(ids, matrix, k, threshold, asked), "probe_id long, vec_id long, score double"))
+    return _first(parts, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
