@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilgraph.metrics import documents, matching, ratios, scoring
 from veilgraph.model import SLOTS
 from veilgraph.operators import audit, lookup
+from veilgraph.plans import queries
 
 
 def test_cost_by_interval_meets_sums(spark):
@@ -109,3 +110,8 @@ def test_matching_by_values_as_by_joins(spark, monkeypatch):
         monkeypatch.setattr(documents, "GROUP", size)
         found.append(sorted(map(tuple, matching.match_by_values(gold, pred).collect())))
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_fact_ids_are_counted_where_orders_were_joined(spark, small):
+    plan = queries.fact_ids(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(he_id" not in plan and "ShuffledHashJoin" in plan

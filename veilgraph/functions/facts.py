@@ -32,6 +32,11 @@ def sentence() -> Column:
     return F.concat_ws("; ", *[F.when(F.col(s) != "", F.concat(F.lit(f"{LABELS[s]}: "), F.col(s))) for s in SLOTS])
 
 
+def fact_counts(facts: DataFrame, near: str) -> DataFrame:
+    """(he_id, n) of facts whose source fixes the column near: rows of one id hold one source, so what lies by near stays where it is."""
+    return facts.select(near, fact_id().alias("he_id")).groupBy(near, "he_id").agg(F.count("*").alias("n")).select("he_id", "n")
+
+
 def incidence(facts: DataFrame, *keep: str) -> DataFrame:
     """One row per filled slot: keep columns, slot, entity_id."""
     pairs = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("entity_id")) for s in SLOTS])

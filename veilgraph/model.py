@@ -56,7 +56,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One n-ary fact a line item: line columns, doc_no, and the eight slots (null: not filled)."""
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    joined = line.join(order, line["l_orderkey"] == order["o_orderkey"]).join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
+    # orders are hashed, so line items are not sorted by them; narrow rows are shuffled, and lie by l_orderkey where parts can be broadcast
+    joined = line.join(order.hint("shuffle_hash"), line["l_orderkey"] == order["o_orderkey"]).join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
     return joined.select(
         "l_orderkey",
         (F.col("l_orderkey") % 200).alias("doc_no"),
