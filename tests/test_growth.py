@@ -7,10 +7,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from veilgraph.functions import keys
 from veilgraph.metrics import documents, matching, ratios, scoring
-from veilgraph.model import SLOTS
+from veilgraph.model import RANKS, SCOPES, SLOTS
 from veilgraph.operators import audit, lookup
-from veilgraph.plans import queries
+from veilgraph.plans import features, queries
 
 
 def test_cost_by_interval_meets_sums(spark):
@@ -112,6 +113,27 @@ def test_matching_by_values_as_by_joins(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and found[0]
 
 
+def test_keys_as_bits_merge_alike_and_are_hashed(spark):
+    rng = random.Random(6)
+    known = [f"{s}:{t}" for s in SCOPES for t in RANKS]
+    rows = [(n, rng.choice(known[:13]) if n % 3 else rng.choice(known)) for n in range(60) for _ in range(n % 5)] + [(1, None), (99, None)] + [(100 + i, k) for i, k in enumerate(known)]
+    frame = spark.createDataFrame(rows, "id int, filter_key string")
+    merged = keys.merge_bits_by(frame.withColumn("key_bit", keys.key_bit(F.col("filter_key"))), "id")
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, keys.merge_by(frame, "id").collect()))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    with pytest.raises(Exception, match="no key of a declared scope"):
+        frame.select(keys.key_bit(F.lit("elsewhere:faq"))).collect()
+
+
+def test_drop_counters_keep_no_read(spark, small, monkeypatch):
+    wrote = []
+    for module in (features, queries):
+        monkeypatch.setattr(module, "held", lambda frame, what, f=module.held: wrote.append(what) or f(frame, what))
+    features.drop_counters(spark, small)
+    assert sorted(wrote) == ["entities", "facts", "hyperedges"]
+
+
 def test_fact_ids_are_counted_where_orders_were_joined(spark, small):
     plan = queries.fact_ids(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(he_id" not in plan and "ShuffledHashJoin" in plan

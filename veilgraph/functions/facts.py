@@ -37,10 +37,10 @@ def fact_counts(facts: DataFrame, near: str) -> DataFrame:
     return facts.select(near, fact_id().alias("he_id")).groupBy(near, "he_id").agg(F.count("*").alias("n")).select("he_id", "n")
 
 
-def incidence(facts: DataFrame, *keep: str) -> DataFrame:
+def incidence(facts: DataFrame, *keep: str, slots: tuple[str, ...] = SLOTS) -> DataFrame:
     """One row per filled slot: keep columns, slot, entity_id."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("entity_id")) for s in SLOTS])
-    return facts.select(*keep, F.explode(F.filter(pairs, lambda x: x["entity_id"].isNotNull())).alias("x")).select(*keep, "x.slot", "x.entity_id")
+    pairs = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("entity_id")) for s in slots])
+    return facts.select(*keep, F.inline(pairs)).where("entity_id is not null").select(*keep, "slot", "entity_id")
 
 
 _CELL = T.StructType([T.StructField("role", T.StringType()), T.StructField("is_text", T.BooleanType()), T.StructField("value", T.StringType())])

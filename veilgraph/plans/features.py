@@ -56,7 +56,7 @@ def drop_counters(spark: SparkSession, d: str) -> DataFrame:
         context = user_context(pol.DEFAULT, role, "s0")
         for namespace, rows in namespaces.items():
             seen, counts = secure_counted(rows, context, namespace)
-            held(seen, "read")
+            seen.write.format("noop").mode("overwrite").save()  # the read, for which nothing needs to be kept
             counters.append((f"ask-{role}", namespace, context, counts))
     return dropped_rows(spark, counters)
 
