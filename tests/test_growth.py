@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from veilgraph.functions import keys
+from veilgraph.functions import facts, keys
 from veilgraph.metrics import documents, matching, ratios, scoring
 from veilgraph.model import RANKS, SCOPES, SLOTS
 from veilgraph.operators import audit, lookup
@@ -137,3 +137,13 @@ def test_drop_counters_keep_no_read(spark, small, monkeypatch):
 def test_fact_ids_are_counted_where_orders_were_joined(spark, small):
     plan = queries.fact_ids(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(he_id" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_responses_are_parsed_once(spark, monkeypatch):
+    bodies = ['{"facts": [{"subject": "s"}, 5]}', '{"facts": []}', "no", None, '{"facts": [{"subject": "a", "cause": "b"}]}']
+    frame = spark.createDataFrame([(i, bodies[i % 7 % 5]) for i in range(200)], "id int, t string")
+    wrote = {}
+    monkeypatch.setattr(facts, "held", lambda rows, what, f=facts.held: wrote.setdefault(what, f(rows, what)) if what not in wrote else f(rows, what))
+    found = facts.reject_counts(frame, "t")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, facts.parse_responses(frame, "id", "t").groupBy("code", "broken").agg(F.count("*").alias("n")).collect()))
+    assert wrote["opened"].count() == 5 and "_open" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veilgraph.functions.text import collapse_py
 from veilgraph.model import SLOTS
+from veilgraph.sources.held import held
 
 MAX_VALUE = 300
 MIN_ROLES = 2
@@ -78,7 +79,7 @@ def fact_code(is_object: Column, cells: Column) -> Column:
 
 def parse_responses(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, code, broken, eight slots): one row a fact, or one row with broken for a broken response."""
-    opened = rows.select(key, _open(F.col(text)).alias("r"))
+    opened = held(rows.select(key, _open(F.col(text)).alias("r")), "opened")  # written, or each filter on it would parse again
     each = opened.where("r.broken is null").select(key, F.posexplode("r.items").alias("pos", "item")).select(key, "pos", fact_code(F.col("item.is_object"), F.col("item.cells")).alias("code"), F.col("item.cells").alias("cells"))
     slot = lambda s: F.when(F.col("code").isNull(), F.get(F.filter("cells", lambda c: c["role"] == s), 0)["value"]).alias(s)
     none = lambda kind: F.lit(None).cast(kind)
@@ -86,6 +87,12 @@ def parse_responses(rows: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, "pos", "code", none("string").alias("broken"), *[slot(s) for s in SLOTS]).union(broken)
 
 
+def reject_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(code, broken, n) over parse_responses(): equal responses are counted first and parsed once."""
+    each = held(rows.groupBy(F.col(text).alias("text")).agg(F.count("*").alias("n")), "responses").withColumn("key", F.struct("text", "n"))
+    return parse_responses(each, "key", "text").groupBy("code", "broken").agg(F.sum("key.n").alias("n"))
+
+
 def apply_aliases(facts: DataFrame, aliases: DataFrame, slot: str) -> DataFrame:
     """Replace slot values that fully match an alias of their scope, one step; (scope, alias, canonical) is a small dimension."""
     rules = aliases.select(F.col("scope").alias("_scope"), F.col("alias").alias("_alias"), F.col("canonical").alias("_to"))
