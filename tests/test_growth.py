@@ -147,3 +147,16 @@ def test_responses_are_parsed_once(spark, monkeypatch):
     found = facts.reject_counts(frame, "t")
     assert sorted(map(repr, found.collect())) == sorted(map(repr, facts.parse_responses(frame, "id", "t").groupBy("code", "broken").agg(F.count("*").alias("n")).collect()))
     assert wrote["opened"].count() == 5 and "_open" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entities_of_several_documents(spark):
+    rng = random.Random(9)
+    rows = [(f"e{rng.randrange(40)}", rng.choice([None, *range(4)]), rng.choice([None, "a", "b", "c"]), rng.choice([None, *SLOTS])) for _ in range(150)]
+    frame = spark.createDataFrame(rows, "entity_id string, doc_no long, he_id string, slot string")
+    want = set()
+    for e in {r[0] for r in rows}:
+        docs, edges, slots = ({r[i] for r in rows if r[0] == e} - {None} for i in (1, 2, 3))
+        want |= {(e, len(docs), len(edges), tuple(sorted(slots)))} if len(docs) > 1 else set()
+    out = ratios.multi_source(frame)
+    assert {(r["entity_id"], r["n_docs"], r["n_edges"], tuple(r["roles"])) for r in out.collect()} == want and want
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == len(want)

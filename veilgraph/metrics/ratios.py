@@ -71,8 +71,17 @@ def restrict(documents: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def multi_source(rows: DataFrame) -> DataFrame:
-    """(entity_id, n_docs, n_edges, roles): entities of two documents or more; rows(entity_id, doc_no, he_id, slot)."""
-    return rows.groupBy("entity_id").agg(F.count_distinct("doc_no").alias("n_docs"), F.count_distinct("he_id").alias("n_edges"), F.sort_array(F.collect_set("slot")).alias("roles")).where("n_docs > 1")
+    """(entity_id, n_docs, n_edges, roles): entities of two documents or more; rows(entity_id, doc_no, he_id, slot).
+
+    Documents are counted first, and edges and roles only of the entities that are left; all sets are distinct rows, which combine before the shuffle.
+    """
+    docs = rows.where("doc_no is not null").select("entity_id", "doc_no").distinct().groupBy("entity_id").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+    several = held(docs, "several")
+    cells = held(rows.join(several.select("entity_id"), "entity_id", "left_semi").select("entity_id", "he_id", "slot").distinct(), "several-cells")
+    edges = cells.where("he_id is not null").select("entity_id", "he_id").distinct().groupBy("entity_id").agg(F.count("*").alias("n_edges"))
+    roles = cells.where("slot is not null").select("entity_id", "slot").distinct().groupBy("entity_id").agg(F.sort_array(F.collect_list("slot")).alias("roles"))  # bounded by the slots
+    none = F.array().cast("array<string>")
+    return several.join(edges, "entity_id", "left").join(roles, "entity_id", "left").select("entity_id", "n_docs", F.coalesce("n_edges", F.lit(0).cast("long")).alias("n_edges"), F.coalesce("roles", none).alias("roles"))
 
 
 def alias_candidates(names: DataFrame) -> DataFrame:
