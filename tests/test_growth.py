@@ -11,7 +11,7 @@ from veilgraph.functions import facts, keys
 from veilgraph.metrics import documents, matching, ratios, scoring
 from veilgraph.model import RANKS, SCOPES, SLOTS
 from veilgraph.operators import audit, lookup
-from veilgraph.plans import features, queries
+from veilgraph.plans import features, measures, queries  # noqa: F401  register their queries
 
 
 def test_cost_by_interval_meets_sums(spark):
@@ -160,3 +160,16 @@ def test_entities_of_several_documents(spark):
     out = ratios.multi_source(frame)
     assert {(r["entity_id"], r["n_docs"], r["n_edges"], tuple(r["roles"])) for r in out.collect()} == want and want
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == len(want)
+
+
+@pytest.mark.parametrize("name", ["gold_integrity"])
+def test_texts_go_to_python_in_small_batches(spark, small, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size, want in (("64m", str(4 << 20)), ("1m", "1m"), ("2147483647", str(4 << 20))):
+            spark.conf.set(key, size)
+            queries.QUERIES[name](spark, small)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)

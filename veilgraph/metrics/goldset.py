@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilgraph.functions.keys import rank_of
 from veilgraph.functions.text import collapse, fold
 from veilgraph.model import SLOTS
+from veilgraph.sources.held import small_batches
 
 
 def _filled(gold: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def gold_violations(gold: DataFrame, documents: DataFrame) -> DataFrame:
     text has no values and no sentences.  A document's facts are gathered before its text is
     joined to them, once, and looked for in it by array functions.
     """
+    small_batches(gold.sparkSession)
     out = lambda frame, check, item: frame.select(F.lit(check).alias("check"), "doc_key", item.cast("string").alias("item"))
     known = documents.select("doc_key", F.lit(True).alias("_known"))
     facts = gold.join(known, "doc_key", "left")
