@@ -162,7 +162,7 @@ def test_entities_of_several_documents(spark):
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == len(want)
 
 
-@pytest.mark.parametrize("name", ["gold_integrity"])
+@pytest.mark.parametrize("name", ["pii_redact", "gold_integrity"])
 def test_texts_go_to_python_in_small_batches(spark, small, name):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgraph.sources.held import held
+from veilgraph.sources.held import held, small_batches
 
 # Names of credentials, schemes that may stand before one, and what is left as it is.
 CREDENTIAL_NAMES = ("password", "passwd", "pwd", "pass", "mật khẩu", "secret", "token", "authorization", "api key", "access key", "private key", "client secret")
@@ -333,6 +333,7 @@ def redact(rows: DataFrame, key: str, text: str, names: DataFrame | None = None,
     the alias table of earlier runs: its values keep their aliases, and the table returned holds it and what is new.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     named = held(dictionary(names), "names") if names is not None else None
     starts, lengths = _starts(named) if named is not None else (None, ())
     kind = rows.schema[key].dataType.simpleString()
