@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from veilgraph.functions import facts, keys
 from veilgraph.metrics import documents, matching, ratios, scoring
 from veilgraph.model import RANKS, SCOPES, SLOTS
-from veilgraph.operators import audit, lookup
+from veilgraph.operators import audit, graph, lookup
+from veilgraph.plans import policy
+from veilgraph.plans.context import user_context
 from veilgraph.plans import features, measures, queries  # noqa: F401  register their queries
 
 
@@ -173,3 +175,51 @@ def test_texts_go_to_python_in_small_batches(spark, small, name):
             assert spark.conf.get(key) == want
     finally:
         spark.conf.set(key, before)
+
+
+def _walk(rows, keys_of, open_keys, roots, steps):
+    """zone() in plain loops: rows (he_id, entity_id, key)."""
+    shown = {x for x, k in keys_of.items() if k in open_keys}
+    links = {(h, e) for h, e, _ in rows if h in shown and e in shown}
+    found = set()
+    for root in roots:
+        seen, front = {root: 0}, {root}
+        for step in range(1, steps + 1):
+            met = {e for h, e in links if h in front}
+            front = {h for h, e in links if e in met} - set(seen)
+            seen |= dict.fromkeys(front, step)
+        found |= {(root, h, n, keys_of[h] if h in shown else None) for h, n in seen.items()}
+    return found
+
+
+def test_zone_writes_and_merges_what_it_meets(spark, monkeypatch):
+    rng, context = random.Random(4), user_context(policy.DEFAULT, "support", "s0")
+    known = [f"{s}:{t}" for s in SCOPES for t in RANKS]
+    open_keys = {k for k in known if k in context.keys["hyperedges"]}
+    rows = [(f"h{rng.randrange(25)}", f"e{rng.randrange(30)}", rng.choice(sorted(open_keys)[:3]) if rng.random() < 0.9 else rng.choice(known)) for _ in range(90)]
+    rows += [(f"h{n}", "everywhere", "customer_a:faq") for n in range(9)] + [(f"far{n}", f"x{n // 2}", "customer_a:faq") for n in range(400)]
+    frame = spark.createDataFrame(rows, "he_id string, entity_id string, filter_key string")
+    merged = {r["id"]: r["filter_key"] for x in ("he_id", "entity_id") for r in keys.merge_by(frame.select(F.col(x).alias("id"), "filter_key"), "id").collect()}
+    wrote = []
+    monkeypatch.setattr(graph, "held", lambda rows, what, f=graph.held: wrote.append((what, f(rows, what))) or wrote[-1][1])
+    roots = ["h0", "h1", "h2", "h3", "nowhere"]
+    incidence = frame.select("he_id", "entity_id", keys.key_bit(F.col("filter_key")).alias("key_bit"))
+    for steps in (1, 2, 3):
+        found = graph.zone(incidence, spark.createDataFrame([(r,) for r in roots], "he_id string"), steps, context)
+        want = _walk(rows, merged | {"nowhere": None}, open_keys, roots, steps)
+        assert found.columns == ["root", "he_id", "step", "filter_key"] and len(want) > len(roots)
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    # hyperedges that no step meets are written nowhere
+    assert all(t.where("he_id like 'far%'").isEmpty() for _, t in wrote if "he_id" in t.columns)
+    assert max(t.count() for _, t in wrote) < 200
+
+
+@pytest.mark.parametrize("name", ["zone_kstep"])
+def test_traversals_join_no_whole_incidence(spark, small, monkeypatch, name):
+    wrote = {}
+    for module in (graph, queries):
+        monkeypatch.setattr(module, "held", lambda rows, what, f=module.held: wrote.setdefault(what, f(rows, what)))
+    queries.QUERIES[name](spark, small).collect()
+    every = wrote["facts"].count()
+    assert wrote["fact-slots"].count() == wrote["facts"].select("he_id").distinct().count() < every
+    assert all(t.count() < every / 10 for what, t in wrote.items() if what.startswith("zone"))

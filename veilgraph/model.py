@@ -72,10 +72,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def coarse_only(rows: DataFrame) -> DataFrame:
+    """rows with the slots that are not in COARSE set to null."""
+    return rows.withColumns({s: F.lit(None).cast("string") for s in SLOTS[5:]})
+
+
 def coarse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts() without source, time and owner, so that ids repeat across documents."""
     own = facts(spark, sf_dir).select("doc_no", F.col("source").alias("order_ref"), *COARSE)
-    return own.withColumns({s: F.lit(None).cast("string") for s in SLOTS[5:]}).withColumn("filter_key", F.concat_ws(":", scope_of(F.col("doc_no")), type_of(F.col("doc_no"))))
+    return coarse_only(own).withColumn("filter_key", F.concat_ws(":", scope_of(F.col("doc_no")), type_of(F.col("doc_no"))))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
