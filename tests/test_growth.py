@@ -13,6 +13,7 @@ from veilgraph.model import RANKS, SCOPES, SLOTS
 from veilgraph.operators import audit, graph, lookup
 from veilgraph.plans import policy
 from veilgraph.plans.context import user_context
+from veilgraph.sources import ingest, versions
 from veilgraph.plans import features, measures, queries  # noqa: F401  register their queries
 
 
@@ -223,3 +224,40 @@ def test_traversals_join_no_whole_incidence(spark, small, monkeypatch, name):
     every = wrote["facts"].count()
     assert wrote["fact-slots"].count() == wrote["facts"].select("he_id").distinct().count() < every
     assert all(t.count() < every / 10 for what, t in wrote.items() if what.startswith("zone"))
+
+
+def test_lifecycle_shuffles_no_facts_for_keys_and_lists_no_sources(spark, small, monkeypatch):
+    wrote = {}
+    for module in (ingest, queries):
+        monkeypatch.setattr(module, "held", lambda rows, what, f=module.held: wrote.setdefault(what, []).append(rows) or f(rows, what))
+    found = queries.ingest_lifecycle(spark, small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and set(wrote["ingest-facts"][0].columns) == {"art_id", "n", "filled"}
+    assert all("body" not in rows.columns for each in wrote.values() for rows in each)
+
+
+def test_provenance_merges_alike(spark):
+    rng = random.Random(12)
+    keyed = [None, "elsewhere:faq", "internal:unheard", *[f"{s}:{t}" for s in SCOPES[:2] for t in list(RANKS)[:3]]]
+    rows = [(f"a{n}", f"d{rng.randrange(8)}", rng.choice(keyed[: 3 + n % 7] if n % 3 else keyed[4:6])) for n in range(60) for _ in range(n % 5)]
+    gone = {"d0", "d3"}
+    frame = spark.createDataFrame(rows, "art_id string, doc_key string, filter_key string")
+    key = lambda of: dict(map(tuple, of.groupBy("art_id").agg(keys.merged_key(F.col("filter_key")).alias("k")).collect()))
+    left, every = key(frame.where(~F.col("doc_key").isin(*gone))), key(frame)
+    touched = {a for a, d, _ in rows if d in gone}
+    want = {(a, "shared" if a in left else "private", left.get(a)) for a in touched}
+    fates = ingest.artifacts_on_delete(frame, spark.createDataFrame([(d,) for d in gone], "doc_key string"))
+    assert {tuple(r) for r in fates.collect()} == want and {w[1] for w in want} == {"shared", "private"}
+    # one join, that with the keys that go; strings are merged after equal keys were hashed together
+    assert fates._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert dict(map(tuple, keys.merge_by(frame, "art_id").collect())) == every
+
+
+def test_artifact_sizes_count_each_document_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    batch = spark.createDataFrame([("a", "internal", "faq", "one"), ("b", "internal", "faq", "two")], "doc_key string, scope string, ctype string, body string")
+    held = spark.createDataFrame([("a", "h1", "internal:faq"), ("a", "h1", "internal:runbook"), ("b", "h1", "internal:faq"), ("b", "h2", "customer_a:faq"), ("b", "h2", "internal:faq")], "doc_key string, art_id string, filter_key string")
+    ingest.ingest(batch, held, path, "s")
+    version = versions.latest(spark, path, "s")
+    found = {tuple(r) for r in ingest.artifact_sizes(spark, version).collect()}
+    assert found == {("h1", "internal:runbook", 2), ("h2", None, 1)} == {(r["art_id"], r["filter_key"], len(r["sources"])) for r in ingest.stored_artifacts(spark, version).collect()}

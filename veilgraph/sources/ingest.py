@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.functions.keys import merged_key
+from veilgraph.functions.keys import merge_by, merged_key
 from veilgraph.model import RANKS
 from veilgraph.sources.held import held
 from veilgraph.sources.versions import Version, commit, latest, rows_of, vacuum
@@ -24,7 +24,11 @@ def classify(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     unknown_rank, duplicate (same content under another key), unchanged (same content and labels),
     reingest or new.
     """
-    shown = batch.withColumn("sha", F.sha2("body", 256))
+    return _judged(batch.select("doc_key", "scope", "ctype", F.sha2("body", 256).alias("sha")), ledger)
+
+
+def _judged(shown: DataFrame, ledger: DataFrame) -> DataFrame:
+    """classify() of shown(doc_key, scope, ctype, sha)."""
     old = ledger.select("doc_key", F.col("sha").alias("old_sha"), F.col("scope").alias("old_scope"), F.col("ctype").alias("old_ctype"))
     others = ledger.groupBy("sha").agg(F.min("doc_key").alias("low_key"), F.max("doc_key").alias("high_key"))
     joined = shown.join(old, "doc_key", "left").join(others, "sha", "left")
@@ -45,9 +49,11 @@ def artifacts_on_delete(provenance: DataFrame, gone: DataFrame) -> DataFrame:
     the key those merge to.
     """
     marked = provenance.join(gone.select("doc_key", F.lit(True).alias("_gone")), "doc_key", "left")
-    touched = marked.groupBy("art_id").agg(F.count_if("_gone").alias("n_gone"), F.count_if(F.col("_gone").isNull()).alias("n_left")).where("n_gone > 0")
-    left = marked.where("_gone is null").join(touched.select("art_id"), "art_id", "left_semi").groupBy("art_id").agg(merged_key(F.col("filter_key")).alias("filter_key"))
-    return touched.join(left, "art_id", "left").select("art_id", F.when(F.col("n_left") == 0, "private").otherwise("shared").alias("fate"), "filter_key")
+    # counts of an artifact's keys are hashed; of each key one row is left for the merge of strings
+    each = marked.groupBy("art_id", "filter_key").agg(F.count_if("_gone").alias("n_gone"), F.count_if(F.col("_gone").isNull()).alias("n_left"))
+    left = F.col("n_left") > 0
+    merged = each.groupBy("art_id").agg(F.sum("n_gone").alias("n_gone"), F.sum("n_left").alias("n_left"), merged_key(F.col("filter_key"), left).alias("filter_key"))
+    return merged.where("n_gone > 0").select("art_id", F.when(F.col("n_left") == 0, "private").otherwise("shared").alias("fate"), "filter_key")
 
 
 def reconcile(reports: DataFrame, expected: DataFrame) -> DataFrame:
@@ -94,10 +100,10 @@ def ingest(batch: DataFrame, artifacts: DataFrame, store: str, space: str, chunk
     if not batch.groupBy("doc_key").count().where("count > 1").isEmpty():
         raise ValueError("a doc_key repeats in the batch")
     base = base or latest(spark, store, space)
-    shown = batch.select("doc_key", "scope", "ctype", "body", F.sha2("body", 256).alias("sha"))
+    shown = held(batch.select("doc_key", "scope", "ctype", F.sha2("body", 256).alias("sha")), "ingest-batch")  # bodies are read once
     firsts = shown.groupBy("sha").agg(F.min("doc_key").alias("first_key"))
     with_facts = artifacts.select("doc_key", F.lit(True).alias("has_facts")).distinct()
-    known = classify(shown.drop("sha"), rows_of(spark, base, "ledger")).join(shown.drop("body"), "doc_key").join(firsts, "sha").join(with_facts, "doc_key", "left")
+    known = _judged(shown, rows_of(spark, base, "ledger")).join(shown, "doc_key").join(firsts, "sha").join(with_facts, "doc_key", "left")
     arriving = F.col("status").isin("new", "reingest")
     status = F.when(arriving & (F.col("first_key") != F.col("doc_key")), "duplicate").when(arriving & F.col("has_facts").isNull(), "no_facts").otherwise(F.col("status"))
     judged = held(known.select("doc_key", "sha", "scope", "ctype", status.alias("status"), arriving.alias("replaced"), (F.col("status") == "reingest").alias("had")), "ingest-status")
@@ -141,3 +147,11 @@ def stored_artifacts(spark: SparkSession, version: Version) -> DataFrame:
     """(art_id, filter_key, sources): artifacts with the key and the sorted sources that their documents merge to."""
     rows = rows_of(spark, version, "provenance")
     return rows.groupBy("art_id").agg(merged_key(F.col("filter_key")).alias("filter_key"), F.sort_array(F.collect_set("doc_key")).alias("sources"))
+
+
+def artifact_sizes(spark: SparkSession, version: Version) -> DataFrame:
+    """(art_id, filter_key, n_sources): stored_artifacts() with sources counted; rows are hashed, no list of them is made."""
+    rows = rows_of(spark, version, "provenance")
+    merged = merge_by(rows, "art_id").withColumnRenamed("art_id", "of_id")
+    sizes = rows.groupBy("art_id").agg(F.count_distinct("doc_key").alias("n_sources"))
+    return sizes.join(merged, F.col("art_id").eqNullSafe(F.col("of_id"))).select("art_id", "filter_key", "n_sources")
