@@ -2,18 +2,22 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
+from veilgraph import model
 from veilgraph.functions import facts, keys
 from veilgraph.metrics import documents, matching, ratios, scoring
-from veilgraph.model import RANKS, SCOPES, SLOTS
+from veilgraph.model import COARSE, RANKS, SCOPES, SLOTS
 from veilgraph.operators import audit, graph, lookup
 from veilgraph.plans import policy
 from veilgraph.plans.context import user_context
 from veilgraph.sources import ingest, versions
+from veilgraph.sources.held import shared_dir
 from veilgraph.plans import features, measures, queries  # noqa: F401  register their queries
 
 
@@ -60,6 +64,52 @@ def test_documents_are_shuffled_once(spark):
         assert plan.count("Join") == 0 and plan.count("RepartitionByExpression") == 1
 
 
+def test_same_roles_of_many_documents_at_once(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["ab", "ABC", "abcd", "x", "xy", "Đà", "đà  nẵng", "q", "  ", "", None, None]
+    fact = lambda name: (name, *[rng.choice(words) for _ in COARSE]) if rng.randrange(6) else (None,) * 6
+    rows = [(d, *fact(f"g{n}"), *fact(f"p{n}")) for d in range(70) for n in range(1 + rng.randrange(9) * (d % 11 > 0))]
+    wanted = []
+    for d in range(70):
+        golds, preds = ([(r[i], tuple(documents.folded(pa.array(r[i + 1 : i + 6], pa.string())))) for r in rows if r[0] == d] for i in (1, 7))
+        wanted += [(d, *row[:3]) for row in documents.scored_candidates(golds, preds)]
+    fields = ["d", *[f"{side}_{n}" for side in ("gold", "pred") for n in ("fact_id", *COARSE)]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], fields)
+    for most in (1, 30, 1 << 20):
+        monkeypatch.setattr(documents, "PAIRS", most)
+        for size in (1, 7, 1000):
+            parts = [whole.slice(i, size) for i in range(0, len(rows), size)]
+            found = [tuple(r.values()) for part in documents.same_roles(iter([*parts, whole.slice(0, 0)])) for r in part.to_pylist()]
+            assert sorted(found) == sorted(wanted) and wanted
+    frame = spark.createDataFrame([*rows, (None, *rows[0][1:])], f"d long, {' string, '.join(fields[1:])} string").repartition("d").sortWithinPartitions("d")
+    assert sorted(map(tuple, scoring.same_role_candidates(frame, "d").collect())) == sorted(wanted)
+    assert scoring.same_role_candidates(frame.limit(0), "d").count() == 0
+
+
+def test_candidates_write_narrow_lines_alone(spark, small):
+    held = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if not p.name.startswith("large-documents-")}
+    before = held()
+    plan = measures.subject_candidates(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert held() == before  # no gold set is written
+    # lines by part and by order, parts, orders; ids and preds are made after the last of them
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("FileScan") == 4
+    assert plan.rindex("sha2") < plan.index("Exchange hashpartitioning")
+
+
+def test_orders_of_many_lines(spark, small, monkeypatch):
+    found = []
+    for size in (400, 12):  # twelve lines with their preds, then six
+        monkeypatch.setattr(documents, "GROUP", size)
+        found.append(sorted(map(tuple, measures.subject_candidates(spark, small).collect())))
+    assert found[0] == found[1] and found[0]
+    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+    monkeypatch.setattr(model, "SUPPLIER_KEYS", 0)
+    try:
+        assert sorted(map(tuple, measures.subject_candidates(spark, small).collect())) == found[0]
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForDistribution")
+
+
 def test_labels_as_by_grams(spark, monkeypatch):
     rng = random.Random(8)
     words = ["alpha beta", "Alpha", "beta gamma delta", "gamma", "Đà nẵng", "", None, "delta alpha beta"]

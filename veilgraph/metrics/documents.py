@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,10 +177,72 @@ def stream(read: Callable[[pa.RecordBatch], Iterable[tuple]], score: Callable[[l
     return run
 
 
-def large_documents(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(doc_key): documents with more than GROUP rows on both sides together."""
-    every = one.select("doc_key").union(two.select("doc_key")).where("doc_key is not null")
-    return held(every.groupBy("doc_key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("doc_key"), "large-documents")
+def _codes(*sides: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct folded values of all sides, and each side as places in them; -1 is no value."""
+    coded = pa.chunked_array([x.cast(pa.string()) for x in sides]).dictionary_encode().unify_dictionaries()
+    place: dict[str, int] = {}
+    known = [place.setdefault(v, len(place)) if (v := fold_py(x)) else -1 for x in coded.chunk(0).dictionary.to_pylist()]
+    lookup = np.array([*known, -1], dtype=np.int64)
+    return list(place), [lookup[pc.fill_null(c.indices, len(known)).to_numpy(zero_copy_only=False)] for c in coded.chunks]
+
+
+def _agreeing(values: list[str], gold: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    """Whether values at these places agree: each distinct pair is compared once."""
+    fits = (gold == pred) & (gold >= 0)
+    open_ = np.flatnonzero(~fits & (gold >= 0) & (pred >= 0))
+    pairs, where = np.unique(gold[open_] * len(values) + pred[open_], return_inverse=True)
+    each = ((values[p // len(values)], values[p % len(values)]) for p in pairs.tolist())
+    fits[open_] = np.fromiter((a in b or b in a for a, b in each), bool, len(pairs))[where]
+    return fits
+
+
+def _same_roles(rows: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+    """The candidates of whole documents, one after the other of these sizes, and how many slots of one role agree."""
+    key, *sides = rows.columns
+    (gold_id, *golds), (pred_id, *preds) = sides[: len(sides) // 2], sides[len(sides) // 2 :]
+    many = np.repeat(sizes, sizes)  # each row meets the rows of its document
+    gold = np.repeat(np.arange(rows.num_rows), many)
+    pred = np.arange(len(gold)) + np.repeat(np.repeat(np.cumsum(sizes) - sizes, sizes) - (np.cumsum(many) - many), many)
+    n_same = 0
+    for i, (g, p) in enumerate(zip(golds, preds, strict=True)):
+        values, (g_codes, p_codes) = _codes(g, p)
+        fits = _agreeing(values, g_codes[gold], p_codes[pred])
+        if i == 0:  # subjects decide which pairs there are
+            gold, pred, fits = gold[fits], pred[fits], fits[fits]
+        n_same = n_same + fits.astype(np.int64)
+    columns = {rows.schema.names[0]: key.take(pa.array(gold)), "gold_id": gold_id.take(pa.array(gold)), "pred_id": pred_id.take(pa.array(pred)), "n_same": pa.array(n_same)}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+#: Pairs of rows that are compared at once, but for those of one document.
+PAIRS = 1 << 20
+
+
+def same_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over document, gold id and slots, pred id and slots, sorted by document: `scored_candidates` with n_same alone, for many documents at once."""
+
+    def scored(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(starts, append=rows.num_rows)
+        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes**2) // PAIRS)) + 1):
+            if len(some):
+                yield _same_roles(rows.slice(starts[some[0]], sizes[some].sum()), sizes[some])
+
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pa.concat_batches([rest, batch])
+        starts = np.flatnonzero(np.diff(rows.column(0).dictionary_encode().indices.to_numpy(), prepend=-1))
+        if len(starts):
+            rest = rows.slice(starts[-1])  # its document may go on
+            yield from scored(rows.slice(0, starts[-1]), starts[:-1])
+    if rest is not None:
+        yield from scored(rest, np.zeros(1, dtype=np.int64))
+
+
+def large_documents(one: DataFrame, two: DataFrame | None = None) -> DataFrame:
+    """(doc_key): documents with more than GROUP rows on both sides together; without two, rows of one stand for both sides."""
+    every = (one.select("doc_key") if two is None else one.select("doc_key").union(two.select("doc_key"))).where("doc_key is not null")
+    n = F.count("*") * (2 if two is None else 1)
+    return held(every.groupBy("doc_key").agg(n.alias("n")).where(F.col("n") > GROUP).select("doc_key"), "large-documents")
 
 
 def by_document(gold: DataFrame, pred: DataFrame, score: Score, fields: str, joined: Callable[[DataFrame, DataFrame], DataFrame], read: Callable[[pa.RecordBatch], Iterable[tuple]] = _facts) -> DataFrame:

@@ -85,6 +85,16 @@ def scored_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return by_document(gold, pred, documents.scored_candidates, fields, lambda g, p: _scored(folded(g), folded(p)))
 
 
+def same_role_candidates(facts: DataFrame, by: str) -> DataFrame:
+    """(by, gold_id, pred_id, n_same): `scored_candidates` without slots matched across roles, of rows that lie sorted by document.
+
+    facts is by, then fact_id and slots of a gold fact, then of a pred fact, in columns of any names; a side may be null.  Nothing
+    is shuffled; documents are held whole, so those of more than `documents.GROUP` facts are not for it.
+    """
+    kind = facts.schema[by].dataType.simpleString()
+    return facts.where(F.col(by).isNotNull()).mapInArrow(documents.same_roles, f"{by} {kind}, gold_id string, pred_id string, n_same long")
+
+
 def _scored(gold: DataFrame, pred: DataFrame) -> DataFrame:
     own = F.size(F.filter("hits", lambda x: x["gold_role"] == x["pred_role"]))
     each = slot_matches(subject_candidates(gold, pred))

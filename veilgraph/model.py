@@ -6,7 +6,7 @@ from orders and parts, the bipartite incidence of facts and slot values, vectors
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Slot roles in canonical order.
@@ -83,6 +83,34 @@ def coarse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarse_only(own).withColumn("filter_key", F.concat_ws(":", scope_of(F.col("doc_no")), type_of(F.col("doc_no"))))
 
 
+#: Keys of suppliers that are broadcast; more are joined as Spark decides.
+SUPPLIER_KEYS = 2_000_000
+
+
+def order_facts(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """(order_no, the COARSE slots): the facts of coarse_facts() that the given line items make, one or more times in their order.
+
+    Lines are shuffled by part while they are keys and marks, then by order, and nothing else is written; suppliers only filter.
+    """
+    order, part, known = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier").select("s_suppkey")
+    if known.count() <= SUPPLIER_KEYS:
+        known = F.broadcast(known)
+    marks = sum(F.when(c, 1 << i).otherwise(0) for i, c in enumerate((F.col("l_quantity") > 25, F.col("l_discount") > 0.05, F.col("l_tax") > 0.04)))
+    line = lines.join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("l_orderkey", "l_partkey", marks.alias("marks"), F.concat("l_returnflag", "l_linestatus").alias("condition"))
+    marked = lambda i: F.col("marks").bitwiseAND(1 << i) > 0
+    made = line.join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+    made = made.select("l_orderkey", marked(1).alias("cut"), F.col("p_name").alias("subject"), F.when(marked(0), F.col("p_type")).alias("symptom"), "condition", F.when(marked(2), F.col("p_brand")).alias("remediation"))
+    rows = made.join(order.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_orderkey").alias("order_no"), "subject", "symptom", F.when(F.col("cut"), F.col("o_orderpriority")).alias("cause"), "condition", "remediation")
+
+
+def once_in_order(rows: DataFrame) -> DataFrame:
+    """order_facts() without repeats; rows lie sorted by order_no.  The window needs an order's rows in one partition, so they are whatever the joins become."""
+    slots = F.struct(*COARSE)
+    last = F.lag(slots).over(Window.partitionBy("order_no").orderBy(*COARSE))
+    return rows.withColumn("_last", last).where(~F.col("_last").eqNullSafe(slots)).drop("_last")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, namespace, filter_key, embedding)."""
     rows = table(spark, sf_dir, "embeddings")
